@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, token_counts
+from . import jaccard_join, mixing, packing, token_counts
 from .common import table
 
 
@@ -26,11 +26,15 @@ def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = mixing.mix(table(spark, sf_dir, "documents"))
     return x.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_pattern_packing, op8_systematic_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_pattern_packing, op7_jaccard_join, op8_systematic_mix)}
 
 ORACLES: dict[str, str] = {"op8_systematic_mix": mixing.ORACLE.format(docs="documents")}
