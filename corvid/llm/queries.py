@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mixing, packing, token_counts
+from . import jaccard_join, language_id, mixing, packing, pii, token_counts
 from .common import table
 
 
@@ -26,6 +26,24 @@ def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op4_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii", lambda s: s["base"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("pii", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    return x.select("doc_id", *map(count, pii.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+
+
+def op6_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    aside = language_id.held_out(F.col("doc_id"))
+    model = language_id.train(docs, ~aside)
+    return language_id.identify(docs.select("doc_id", "text", aside.alias("held_out")), model).drop("text")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -35,6 +53,6 @@ def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_pattern_packing, op7_jaccard_join, op8_systematic_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_pattern_packing, op4_boosted_pii, op6_centroid_language, op7_jaccard_join, op8_systematic_mix)}
 
 ORACLES: dict[str, str] = {"op8_systematic_mix": mixing.ORACLE.format(docs="documents")}
