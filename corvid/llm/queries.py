@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, mixing, packing, pii, token_counts
+from . import jaccard_join, language_id, line_quality, mixing, packing, pii, token_counts
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op4_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", *map(count, pii.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
 
 
+def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op6_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     aside = language_id.held_out(F.col("doc_id"))
@@ -53,6 +57,6 @@ def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_pattern_packing, op4_boosted_pii, op6_centroid_language, op7_jaccard_join, op8_systematic_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_pattern_packing, op4_boosted_pii, op5_line_frequency, op6_centroid_language, op7_jaccard_join, op8_systematic_mix)}
 
-ORACLES: dict[str, str] = {"op8_systematic_mix": mixing.ORACLE.format(docs="documents")}
+ORACLES: dict[str, str] = {"op5_line_frequency": line_quality.ORACLE, "op8_systematic_mix": mixing.ORACLE.format(docs="documents")}
