@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, line_quality, mixing, packing, pii, token_counts
+from . import html_text, jaccard_join, language_id, line_quality, mixing, packing, pii, token_counts, warc
 from .common import table
 
 
@@ -57,6 +57,14 @@ def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_pattern_packing, op4_boosted_pii, op5_line_frequency, op6_centroid_language, op7_jaccard_join, op8_systematic_mix)}
+def op9_dom_model_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
-ORACLES: dict[str, str] = {"op5_line_frequency": line_quality.ORACLE, "op8_systematic_mix": mixing.ORACLE.format(docs="documents")}
+
+def op10_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captures(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_pattern_packing, op4_boosted_pii, op5_line_frequency, op6_centroid_language, op7_jaccard_join, op8_systematic_mix, op9_dom_model_text, op10_warc_index_merge)}
+
+ORACLES: dict[str, str] = {"op5_line_frequency": line_quality.ORACLE, "op8_systematic_mix": mixing.ORACLE.format(docs="documents"), "op10_warc_index_merge": warc.ORACLE}

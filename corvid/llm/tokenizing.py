@@ -15,7 +15,7 @@ import re
 from functools import lru_cache
 
 #: Units remembered by a worker, and the longest unit that is remembered; others are encoded each time.
-MEMO_UNITS, MEMO_CHARS = 1_000_000, 48
+MEMO_UNITS, MEMO_CHARS = 400_000, 48
 _GAP = re.compile(r"(?<=\S)(?= )")
 _UNEVEN = re.compile(r"\x00|\s\s|(?<![A-Za-zÀ-ÖØ-öø-ÿ0-9])[.,]")
 
