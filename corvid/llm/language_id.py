@@ -143,5 +143,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         cols = list(zip(*found, strict=True)) or [(), (), ()]
         return pa.StructArray.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())], names=["lang_pred", "score", "rejected"])
 
-    kept = docs.drop("lang_pred", "score", "rejected")
-    return kept.withColumn("_p", predict(F.col(text_col))).select(*kept.columns, "_p.lang_pred", "_p.score", "_p.rejected")
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    return docs.withColumn("_language", predict(F.col(text_col))).select(*kept, "_language.lang_pred", "_language.score", "_language.rejected")
+
+
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs, with their own columns only, without those that identify() rejects."""
+    found = identify(docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text_col).alias("text")), model)
+    return found.where(~F.col("rejected")).select("_doc.*")

@@ -44,7 +44,7 @@ def _targets(sources: DataFrame, weights: tuple[int, ...]) -> DataFrame:
     return x.select("source", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * rate).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED, size: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
     """docs with size, source_size, target and copies (how often the mix takes the document).
 
     Within a source each document is expected target / source_size times. Documents are laid out by source, size class,
@@ -54,10 +54,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED, s
 
     Nulls: a null text has size 0; null sources are one source, the last; a null doc_id sorts first in its group. Empty
     table: empty result. Sources without words take nothing. Ties and repeated rows are numbered apart, and equal rows
-    are interchangeable. Extra columns are kept; names beginning with _mix are this operator's.
+    are interchangeable. Extra columns are kept, but for those named as the four that are added, which are replaced.
     """
-    size = word_count(text_or_empty()) if size is None else size
-    x = docs.withColumn("_mix_size", size)
+    added = ("size", "source_size", "target", "copies")
+    return _laid_out(docs, weights, seed).select(*(c for c in docs.columns if c not in added), *(F.col(f"_mix_{c}").alias(c) for c in added))
+
+
+def _laid_out(docs: DataFrame, weights: tuple[int, ...], seed: str) -> DataFrame:
+    """docs with the columns of mix() under names that begin with _mix."""
+    x = docs.withColumn("_mix_size", word_count(text_or_empty()))
     x = x.withColumns({"_mix_class": _size_class(F.col("_mix_size")), "_mix_salt": F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(SALTS)).cast("int"), "_mix_source": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))})
     keys = ["_mix_source", "_mix_class", "_mix_salt"]
     groups = materialise(x.groupBy(*keys).agg(F.first("source").alias("source"), F.count("*").alias("n"), F.sum("_mix_size").alias("words")), "mix-groups")
@@ -66,19 +71,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED, s
     # the offset: 32 bits of a digest of seed and source
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("_mix_source"))), 1, 8), 16, 10).cast("double") / 2.0**32
     laid = groups.select(*keys, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_mix_before"))
-    laid = laid.join(sources.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_mix_source"), "source_size", "target"), "_mix_source")
-    laid = laid.withColumns({"_mix_offset": offset, "_mix_rate": F.when(F.col("source_size") > 0, F.least(F.lit(float(MOST_COPIES)), F.col("target") / F.col("source_size"))).otherwise(0.0)})
+    laid = laid.join(sources.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_mix_source"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target")), "_mix_source")
+    rate = F.least(F.lit(float(MOST_COPIES)), F.col("_mix_target") / F.nullif(F.col("_mix_source_size"), F.lit(0)))
+    laid = laid.withColumns({"_mix_offset": offset, "_mix_rate": F.when(F.col("_mix_source_size") > 0, rate).otherwise(0.0)})
     within = Window.partitionBy(*keys).orderBy("doc_id", "_mix_size")
-    x = x.drop("source_size", "target", "copies", "size").withColumn("_mix_row", F.row_number().over(within)).join(laid, keys)
+    x = x.withColumn("_mix_row", F.row_number().over(within)).join(laid, keys)
     end = F.col("_mix_before") + F.col("_mix_row")
     copies = F.floor(F.col("_mix_offset") + end * F.col("_mix_rate")) - F.floor(F.col("_mix_offset") + (end - 1) * F.col("_mix_rate"))
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    return x.select(*kept, F.col("_mix_size").alias("size"), "source_size", "target", copies.cast("long").alias("copies"))
+    return x.withColumn("_mix_copies", copies.cast("long"))
 
 
-def mixture(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document's columns, once per copy."""
-    return mix(docs, **how).withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*docs.columns)
+def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
+    """The mix itself: each document's columns, whatever their names, once per copy."""
+    return _laid_out(docs, weights, seed).withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mix_copies").cast("int")))).select(*docs.columns)
 
 
 #: DuckDB: the rows of op8, over any relation put for {docs}; the same layout, offsets and boundaries.

@@ -240,11 +240,11 @@ def find(texts: list[str | None], trees: Trees) -> list[list[dict]]:
     return out
 
 
-def with_spans(docs: DataFrame, text_col: str = "text", trees: Trees | None = None) -> DataFrame:
-    """docs with pii, the array of its spans in code points (kind, start, end, base, score).
+def with_spans(docs: DataFrame, text_col: str = "text", trees: Trees | None = None, name: str = "pii") -> DataFrame:
+    """docs with the column name, the array of its spans in code points (kind, start, end, base, score).
 
     A null text is empty and has none. Empty table: empty result. Repeated rows have equal spans. Spans of different
-    kinds of the base may overlap; of overlapping proposals the most probable stays. A column pii is replaced.
+    kinds of the base may overlap; of overlapping proposals the most probable stays. A column of that name is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trees or model())
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("score", pa.float64())]))
@@ -256,7 +256,7 @@ def with_spans(docs: DataFrame, text_col: str = "text", trees: Trees | None = No
             out += find(texts.slice(at, 256).to_pylist(), shared.value)
         return pa.array(out, arrow)
 
-    return docs.withColumn("pii", spans(text_or_empty(text_col)))
+    return docs.withColumn(name, spans(text_or_empty(text_col)))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -264,7 +264,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Overlapping spans are replaced together, by the first one's kind. A null text stays null.
     """
-    x = with_spans(docs, text_col)
+    x = with_spans(docs, text_col, name="_pii_spans")
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -278,7 +278,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             out.append(text if not parts else "".join(parts) + text[at:])
         return pa.array(out, pa.string())
 
-    x = x.withColumn(text_col, F.when(F.size("pii") > 0, cut(F.col(text_col), F.col("pii"))).otherwise(F.col(text_col)))
+    x = x.withColumn(text_col, F.when(F.size("_pii_spans") > 0, cut(F.col(text_col), F.col("_pii_spans"))).otherwise(F.col(text_col)))
     if "n_chars" in docs.columns:
-        x = x.withColumn("n_chars", F.when(F.size("pii") > 0, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        x = x.withColumn("n_chars", F.when(F.size("_pii_spans") > 0, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return x.select(*docs.columns)

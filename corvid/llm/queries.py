@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, jaccard_join, language_id, line_quality, mixing, packing, pii, token_counts, warc
+from . import html_text, jaccard_join, language_id, line_quality, mixing, mtree, packing, pii, token_counts, warc
 from .common import table
 
 
@@ -17,6 +17,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = mtree.quantised(table(spark, sf_dir, "embeddings"))
+    return mtree.top_k(x, x.where("vec_id % 100 = 0"), k=10)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
@@ -65,6 +70,6 @@ def op10_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op3_pattern_packing, op4_boosted_pii, op5_line_frequency, op6_centroid_language, op7_jaccard_join, op8_systematic_mix, op9_dom_model_text, op10_warc_index_merge)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mtree_topk, op2_token_counts, op3_pattern_packing, op4_boosted_pii, op5_line_frequency, op6_centroid_language, op7_jaccard_join, op8_systematic_mix, op9_dom_model_text, op10_warc_index_merge)}
 
-ORACLES: dict[str, str] = {"op5_line_frequency": line_quality.ORACLE, "op8_systematic_mix": mixing.ORACLE.format(docs="documents"), "op10_warc_index_merge": warc.ORACLE}
+ORACLES: dict[str, str] = {"op1_mtree_topk": mtree.ORACLE, "op5_line_frequency": line_quality.ORACLE, "op8_systematic_mix": mixing.ORACLE.format(docs="documents"), "op10_warc_index_merge": warc.ORACLE}
