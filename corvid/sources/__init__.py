@@ -1,0 +1,123 @@
+"""Sources and sinks: tables by name, JSON inputs, landed pages, staged publishing and logs without query texts."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: The corpus; ord is a row's place in the concatenated lists and breaks all ties.
+CHUNKS = (
+    "ord long, id string, sourceId string, chapter string, page string, sourceUrl string, citationStatus string, excerptType string, role string, topics array<string>, keywords array<string>, "
+    "text string, quranText string, quranReference string, hadithText string, hadithFullText string, explanationText string, explanationSourceUrl string, htmlIngestion struct<method: string, sourcePage: string, fetchedAt: string>"
+)
+SOURCES = (
+    "id string, slug string, title string, author string, category string, publisher string, registryUrl string, originalUrl string, status string, approvedBy string, approvedAt string, notes string, "
+    "verificationUrl string, verificationLabel string, showInLibrary boolean"
+)
+EXCLUDED = ("title string, reason string")
+TOPICS = ("id string, slug string, order int, title string, description string, synonyms array<string>, keywords array<string>, related array<string>, relatedQuestions array<string>")
+CASES = ("id string, type string, query string, expectedOutcome string, expectedSources array<string>, expectedTopics array<string>, expectedChunks array<string>, notes string")
+MANIFEST = (
+    "sourceId string, baseUrl string, maxSubjectResults int, requestDelayMs int, fallbackDelayMs int, timeoutMs int, fetchAttempts int, maxCommentaryFetches int, maxExplanationChars int, minimumChunks int, minimumChunksPerTopic int, "
+    "jinaFallback boolean, requiredTopicIds array<string>, targets array<struct<kind: string, url: string, label: string, topicIds: array<string>>>"
+)
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON file holding one object or an array of them."""
+    return spark.read.schema(schema).json(path, multiLine=True)
+
+
+def rows(spark: SparkSession, items: list[dict], schema: str) -> DataFrame:
+    """Small constant tables (lists in code or of tests); ord counts from 0 where the schema has it and an item doesn't."""
+    names = T._parse_datatype_string(schema).fieldNames()
+    return spark.createDataFrame([tuple({"ord": k, **item}.get(n) for n in names) for k, item in enumerate(items)], schema)
+
+
+def corpus(parts: list[DataFrame]) -> DataFrame:
+    """Concatenated lists: each part's ord follows those before it. One aggregate a part gives the offsets."""
+    base, out = 0, None
+    for p in parts:
+        q = p.withColumn("ord", F.col("ord") + base)
+        out = q if out is None else out.unionByName(q, allowMissingColumns=True)
+        base += (p.agg(F.max("ord")).first()[0] or -1) + 1
+    return out
+
+
+def index_entries(entries: DataFrame, prefix: str, source_id: str, template: str) -> DataFrame:
+    """Index chunks made of (n, title, url, topics, keywords): numbered ids and a templated text with one %s for the title."""
+    return entries.select((F.col("n") - 1).alias("ord"), F.concat(F.lit(prefix), F.lpad(F.col("n").cast("string"), 3, "0")).alias("id"), F.lit(source_id).alias("sourceId"), F.col("title").alias("chapter"), F.col("url").alias("sourceUrl"), F.lit("index").alias("role"), F.lit("curated-summary").alias("excerptType"), "topics", "keywords", F.format_string(template, "title").alias("text"))
+
+
+def landed(direct: DataFrame, mirror: DataFrame, valid, html: str = "html") -> DataFrame:
+    """Pages (url, html) with a fallback: the direct copy if valid(column), else a valid mirror's; method says which."""
+    x = direct.select("url", F.col(html).alias("d")).join(mirror.select("url", F.col(html).alias("m")), "url", "full")
+    ok = lambda c: F.coalesce(valid(F.col(c)), F.lit(False))
+    return x.select("url", F.when(ok("d"), F.col("d")).when(ok("m"), F.col("m")).alias(html), F.when(ok("d"), "direct").when(ok("m"), "mirror").alias("method"))
+
+
+def files(spark: SparkSession, folder: str) -> DataFrame:
+    """All files below a folder: path, modificationTime, length, content."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+
+
+def within_limit(requests: DataFrame, body: str, most: int = 8192) -> DataFrame:
+    """Requests whose body has at most `most` bytes."""
+    return requests.where(F.octet_length(F.coalesce(F.col(body), F.lit(""))) <= most)
+
+
+def existing_rows(spark: SparkSession, path: str) -> int:
+    """Rows of a published table; 0 if it isn't there or can't be read."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+
+    try:
+        return spark.read.parquet(path).count()
+    except (PySparkException, Py4JJavaError):
+        return 0
+
+
+def publish(df: DataFrame, path: str) -> None:
+    """Write beside the target, then swap by rename: a reader sees the old or the new table, never a part."""
+    spark = df.sparkSession
+    stage, old = f"{path}.stage-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    df.write.parquet(stage)
+    P = spark._jvm.org.apache.hadoop.fs.Path
+    fs = P(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    had = fs.exists(P(path)) and fs.rename(P(path), P(old))
+    if not fs.rename(P(stage), P(path)):
+        if had:
+            fs.rename(P(old), P(path))
+        raise OSError(f"{path} could not be replaced")
+    if had:
+        fs.delete(P(old), True)
+
+
+def publish_or_reject(rows_: DataFrame, reason: str | None, path: str, rejected: str) -> bool:
+    """Publish an accepted run; a rejected one goes to its own folder and leaves the published table alone."""
+    if reason is None:
+        publish(rows_, path)
+        return True
+    rows_.withColumn("rejected_because", F.lit(reason)).write.mode("append").parquet(rejected)
+    return False
+
+
+def result_path(full: str, partial: str, cases: DataFrame, total: int) -> str:
+    """A sample of the cases never overwrites the full run's results."""
+    return full if cases.count() == total else partial
+
+
+def session_log(results: DataFrame, topic_ids: Column | str = "topic_ids") -> DataFrame:
+    """Derived fields of results for the log; never the query."""
+    return results.select(F.lit(None).cast("string").alias("query"), "outcome", F.col(topic_ids).alias("topic_ids") if isinstance(topic_ids, str) else topic_ids.alias("topic_ids"), "keywords", "passage_ids", F.size("passage_ids").alias("passage_count"), (F.col("outcome") == "safety").alias("safety_triggered"), F.current_timestamp().alias("created_at"))
+
+
+def append_log(results: DataFrame, path: str) -> None:
+    session_log(results).write.mode("append").parquet(path)
