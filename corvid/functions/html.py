@@ -131,26 +131,30 @@ def is_noise(line: Column) -> Column:
 
 
 def split_commentary(c: Column | str, least: int = 60) -> Column:
-    """struct<matn, commentary, cut>: cut before the first line that opens a commentary, else before a mark late enough."""
-    from .text import COMMENTARY_LINE
+    """struct<matn, commentary, cut> of readable text: cut before the first line that opens a commentary, else before a mark late enough."""
+    from .text import COMMENTARY_LINE, let
 
-    x = clean(c)
-    lines = F.split(x, "\n")
-    opens = F.filter(F.sequence(F.lit(2), F.greatest(F.size(lines), F.lit(2))), lambda k: F.rlike(F.coalesce(F.get(lines, k - 1), F.lit("")), F.lit(COMMENTARY_LINE)))
-    at = F.get(opens, F.lit(0))
-    by_line = F.struct(clean(F.array_join(F.slice(lines, 1, at - 1), "\n")).alias("matn"), clean(F.array_join(F.slice(lines, at, F.size(lines)), "\n")).alias("commentary"), F.lit(True).alias("cut"))
-    mark = first_commentary(x)
-    head = F.left(x, mark)
-    matn = clean(F.coalesce(F.nullif(F.regexp_extract(head, "(?s)^(.+)[ \n]", 1), F.lit("")), head))
-    by_mark = F.struct(matn.alias("matn"), clean(F.substr(x, F.length(matn) + 1)).alias("commentary"), F.lit(True).alias("cut"))
-    return F.when(at.isNotNull(), by_line).when((mark >= least) & (F.length(matn) >= least), by_mark).otherwise(F.struct(x.alias("matn"), F.lit("").alias("commentary"), F.lit(False).alias("cut")))
+    tidy = lambda x: clean(x, tags=False)
+
+    def split(x: Column) -> Column:
+        lines = F.split(x, "\n")
+        at = F.get(F.filter(F.sequence(F.lit(2), F.greatest(F.size(lines), F.lit(2))), lambda k: F.rlike(F.coalesce(F.get(lines, k - 1), F.lit("")), F.lit(COMMENTARY_LINE))), F.lit(0))
+        by_line = F.struct(tidy(F.array_join(F.slice(lines, 1, at - 1), "\n")).alias("matn"), tidy(F.array_join(F.slice(lines, at, F.size(lines)), "\n")).alias("commentary"), F.lit(True).alias("cut"))
+        mark = first_commentary(x)
+        head = F.left(x, mark)
+        matn = tidy(F.coalesce(F.nullif(F.regexp_extract(head, "(?s)^(.+)[ \n]", 1), F.lit("")), head))
+        by_mark = F.struct(matn.alias("matn"), tidy(F.substr(x, F.length(matn) + 1)).alias("commentary"), F.lit(True).alias("cut"))
+        whole = F.struct(x.alias("matn"), F.lit("").alias("commentary"), F.lit(False).alias("cut"))
+        return F.when(at.isNotNull(), by_line).when((mark >= least) & (F.length(matn) >= least), by_mark).otherwise(whole)
+
+    return let(tidy(c), split)
 
 
 def truncate_at_boundary(c: Column, most: int) -> Column:
     """Cut at the last sentence or line end in the first `most` characters, if that is past their half."""
     window = F.left(c, F.lit(most))
     cut = F.length(F.regexp_extract(window, "(?s)^(.*)(?: \\. |\n|، )", 1))
-    return F.when(F.length(c) <= most, c).otherwise(clean(F.when(cut > most * 0.5, F.left(window, cut)).otherwise(window)))
+    return F.when(F.length(c) <= most, c).otherwise(clean(F.when(cut > most * 0.5, F.left(window, cut)).otherwise(window), tags=False))
 
 
 def error_category(message: Column | str) -> Column:

@@ -184,12 +184,13 @@ def at_risk(form: str) -> bool:
 
 
 def detect_risk(query: Column | str) -> Column:
-    """Texts without an Arabic letter never leave the JVM: no list holds anything else."""
+    """Texts without an Arabic letter or one of the few Latin markers never leave the JVM: the other lists are Arabic."""
 
     @F.arrow_udf("boolean")
     def run(x: pa.Array) -> pa.Array:
         return pa.array([v is not None and at_risk(v) for v in x.to_pylist()], pa.bool_())
 
     form = search_form(F.coalesce(_col(query), F.lit("")))
-    arabic = F.rlike(form, F.lit("[ء-ي]"))
-    return F.coalesce(F.when(arabic, run(F.when(arabic, form))), F.lit(False))
+    latin = "|".join(re.escape(m) for m in _MARKERS if re.search("[a-z]", m))
+    maybe = F.rlike(form, F.lit("[ء-ي]" + (f"|{latin}" if latin else "")))
+    return F.coalesce(F.when(maybe, run(F.when(maybe, form))), F.lit(False))

@@ -172,7 +172,7 @@ def result_title(raw: Column | str, suffixes: tuple[str, ...] | None = None) ->
     books = suffixes or BOOK_SUFFIXES
     book_end = f"(?:{'|'.join(map(re.escape, books))})$"
     c = F.col(raw) if isinstance(raw, str) else raw
-    lines = F.filter(F.transform(F.split(H.clean(F.coalesce(c, F.lit(""))), "\n+"), F.btrim), lambda v: v != "")
+    lines = F.filter(F.transform(F.split(H.clean(F.coalesce(c, F.lit(""))), "\n+"), lambda v: F.btrim(v)), lambda v: v != "")
     head = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
     ordinal = F.regexp_extract(head, "^(\\d{1,5})\\s*[-–—:]\\s*(.*)$", 1)
     rest = F.when(ordinal != "", F.btrim(F.regexp_extract(head, "^(\\d{1,5})\\s*[-–—:]\\s*(.*)$", 2))).otherwise(head)

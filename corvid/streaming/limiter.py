@@ -80,7 +80,7 @@ def client_ip(forwarded: Column | str, real: Column | str | None = None, platfor
         return F.lit("unknown")
     c = lambda x: F.col(x) if isinstance(x, str) else x
     first = [F.nullif(F.btrim(F.get(F.split(c(x), ","), F.lit(0))), F.lit("")) for x in (platform, real) if x is not None]
-    parts = F.filter(F.transform(F.split(F.coalesce(c(forwarded), F.lit("")), ","), F.btrim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(c(forwarded), F.lit("")), ","), lambda p: F.btrim(p)), lambda p: p != "")
     return F.coalesce(*first, F.get(parts, F.greatest(F.size(parts) - max(1, hops), F.lit(0))), F.lit("unknown"))
 
 
