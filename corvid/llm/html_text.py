@@ -36,7 +36,7 @@ _BAD = re.compile(r"\b(?:nav|menu|foot|head(?:er)?\b|side|ads?\b|advert|banner|s
 _STOP = re.compile(r"[.!?…:;](?:\s|$)")
 TAGS = ("text", "p", "h", "li", "td", "div", "section", "article", "main", "body", "html", "head", "title", "header", "footer", "nav", "aside", "form", "list", "table", "quote", "other")
 _TAG = {t: n for n, t in enumerate(TAGS)} | {f"h{k}": 2 for k in range(1, 7)} | {"ul": 18, "ol": 18, "dl": 18, "menu": 18, "tr": 19, "tbody": 19, "thead": 19, "th": 4, "dt": 3, "dd": 3, "pre": 20, "blockquote": 20, "label": 17, "fieldset": 17, "legend": 17, "dialog": 16, "address": 14}
-WIDTH = len(TAGS) + 9
+WIDTH = len(TAGS) + 8
 
 
 @dataclass
@@ -109,21 +109,21 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
-def features(n: Node, total: int) -> list[tuple[int, float]]:
+def features(n: Node) -> list[tuple[int, float]]:
     """Index and value of the features that aren't 0."""
     base = len(TAGS)
-    out = [(_TAG.get(n.tag, 21), 1.0), (base, 1.0), (base + 1, math.log1p(n.size) / 5), (base + 2, min(1.0, n.links / n.size) if n.size else 0.0), (base + 3, n.size / total if total else 0.0)]
+    out = [(_TAG.get(n.tag, 21), 1.0), (base, 1.0), (base + 1, min(n.size, 80) / 80 if n.tag == "text" else 0.0), (base + 2, min(1.0, n.links / n.size) if n.size else 0.0)]
     if n.good:
-        out.append((base + 4, 1.0))
+        out.append((base + 3, 1.0))
     if n.bad:
-        out.append((base + 5, 1.0))
+        out.append((base + 4, 1.0))
     if n.tag == "text":
         if _STOP.search(n.text):
-            out.append((base + 6, 1.0))
+            out.append((base + 5, 1.0))
         if "©" in n.text[:40]:
-            out.append((base + 7, 1.0))
+            out.append((base + 6, 1.0))
         if n.size < 25:
-            out.append((base + 8, 1.0))
+            out.append((base + 7, 1.0))
     return out
 
 
@@ -135,8 +135,8 @@ class TreeModel:
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """P(content) of each node, by one upward and one downward sweep in log odds."""
-        w, total = self.unary.tolist(), nodes[0].size
-        own = [sum(w[i] * v for i, v in features(n, total)) for n in nodes]
+        w = self.unary.tolist()
+        own = [sum(w[i] * v for i, v in features(n)) for n in nodes]
         up, to_parent = own[:], [0.0] * len(nodes)
         edge = [self.edges.get(_TAG.get(n.tag, 21), (0.0, 0.0, 0.0, 0.0)) for n in nodes]
         for k in range(len(nodes) - 1, 0, -1):
@@ -170,7 +170,7 @@ def train(pages: list[tuple[str, str]], steps: int = 12) -> TreeModel:
         label = [int(n.size and 2 * g > n.size) for n, g in zip(nodes, good, strict=True)]
         for k, n in enumerate(nodes):
             row = np.zeros(WIDTH)
-            for i, v in features(n, nodes[0].size):
+            for i, v in features(n):
                 row[i] = v
             x.append(row)
             y.append(label[k])
@@ -180,7 +180,7 @@ def train(pages: list[tuple[str, str]], steps: int = 12) -> TreeModel:
     w = np.zeros(WIDTH)
     for _ in range(steps):  # Newton
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(WIDTH), x.T @ (y - p) - 0.5 * w)
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(WIDTH), x.T @ (y - p) - 0.1 * w)
     edges = {}
     for tag, c in pairs.items():
         p = c / c.sum()
@@ -193,6 +193,7 @@ def labelled_pages(n: int, seed: int = 5) -> list[tuple[str, str]]:
     r = random.Random(seed)
     word = lambda: "".join(r.choice(("ka", "lo", "mi", "ter", "an", "os", "re", "un")) for _ in range(r.randint(1, 4)))
     sentence = lambda lo=4, hi=18: " ".join(word() for _ in range(r.randint(lo, hi))).capitalize() + r.choice(".....!?")
+    heading = lambda lo, hi: r.choice((sentence(lo, hi), sentence(lo, hi)[:-1], sentence(lo, hi)[:-1], " ".join(sentence(lo, hi)[:60].split())))
     link = lambda: f'<a href="/{word()}">{word().title()}</a>'
     items = lambda: "".join(f"<li>{link()}</li>" for _ in range(r.randint(3, 8)))
     short = lambda: r.choice((sentence(2, 8), sentence(5, 14) + " " + sentence(3, 9)))
@@ -201,30 +202,34 @@ def labelled_pages(n: int, seed: int = 5) -> list[tuple[str, str]]:
         before = [f"<nav><ul>{items()}</ul></nav>", f'<div class="menu"><ul>{items()}</ul></div>', f"<header><h1>{word().title()}</h1><p>{short()}</p></header>", f'<div class="{r.choice(("ad", "advert", "ads banner", "sponsor"))}">{short()}</div>', f'<div id="{r.choice(("cookie-notice", "consent"))}"><p>{short()}</p><button>OK</button></div>', f'<form action="/s"><label>{word()}</label><input name="q"></form>']
         after = [f"<footer>&copy; {word()}.com &middot; {short()}</footer>", f'<div class="footer"><p>&copy; {word()} {short()}</p></div>', f'<aside><h3>{word()}</h3><ul>{items()}</ul><p>{short()}</p></aside>', f'<div class="sidebar"><p>{short()}</p><ul>{items()}</ul></div>', f'<section class="comments"><h3>{word()}</h3>' + "".join(f'<div class="comment"><p>{short()}</p></div>' for _ in range(r.randint(1, 4))) + "</section>", f'<div class="related"><ul>{items()}</ul></div>']
         blocks, lines = [], []
+        brief = r.random() < 0.2  # an article of a few words
         if r.random() < 0.8:
-            lines.append(sentence(3, 9))
+            lines.append(heading(1, 3) if brief else heading(3, 14))
             blocks.append(f"<h1>{lines[-1]}</h1>")
-        for _ in range(r.choice((1, 1, 2, 3, 5, 8))):
+        for _ in range(r.choice((1, 1, 2) if brief else (1, 1, 2, 2, 3, 5, 8))):
             kind = r.random()
             if kind < 0.08:
                 lines += (rows := [sentence(2, 9) for _ in range(r.randint(2, 4))])
                 blocks.append("<ul>" + "".join(f"<li>{v}</li>" for v in rows) + "</ul>")
             elif kind < 0.14:
-                lines.append(sentence(2, 6))
+                lines.append(heading(1, 6))
                 blocks.append(f"<h2>{lines[-1]}</h2>")
             elif kind < 0.18:
                 lines.append(sentence())
                 blocks.append(f"<blockquote>{lines[-1]}</blockquote>")
             else:
-                lines.append(" ".join(sentence() for _ in range(r.randint(1, 6))))
+                lines.append(sentence(1, 5) if brief else " ".join(sentence(2, 18) for _ in range(r.choice((1, 1, 2, 3, 4, 6)))))
                 if r.random() < 0.15:
-                    lines[-1] = lines[-1].replace(" ", r.choice((" | ", "### ", " * ", "!! ")))
+                    lines[-1] = lines[-1].replace(" ", r.choice((" | ", "### ", " * ", "!! "))).rstrip(".!?")
                 body = lines[-1] if r.random() < 0.7 else re.sub(r"^(\w+)", r"<b>\1</b>", lines[-1])
                 blocks.append(f"<p>{body}" + ("</p>" if r.random() < 0.8 else ""))
                 if r.random() < 0.1:
                     blocks.append(f'<div class="{r.choice(("ad", "advert"))}">{short()}</div>')
         wrap = r.choice(("<article>{}</article>", "<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', '<div id="main"><article>{}</article></div>', '<div class="post-body">{}</div>', "<div>{}</div>"))
         parts = [*r.sample(before, r.randint(1, 4)), wrap.format("".join(blocks)), *r.sample(after, r.randint(1, 4))]
+        if r.random() < 0.1:  # a fragment
+            out.append(("".join(parts), "\n".join(lines)))
+            continue
         out.append((f"<!DOCTYPE html><html><head><title>{r.choice((lines[0], lines[0][:60], sentence(), word()))}</title><style>p{{}}</style></head><body>{''.join(parts)}</body></html>", "\n".join(lines)))
     return out
 
