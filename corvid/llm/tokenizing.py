@@ -14,8 +14,10 @@ import os
 import re
 from functools import lru_cache
 
+from .common import claim
+
 #: Units remembered by a worker, and the longest unit that is remembered; others are encoded each time.
-MEMO_UNITS, MEMO_CHARS = 400_000, 48
+MEMO_UNITS, MEMO_CHARS = 600_000, 48
 _GAP = re.compile(r"(?<=\S)(?= )")
 _UNEVEN = re.compile(r"\x00|\s\s|(?<![A-Za-zÀ-ÖØ-öø-ÿ0-9])[.,]")
 
@@ -38,21 +40,32 @@ def units(text: str) -> list[str]:
 
 
 class _Memo(dict):
-    """unit -> value, filled by encode(list of units) -> list of values; emptied when full."""
+    """unit -> encode(unit), computed when a unit is first looked up.
+
+    Two generations: when the young one is full it becomes the old one, from which units in use move back; rare units go.
+    """
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
-    def need(self, wanted: set[str]) -> None:
-        if len(self) + len(wanted) > MEMO_UNITS:
+    def __missing__(self, unit):
+        value = self.old.get(unit)
+        if value is None:
+            value = self.encode(unit)
+            if len(unit) > MEMO_CHARS:
+                return value
+        if len(self) >= MEMO_UNITS // 2:
+            self.old = dict(self)
             self.clear()
-        missing = [u for u in wanted if u not in self and len(u) <= MEMO_CHARS]
-        if missing:
-            self.update(zip(missing, self.encode(missing), strict=True))
+        self[unit] = value
+        return value
 
-    def __missing__(self, unit):
-        return self.encode([unit])[0]
+
+def _byte_letters() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: printable ones as themselves, the others as letters from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: b if b in shown else 256 + sum(c not in shown for c in range(b)) for b in range(256)}
 
 
 @lru_cache(maxsize=4)
@@ -62,16 +75,25 @@ def byte_level(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    model, letters = tokenizer.model, _byte_letters()
+
+    def word(unit: str) -> list[int]:
+        """A unit that the word pattern leaves whole goes straight to the library's model, its bytes written as letters."""
+        return [t.id for t in model.tokenize(unit.encode().decode("latin-1").translate(letters))]
 
-    def encode(batch: list[str]) -> list[bytes]:
-        return [array.array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
+    probe = (" the", "Écoleß", " naïveté", "thorealynd")
+    direct = all(word(u) == tokenizer.encode(u, add_special_tokens=False).ids for u in probe)
 
-    memo = _Memo(encode)
+    def encode(unit: str) -> bytes:
+        if direct and (unit.isalpha() or (unit[:1] == " " and unit[1:].isalpha())):
+            return array.array("I", word(unit)).tobytes()
+        return array.array("I", tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
+
+    ids = _Memo(encode).__getitem__
 
     def run(texts: list[str]) -> list[bytes]:
-        split = [units(t) for t in texts]
-        memo.need(set().union(*split))
-        return [b"".join(map(memo.__getitem__, s)) for s in split]
+        claim(path, byte_level.cache_clear)
+        return [b"".join(map(ids, units(t))) for t in texts]
 
     return run
 
@@ -85,21 +107,15 @@ def piece_counts(path: str):
     mark = "▁"
     crossing = any(mark in piece.lstrip(mark) for piece in map(model.id_to_piece, range(model.get_piece_size())))
     probe = "a  b éﬁ c"
-    plain = model.encode(probe, out_type=str) == model.encode(probe.replace(" ", mark), out_type=str)
-    plain = plain and model.decode(model.encode(probe)) == probe
-
-    def encode(batch: list[str]) -> list[int]:
-        return [len(x) for x in model.encode(batch, num_threads=1)]
+    plain = model.encode(probe, out_type=str) == model.encode(probe.replace(" ", mark), out_type=str) and model.decode(model.encode(probe)) == probe
+    count = _Memo(lambda unit: len(model.encode(unit))).__getitem__
 
-    memo = _Memo(encode)
+    def whole(text: str) -> bool:
+        """The pieces of its words may not be those of the text."""
+        return crossing or not plain or not text or mark in text or text[0] == " " or text[-1] == " " or "  " in text
 
     def run(texts: list[str]) -> list[int]:
-        out = []
-        split = [None if crossing or not plain or not t or mark in t or t[-1] == " " or "  " in t or t[0] == " " or len(set(t)) < 3 else t.split(" ") for t in texts]
-        memo.need(set().union(*(s for s in split if s)))
-        whole = iter(encode([t for t, s in zip(texts, split, strict=True) if s is None]))
-        for s in split:
-            out.append(next(whole) if s is None else sum(map(memo.__getitem__, s)))
-        return out
+        claim(path, piece_counts.cache_clear)
+        return [len(model.encode(t)) if whole(t) else sum(map(count, t.split(" "))) for t in texts]
 
     return run

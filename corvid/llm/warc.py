@@ -11,7 +11,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
-from datetime import UTC, datetime, timedelta
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark import TaskContext
