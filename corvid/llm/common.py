@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that separates words in every operator here: space, and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch that goes to Python while a table is written.
+BATCH_ROWS = 1024
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,11 +36,24 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/corvid/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of BATCH_ROWS rows at most while it lasts: whole texts of thousands of rows at once would not fit beside a sort."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(min(BATCH_ROWS, int(was)) if int(was) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: its lineage is cut and it outlives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,5 +66,29 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more; it does so when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+_held: dict[str, object] = {}
+
+
+def claim(owner: str, forget=None) -> None:
+    """Called in a Python worker by the operator that it works for: what another one remembered there is forgotten.
+
+    Workers live on from stage to stage, and an executor has room for one operator's memory only.
+    """
+    others = [k for k in _held if k != owner]
+    if others or owner not in _held:
+        for k in others:
+            if (f := _held.pop(k)) is not None:
+                f()
+        _held[owner] = forget
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import claim
 
 #: Hash slots of n-grams; centroids a language; rows a language and characters a row of the sample that is fitted.
 SLOTS, CENTROIDS, SAMPLE, SAMPLE_CHARS = 1 << 14, 4, 600, 20_000
@@ -139,6 +139,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     @F.arrow_udf("struct<lang_pred: string, score: double, rejected: boolean>")
     def predict(texts: pa.Array) -> pa.Array:
+        claim("language")
         found = [shared.value.score(t.as_py()) for t in texts]
         cols = list(zip(*found, strict=True)) or [(), (), ()]
         return pa.StructArray.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())], names=["lang_pred", "score", "rejected"])
