@@ -3,9 +3,11 @@
 1. One pass over the texts gives each set's 128-bit key and the frequent shingles (which only set the order of tokens).
 2. A second pass posts each set's prefix: the rarest tokens, of which two similar sets must share one.
 3. The first set of an index list is its leader; each list member is compared with the leader only.
-4. Lists whose members that made one component are skipped as a whole. In the others, members of different
-   components meet only inside blocks of compatible set size, and where positions allow enough common tokens. The counts
-   shared with the leader bound the overlap from both sides, so that most answers follow without touching the sets.
+4. Lists whose members that made one component are skipped as a whole. In a few rounds, members of the others meet a few
+   list neighbours each, and their components merge.
+5. What is left is compared exactly: members of different components meet only inside blocks of compatible set size, and
+   where positions allow enough common tokens. The counts shared with the leader bound the overlap from both sides, so
+   that answers follow from those of a similar set without touching the sets.
 """
 
 from __future__ import annotations
@@ -15,14 +17,20 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, text_or_empty
+from .common import claim, materialise, release, text_or_empty
 from .components import connected_components
 
 #: A shingle is reported by a task if it is in so many of the sets it looks at together; the most frequent ones order last.
 LOCAL_MIN, FREQUENT = 4, 100_000
+#: Tokens of a prefix that is carried along in an open list; longer ones are looked at pair by pair.
+SHORT_PREFIX = 128
+#: Rounds in which members of open lists meet a few partners each before what is left is compared exactly.
+ROUNDS, PARTNERS = 4, 4
+#: Shingles that a task looks at together.
+SCANNED = 1_000_000
 #: 64-bit words of the filter that says which sets may be needed for comparison: a constant size.
 FILTER_WORDS = 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -46,9 +54,10 @@ def set_key(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(batches, width):
+    claim("jaccard")
     for b in batches:
-        for at in range(0, b.num_rows, 512):
-            part = b.slice(at, 512)
+        for at in range(0, b.num_rows, 256):
+            part = b.slice(at, 256)
             yield part, [shingle_set(t, width) for t in part.column(part.num_columns - 1).to_pylist()]
 
 
@@ -76,7 +85,7 @@ def _scan(rows: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), part.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([len(s) for s in sets], pa.int64())], names=names)
             held += sets
             size += sum(map(len, sets))
-            if size > 4_000_000:
+            if size > SCANNED:
                 yield frequent()
                 held, size = [], 0
         if held:
@@ -143,6 +152,17 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "x").join(y, "y").withColumn("inter", F.size(F.array_intersect("tx", "ty"))).drop("tx", "ty")
 
 
+def _relabelled(comp: DataFrame, merged: DataFrame) -> DataFrame:
+    """Components after some of them, or single nodes, were merged (node -> component)."""
+    of = merged.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    old = comp.join(of, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    return old.unionByName(merged.join(comp.select("node"), "node", "left_anti"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id (the smallest id reachable by links, itself included).
 
@@ -161,18 +181,36 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     top = sorted((r[0], r[1]) for r in top)
     frequent = spark.sparkContext.broadcast((np.array([x[0] for x in top], np.int64), np.array([x[1] for x in top], np.int64)))
 
-    posted = materialise(_postings(rows, width, percent, frequent), "postings")
-    leaders = posted.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("_last")).where("leader <> _last").drop("_last")
-    shared = materialise(posted.join(leaders, "token"), "shared-postings")
-    discard(posted)
-
-    sets = materialise(_needed_sets(rows, width, shared.select("node").distinct()), "needed-sets", "lz4")
-    size = shared.groupBy("node").agg(F.first("n").alias("n"))
-    stars = shared.where("node <> leader").select("node", "leader", "n").distinct()
-    stars = stars.join(size.select(F.col("node").alias("leader"), F.col("n").alias("leader_n")), "leader")
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    stars = stars.where(fits(F.col("n"), F.col("leader_n"))).select(F.col("node").alias("x"), F.col("leader").alias("y"), "n", "leader_n")
+    need = lambda a, b: F.ceil(percent * (a + b) / (100 + percent) - 1e-9)
+    ahead = lambda a, at, b, bt: F.least(a - at, b - bt)  # noqa: E731  tokens that may be common from here on, this one included
+
+    # one shuffle: the postings aren't written, and lists of one set go at once
+    whole = Window.partitionBy("token")
+    shared = _postings(rows, width, percent, frequent).withColumns({"_l": F.min(F.struct("node", "n", "pos")).over(whole), "_last": F.max("node").over(whole)})
+    shared = shared.where(F.col("_l.node") != F.col("_last")).select("token", "node", "n", "pos", F.col("_l.node").alias("leader"), F.col("_l.n").alias("leader_n"), F.col("_l.pos").alias("leader_pos"))
+    shared = materialise(shared, "shared-postings")
+    release(spark)
+
+    prefixes = shared.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda v: v["token"]).alias("prefix"))
+    prefixes = materialise(prefixes, "prefixes")
+
+    def common(a, b):
+        """Tokens that the prefixes of two similar sets share at least: the rest of one of them can't hold more."""
+        return need(a, b) - F.greatest(F.ceil(percent * a / 100 - 1e-9), F.ceil(percent * b / 100 - 1e-9)) + 1
+
+    def promising(pairs: DataFrame, m: str) -> DataFrame:
+        p = lambda end, to: prefixes.select(F.col("node").alias(end), F.col("prefix").alias(to))
+        x = pairs.join(p("x", "px"), "x").join(p("y", "py"), "y")
+        return x.where(F.size(F.array_intersect("px", "py")) >= common(F.col("n"), F.col(m))).drop("px", "py")
+
+    n, m = F.col("n"), F.col("leader_n")
+    stars = shared.where((F.col("node") != F.col("leader")) & fits(n, m) & (ahead(n, F.col("pos"), m, F.col("leader_pos")) >= need(n, m)))
+    stars = stars.select(F.col("node").alias("x"), F.col("leader").alias("y"), "n", "leader_n").distinct()
+    stars = materialise(promising(stars, "leader_n"), "star-pairs")
+    sets = materialise(_needed_sets(rows, width, _ends(stars)), "needed-sets", "lz4")
     stars = materialise(_overlaps(stars, sets), "stars")
+    release(spark)
 
     def links(n, m, inter):
         return (100 + percent) * inter >= percent * (n + m)
@@ -180,28 +218,63 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     first = stars.where(links(F.col("n"), F.col("leader_n"), F.col("inter"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
     first = materialise(first, "first-links")
     comp = materialise(connected_components(first), "first-components")
+    shared = shared.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int"))
+
+    def open_lists(comp: DataFrame) -> DataFrame:
+        """The postings, with components, of lists that more than one component shares; the others are skipped whole."""
+        x = shared.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = x.groupBy("token").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("token")
+        return x.join(mixed, "token")
 
-    # lists with more than one component: members of different ones
-    member = shared.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = member.groupBy("token").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("token")
-    member = member.join(mixed, "token").join(stars.select(F.col("x").alias("node"), F.col("y").alias("leader"), "inter", "leader_n"), ["node", "leader"], "left")
-    member = materialise(member.where("node <> leader").withColumn("block", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")), "open-lists")
-    a = member.select("token", F.col("leader"), "leader_n", "block", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "component", "inter")))
-    b = member.select("token", F.explode(F.array(F.col("block") - 1, F.col("block"))).alias("block"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "component", "inter")))
+    member = materialise(open_lists(comp), "open-lists")
+    more = materialise(member.select("node").distinct().join(sets.select("node"), "node", "left_anti"), "more-needed")
+    if not more.isEmpty():
+        sets = sets.unionByName(materialise(_needed_sets(rows, width, more), "needed-sets", "lz4"))
+
+    # neighbours of a list in random order: a few partners a set, so that large groups of borderline copies grow together
+    for turn in range(ROUNDS):
+        if member.isEmpty():
+            break
+        w = Window.partitionBy("token").orderBy("block", F.xxhash64("node", F.lit(turn)))
+        before = {c: F.lag(c).over(w) for c in ("node", "n", "pos", "component")}
+        x = member.select("node", "n", "pos", "component", *(v.alias(f"{c}_b") for c, v in before.items()))
+        n, m = F.col("n"), F.col("n_b")
+        x = x.where((F.col("component") != F.col("component_b")) & fits(n, m) & (ahead(n, F.col("pos"), m, F.col("pos_b")) >= need(n, m)))
+        x = x.groupBy("node", "n", "component").agg(F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("node_b", F.lit(turn)).alias("h"), F.col("node_b").alias("y"), F.col("n_b").alias("m"), F.col("component_b").alias("d")))), 1, PARTNERS).alias("p"))
+        x = x.select(F.col("node").alias("x"), "n", F.col("component").alias("c"), F.explode("p").alias("p")).select("x", "n", "c", "p.y", "p.m", "p.d")
+        x = materialise(promising(x, "m"), "partners")
+        found = materialise(_overlaps(x, sets).where(links(F.col("n"), F.col("m"), F.col("inter"))).select(F.col("c").alias("a"), F.col("d").alias("b")).distinct(), "round-links")
+        if found.isEmpty():
+            break
+        comp = materialise(_relabelled(comp, connected_components(found)), "round-components")
+        member = materialise(open_lists(comp), "open-lists")
+        release(spark)
+
+    # what is left: members of different components, exactly
+    member = member.join(stars.select(F.col("x").alias("node"), F.col("y").alias("leader"), "inter"), ["node", "leader"], "left")
+    short = F.when(F.size("prefix") <= SHORT_PREFIX, F.col("prefix"))
+    member = member.where("node <> leader").join(prefixes.select("node", short.alias("prefix")), "node")
+    member = materialise(member, "open-lists")
+    a = member.select("token", F.col("leader"), "leader_n", "block", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "component", "inter", "prefix")))
+    b = member.select("token", F.explode(F.array(F.col("block") - 1, F.col("block"))).alias("block"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "component", "inter", "prefix")))
     na, nb, ia, ib = (F.col(c) for c in ("n_a", "n_b", "inter_a", "inter_b"))
-    need = F.ceil(percent * (na + nb) / (100 + percent) - 1e-9)
+    enough = need(na, nb)
     most = F.least(na, nb, F.coalesce(F.least(ib + na - ia, ia + nb - ib), na))  # from what both share with the leader
     fine = ((na < nb) | ((na == nb) & (F.col("node_a") < F.col("node_b")))) & (F.col("component_a") != F.col("component_b")) & fits(na, nb)
-    fine &= (1 + F.least(na - F.col("pos_a"), nb - F.col("pos_b")) - 1 >= need) & (most >= need)
+    fine &= (ahead(na, F.col("pos_a"), nb, F.col("pos_b")) >= enough) & (most >= enough)
+    # short prefixes travel with the postings: a pair is made once, at its first common token, and only if enough tokens follow
+    both = F.array_intersect("prefix_a", "prefix_b")
+    fine &= F.coalesce((F.size(both) >= common(na, nb)) & (F.get(both, F.lit(0)) == a.token), F.lit(True))
     pairs = a.join(b, (a.token == b.token) & (a.block == b.block) & fine)
     least_ = F.coalesce(ia + ib - F.col("leader_n"), F.lit(-1))
-    pairs = pairs.select(F.col("node_a").alias("x"), F.col("node_b").alias("y"), na.alias("n"), nb.alias("m"), (least_ >= need).alias("sure")).groupBy("x", "y", "n", "m").agg(F.max("sure").alias("sure"))
-    pairs = materialise(pairs, "pairs")
+    pairs = pairs.select(F.col("node_a").alias("x"), F.col("node_b").alias("y"), na.alias("n"), nb.alias("m"), F.col("component_a").alias("c"), F.col("component_b").alias("d"), (least_ >= enough).alias("sure")).groupBy("x", "y", "n", "m", "c", "d").agg(F.max("sure").alias("sure"))
+    pairs = materialise(promising(pairs, "m"), "pairs")
     tested = _overlaps(pairs.where("not sure"), sets).where(links(F.col("n"), F.col("m"), F.col("inter")))
-    more = tested.select("x", "y").unionByName(pairs.where("sure").select("x", "y")).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    more = materialise(more, "more-links")
-    if not more.isEmpty():
-        comp = materialise(connected_components(first.unionByName(more)), "components")
+    found = tested.select("x", "y", "c", "d").unionByName(pairs.where("sure").select("x", "y", "c", "d")).select(F.col("c").alias("a"), F.col("d").alias("b")).distinct()
+    found = materialise(found, "last-links")
+    if not found.isEmpty():
+        comp = materialise(_relabelled(comp, connected_components(found)), "components")
+    release(spark)
 
     documents = scan.where("kind = 0")
     nodes = documents.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("check").alias("c"), F.max("check").alias("d"))
