@@ -7,12 +7,13 @@
    list neighbours each, and their components merge.
 5. What is left is compared exactly: members of different components meet only inside blocks of compatible set size, and
    where positions allow enough common tokens. The counts shared with the leader bound the overlap from both sides, so
-   that answers follow from those of a similar set without touching the sets.
+   that answers follow from those of a similar set without touching the sets, and so do parity maps of the sets.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from .components import connected_components
 LOCAL_MIN, FREQUENT = 4, 100_000
 #: Tokens of a prefix that is carried along in an open list; longer ones are looked at pair by pair.
 SHORT_PREFIX = 128
+#: Bits of a set's parity map.
+PARITY = 512
 #: Rounds in which members of open lists meet a few partners each before what is left is compared exactly.
 ROUNDS, PARTNERS = 4, 4
 #: Shingles that a task looks at together.
@@ -121,8 +124,13 @@ def _postings(rows: DataFrame, width: int, percent: int, frequent) -> DataFrame:
     return rows.mapInArrow(run, "token long, node long, n int, pos int")
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """PARITY bits, each whether an odd number of tokens fall on it: bits in which two sets differ never outnumber tokens that only one has."""
+    return np.packbits((np.bincount(tokens & (PARITY - 1), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _needed_sets(rows: DataFrame, width: int, needed: DataFrame) -> DataFrame:
-    """(node, tokens) of the sets that a filter of constant size doesn't exclude; made again from the texts."""
+    """(node, tokens, bits) of the sets that a filter of constant size doesn't exclude; made again from the texts."""
     bit = F.pmod(F.col("node"), F.lit(FILTER_WORDS * 64))
     words = needed.groupBy((bit / 64).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits")).collect()  # at most FILTER_WORDS rows
     mask = np.zeros(FILTER_WORDS, np.uint64)
@@ -141,9 +149,10 @@ def _needed_sets(rows: DataFrame, width: int, needed: DataFrame) -> DataFrame:
                         nodes.append(node)
                         kept.append(s)
             if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(kept)], names=["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(kept), _lists([parity(s) for s in kept])], names=["node", "tokens", "bits"])
 
-    return rows.mapInArrow(run, "node long, tokens array<long>").join(needed, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    found = rows.mapInArrow(run, "node long, tokens array<long>, bits array<long>").join(needed, "node", "left_semi")
+    return found.groupBy("node").agg(F.first("tokens").alias("tokens"), F.first("bits").alias("bits"))
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -231,15 +240,21 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     if not more.isEmpty():
         sets = sets.unionByName(materialise(_needed_sets(rows, width, more), "needed-sets", "lz4"))
 
+    bits = materialise(sets.select("node", "bits"), "parity-maps")
+
+    def differ(a: str, b: str):
+        """Bits in which two parity maps differ: a lower bound of the tokens that only one set has."""
+        return reduce(lambda x, y: x + y, (F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(PARITY // 64)))
+
     # neighbours of a list in random order: a few partners a set, so that large groups of borderline copies grow together
     for turn in range(ROUNDS):
         if member.isEmpty():
             break
         w = Window.partitionBy("token").orderBy("block", F.xxhash64("node", F.lit(turn)))
-        before = {c: F.lag(c).over(w) for c in ("node", "n", "pos", "component")}
-        x = member.select("node", "n", "pos", "component", *(v.alias(f"{c}_b") for c, v in before.items()))
+        before = {c: F.lag(c).over(w) for c in ("node", "n", "pos", "component", "bits")}
+        x = member.join(bits, "node").select("node", "n", "pos", "component", "bits", *(v.alias(f"{c}_b") for c, v in before.items()))
         n, m = F.col("n"), F.col("n_b")
-        x = x.where((F.col("component") != F.col("component_b")) & fits(n, m) & (ahead(n, F.col("pos"), m, F.col("pos_b")) >= need(n, m)))
+        x = x.where((F.col("component") != F.col("component_b")) & fits(n, m) & (ahead(n, F.col("pos"), m, F.col("pos_b")) >= need(n, m)) & (differ("bits", "bits_b") <= n + m - 2 * need(n, m)))
         x = x.groupBy("node", "n", "component").agg(F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("node_b", F.lit(turn)).alias("h"), F.col("node_b").alias("y"), F.col("n_b").alias("m"), F.col("component_b").alias("d")))), 1, PARTNERS).alias("p"))
         x = x.select(F.col("node").alias("x"), "n", F.col("component").alias("c"), F.explode("p").alias("p")).select("x", "n", "c", "p.y", "p.m", "p.d")
         x = materialise(promising(x, "m"), "partners")
@@ -253,15 +268,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     # what is left: members of different components, exactly
     member = member.join(stars.select(F.col("x").alias("node"), F.col("y").alias("leader"), "inter"), ["node", "leader"], "left")
     short = F.when(F.size("prefix") <= SHORT_PREFIX, F.col("prefix"))
-    member = member.where("node <> leader").join(prefixes.select("node", short.alias("prefix")), "node")
+    member = member.where("node <> leader").join(prefixes.select("node", short.alias("prefix")), "node").join(bits, "node")
     member = materialise(member, "open-lists")
-    a = member.select("token", F.col("leader"), "leader_n", "block", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "component", "inter", "prefix")))
-    b = member.select("token", F.explode(F.array(F.col("block") - 1, F.col("block"))).alias("block"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "component", "inter", "prefix")))
+    a = member.select("token", F.col("leader"), "leader_n", "block", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "component", "inter", "prefix", "bits")))
+    b = member.select("token", F.explode(F.array(F.col("block") - 1, F.col("block"))).alias("block"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "component", "inter", "prefix", "bits")))
     na, nb, ia, ib = (F.col(c) for c in ("n_a", "n_b", "inter_a", "inter_b"))
     enough = need(na, nb)
     most = F.least(na, nb, F.coalesce(F.least(ib + na - ia, ia + nb - ib), na))  # from what both share with the leader
     fine = ((na < nb) | ((na == nb) & (F.col("node_a") < F.col("node_b")))) & (F.col("component_a") != F.col("component_b")) & fits(na, nb)
     fine &= (ahead(na, F.col("pos_a"), nb, F.col("pos_b")) >= enough) & (most >= enough)
+    fine &= differ("bits_a", "bits_b") <= na + nb - 2 * enough
     # short prefixes travel with the postings: a pair is made once, at its first common token, and only if enough tokens follow
     both = F.array_intersect("prefix_a", "prefix_b")
     fine &= F.coalesce((F.size(both) >= common(na, nb)) & (F.get(both, F.lit(0)) == a.token), F.lit(True))
