@@ -3,8 +3,8 @@
 1. One pass over the texts gives each set's 128-bit key and the frequent shingles (which only set the order of tokens).
 2. A second pass posts each set's prefix: the rarest tokens, of which two similar sets must share one.
 3. The first set of an index list is its leader; each list member is compared with the leader only.
-4. Lists whose members that made one component are skipped as a whole. In a few rounds, members of the others meet a few
-   list neighbours each, and their components merge.
+4. Lists whose members that made one component are skipped as a whole. Members of the others meet a few list neighbours
+   each, and their components merge.
 5. What is left is compared exactly: members of different components meet only inside blocks of compatible set size, and
    where positions allow enough common tokens. The counts shared with the leader bound the overlap from both sides, so
    that answers follow from those of a similar set without touching the sets, and so do parity maps of the sets.
@@ -30,7 +30,7 @@ LOCAL_MIN, FREQUENT = 4, 100_000
 SHORT_PREFIX = 128
 #: Bits of a set's parity map.
 PARITY = 512
-#: Rounds in which members of open lists meet a few partners each before what is left is compared exactly.
+#: Random orders of open lists, and partners a set has in each, before what is left is compared exactly.
 ROUNDS, PARTNERS = 4, 4
 #: Shingles that a task looks at together.
 SCANNED = 1_000_000
@@ -129,8 +129,11 @@ def parity(tokens: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(tokens & (PARITY - 1), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
 
 
-def _needed_sets(rows: DataFrame, width: int, needed: DataFrame) -> DataFrame:
-    """(node, tokens, bits) of the sets that a filter of constant size doesn't exclude; made again from the texts."""
+def _needed_sets(rows: DataFrame, width: int, needed: DataFrame, whole: bool = True) -> DataFrame:
+    """(node, tokens) of the needed sets, or (node, bits) with their parity maps; made again from the texts.
+
+    A filter of constant size keeps most others from leaving their task.
+    """
     bit = F.pmod(F.col("node"), F.lit(FILTER_WORDS * 64))
     words = needed.groupBy((bit / 64).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits")).collect()  # at most FILTER_WORDS rows
     mask = np.zeros(FILTER_WORDS, np.uint64)
@@ -149,10 +152,11 @@ def _needed_sets(rows: DataFrame, width: int, needed: DataFrame) -> DataFrame:
                         nodes.append(node)
                         kept.append(s)
             if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(kept), _lists([parity(s) for s in kept])], names=["node", "tokens", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(kept if whole else [parity(s) for s in kept])], names=["node", name])
 
-    found = rows.mapInArrow(run, "node long, tokens array<long>, bits array<long>").join(needed, "node", "left_semi")
-    return found.groupBy("node").agg(F.first("tokens").alias("tokens"), F.first("bits").alias("bits"))
+    name = "tokens" if whole else "bits"
+    found = rows.mapInArrow(run, f"node long, {name} array<long>").join(needed, "node", "left_semi")
+    return found.groupBy("node").agg(F.first(name).alias(name))
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -236,34 +240,34 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
         return x.join(mixed, "token")
 
     member = materialise(open_lists(comp), "open-lists")
-    more = materialise(member.select("node").distinct().join(sets.select("node"), "node", "left_anti"), "more-needed")
-    if not more.isEmpty():
-        sets = sets.unionByName(materialise(_needed_sets(rows, width, more), "needed-sets", "lz4"))
+    bits = materialise(_needed_sets(rows, width, member.select("node").distinct(), whole=False), "parity-maps")
 
-    bits = materialise(sets.select("node", "bits"), "parity-maps")
+    def with_sets(pairs: DataFrame) -> DataFrame:
+        """The sets fetched so far and those that the pairs need besides."""
+        more = materialise(_ends(pairs).join(sets.select("node"), "node", "left_anti"), "more-needed")
+        return sets if more.isEmpty() else sets.unionByName(materialise(_needed_sets(rows, width, more), "needed-sets", "lz4"))
 
     def differ(a: str, b: str):
         """Bits in which two parity maps differ: a lower bound of the tokens that only one set has."""
         return reduce(lambda x, y: x + y, (F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(PARITY // 64)))
 
-    # neighbours of a list in random order: a few partners a set, so that large groups of borderline copies grow together
-    for turn in range(ROUNDS):
-        if member.isEmpty():
-            break
+    # neighbours of a list in a few random orders: a few partners a set, so that large groups of borderline copies grow together
+    def neighbours(turn: int) -> DataFrame:
         w = Window.partitionBy("token").orderBy("block", F.xxhash64("node", F.lit(turn)))
         before = {c: F.lag(c).over(w) for c in ("node", "n", "pos", "component", "bits")}
         x = member.join(bits, "node").select("node", "n", "pos", "component", "bits", *(v.alias(f"{c}_b") for c, v in before.items()))
         n, m = F.col("n"), F.col("n_b")
         x = x.where((F.col("component") != F.col("component_b")) & fits(n, m) & (ahead(n, F.col("pos"), m, F.col("pos_b")) >= need(n, m)) & (differ("bits", "bits_b") <= n + m - 2 * need(n, m)))
         x = x.groupBy("node", "n", "component").agg(F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("node_b", F.lit(turn)).alias("h"), F.col("node_b").alias("y"), F.col("n_b").alias("m"), F.col("component_b").alias("d")))), 1, PARTNERS).alias("p"))
-        x = x.select(F.col("node").alias("x"), "n", F.col("component").alias("c"), F.explode("p").alias("p")).select("x", "n", "c", "p.y", "p.m", "p.d")
-        x = materialise(promising(x, "m"), "partners")
-        found = materialise(_overlaps(x, sets).where(links(F.col("n"), F.col("m"), F.col("inter"))).select(F.col("c").alias("a"), F.col("d").alias("b")).distinct(), "round-links")
-        if found.isEmpty():
-            break
-        comp = materialise(_relabelled(comp, connected_components(found)), "round-components")
+        return x.select(F.col("node").alias("x"), "n", F.col("component").alias("c"), F.explode("p").alias("p")).select("x", "n", "c", "p.y", "p.m", "p.d")
+
+    partners = materialise(promising(reduce(DataFrame.unionByName, map(neighbours, range(ROUNDS))).distinct(), "m"), "partners")
+    sets = with_sets(partners)
+    found = materialise(_overlaps(partners, sets).where(links(F.col("n"), F.col("m"), F.col("inter"))).select(F.col("c").alias("a"), F.col("d").alias("b")).distinct(), "partner-links")
+    if not found.isEmpty():
+        comp = materialise(_relabelled(comp, connected_components(found)), "merged-components")
         member = materialise(open_lists(comp), "open-lists")
-        release(spark)
+    release(spark)
 
     # what is left: members of different components, exactly
     member = member.join(stars.select(F.col("x").alias("node"), F.col("y").alias("leader"), "inter"), ["node", "leader"], "left")
@@ -285,6 +289,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     least_ = F.coalesce(ia + ib - F.col("leader_n"), F.lit(-1))
     pairs = pairs.select(F.col("node_a").alias("x"), F.col("node_b").alias("y"), na.alias("n"), nb.alias("m"), F.col("component_a").alias("c"), F.col("component_b").alias("d"), (least_ >= enough).alias("sure")).groupBy("x", "y", "n", "m", "c", "d").agg(F.max("sure").alias("sure"))
     pairs = materialise(promising(pairs, "m"), "pairs")
+    sets = with_sets(pairs.where("not sure"))
     tested = _overlaps(pairs.where("not sure"), sets).where(links(F.col("n"), F.col("m"), F.col("inter")))
     found = tested.select("x", "y", "c", "d").unionByName(pairs.where("sure").select("x", "y", "c", "d")).select(F.col("c").alias("a"), F.col("d").alias("b")).distinct()
     found = materialise(found, "last-links")
