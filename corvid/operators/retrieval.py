@@ -189,6 +189,20 @@ def lexical_topk(queries: DataFrame, docs: DataFrame, query_id: str, query: str,
     return diversified(hit, query_id, source, "score", doc_id, most)
 
 
+def overlap_pairs(needles: DataFrame, docs: DataFrame, needle_id: str, needle: str, doc_id: str, text: str) -> DataFrame:
+    """(needle_id, doc_id, ratio) of all pairs with a ratio above 0: text.overlap_ratio by a join on words; each row of docs stands alone.
+
+    A needle without words of three characters has ratio 1 with every row. Null texts have no words; a null needle has no pairs.
+    """
+    long = lambda c: F.filter(F.split(search_form(c), " "), lambda t: F.length(t) >= 3)
+    asked = needles.select(F.col(needle_id), long(needle).alias("w")).withColumn("n", F.size("w"))
+    words_ = asked.select(needle_id, "n", F.explode("w").alias("word")).groupBy(needle_id, "n", "word").agg(F.count("*").alias("k"))
+    held = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id), F.array_distinct(long(text)).alias("w")).select("_row", doc_id, F.explode("w").alias("word"))
+    x = held.join(small(words_), "word").groupBy("_row", doc_id, needle_id, "n").agg(F.sum("k").alias("k"))
+    wordless = docs.select(doc_id).crossJoin(small(asked.where("n = 0").select(needle_id)))
+    return x.select(needle_id, doc_id, (F.col("k") / F.col("n")).alias("ratio")).unionByName(wordless.withColumn("ratio", F.lit(1.0)))
+
+
 def run_research(queries: DataFrame, chunks: DataFrame, sources: DataFrame, excluded: DataFrame, topics: DataFrame) -> DataFrame:
     """(query_id, outcome, gate, topic_ids, keywords, passage_ids): gates, topics, keywords, retrieval, in this order."""
     from .gates import outcome

@@ -168,6 +168,15 @@ def overlap_ratio(spark, d):
     return x.select("doc_id", F.round(X.overlap_ratio("needle", "text", X.search_form), 6).alias("ratio"))
 
 
+@query(f"""WITH b AS (SELECT item_id, list_filter(string_split({S.norm('text')}, ' '), lambda t: length(t) >= 3) AS n FROM benchmark), d AS (SELECT row_number() OVER () AS r, doc_id, string_split({S.norm('text')}, ' ') AS h FROM documents),
+w AS (SELECT item_id, len(n) AS n, unnest(n) AS t FROM b), v AS (SELECT r, doc_id, unnest(list_distinct(h)) AS t FROM d)
+SELECT item_id, doc_id, round(count(*)::DOUBLE / n, 6) AS ratio FROM w JOIN v USING (t) GROUP BY item_id, n, r, doc_id UNION ALL SELECT item_id, doc_id, 1.0::DOUBLE FROM b, d WHERE len(n) = 0""")
+def overlap_ratio_all(spark, d):
+    """overlap_ratio of every item with every document; pairs without a common word (ratio 0) have no row."""
+    x = retrieval.overlap_pairs(_items(spark, d), _docs(spark, d), "item_id", "text", "doc_id", "text")
+    return x.select("item_id", "doc_id", F.round("ratio", 6).alias("ratio"))
+
+
 @query(f"SELECT page_id, {S.clean('html')} AS text FROM pages")
 def html_clean(spark, d):
     return table(spark, d, "pages").select("page_id", H.clean("html").alias("text"))

@@ -140,3 +140,11 @@ def test_questionnaire(spark):
     got = {r["path_id"]: (r["topic_ids"], r["keywords"]) for r in browse.questionnaire(areas, refinements, picks, S.rows(spark, TOPICS, S.TOPICS)).collect()}
     assert got == {1: (["t1", "t2"], ["k1", "k2"]), 2: (["t2"], ["التوبة"])}
     assert browse.all_paths(areas, refinements).count() == 4
+
+
+def test_overlap_pairs_cover_every_needle(spark):
+    texts = [(0, "alpha beta gamma alpha"), (0, "beta, delta"), (41, "omega"), (None, "alpha"), (7, None)]
+    needles = [(3, "alpha beta alpha zeta"), (150, "Omega"), (199, "a b"), (200, None)]
+    got = retrieval.overlap_pairs(spark.createDataFrame(needles, "item_id long, q string"), spark.createDataFrame(texts, "doc_id long, text string"), "item_id", "q", "doc_id", "text")
+    want = [(3, 0, 0.75), (3, 0, 0.25), (3, None, 0.5), (150, 41, 1.0), *((199, i, 1.0) for i, _ in texts)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
