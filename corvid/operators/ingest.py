@@ -91,11 +91,14 @@ def merge(records: DataFrame, prefix: str = "chunk-", most: int = 24) -> DataFra
 
 
 def _numbered(x: DataFrame, prefix: str, span: int = 65536) -> DataFrame:
-    """Dense ids by ord: ranks within blocks of ord values, plus the counts of the blocks before (a table of blocks)."""
+    """Dense ids by ord, null ords last: ranks within blocks of ord values, plus the counts of the blocks before (a table of blocks). Ids beyond six digits grow."""
     x = x.withColumn("_b", F.floor(F.col("ord") / span))
-    before = x.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_b", "_before")
+    last = F.asc_nulls_last("_b")
+    before = x.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(last).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("_b").alias("_k"), "_before")
     n = F.row_number().over(Window.partitionBy("_b").orderBy("ord"))
-    return x.withColumn("_r", n).join(before, "_b").withColumn("id", F.concat(F.lit(prefix), F.lpad((F.col("_before") + F.col("_r")).cast("string"), 6, "0"))).drop("_b", "_r", "_before")
+    number = (F.col("_before") + F.col("_r")).cast("string")
+    joined = x.withColumn("_r", n).join(before, F.col("_b").eqNullSafe(F.col("_k")))
+    return joined.withColumn("id", F.concat(F.lit(prefix), F.when(F.length(number) < 6, F.lpad(number, 6, "0")).otherwise(number))).drop("_b", "_k", "_r", "_before")
 
 
 def violations(chunks: DataFrame, source_id: str, official: str, detail: str, listing: str, key: str = "mainId") -> DataFrame:

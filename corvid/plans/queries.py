@@ -152,6 +152,11 @@ def dense_ids(spark, d):
     return ingest._numbered(_docs(spark, d).where("lang = 'fr'").withColumn("ord", F.col("doc_id")), "doc-").select("id", "doc_id")
 
 
+@query("SELECT 'doc-' || lpad(n, greatest(6, length(n))::INT, '0') AS id, doc_id FROM (SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) AS VARCHAR) AS n FROM documents)")
+def dense_ids_all(spark, d):
+    return ingest._numbered(_docs(spark, d).select("doc_id", F.col("doc_id").alias("ord")), "doc-").select("id", "doc_id")
+
+
 @query(f"""WITH x AS (SELECT {S.norm('text')} AS k, doc_id, source FROM documents), f AS (SELECT k, source, min(doc_id) AS m FROM x GROUP BY k, source)
 SELECT min(m) AS doc_id, string_agg(source, '|' ORDER BY m) AS sources FROM f GROUP BY k""")
 def merge_facets(spark, d):
@@ -375,6 +380,11 @@ def display_split(spark, d):
     return browse.display_split(_docs(spark, d).where("lang = 'de'").select("doc_id"), "doc_id").select("doc_id", "compact")
 
 
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) > 24 AS compact FROM documents")
+def display_split_all(spark, d):
+    return browse.display_split(_docs(spark, d).select("doc_id"), "doc_id").select("doc_id", "compact")
+
+
 _PAD = [bytes(b ^ p for b in b"secret".ljust(64, b"\0")).hex() for p in (0x36, 0x5C)]
 
 

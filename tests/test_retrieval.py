@@ -148,3 +148,11 @@ def test_overlap_pairs_cover_every_needle(spark):
     got = retrieval.overlap_pairs(spark.createDataFrame(needles, "item_id long, q string"), spark.createDataFrame(texts, "doc_id long, text string"), "item_id", "q", "doc_id", "text")
     want = [(3, 0, 0.75), (3, 0, 0.25), (3, None, 0.5), (150, 41, 1.0), *((199, i, 1.0) for i, _ in texts)]
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_dense_ids_cover_the_whole_table(spark):
+    x = spark.range(0, 1_000_050, 1, 4).selectExpr("id AS ord").unionByName(spark.createDataFrame([(None,)], "ord long"))
+    got = {r["ord"]: r["id"] for r in ingest._numbered(x, "doc-").where("ord is null or ord in (0, 65535, 65536, 999998, 999999)").collect()}
+    assert got == {0: "doc-000001", 65535: "doc-065536", 65536: "doc-065537", 999998: "doc-999999", 999999: "doc-1000000", None: "doc-1000051"}
+    split = browse.display_split(spark.range(30).selectExpr("nullif(id, 29) AS doc_id"), "doc_id").collect()
+    assert len(split) == 30 and {r["doc_id"] for r in split if not r["compact"]} == set(range(24))
