@@ -32,27 +32,26 @@ def _base(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFra
     lines = F.filter(F.split("t", "\n", -1), lambda v: F.length(F.btrim(v, F.lit(" \t\n\x0b\f\r"))) > 0)
     x = x.withColumn("l", lines)
     return x.select(
-        "id", "host", F.xxhash64("t").alias("content"), "n_words",
+        "id", "host", "t", F.xxhash64("t").alias("content"), "n_words",
         F.aggregate("w", F.lit(0).cast("long"), lambda a, v: a + F.length(v)).alias("word_chars"),
         F.length(F.regexp_replace("t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         F.size(covered).cast("long").alias("n_repeat_words"),
-        F.transform("l", lambda v: F.struct(F.xxhash64(F.lower(F.array_join(words(v), " "))).alias("h"), F.size(words(v)).alias("n"))).alias("lines"),
+        F.transform("l", lambda v: F.struct(_line_hash(v).alias("h"), F.size(words(v)).alias("n"))).alias("lines"),
     )
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row per input row: id, n_words, base figures, base_failed, boilerplate_words, kept.
+#: Above-limit lines up to this many are broadcast; beyond it Spark chooses the join.
+BROADCAST_LINES = 200_000
 
-    Lines are compared by their words in lower case. Their documents are counted per host (here the source); a line's
-    distinct texts count, so that copies of one document don't make its own lines boilerplate. Counting is partial before
-    the shuffle, the few frequent lines are written, and only they are joined back.
 
-    Nulls: a null text has no words and fails; null hosts are one host; a null id is kept. Empty table: empty result.
-    Repeated rows and ids: each row is judged alone. Other columns aren't read.
-    """
-    x = materialise(_base(docs, id_col, text_col, host_col).withColumn("row", F.monotonically_increasing_id()), "line-figures")
-    host = F.coalesce(F.concat(F.lit("h"), F.col("host")), F.lit("n")).alias("host")
+def _key() -> Column:
+    return F.coalesce(F.concat(F.lit("h"), F.col("host")), F.lit("n"))
+
+
+def _boilerplate(x: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of (row, host, content, lines): the lines above the limits (host, h), and the frequent lines that rows hold."""
+    host = _key().alias("host")
     frequent = x.select(host, F.explode(F.array_distinct(F.transform("lines", lambda v: v["h"]))).alias("h")).groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > LINE_DOCS)
     frequent = materialise(frequent, "frequent-lines")
     # distinct texts: of the host, and of each frequent line
@@ -61,12 +60,57 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     held = materialise(held.join(frequent.select("host", "h"), ["host", "h"]).groupBy("row", "host", "content", "h").agg(F.sum("n").alias("n")), "held-lines")
     counts = held.select("host", "h", "content").distinct().groupBy("host", "h").agg(F.count("*").alias("docs"))
     above = counts.join(texts, "host").where((F.col("docs") > LINE_DOCS) & (F.col("docs") > LINE_SHARE * F.col("texts"))).select("host", "h")
-    removed = held.join(materialise(above, "boilerplate-lines"), ["host", "h"]).groupBy("row").agg(F.sum("n").alias("boilerplate_words"))
-    x = x.drop("lines", "host", "content").join(removed, "row", "left").withColumn("boilerplate_words", F.coalesce("boilerplate_words", F.lit(0)))
+    return materialise(above, "boilerplate-lines"), held
+
+
+def _verdict() -> tuple[Column, Column]:
+    """base_failed and kept, of the figures and boilerplate_words."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("boilerplate_words")
     depleted = (F.col("boilerplate_words") > 0) & ((left < LEFT_WORDS) | (left < LEFT_SHARE * F.col("n_words")))
-    return x.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "boilerplate_words", (~failed & ~depleted).alias("kept"))
+    return failed.alias("base_failed"), (~failed & ~depleted).alias("kept")
+
+
+def _line_hash(line: Column) -> Column:
+    return F.xxhash64(F.lower(F.array_join(words(line), " ")))
+
+
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """One row per input row: id, n_words, base figures, base_failed, boilerplate_words, kept.
+
+    Lines are compared by their words in lower case. Their documents are counted per host (here the source); a line's
+    distinct texts count, so that copies of one document don't make its own lines boilerplate. Counting is partial before
+    the shuffle, the few frequent lines are written, and only they are joined back.
+
+    Nulls: a null text has no words and fails; null hosts are one host; a null id is kept. Empty table: empty result.
+    Repeated rows and ids: each row is judged alone. Other columns aren't read.
+    """
+    x = materialise(_base(docs, id_col, text_col, host_col).drop("t").withColumn("row", F.monotonically_increasing_id()), "line-figures")
+    above, held = _boilerplate(x)
+    removed = held.join(above, ["host", "h"]).groupBy("row").agg(F.sum("n").alias("boilerplate_words"))
+    x = x.drop("lines", "host", "content").join(removed, "row", "left").withColumn("boilerplate_words", F.coalesce("boilerplate_words", F.lit(0)))
+    failed, kept = _verdict()
+    return x.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed, "boilerplate_words", kept)
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """quality(), and clean_text: the text without its lines above the limits; all other lines, blank ones too, stay in order.
+
+    Documents meet their host's few lines above the limits in a broadcast, so texts are neither written nor dealt out.
+    A null text gives an empty one. Rows that aren't kept have their text too.
+    """
+    base = _base(docs, id_col, text_col, host_col)
+    found = materialise(base.select("host", "content", "lines").withColumn("row", F.monotonically_increasing_id()), "line-figures")
+    above, _ = _boilerplate(found)
+    few = above.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    gone = above.groupBy("host").agg(F.collect_set("h").alias("gone")).withColumnRenamed("host", "key")
+    x = base.join(F.broadcast(gone) if few else gone, _key() == F.col("key"), "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<bigint>")))
+    x = x.withColumn("boilerplate_words", F.aggregate(F.filter("lines", lambda v: F.array_contains("gone", v["h"])), F.lit(0).cast("long"), lambda a, v: a + v["n"]))
+    # a line without words is never counted, so it stays
+    stays = lambda v: (F.size(words(v)) == 0) | ~F.array_contains("gone", _line_hash(v))
+    text = F.when(F.col("boilerplate_words") > 0, F.array_join(F.filter(F.split("t", "\n", -1), stays), "\n")).otherwise(F.col("t"))
+    failed, kept = _verdict()
+    return x.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed, "boilerplate_words", kept, text.alias("clean_text"))
 
 
 #: DuckDB: the rows of op5; lines are compared as they are.
@@ -90,3 +134,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
   NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words)
   AND NOT (boilerplate_words > 0 AND (n_words - boilerplate_words < {LEFT_WORDS} OR n_words - boilerplate_words < {LEFT_SHARE}::DOUBLE * n_words)) AS kept FROM a
 """
+
+#: DuckDB: the rows of op5_line_removal, the same with the digest of the text that is left.
+CLEAN_ORACLE = ORACLE.replace("a AS (SELECT doc_id,", """e AS (SELECT r, unnest(string_split(t, chr(10))) AS line, unnest(range(0, len(string_split(t, chr(10))))) AS pos, host FROM d),
+o AS (SELECT r, pos, line, host, lower(array_to_string(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'), ' ')) AS h FROM e),
+c AS (SELECT r, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.h IS NULL), '') AS clean FROM o LEFT JOIN f ON o.host = f.host AND o.h = f.h GROUP BY r),
+a AS (SELECT r, doc_id,""").replace("AS kept FROM a", "AS kept, sha256(clean) AS clean_sha256 FROM a JOIN c USING (r)")

@@ -46,6 +46,11 @@ def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op5_line_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = line_quality.cleaned(table(spark, sf_dir, "documents"))
+    return x.withColumn("clean_sha256", F.sha2("clean_text", 256)).drop("clean_text")
+
+
 def op6_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     aside = language_id.held_out(F.col("doc_id"))
@@ -70,6 +75,6 @@ def op10_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mtree_topk, op2_token_counts, op3_pattern_packing, op4_boosted_pii, op5_line_frequency, op6_centroid_language, op7_jaccard_join, op8_systematic_mix, op9_dom_model_text, op10_warc_index_merge)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mtree_topk, op2_token_counts, op3_pattern_packing, op4_boosted_pii, op5_line_frequency, op5_line_removal, op6_centroid_language, op7_jaccard_join, op8_systematic_mix, op9_dom_model_text, op10_warc_index_merge)}
 
-ORACLES: dict[str, str] = {"op1_mtree_topk": mtree.ORACLE, "op5_line_frequency": line_quality.ORACLE, "op8_systematic_mix": mixing.ORACLE.format(docs="documents"), "op10_warc_index_merge": warc.ORACLE}
+ORACLES: dict[str, str] = {"op1_mtree_topk": mtree.ORACLE, "op5_line_frequency": line_quality.ORACLE, "op5_line_removal": line_quality.CLEAN_ORACLE, "op8_systematic_mix": mixing.ORACLE.format(docs="documents"), "op10_warc_index_merge": warc.ORACLE}

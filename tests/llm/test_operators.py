@@ -209,6 +209,17 @@ def test_quality_equals_the_plain_version(spark):
     assert line_quality.quality(empty(spark)).count() == 0
 
 
+def test_lines_above_limits_leave_the_text(spark):
+    rows = [(i, f"Head {i} {'w%d ' % i * 60}\n\nAll  RIGHTS reserved\n \nTail {i}\n", "en", "s" if i < 30 else None, 0) for i in range(60)] + [(60, "all rights reserved", "en", "s", 0), (61, "All rights reserved\nx", "en", "other", 0)]
+    df = docs(spark, rows)
+    out = line_quality.cleaned(df)
+    got = {r["doc_id"]: r["clean_text"] for r in out.collect()}
+    assert all(got[i] == t.replace("All  RIGHTS reserved\n", "") for i, t, *_ in rows[:60]) and got[60] == "" and got[61] == rows[61][1] and got[900] == ""
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, out.drop("clean_text").collect())) == sorted(map(key, line_quality.quality(df).collect()))
+    assert line_quality.cleaned(empty(spark)).count() == 0
+
+
 # ---- 6
 
 
