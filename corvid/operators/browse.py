@@ -1,4 +1,4 @@
-"""Look-ups, questionnaire paths, API shapes and the deterministic brief."""
+"""Look-ups, questionnaire paths, HTTP status guards and the deterministic brief."""
 
 from __future__ import annotations
 

@@ -12,6 +12,8 @@ from corvid.functions.text import ARABIC, CJK, carries_commentary, dedupe_form,
 
 # The smallest matn, and the share of the present corpus that a run must reach.
 LEAST_MATN, SHRINK_FLOOR = 60, 0.5
+# From so many rows on, the share of rows that must carry a full matn; a routing corpus has as many entries.
+LEAST_RUN, FULL_SHARE = 100, 0.9
 
 
 def has_arabic(c: Column | str) -> Column:
@@ -142,12 +144,83 @@ def topic_counts(rows: DataFrame, topics: DataFrame, column: str = "topics") ->
     return topics.select("id").join(n, "id", "left").fillna(0, ["n"])
 
 
-def assess(rows: Column, weak: Column, existing: Column, minimum: int, shrink_ok: bool = False) -> Column:
-    """Why a run mustn't be published: too few rows, topics that are too thin, or a shrink of a corpus that was large enough; null if it may."""
+def assess(rows: Column, weak: Column, existing: Column, minimum: int, shrink_ok: bool = False, full: Column | None = None) -> Column:
+    """Why a run mustn't be published: too few rows, topics that are too thin, too few rows with a full matn (`full` counts them; from
+    100 rows on), or a shrink of a corpus that was large enough; null if it may."""
     out = F.when(rows < minimum, "too-few-rows").when(weak > 0, "weak-topics")
+    if full is not None:
+        out = out.when((rows >= LEAST_RUN) & (F.coalesce(full, F.lit(0)) / F.nullif(rows, F.lit(0)) < FULL_SHARE), "few-full-texts")
     return out if shrink_ok else out.when((existing >= minimum) & (rows < existing * SHRINK_FLOOR), "shrunk")
 
 
+def full_texts(full: Column | str = "hadithFullText") -> Column:
+    """Aggregate: how many rows carry a full matn."""
+    c = F.col(full) if isinstance(full, str) else full
+    return F.count_if(F.coalesce(c, F.lit("")) != "")
+
+
+def distinct_texts(rows: DataFrame, order: str, source: str = "sourceId", text: str = "text") -> DataFrame:
+    """The first row, by a unique order, of each source and text with white space collapsed; empty texts go."""
+    collapsed = F.btrim(F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\0"), F.lit(" ")), "(?U)[\\s\\x1c-\\x1f]+", " "))
+    x = rows.select(order, source, collapsed.alias("_t")).where("_t <> ''")
+    return rows.join(x.groupBy(source, F.sha2("_t", 256)).agg(F.min(order).alias(order)).select(order), order, "left_semi")
+
+
+def short_sources(rows: DataFrame, minimums: DataFrame, source: str = "sourceId") -> DataFrame:
+    """(source, n, minimum) of the sources of minimums that have fewer rows than their minimum, none included."""
+    n = rows.groupBy(source).agg(F.count("*").alias("n"))
+    return minimums.select(source, "minimum").join(n, source, "left").fillna(0, ["n"]).where("n < minimum").select(source, "n", "minimum")
+
+
+def _broken(x: DataFrame, keep: list[str], rules: dict[str, Column]) -> DataFrame:
+    return x.select(*keep, F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in rules.items())))).alias("rule"))
+
+
+def manifest_violations(manifest: DataFrame, source_id: str, official: str, topics: int = 12) -> DataFrame:
+    """(rule) that a manifest breaks: sourceId, baseUrl, targets (url, topicIds), requiredTopicIds, allowedOrigins and four limits. Limits and origins that are absent pass."""
+    none = F.array().cast("array<string>")
+    known = F.array_distinct(F.coalesce("requiredTopicIds", none))
+    any_target = lambda f: F.coalesce(F.exists("targets", f), F.lit(False))
+    ids = lambda t: F.coalesce(t["topicIds"], none)
+    least = {"minimumChunks": 100, "minimumChunksPerTopic": 3, "maxSubjectResults": 28, "fetchAttempts": 1}
+    rules = {
+        "wrong source": ~F.col("sourceId").eqNullSafe(source_id),
+        "base url": ~F.col("baseUrl").eqNullSafe(official),
+        "too few targets": F.coalesce(F.size("targets"), F.lit(-1)) < 8,
+        "topics": F.size(known) != topics,
+        "target not official": any_target(lambda t: ~F.startswith(F.coalesce(t["url"], F.lit("")), F.lit(official))),
+        "target without topics": any_target(lambda t: F.size(ids(t)) == 0),
+        "target with unknown topic": any_target(lambda t: F.exists(ids(t), lambda i: ~F.coalesce(F.array_contains(known, i), F.lit(False)))),
+        "allowed origins": F.col("allowedOrigins").isNotNull() & ~F.col("allowedOrigins").eqNullSafe(F.array(F.lit(official))),
+    } | {c: F.col(c) < n for c, n in least.items()}
+    return _broken(manifest, [], rules)
+
+
+def provenance_violations(chunks: DataFrame, official: str) -> DataFrame:
+    """(ord, id, rule) of converted documents' rows: a missing field, or else the role and the provenance; and inputs (sourceFile) from elsewhere on the web."""
+    s = lambda c: F.coalesce(F.col(c), F.lit(""))
+    required = ("id", "sourceId", "text", "excerptType", "role", "sourceUrl", "docling")
+    whole = F.forall(F.array(*(F.col(c).isNotNull() for c in required)), lambda v: v)
+    rules = {f"missing {c}": F.col(c).isNull() for c in required} | {
+        "role": whole & (s("role") != "evidence"),
+        "document provenance": whole & (s("docling.documentHash") == "") & (s("docling.sourceFile") == ""),
+        "heading provenance": whole & (F.size(F.coalesce("docling.headings", F.array().cast("array<string>"))) == 0) & (s("chapter") == ""),
+        "input not official": F.rlike(s("sourceFile"), F.lit("^https?://")) & ~F.startswith(s("sourceFile"), F.lit(official)),
+    }
+    return _broken(chunks, ["ord", "id"], rules)
+
+
+def routing_violations(chunks: DataFrame, topics: DataFrame, official: str) -> DataFrame:
+    """(rule, detail) of a routing corpus: fewer than 100 entries, no entry of role index, required topics (topics.id) without rows, urls from elsewhere."""
+    total = chunks.agg(F.count("*").alias("n"), F.count_if(F.col("role") == "index").alias("i"))
+    few = total.where(F.col("n") < LEAST_RUN).select(F.lit("too few entries").alias("rule"), F.col("n").cast("string").alias("detail"))
+    unmarked = total.where("i = 0").select(F.lit("no index role").alias("rule"), F.lit(None).cast("string").alias("detail"))
+    missing = topic_counts(chunks, topics).where("n = 0").select(F.lit("missing topic").alias("rule"), F.col("id").alias("detail"))
+    url = F.coalesce("sourceUrl", F.lit(""))
+    other = chunks.where((url != "") & ~F.startswith(url, F.lit(official))).select(F.lit("url not official").alias("rule"), url.alias("detail"))
+    return few.unionByName(unmarked).unionByName(missing).unionByName(other)
+
+
 def quota(pages: DataFrame, order: str, attempts: str, limit: int) -> DataFrame:
     """granted: how many attempts each row gets of a global quota, in order; the row that crosses it is cut.
 

@@ -156,3 +156,38 @@ def test_dense_ids_cover_the_whole_table(spark):
     assert got == {0: "doc-000001", 65535: "doc-065536", 65536: "doc-065537", 999998: "doc-999999", 999999: "doc-1000000", None: "doc-1000051"}
     split = browse.display_split(spark.range(30).selectExpr("nullif(id, 29) AS doc_id"), "doc_id").collect()
     assert len(split) == 30 and {r["doc_id"] for r in split if not r["compact"]} == set(range(24))
+
+
+def rules_of(df):
+    return sorted(r["rule"] for r in df.collect())
+
+
+def test_full_text_gate_and_distinct_texts(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(100, 50, "few-full-texts"), (100, 89, "few-full-texts"), (100, 90, None), (99, 0, None), (200, None, "few-full-texts")]
+    df = spark.createDataFrame(rows, "n int, full int, want string")
+    assert df.where(~ingest.assess(F.col("n"), F.lit(0), F.lit(0), 10, full=F.col("full")).eqNullSafe(F.col("want"))).count() == 0
+    x = spark.createDataFrame([(0, "a", "one  two"), (1, "a", " one\n\u00a0two "), (2, "b", "one two"), (3, "b", " "), (4, "b", None)], "ord long, sourceId string, text string")
+    assert x.agg(ingest.full_texts("text")).first()[0] == 4
+    kept = ingest.distinct_texts(x, "ord")
+    assert sorted(r["ord"] for r in kept.collect()) == [0, 2]
+    least = spark.createDataFrame([("a", 1), ("b", 2), ("c", 1)], "sourceId string, minimum int")
+    assert sorted(map(tuple, ingest.short_sources(kept, least).collect())) == [("b", 1, 2), ("c", 0, 1)]
+
+
+def test_manifest_provenance_and_routing_rules(spark):
+    site, ids = "https://site.example/", [f"t{i}" for i in range(12)]
+    schema = "sourceId string, baseUrl string, targets array<struct<url string, topicIds array<string>>>, requiredTopicIds array<string>, allowedOrigins array<string>, minimumChunks int, minimumChunksPerTopic int, maxSubjectResults int, fetchAttempts int"
+    good = ("s", site, [(site + "x", ["t1"])] * 8, ids, None, 100, 3, 28, None)
+    bad = ("z", None, [("http://other/", ["t1"]), (site, []), (site, ["no"])], ids[:5], [site, site], 99, 2, 27, 0)
+    check = lambda row: rules_of(ingest.manifest_violations(spark.createDataFrame([row], schema), "s", site))
+    assert check(good) == [] and len(check(bad)) == 12 and check((*good[:2], None, *good[3:])) == ["too few targets"]
+    schema = "ord long, id string, sourceId string, text string, excerptType string, role string, sourceUrl string, chapter string, sourceFile string, docling struct<documentHash string, sourceFile string, headings array<string>>"
+    rows = [(0, "a", "s", "t", "literal", "evidence", site, "c", "f.pdf", ("h", None, None)), (1, "b", "s", "t", "literal", "index", site, "", "http://other/x", (None, None, [])), (2, "c", None, "t", "literal", "index", site, "", None, ("h", None, None))]
+    got = {(r["id"], r["rule"]) for r in ingest.provenance_violations(spark.createDataFrame(rows, schema), site).collect()}
+    assert got == {("b", "role"), ("b", "document provenance"), ("b", "heading provenance"), ("b", "input not official"), ("c", "missing sourceId")}
+    topics = spark.createDataFrame([("t1",), ("t2",)], "id string")
+    chunks = lambda n, role, url: spark.createDataFrame([(["t1"], role, url)] * n, "topics array<string>, role string, sourceUrl string")
+    assert rules_of(ingest.routing_violations(chunks(2, "evidence", "http://other/"), topics, site)) == ["missing topic", "no index role", "too few entries", "url not official", "url not official"]
+    assert rules_of(ingest.routing_violations(chunks(100, "index", site), topics.where("id = 't1'"), site)) == []
