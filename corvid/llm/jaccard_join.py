@@ -2,12 +2,13 @@
 
 1. One pass over the texts gives each set's 128-bit key and the frequent shingles (which only set the order of tokens).
 2. A second pass posts each set's prefix: the rarest tokens, of which two similar sets must share one.
-3. The first set of an index list is its leader; each list member is compared with the leader only.
-4. Lists whose members that made one component are skipped as a whole. Members of the others meet a few list neighbours
+3. Short index lists are decided whole, pair by pair. In a long one the first set is the leader, and each member is compared with it.
+4. Long lists whose members make one component are skipped as a whole. Members of the others meet a few list neighbours
    each, and their components merge.
 5. What is left is compared exactly: members of different components meet only inside blocks of compatible set size, and
-   where positions allow enough common tokens. The counts shared with the leader bound the overlap from both sides, so
-   that answers follow from those of a similar set without touching the sets, and so do parity maps of the sets.
+   where positions allow enough common tokens. A member's answers are derived from those computed for its leader: the counts
+   that both share with it bound their overlap from both sides, which settles pairs without touching the sets.
+Sets are never stored for all documents: those that a step compares are made again from the rows that hold them.
 """
 
 from __future__ import annotations
@@ -18,14 +19,18 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import claim, materialise, release, text_or_empty
+from .common import claim, discard, materialise, release, text_or_empty
 from .components import connected_components
 
 #: A shingle is reported by a task if it is in so many of the sets it looks at together; the most frequent ones order last.
 LOCAL_MIN, FREQUENT = 4, 100_000
+#: Lists of at most so many sets are decided whole at once; up to the second bound, whole but for pairs inside a component.
+SHORT_LIST, MEDIUM_LIST = 8, 64
+#: Sets that a list of a frequent shingle has at most, about; a longer one is dealt into lists with leaders of their own, which form one more list.
+HOT_LIST = 50_000
 #: Tokens of a prefix that is carried along in an open list; longer ones are looked at pair by pair.
 SHORT_PREFIX = 128
 #: Bits of a set's parity map.
@@ -34,8 +39,10 @@ PARITY = 512
 ROUNDS, PARTNERS = 4, 4
 #: Shingles that a task looks at together.
 SCANNED = 1_000_000
-#: 64-bit words of the filter that says which sets may be needed for comparison: a constant size.
-FILTER_WORDS = 1 << 18
+#: Bits a needed row has in the filter that says which rows are read again, and 64-bit words of the filter at most (16 MB).
+FILTER_BITS, FILTER_WORDS = 16, 1 << 21
+#: Rows of near copies (8 bytes each), and pairs, that are broadcast at most; beyond, they are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_PAIRS = 2_000_000, 200_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,16 +58,30 @@ def shingle_set(text: str, width: int) -> np.ndarray:
     return np.unique((z ^ (z >> np.uint64(32))).view(np.int64))
 
 
-def set_key(tokens: np.ndarray) -> tuple[int, int]:
+def set_key(tokens: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """A set's 128-bit key as two numbers; the first has fewer bits in tests of clashes."""
     d = xxhash.xxh3_128_digest(tokens.tobytes())
-    return tuple(int.from_bytes(d[k : k + 8], "little", signed=True) for k in (0, 8))
+    return tuple(int.from_bytes(d[k : k + 8], "little", signed=True) >> s for k, s in ((0, 64 - bits), (8, 0)))
 
 
-def _sets(batches, width):
+def _numbering(clashes: frozenset[int], bits: int):
+    """tokens -> node: the key's first half, or its second half where the first is that of different sets."""
+
+    def node(tokens: np.ndarray) -> int:
+        first, second = set_key(tokens, bits)
+        return second if first in clashes else first
+
+    return node
+
+
+def _sets(batches, width, wanted=None):
+    """(columns, sets) of at most 256 rows at a time, the text being the last column; only the rows wanted."""
     claim("jaccard")
     for b in batches:
         for at in range(0, b.num_rows, 256):
             part = b.slice(at, 256)
+            if wanted is not None:
+                part = part.take(pa.array(np.flatnonzero(wanted(part.column(0).to_numpy()))))
             yield part, [shingle_set(t, width) for t in part.column(part.num_columns - 1).to_pylist()]
 
 
@@ -69,7 +90,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)]), pa.int64()))
 
 
-def _scan(rows: DataFrame, width: int) -> DataFrame:
+def _scan(rows: DataFrame, width: int, bits: int) -> DataFrame:
     """doc_id, node, check, n of each document (kind 0), and token, count of locally frequent shingles (kind 1)."""
     kind = rows.schema[0].dataType.simpleString()
 
@@ -84,7 +105,7 @@ def _scan(rows: DataFrame, width: int) -> DataFrame:
 
         for part, sets in _sets(batches, width):
             id_type = part.column(0).type
-            keys = np.array([set_key(s) for s in sets], np.int64).reshape(-1, 2)
+            keys = np.array([set_key(s, bits) for s in sets], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), part.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([len(s) for s in sets], pa.int64())], names=names)
             held += sets
             size += sum(map(len, sets))
@@ -97,31 +118,34 @@ def _scan(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, f"kind int, doc_id {kind}, node long, check long, n long")
 
 
-def _postings(rows: DataFrame, width: int, percent: int, frequent) -> DataFrame:
-    """token, node, n, pos for each set's prefix, once per task and set."""
+def _postings(rows: DataFrame, width: int, percent: int, frequent, number) -> DataFrame:
+    """token, part, node, n, pos for each set's prefix, once per task and set; part is -1 but for lists that are dealt out."""
 
     def run(batches):
         known, counts = frequent.value
         seen: set[int] = set()
         for _, sets in _sets(batches, width):
-            out = [[], [], [], []]
+            out = [[], [], [], [], []]
             for s in sets:
                 n = len(s)
-                if not n or (node := set_key(s)[0]) in seen:
+                if not n or (node := number(s)) in seen:
                     continue
                 seen.add(node)
                 length = n + percent * -n // 100 + 1  # n - ceil(percent n / 100) + 1
+                part = np.full(length, -1, np.int32)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    s = s[np.lexsort((s, np.where(known[at] == s, counts[at], 0)))]
-                out[0].append(s[:length])
-                out[1].append(np.full(length, node))
-                out[2].append(np.full(length, n, np.int32))
-                out[3].append(np.arange(length, dtype=np.int32))
+                    count = np.where(known[at] == s, counts[at], 0)
+                    order = np.lexsort((s, count))[:length]
+                    s, count = s[order], count[order]
+                    if count[-1] > HOT_LIST:
+                        part = np.where(count > HOT_LIST, node % (count // HOT_LIST + 1), -1).astype(np.int32)
+                for column, v in zip(out, (s[:length], part, np.full(length, node), np.full(length, n, np.int32), np.arange(length, dtype=np.int32)), strict=True):
+                    column.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["token", "node", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["token", "part", "node", "n", "pos"])
 
-    return rows.mapInArrow(run, "token long, node long, n int, pos int")
+    return rows.mapInArrow(run, "token long, part int, node long, n int, pos int")
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
@@ -129,38 +153,47 @@ def parity(tokens: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(tokens & (PARITY - 1), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
 
 
-def _needed_sets(rows: DataFrame, width: int, needed: DataFrame, whole: bool = True) -> DataFrame:
-    """(node, tokens) of the needed sets, or (node, bits) with their parity maps; made again from the texts.
+def _needed_sets(rows: DataFrame, width: int, holders: DataFrame, needed: DataFrame, number, whole: bool = True) -> DataFrame:
+    """(node, tokens) of the needed sets, or (node, bits) with their parity maps, made again from one row of each.
 
-    A filter of constant size keeps most others from leaving their task.
+    holders: (node, row), a row's hash for each set. A filter of needed hashes, whose size follows their number up to a
+    constant bound, goes to the tasks, which shingle only rows that it lets through.
     """
-    bit = F.pmod(F.col("node"), F.lit(FILTER_WORDS * 64))
-    words = needed.groupBy((bit / 64).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits")).collect()  # at most FILTER_WORDS rows
-    mask = np.zeros(FILTER_WORDS, np.uint64)
-    mask.view(np.int64)[[r[0] for r in words]] = [r[1] for r in words]
-    shared = rows.sparkSession.sparkContext.broadcast(mask)
+    needed = materialise(needed.select("node").join(holders, "node"), "needed-rows")
+    words = 1 << max(6, min(FILTER_WORDS.bit_length() - 1, (needed.count() * FILTER_BITS // 64).bit_length()))
+    bit = F.pmod(F.col("row"), F.lit(words * 64))
+    held = needed.groupBy((bit / 64).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits")).toArrow()  # at most FILTER_WORDS rows
+    mask = np.zeros(words, np.int64)
+    mask[held.column("w").to_numpy()] = held.column("bits").to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(mask.view(np.uint64))
+    name = "tokens" if whole else "bits"
+
+    def wanted(row: np.ndarray) -> np.ndarray:
+        at = row % np.int64(words * 64)
+        return (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
     def run(batches):
         seen: set[int] = set()
-        for _, sets in _sets(batches, width):
+        for _, sets in _sets(batches, width, wanted):
             nodes, kept = [], []
             for s in sets:
-                if len(s) and (node := set_key(s)[0]) not in seen:
-                    w, b = divmod(node % (FILTER_WORDS * 64), 64)
-                    if int(shared.value[w]) >> b & 1:
-                        seen.add(node)
-                        nodes.append(node)
-                        kept.append(s)
+                if len(s) and (node := number(s)) not in seen:
+                    seen.add(node)
+                    nodes.append(node)
+                    kept.append(s)
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(kept if whole else [parity(s) for s in kept])], names=["node", name])
 
-    name = "tokens" if whole else "bits"
-    found = rows.mapInArrow(run, f"node long, {name} array<long>").join(needed, "node", "left_semi")
+    keyed = rows.select(F.xxhash64(rows.columns[0]).alias("row"), rows.columns[1])
+    found = keyed.mapInArrow(run, f"node long, {name} array<long>").join(needed.select("node"), "node", "left_semi")
     return found.groupBy("node").agg(F.first(name).alias(name))
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (x, y, ...) with inter, the number of common tokens."""
+    """pairs (x, y, ...) with inter, the number of common tokens. Few pairs go to the sets, so that only theirs are shuffled."""
+    if pairs.count() <= BROADCAST_PAIRS:
+        pairs = F.broadcast(pairs)
+        sets = sets.join(F.broadcast(_ends(pairs)), "node", "left_semi")
     x, y = sets.select(F.col("node").alias("x"), F.col("tokens").alias("tx")), sets.select(F.col("node").alias("y"), F.col("tokens").alias("ty"))
     return pairs.join(x, "x").join(y, "y").withColumn("inter", F.size(F.array_intersect("tx", "ty"))).drop("tx", "ty")
 
@@ -176,33 +209,62 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def derived(n: Column, m: Column, leader_n: Column, with_leader: Column, other_with_leader: Column) -> tuple[Column, Column]:
+    """Least and most common tokens of sets of n and m tokens, from the tokens that each shares with one leader.
+
+    Of the leader's leader_n tokens both hold at least with_leader + other_with_leader - leader_n; outside it, a set has
+    only its size less what it shares.
+    """
+    most = F.least(other_with_leader + n - with_leader, with_leader + m - other_with_leader)
+    return F.coalesce(with_leader + other_with_leader - leader_n, F.lit(-1)), F.least(n, m, F.coalesce(most, n))
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", derive: bool = True, node_bits: int = 64) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id (the smallest id reachable by links, itself included).
 
     A set: the distinct shingles of width words of the text with A-Z in lower case; with fewer words the whole
-    sequence. Two sets link if 100 * intersection >= percent * union. Equal sets are one node throughout.
+    sequence. Two sets link if 100 * intersection >= percent * union. Equal sets are one node throughout. Without derive
+    no answer is taken from a leader's; the result is the same.
 
     Nulls: a null text, like one without words, has an empty set, which links with nothing; its component is its own
     id. A row with a null id takes part and gets its group's smallest id. Empty table: empty result. Repeated rows are
-    equal sets. Other columns aren't read. Hashes are 64 bits a shingle; sets whose 64-bit node numbers clash without being equal
-    are found by the other half of their key and raise an error.
+    equal sets. Other columns aren't read. Shingles are 64-bit hashes, sets are told apart by 128 bits: different sets whose
+    first halves clash (node_bits, fewer in tests) are numbered by the second half.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    scan = materialise(_scan(rows, width), "sets")
+    scan = materialise(_scan(rows, width, node_bits), "sets")
     top = scan.where("kind = 1").groupBy("node").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "node").limit(FREQUENT).collect()  # a constant bound
     top = sorted((r[0], r[1]) for r in top)
     frequent = spark.sparkContext.broadcast((np.array([x[0] for x in top], np.int64), np.array([x[1] for x in top], np.int64)))
+    documents = scan.where("kind = 0")
+    halves = documents.where("n > 0").groupBy("node").agg(F.min("check").alias("c"), F.max("check").alias("d"), F.min(F.xxhash64("doc_id")).alias("row"))
+    # about n * n / 2^65 of n sets; each clash is a row on the driver
+    clashes = frozenset(r[0] for r in halves.where("c <> d").select("node").collect())
+    if clashes:
+        second = F.col("node").isin([*clashes])
+        documents = documents.withColumn("node", F.when(second, F.col("check")).otherwise(F.col("node")))
+    holders = materialise(documents.where("n > 0").groupBy("node").agg(F.min(F.xxhash64("doc_id")).alias("row"), F.min("doc_id").alias("least")), "set-holders")
+    number = _numbering(clashes, node_bits)
 
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
     need = lambda a, b: F.ceil(percent * (a + b) / (100 + percent) - 1e-9)
     ahead = lambda a, at, b, bt: F.least(a - at, b - bt)  # noqa: E731  tokens that may be common from here on, this one included
+    share = lambda a: F.ceil(percent * a / 100 - 1e-9)
+
+    def may_link(n, pos, m, at):
+        return fits(n, m) & (ahead(n, pos, m, at) >= need(n, m))
+
+    def fetch(needed: DataFrame, name: str, whole: bool = True) -> DataFrame:
+        return materialise(_needed_sets(rows, width, holders.select("node", "row"), needed, number, whole), name, "lz4")
 
-    # one shuffle: the postings aren't written, and lists of one set go at once
-    whole = Window.partitionBy("token")
-    shared = _postings(rows, width, percent, frequent).withColumns({"_l": F.min(F.struct("node", "n", "pos")).over(whole), "_last": F.max("node").over(whole)})
-    shared = shared.where(F.col("_l.node") != F.col("_last")).select("token", "node", "n", "pos", F.col("_l.node").alias("leader"), F.col("_l.n").alias("leader_n"), F.col("_l.pos").alias("leader_pos"))
-    shared = materialise(shared, "shared-postings")
+    # one shuffle: the postings aren't written; a set that several tasks posted counts once
+    whole = Window.partitionBy("token", "part")
+    by_node = whole.orderBy("node")
+    posted = _postings(rows, width, percent, frequent, number).withColumn("_c", F.count("*").over(whole)).where((F.col("_c") > 1) | (F.col("part") >= 0))
+    posted = posted.withColumns({"_l": F.first(F.struct("node", "n", "pos")).over(by_node), "_at": F.dense_rank().over(by_node), "_before": F.lag("node").over(by_node)})
+    posted = posted.withColumn("held", F.max("_at").over(whole)).where(((F.col("held") > 1) | (F.col("part") >= 0)) & ~F.coalesce(F.col("_before") == F.col("node"), F.lit(False)))
+    shared = materialise(posted.select("token", "part", "node", "n", "pos", F.col("_l.node").alias("leader"), F.col("_l.n").alias("leader_n"), F.col("_l.pos").alias("leader_pos"), "held"), "shared-postings")
     release(spark)
 
     prefixes = shared.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda v: v["token"]).alias("prefix"))
@@ -210,109 +272,152 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
 
     def common(a, b):
         """Tokens that the prefixes of two similar sets share at least: the rest of one of them can't hold more."""
-        return need(a, b) - F.greatest(F.ceil(percent * a / 100 - 1e-9), F.ceil(percent * b / 100 - 1e-9)) + 1
+        return need(a, b) - F.greatest(share(a), share(b)) + 1
 
-    def promising(pairs: DataFrame, m: str) -> DataFrame:
+    def promising(pairs: DataFrame) -> DataFrame:
         p = lambda end, to: prefixes.select(F.col("node").alias(end), F.col("prefix").alias(to))
         x = pairs.join(p("x", "px"), "x").join(p("y", "py"), "y")
-        return x.where(F.size(F.array_intersect("px", "py")) >= common(F.col("n"), F.col(m))).drop("px", "py")
-
-    n, m = F.col("n"), F.col("leader_n")
-    stars = shared.where((F.col("node") != F.col("leader")) & fits(n, m) & (ahead(n, F.col("pos"), m, F.col("leader_pos")) >= need(n, m)))
-    stars = stars.select(F.col("node").alias("x"), F.col("leader").alias("y"), "n", "leader_n").distinct()
-    stars = materialise(promising(stars, "leader_n"), "star-pairs")
-    sets = materialise(_needed_sets(rows, width, _ends(stars)), "needed-sets", "lz4")
-    stars = materialise(_overlaps(stars, sets), "stars")
-    release(spark)
+        return x.where(F.size(F.array_intersect("px", "py")) >= common(F.col("n"), F.col("m"))).drop("px", "py")
 
     def links(n, m, inter):
         return (100 + percent) * inter >= percent * (n + m)
 
-    first = stars.where(links(F.col("n"), F.col("leader_n"), F.col("inter"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    first = materialise(first, "first-links")
-    comp = materialise(connected_components(first), "first-components")
-    shared = shared.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int"))
+    # short lists: every pair; long ones: each member with its leader, and the leaders of a list's parts with the first of them
+    short = (F.col("held") <= SHORT_LIST) & (F.col("part") < 0)
+    pair = lambda a, b: F.struct(b["node"].alias("x"), a["node"].alias("y"), b["n"].alias("n"), a["n"].alias("m"))
+    lists = shared.where(short).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("node", "n", "pos"))).alias("l"))  # SHORT_LIST at most
+    pairs = lists.select(F.explode(F.flatten(F.transform("l", lambda a, i: F.transform(F.filter(F.slice("l", i + 2, SHORT_LIST), lambda b: may_link(b["n"], b["pos"], a["n"], a["pos"])), lambda b: pair(a, b))))).alias("p")).select("p.*")
+    long_ = shared.where(~short)
+    leaders = long_.where("part >= 0").select("token", "leader", "leader_n", "leader_pos").distinct()
+    first_of = leaders.groupBy("token").agg(F.min(F.struct("leader", "leader_n", "leader_pos")).alias("f"))
+    leaders = leaders.join(first_of, "token").select(F.col("leader").alias("node"), F.col("leader_n").alias("n"), F.col("leader_pos").alias("pos"), F.col("f.leader").alias("leader"), F.col("f.leader_n").alias("leader_n"), F.col("f.leader_pos").alias("leader_pos"))
+    stars = long_.select(*leaders.columns).unionByName(leaders).where(F.col("node") != F.col("leader"))
+    stars = stars.where(may_link(F.col("n"), F.col("pos"), F.col("leader_n"), F.col("leader_pos"))).select(F.col("node").alias("x"), F.col("leader").alias("y"), "n", F.col("leader_n").alias("m"))
+    pairs = materialise(promising(pairs.unionByName(stars).distinct()), "first-pairs")
+    sets = fetch(_ends(pairs), "needed-sets")
+    release(spark)
+    first = materialise(_overlaps(pairs, sets), "first-overlaps")
+    discard(pairs)
+    release(spark)
+    linked = materialise(first.where(links(F.col("n"), F.col("m"), F.col("inter"))).select(F.col("x").alias("a"), F.col("y").alias("b")), "first-links")
+    comp = materialise(connected_components(linked), "first-components")
+    discard(linked)
+    long_ = long_.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int"))
+    # a leader has met all of its list, unless the list is in parts
+    rest = long_.where("node <> leader or part >= 0")
+    known = prefixes.select("node", F.size("prefix").alias("kin"))
 
     def open_lists(comp: DataFrame) -> DataFrame:
         """The postings, with components, of lists that more than one component shares; the others are skipped whole."""
-        x = shared.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        x = rest.join(known.join(comp, "node", "left"), "node").withColumn("component", F.coalesce("component", "node"))
         mixed = x.groupBy("token").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("token")
         return x.join(mixed, "token")
 
-    member = materialise(open_lists(comp), "open-lists")
-    bits = materialise(_needed_sets(rows, width, member.select("node").distinct(), whole=False), "parity-maps")
-
-    def with_sets(pairs: DataFrame) -> DataFrame:
+    def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The sets fetched so far and those that the pairs need besides."""
         more = materialise(_ends(pairs).join(sets.select("node"), "node", "left_anti"), "more-needed")
-        return sets if more.isEmpty() else sets.unionByName(materialise(_needed_sets(rows, width, more), "needed-sets", "lz4"))
+        return sets if more.isEmpty() else sets.unionByName(fetch(more, "needed-sets"))
 
     def differ(a: str, b: str):
         """Bits in which two parity maps differ: a lower bound of the tokens that only one set has."""
         return reduce(lambda x, y: x + y, (F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(PARITY // 64)))
 
+    opened = materialise(open_lists(comp), "open-lists")
+    medium = (F.col("held") <= MEDIUM_LIST) & (F.col("part") < 0)
+    met = first.select(F.col("x").alias("node"), F.col("y").alias("leader"), "inter").distinct()
+
+    def with_inter(x: DataFrame) -> DataFrame:
+        """The tokens that a member shares with its list's leader, where that was computed."""
+        return x.join(met, ["node", "leader"], "left").withColumn("inter", F.when(F.col("node") == F.col("leader"), F.col("n")).otherwise(F.col("inter")))
+
+    def joined(members: DataFrame, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+        """Two sides of a join on token and block, in which sets meet those of about their size."""
+        a = members.select("token", "leader_n", "block", *(F.col(c).alias(f"{c}_a") for c in carry))
+        return a, members.select("token", F.explode(F.array(F.col("block") - 1, F.col("block"))).alias("block"), *(F.col(c).alias(f"{c}_b") for c in carry))
+
+    na, nb = F.col("n_a"), F.col("n_b")
+    of_leader = (F.col("leader_a") == F.col("leader_b")) & F.lit(derive)
+    least, most = derived(na, nb, F.col("leader_n"), F.when(of_leader, F.col("inter_a")), F.when(of_leader, F.col("inter_b")))
+    fine = ((na < nb) | ((na == nb) & (F.col("node_a") < F.col("node_b")))) & (F.col("component_a") != F.col("component_b"))
+    fine &= may_link(na, F.col("pos_a"), nb, F.col("pos_b")) & (F.least("kin_a", "kin_b") >= common(na, nb)) & (most >= need(na, nb))
+    carry = ("node", "n", "pos", "component", "leader", "inter", "kin")
+
+    def paired(a: DataFrame, b: DataFrame, fine: Column) -> DataFrame:
+        """x, y, n, m, c, d, and sure: whether the leader's answers make the pair a link."""
+        x = a.join(b, (a.token == b.token) & (a.block == b.block) & fine)
+        x = x.select(F.col("node_a").alias("x"), F.col("node_b").alias("y"), na.alias("n"), nb.alias("m"), F.col("component_a").alias("c"), F.col("component_b").alias("d"), (least >= need(na, nb)).alias("sure"))
+        return promising(x.groupBy("x", "y", "n", "m", "c", "d").agg(F.max("sure").alias("sure")))
+
+    def new_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Components (a, b) that sure pairs, or those whose sets overlap enough, connect."""
+        tested = _overlaps(pairs.where("not sure"), sets).where(links(F.col("n"), F.col("m"), F.col("inter")))
+        found = tested.select("c", "d").unionByName(pairs.where("sure").select("c", "d"))
+        return materialise(found.select(F.col("c").alias("a"), F.col("d").alias("b")).distinct(), "new-links")
+
+    met_in_medium = paired(*joined(with_inter(opened.where(medium)), carry), fine)
+    member = opened.where(~medium)
+    bits = fetch(member.select("node").distinct(), "parity-maps", whole=False)
+
     # neighbours of a list in a few random orders: a few partners a set, so that large groups of borderline copies grow together
-    def neighbours(turn: int) -> DataFrame:
-        w = Window.partitionBy("token").orderBy("block", F.xxhash64("node", F.lit(turn)))
-        before = {c: F.lag(c).over(w) for c in ("node", "n", "pos", "component", "bits")}
-        x = member.join(bits, "node").select("node", "n", "pos", "component", "bits", *(v.alias(f"{c}_b") for c, v in before.items()))
-        n, m = F.col("n"), F.col("n_b")
-        x = x.where((F.col("component") != F.col("component_b")) & fits(n, m) & (ahead(n, F.col("pos"), m, F.col("pos_b")) >= need(n, m)) & (differ("bits", "bits_b") <= n + m - 2 * need(n, m)))
-        x = x.groupBy("node", "n", "component").agg(F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("node_b", F.lit(turn)).alias("h"), F.col("node_b").alias("y"), F.col("n_b").alias("m"), F.col("component_b").alias("d")))), 1, PARTNERS).alias("p"))
-        return x.select(F.col("node").alias("x"), "n", F.col("component").alias("c"), F.explode("p").alias("p")).select("x", "n", "c", "p.y", "p.m", "p.d")
-
-    partners = materialise(promising(reduce(DataFrame.unionByName, map(neighbours, range(ROUNDS))).distinct(), "m"), "partners")
-    sets = with_sets(partners)
-    found = materialise(_overlaps(partners, sets).where(links(F.col("n"), F.col("m"), F.col("inter"))).select(F.col("c").alias("a"), F.col("d").alias("b")).distinct(), "partner-links")
+    turns = member.select("token", "node", "n", "pos", "component", "block", F.explode(F.array(*map(F.lit, range(ROUNDS)))).alias("turn")).join(bits, "node")
+    order = Window.partitionBy("token", "turn").orderBy("block", F.xxhash64("node", "turn"))
+    x = turns.select("*", *(F.lag(c).over(order).alias(f"{c}_b") for c in ("node", "n", "pos", "component", "bits")))
+    n, m = F.col("n"), F.col("n_b")
+    x = x.where((F.col("component") != F.col("component_b")) & may_link(n, F.col("pos"), m, F.col("pos_b")) & (differ("bits", "bits_b") <= n + m - 2 * need(n, m)))
+    few = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("node_b", "turn").alias("h"), F.col("node_b").alias("y"), F.col("n_b").alias("m"), F.col("component_b").alias("d")))), 1, PARTNERS)
+    x = x.groupBy("node", "n", "component", "turn").agg(few.alias("p"))
+    x = x.select(F.col("node").alias("x"), "n", F.col("component").alias("c"), F.explode("p").alias("p")).select("x", "n", "c", "p.y", "p.m", "p.d")
+    partners = promising(x.distinct()).withColumn("sure", F.lit(False))
+    pairs = materialise(met_in_medium.unionByName(partners), "next-pairs")
+    sets = with_sets(pairs.where("not sure"), sets)
+    release(spark)
+    found = new_links(pairs, sets)
+    discard(pairs)
     if not found.isEmpty():
-        comp = materialise(_relabelled(comp, connected_components(found)), "merged-components")
-        member = materialise(open_lists(comp), "open-lists")
+        grown = materialise(_relabelled(comp, connected_components(found)), "merged-components")
+        discard(comp)
+        discard(opened)
+        comp = grown
+        opened = materialise(open_lists(comp), "open-lists")
+    discard(found)
     release(spark)
 
-    # what is left: members of different components, exactly
-    member = member.join(stars.select(F.col("x").alias("node"), F.col("y").alias("leader"), "inter"), ["node", "leader"], "left")
-    short = F.when(F.size("prefix") <= SHORT_PREFIX, F.col("prefix"))
-    member = member.where("node <> leader").join(prefixes.select("node", short.alias("prefix")), "node").join(bits, "node")
-    member = materialise(member, "open-lists")
-    a = member.select("token", F.col("leader"), "leader_n", "block", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "component", "inter", "prefix", "bits")))
-    b = member.select("token", F.explode(F.array(F.col("block") - 1, F.col("block"))).alias("block"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "component", "inter", "prefix", "bits")))
-    na, nb, ia, ib = (F.col(c) for c in ("n_a", "n_b", "inter_a", "inter_b"))
-    enough = need(na, nb)
-    most = F.least(na, nb, F.coalesce(F.least(ib + na - ia, ia + nb - ib), na))  # from what both share with the leader
-    fine = ((na < nb) | ((na == nb) & (F.col("node_a") < F.col("node_b")))) & (F.col("component_a") != F.col("component_b")) & fits(na, nb)
-    fine &= (ahead(na, F.col("pos_a"), nb, F.col("pos_b")) >= enough) & (most >= enough)
-    fine &= differ("bits_a", "bits_b") <= na + nb - 2 * enough
+    # what is left: members of different components of long lists, exactly
+    carried = F.when(F.size("prefix") <= SHORT_PREFIX, F.col("prefix"))
+    left = with_inter(opened.where(~medium)).join(prefixes.select("node", carried.alias("prefix")), "node").join(bits, "node")
+    left = materialise(left, "open-members")
     # short prefixes travel with the postings: a pair is made once, at its first common token, and only if enough tokens follow
     both = F.array_intersect("prefix_a", "prefix_b")
-    fine &= F.coalesce((F.size(both) >= common(na, nb)) & (F.get(both, F.lit(0)) == a.token), F.lit(True))
-    pairs = a.join(b, (a.token == b.token) & (a.block == b.block) & fine)
-    least_ = F.coalesce(ia + ib - F.col("leader_n"), F.lit(-1))
-    pairs = pairs.select(F.col("node_a").alias("x"), F.col("node_b").alias("y"), na.alias("n"), nb.alias("m"), F.col("component_a").alias("c"), F.col("component_b").alias("d"), (least_ >= enough).alias("sure")).groupBy("x", "y", "n", "m", "c", "d").agg(F.max("sure").alias("sure"))
-    pairs = materialise(promising(pairs, "m"), "pairs")
-    sets = with_sets(pairs.where("not sure"))
-    tested = _overlaps(pairs.where("not sure"), sets).where(links(F.col("n"), F.col("m"), F.col("inter")))
-    found = tested.select("x", "y", "c", "d").unionByName(pairs.where("sure").select("x", "y", "c", "d")).select(F.col("c").alias("a"), F.col("d").alias("b")).distinct()
-    found = materialise(found, "last-links")
+    fine &= (differ("bits_a", "bits_b") <= na + nb - 2 * need(na, nb)) & F.coalesce((F.size(both) >= common(na, nb)) & (F.get(both, F.lit(0)) == F.col("token_a")), F.lit(True))
+    a, b = joined(left, (*carry, "prefix", "bits"))
+    pairs = materialise(paired(a.withColumn("token_a", F.col("token")), b, fine), "last-pairs")
+    discard(left)
+    sets = with_sets(pairs.where("not sure"), sets)
+    found = new_links(pairs, sets)
     if not found.isEmpty():
-        comp = materialise(_relabelled(comp, connected_components(found)), "components")
-    release(spark)
+        grown = materialise(_relabelled(comp, connected_components(found)), "components")
+        discard(comp)
+        comp = grown
 
-    documents = scan.where("kind = 0")
-    nodes = documents.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("check").alias("c"), F.max("check").alias("d"))
-    nodes = materialise(nodes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")), "nodes")
-    if not nodes.where("c <> d").isEmpty():
-        raise RuntimeError("two different sets have the same 64-bit number; run again with another hash seed")
+    nodes = materialise(holders.join(comp, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component")), "nodes")
+    for used in (found, pairs, opened, bits, first, prefixes, shared, sets, comp, holders):
+        discard(used)
+    release(spark)
     labels = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     labelled = nodes.join(labels, "component").select("node", "component_id")
     out = documents.where("n > 0").join(labelled, "node").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(documents.where("n = 0").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
-    """docs without those that aren't their component's smallest id; rows without an id or words stay.
+def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of docs: that of the smallest id, null ids last, and of several such rows the first.
 
-    Of repeated rows of one id all stay: they are the same document.
+    A row without words is a component of its own and stays. Rows are numbered in a copy of docs in the shared folder, so
+    that those of a repeated or null id are told apart.
     """
-    found = jaccard_components(docs, width, percent, id_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    numbered = materialise(docs.withColumn("_near_row", F.monotonically_increasing_id()), "numbered-documents")
+    key = F.struct(F.col(id_col).isNull().alias("without"), F.col(id_col).alias("id"), F.col("_near_row").alias("row"))
+    found = jaccard_components(numbered.select(key.alias("_near_key"), F.col(text_col).alias("_near_text")), width, percent, "_near_key", "_near_text")
+    gone = materialise(found.where("_near_key.row <> component_id.row").select("_near_key.row"), "near-copies")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return numbered.join(gone, numbered["_near_row"] == gone["row"], "left_anti").select(*docs.columns)

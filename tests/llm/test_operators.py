@@ -269,28 +269,67 @@ def plain_components(rows, width, percent):
     return sorted((str(i), len(s), str(least[root(k)] if s else i)) for k, (i, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize(("width", "percent"), [(4, 85), (4, 50)])
-def test_jaccard_equals_all_pairs(spark, width, percent):
-    rng = random.Random(3)
+def near_rows(seed, groups=40):
+    rng = random.Random(seed)
     words = [f"w{i}" for i in range(300)]
     common, rows = [rng.choice(words) for _ in range(40)], []
-    for _ in range(40):
+    for _ in range(groups):
         base = [rng.choice(words) for _ in range(rng.randint(3, 100))]
         for _ in range(rng.randint(1, 8)):
             w = list(base)
             for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
                 w[rng.randrange(len(w))] = rng.choice(words)
             rows.append((len(rows), " ".join(common + w if rng.random() < 0.3 else w), "en", "s", 0))
-    df = docs(spark, rows).repartition(5)
-    got = sorted(tuple(map(lambda v: v if isinstance(v, int) and not isinstance(v, bool) else str(v), (str(r["doc_id"]), r["n_shingles"], str(r["component_id"])))) for r in jaccard_join.jaccard_components(df, width, percent).collect())
-    assert got == plain_components([(r["doc_id"], r["text"]) for r in df.collect()], width, percent)
+    return rows
+
+
+def components_of(df, width, percent, **how):
+    found = jaccard_join.jaccard_components(df, width, percent, **how).collect()
+    return sorted(tuple(map(lambda v: v if isinstance(v, int) and not isinstance(v, bool) else str(v), (str(r["doc_id"]), r["n_shingles"], str(r["component_id"])))) for r in found)
+
+
+@pytest.mark.parametrize(("width", "percent"), [(4, 85), (4, 50)])
+def test_jaccard_equals_all_pairs(spark, width, percent):
+    df = docs(spark, near_rows(3)).repartition(5)
+    assert components_of(clashing(df), width, percent) == plain_components([(r["doc_id"], r["text"]) for r in df.collect()], width, percent)
+
+
+@pytest.mark.parametrize(("derive", "medium"), [(True, 2), (False, 4)])
+def test_jaccard_with_long_and_dealt_out_lists(spark, monkeypatch, derive, medium):
+    """All lists of more than two sets are long, and frequent ones are dealt out, each part with a leader."""
+    for name, value in (("SHORT_LIST", 2), ("MEDIUM_LIST", medium), ("HOT_LIST", 3), ("LOCAL_MIN", 1), ("PARTNERS", 1), ("ROUNDS", 1)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    df = docs(spark, near_rows(9, 12)).repartition(3)
+    assert components_of(df, 3, 60, derive=derive) == plain_components([(r["doc_id"], r["text"]) for r in df.collect()], 3, 60)
+
+
+def test_jaccard_with_clashing_numbers(spark):
+    """Of the first half of a key only ten bits are left, so that different sets share it."""
+    df = docs(spark, near_rows(5)).repartition(3)
+    assert components_of(df, 4, 80, node_bits=10) == plain_components([(r["doc_id"], r["text"]) for r in df.collect()], 4, 80)
+
+
+def test_answers_derived_from_a_leader(spark):
+    rng = random.Random(1)
+    rows = []
+    for _ in range(2000):
+        leader = set(range(rng.randint(1, 60)))
+        x, y = ({v for v in leader if rng.random() < 0.9} | {100 + rng.randint(0, 9) for _ in range(rng.randint(0, 5))} for _ in range(2))
+        rows.append((len(x), len(y), len(leader), len(x & leader), len(y & leader), len(x & y)))
+    least, most = jaccard_join.derived(*(F.col(c) for c in ("n", "m", "l", "a", "b")))
+    out = spark.createDataFrame(rows, "n int, m int, l int, a int, b int, both int").select("*", least.alias("least"), most.alias("most")).collect()
+    assert all(r["least"] <= r["both"] <= r["most"] for r in out)
+    enough = [-(-80 * (r["n"] + r["m"]) // 180) for r in out]
+    assert sum(r["least"] >= e for r, e in zip(out, enough, strict=True)) > 200  # a link without a look at the sets
+    assert sum(r["most"] < e for r, e in zip(out, enough, strict=True)) > 20  # no link without one
 
 
 def test_jaccard_drops_all_but_the_first(spark):
-    df = clashing(docs(spark, [(1, "a b c d e f", "en", "s", 0), (2, "A b c d e f", "en", "s", 0), (3, "other words in here now", "en", "s", 0)]))
+    df = clashing(docs(spark, [(1, "a b c d e f", "en", "s", 0), (2, "A b c d e f", "en", "s", 0), (3, "other words in here now", "en", "s", 0), (3, "x y z a b c d e", "en", "s", 0), (4, "other words in here now", "en", "s", 0), (None, "one two three four five six", "fr", None, 1)]))
     kept = jaccard_join.drop_near_copies(df)
-    assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 3, 900, 901, 902, 903, 904, 904, None]))
-    assert jaccard_join.jaccard_components(empty(spark)).count() == 0
+    # of repeated rows, and of copies without an id, one stays; id 3 stands for two different texts
+    assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 3, 3, 900, 901, 902, 903, 904, None]))
+    assert jaccard_join.jaccard_components(empty(spark)).count() == 0 and jaccard_join.drop_near_copies(empty(spark)).count() == 0
 
 
 # ---- 8
