@@ -35,8 +35,8 @@ HOT_LIST = 50_000
 SHORT_PREFIX = 128
 #: Bits of a set's parity map.
 PARITY = 512
-#: Random orders of open lists, and partners a set has in each, before what is left is compared exactly.
-ROUNDS, PARTNERS = 4, 4
+#: Random orders of open lists, sets met before one in each, and partners it has of them, before what is left is compared exactly.
+ROUNDS, NEIGHBOURS, PARTNERS = 4, 3, 4
 #: Shingles that a task looks at together.
 SCANNED = 1_000_000
 #: Bits a needed row has in the filter that says which rows are read again, and 64-bit words of the filter at most (16 MB).
@@ -160,7 +160,8 @@ def _needed_sets(rows: DataFrame, width: int, holders: DataFrame, needed: DataFr
     constant bound, goes to the tasks, which shingle only rows that it lets through.
     """
     needed = materialise(needed.select("node").join(holders, "node"), "needed-rows")
-    words = 1 << max(6, min(FILTER_WORDS.bit_length() - 1, (needed.count() * FILTER_BITS // 64).bit_length()))
+    n = needed.count()
+    few, words = n <= BROADCAST_ROWS, 1 << max(6, min(FILTER_WORDS.bit_length() - 1, (n * FILTER_BITS // 64).bit_length()))
     bit = F.pmod(F.col("row"), F.lit(words * 64))
     held = needed.groupBy((bit / 64).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))).alias("bits")).toArrow()  # at most FILTER_WORDS rows
     mask = np.zeros(words, np.int64)
@@ -185,7 +186,8 @@ def _needed_sets(rows: DataFrame, width: int, holders: DataFrame, needed: DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(kept if whole else [parity(s) for s in kept])], names=["node", name])
 
     keyed = rows.select(F.xxhash64(rows.columns[0]).alias("row"), rows.columns[1])
-    found = keyed.mapInArrow(run, f"node long, {name} array<long>").join(needed.select("node"), "node", "left_semi")
+    wanted_nodes = needed.select("node")
+    found = keyed.mapInArrow(run, f"node long, {name} array<long>").join(F.broadcast(wanted_nodes) if few else wanted_nodes, "node", "left_semi")
     return found.groupBy("node").agg(F.first(name).alias(name))
 
 
@@ -193,8 +195,10 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (x, y, ...) with inter, the number of common tokens. Few pairs go to the sets, so that only theirs are shuffled."""
     if pairs.count() <= BROADCAST_PAIRS:
         pairs = F.broadcast(pairs)
-        sets = sets.join(F.broadcast(_ends(pairs)), "node", "left_semi")
-    x, y = sets.select(F.col("node").alias("x"), F.col("tokens").alias("tx")), sets.select(F.col("node").alias("y"), F.col("tokens").alias("ty"))
+        sets_y = sets.join(F.broadcast(pairs.select(F.col("y").alias("node")).distinct()), "node", "left_semi")
+    else:
+        sets_y = sets
+    x, y = sets.select(F.col("node").alias("x"), F.col("tokens").alias("tx")), sets_y.select(F.col("node").alias("y"), F.col("tokens").alias("ty"))
     return pairs.join(x, "x").join(y, "y").withColumn("inter", F.size(F.array_intersect("tx", "ty"))).drop("tx", "ty")
 
 
@@ -361,7 +365,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     # neighbours of a list in a few random orders: a few partners a set, so that large groups of borderline copies grow together
     turns = member.select("token", "node", "n", "pos", "component", "block", F.explode(F.array(*map(F.lit, range(ROUNDS)))).alias("turn")).join(bits, "node")
     order = Window.partitionBy("token", "turn").orderBy("block", F.xxhash64("node", "turn"))
-    x = turns.select("*", *(F.lag(c).over(order).alias(f"{c}_b") for c in ("node", "n", "pos", "component", "bits")))
+    met_by = ("node", "n", "pos", "component", "bits")
+    x = turns.withColumn("b", F.array(*(F.lag(F.struct(*met_by), k).over(order) for k in range(1, NEIGHBOURS + 1))))
+    x = x.select("*", F.explode("b").alias("_b")).select(*x.columns, *(F.col(f"_b.{c}").alias(f"{c}_b") for c in met_by)).where("node_b is not null")
     n, m = F.col("n"), F.col("n_b")
     x = x.where((F.col("component") != F.col("component_b")) & may_link(n, F.col("pos"), m, F.col("pos_b")) & (differ("bits", "bits_b") <= n + m - 2 * need(n, m)))
     few = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("node_b", "turn").alias("h"), F.col("node_b").alias("y"), F.col("n_b").alias("m"), F.col("component_b").alias("d")))), 1, PARTNERS)
