@@ -15,12 +15,14 @@ from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, text_or_empty
 
 CHUNK_BYTES = 4 << 20
+#: Index entries that a range aims at, and compressed bytes that are given to a record's decompressor at a time.
+RANGE_ROWS, STEP_BYTES = 100_000, 1 << 16
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 ROWS = "kind int, archive string, chunk int, data binary, url_key string, ts timestamp, page_id {id}, offset long, length long"
 
@@ -51,14 +53,19 @@ def record(page_id, url: str | None, when: datetime, payload: bytes, refers_to,
 
 def records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(offset, headers, block) of each gzip member."""
-    at = 0
+    at, view = 0, memoryview(data)
     while at < len(data):
-        z = zlib.decompressobj(31)
-        raw = z.decompress(memoryview(data)[at:])
+        z, raw, end = zlib.decompressobj(31), [], at
+        while not z.eof:
+            if end >= len(data):
+                raise ValueError(f"the gzip member at {at} is cut off")
+            raw.append(z.decompress(view[end : end + STEP_BYTES]))
+            end = min(end + STEP_BYTES, len(data))
+        raw = b"".join(raw)
         head, _, rest = raw.partition(b"\r\n\r\n")
         headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in head.decode().split("\r\n")[1:])
         yield at, headers, rest[: int(headers["Content-Length"])]
-        at = len(data) - len(z.unused_data)
+        at = end - len(z.unused_data)
 
 
 class LoserTree:
@@ -143,39 +150,50 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     return materialise(x.mapInArrow(run, ROWS.format(id=kind)), "archives")
 
 
+def _runs(entries: list[tuple], key) -> list[Iterator[int]]:
+    """Row numbers of the sorted stretches in which an archive's entries arrived: one, unless the shuffle delivered its parts in another order."""
+    runs: dict[str, list[list[int]]] = {}
+    last: dict[str, tuple] = {}
+    for k, e in enumerate(entries):
+        own = key(e)
+        stretches = runs.setdefault(e[3], [[]])
+        if e[3] in last and own < last[e[3]]:
+            stretches.append([])
+        stretches[-1].append(k)
+        last[e[3]] = own
+    return [iter(r) for _, stretches in sorted(runs.items()) for r in stretches]
+
+
 def merge(written: DataFrame) -> DataFrame:
-    """The capture index (url_key, ts, page_id, archive, chunk, offset, length) in global order of its first three columns.
+    """The capture index (url_key, ts, page_id, archive, chunk, offset, length, position), in the order of position.
 
-    Ranges of the composite key are dealt out, so that one busy URL spreads over tasks; each task merges the slices of the
-    sorted runs that it gets with a loser tree.
+    position counts captures from 0 in the global order of URL key, time and page id, null first; readers of the stored
+    index, or of what is joined to it, order by it. Ranges of the whole key are dealt out, RANGE_ROWS entries each about,
+    so that one busy URL spreads over tasks and a task's memory doesn't grow with the index; each merges the slices of the sorted
+    runs that it gets with a loser tree, without sorting them.
     """
     runs = written.where("kind = 1").select("url_key", "ts", "page_id", "archive", "chunk", "offset", "length")
-    parts = int(written.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = runs.repartitionByRange(parts, F.col("url_key").asc(), F.col("ts").asc(), F.col("page_id").asc(), F.col("archive").asc(), F.col("offset").asc())
+    ordered = [F.col(c).asc_nulls_first() for c in ("url_key", "ts", "page_id", "archive", "chunk", "offset")]
+    dealt = runs.repartitionByRange(max(1, -(-runs.count() // RANGE_ROWS)), *ordered)
     none = datetime.min.replace(tzinfo=UTC)
 
     def key(e):
-        return e[0], e[1] or none, e[2] is not None, e[2] if e[2] is not None else 0
+        return e[0], e[1] is not None, e[1] or none, e[2] is not None, e[2] if e[2] is not None else 0, e[3], e[4], e[5]
 
     def run(batches):
-        slices: dict[str, list] = {}
-        schema = None
-        for b in batches:
-            schema = b.schema
-            for e in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                slices.setdefault(e[3], []).append(e)
-        for s in slices.values():  # a slice arrives in its run's order, if the shuffle kept blocks whole; sorting is then one linear pass
-            s.sort(key=key)
-        out: list = []
-        for e in LoserTree([iter(s) for _, s in sorted(slices.items())], key):
-            out.append(e)
-            if len(out) == 8192:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-    return materialise(dealt.mapInArrow(run, runs.schema), "capture-index")
+        held = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        if held is None or not held.num_rows:
+            return
+        entries = list(zip(*(c.to_pylist() for c in held.columns[:6]), strict=True))
+        order = pa.array(LoserTree(_runs(entries, key), lambda k: key(entries[k])), pa.int64())
+        merged = held.take(order).append_column("slice", pa.array([TaskContext.get().partitionId()] * len(order), pa.int32())).append_column("place", pa.array(range(len(order)), pa.int64()))
+        yield from merged.combine_chunks().to_batches(8192)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema)
+    index = materialise(dealt.mapInArrow(run, f"{kinds}, slice int, place long"), "capture-index")
+    sizes = index.groupBy("slice").agg(F.count("*").alias("n"))  # a row for RANGE_ROWS entries
+    before = sizes.select("slice", F.coalesce(F.sum("n").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return index.join(before, "slice").select(*runs.columns, (F.col("before") + F.col("place")).alias("position")).orderBy("position")
 
 
 def read(written: DataFrame) -> DataFrame:
@@ -206,7 +224,8 @@ def read(written: DataFrame) -> DataFrame:
 def captures(pages: DataFrame, **how) -> DataFrame:
     """Write the pages' archives, merge their runs into the index, and read each indexed capture back.
 
-    One row per page: url_key, ts, page_id, record_type, payload_bytes, payload_digest, refers_to.
+    One row per page: url_key, ts, position, page_id, record_type, payload_bytes, payload_digest, refers_to. Ordered by
+    position they are the capture histories, URL by URL.
 
     Nulls: a null page is an empty payload, a null URL an empty one; a page without an id is a revisit if some equal
     payload has one, else a response. Empty table: empty result. Ties: rows that share the smallest id are all responses,

@@ -46,12 +46,31 @@ def test_mtree_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(0)
     vectors = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 0.2, (150, 6)))] + [(1000 + i, [0.5] * 6) for i in range(70)]
     bad = [(2000, None), (2001, [float("nan")] * 6), (2002, [None] * 6), (None, [0.1] * 6), (2003, [float("inf")] * 6)]
-    x = mtree.quantised(spark.createDataFrame(vectors + bad, "vec_id long, embedding array<double>"))
+    x = mtree.quantised(clashing(spark.createDataFrame(vectors + bad, "vec_id long, embedding array<double>").withColumn("row", F.lit("kept"))))
     got = sorted(tuple(r) for r in mtree.top_k(x, x.where("vec_id % 50 = 0"), k=10).collect())
     rows = [(i, [int(np.floor(1024 * c)) for c in v]) for i, v in vectors]
     assert got == brute_top(rows, {i for i, _ in rows if i % 50 == 0}, 10)
 
 
+def test_mtree_of_repeated_and_ragged_rows(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "CELL_ROWS", 16)
+    rng = np.random.default_rng(2)
+    vectors = [(7, [0.5] * 4)] * 12 + [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 0.3, (20, 4)), 20)] + [(50, [0.4] * 4)] * 3 + [(100 + i, [0.25] * 4) for i in range(90)]
+    ragged = [(200, []), (201, [0.5]), (202, [0.5] * 5), (203, [9.0] * 3)]
+    x = mtree.quantised(spark.createDataFrame(vectors + ragged, "vec_id long, embedding array<double>")).repartition(4)
+    asked = x.where("vec_id in (7, 25, 50, 110, 200, 202)").dropDuplicates(["vec_id"])
+    got = sorted(tuple(r) for r in mtree.top_k(x, asked, k=10).collect())
+    rows = [(i, [int(np.floor(1024 * c)) for c in v]) for i, v in vectors]
+    want = []
+    for q in (7, 25, 50, 110):
+        v = next(v for i, v in rows if i == q)
+        scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:10])]
+    assert got == sorted(want)
+    with pytest.raises(ValueError, match="larger"):
+        mtree.top_k(mtree.quantised(spark.createDataFrame([(1, [5000.0]), (2, [1.0])], "vec_id long, embedding array<double>")), x)
+
+
 def test_mtree_small_and_empty(spark):
     x = mtree.quantised(spark.createDataFrame([(1, [1.0]), (2, [2.0])], "vec_id long, embedding array<double>"))
     assert [tuple(r) for r in mtree.top_k(x, x.where("vec_id = 1")).collect()] == [(1, 1, 2, 1024 * 2048)]
@@ -159,6 +178,31 @@ def test_added_spans_on_held_out_examples():
     assert np.mean(real) > 0.8 and np.mean(other) < 0.1
 
 
+def test_many_spans_take_linear_time():
+    import time
+
+    began = time.time()
+    text = "10.0.0.1 at 030 123456, " * 45_000
+    assert len(text) > 1 << 20
+    found = pii.find([text], pii.model())[0]
+    assert sum(s["base"] for s in found) == 45_000 and all(a["end"] <= b["start"] for a, b in zip(found, found[1:], strict=False)) and time.time() - began < 30
+
+
+def test_pii_query_strings(spark, tmp_path):
+    import hashlib
+
+    from corvid.llm import queries
+
+    df = clashing(docs(spark, [(1, "x@y.org 10.0.0.1 4111 1111 1111 1111, +49 30 1234567", "en", "s", 1), (2, "none", "en", "s", 1)]))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.op4_boosted_pii(spark, str(tmp_path)).collect():
+        text = next(d["text"] for d in df.collect() if d["doc_id"] == r["doc_id"]) or ""
+        base = plain_spans(text)
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[2] == k for s in base) for k in pii.KINDS]
+        joined = ",".join(f"{k}:{s}:{e}" for s, e, k in base)
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest() and set(joined.split(",")) - {""} <= set(r["spans"].split(","))
+
+
 def test_redaction(spark):
     df = clashing(docs(spark, [(1, "é mail a.b@c.org now", "en", "s", 20), (2, "card 4111 1111 1111 1111.", "en", "s", 5), (3, "clean 12 words", "en", "s", 14)]))
     out = pii.redact(df)
@@ -368,6 +412,44 @@ def test_main_text_of_held_out_pages():
     assert np.mean([html_text.main_text(p, model) == t for p, t in pages]) > 0.95
 
 
+def test_marginals_equal_enumeration():
+    """Sum-product over a tree against the sum over all labellings of its nodes."""
+    import itertools
+    import math
+
+    tags = ("div", "p", "text", "li", "section")
+    for seed in range(12):
+        r = random.Random(seed)
+        n = r.randint(2, 10)
+        nodes = [html_text.Node("html", -1)] + [html_text.Node(r.choice(tags), r.randrange(k)) for k in range(1, n)]
+        for v in nodes:
+            v.size, v.text = r.randint(1, 90), "words. " * r.randint(0, 3)
+        tree = html_text.TreeModel(np.array([r.uniform(-2, 2) for _ in range(html_text.WIDTH)]), {k: tuple(r.uniform(-2, 2) for _ in range(4)) for k in range(len(html_text.TAGS))})
+        own = [sum(tree.unary[i] * v for i, v in html_text.features(x)) for x in nodes]
+        total, on = 0.0, [0.0] * n
+        for labels in itertools.product((0, 1), repeat=n):
+            weight = math.exp(sum(o for o, v in zip(own, labels, strict=True) if v) + sum(tree.edges[html_text._TAG.get(nodes[k].tag, 21)][2 * labels[nodes[k].parent] + labels[k]] for k in range(1, n)))
+            total += weight
+            for k in range(n):
+                on[k] += weight * labels[k]
+        assert np.allclose(tree.marginals(nodes), [v / total for v in on], atol=1e-9)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 60_000 + "</p>" * 60_000, '<a href="x' * 100_000, "<p class='a\"" * 80_000, "<button>" * 100_000 + "text", "<object><p>" * 60_000])
+def test_parsing_takes_linear_time(page):
+    import time
+
+    began = time.time()
+    html_text.parse(page)
+    assert time.time() - began < 5
+
+
+def test_unclosed_elements_lose_no_text():
+    page = "<article><p>One sentence is here.</p><{0} class=x><p>Another sentence is here.</p></article>"
+    for tag in ("button", "object", "canvas", "select", "noscript", "svg"):
+        assert [n.text for n in html_text.parse(page.format(tag)) if n.tag == "text"] == ["One sentence is here.", "Another sentence is here."]
+
+
 def test_extraction_of_odd_pages(spark):
     rows = [(1, "u", "<article><h1>A title</h1><p>One&amp;two&nbsp; three <b>bo</b>ld<br>line.<p>Next sentence is here.</article><footer>&copy; x</footer>"), (2, "u", None), (3, "u", ""), (4, "u", "<div>" * 5000 + "Deep words are here too." + "</div>" * 5000), (5, "u", "<script>only"), (6, None, "<p>Unclosed <i>text goes on.")]
     out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("old")))
@@ -394,6 +476,8 @@ def test_warc_round_trip(spark, tmp_path):
     written = warc.write(df)
     keys = [(r["url_key"], r["ts"]) for r in warc.merge(written).collect()]
     assert keys == sorted(keys) and len(keys) == len(rows)
+    placed = sorted((r["position"], r["url_key"], r["ts"]) for r in warc.captures(df).collect())
+    assert [p[1:] for p in placed] == keys and [p[0] for p in placed] == list(range(len(keys)))
     read = {r["page_id"]: r["payload"] for r in warc.read(written).where("record_type = 'response'").collect()}
     assert {i: bytes(p).decode() for i, p in read.items()} == {i: h or "" for i, _, h in rows if want[i][0] == "response"}
     for path in warc.export(written, str(tmp_path)):
@@ -403,6 +487,24 @@ def test_warc_round_trip(spark, tmp_path):
     assert set(small.values()) == {"response"}
 
 
+def test_index_of_many_ranges_is_in_global_order(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_ROWS", 40)
+    rows = [(i if i % 50 else None, f"http://h{i % 7}.org/{i % 90 if i % 3 else 0}", f"<p>{i % 11}</p>") for i in range(500)]
+    index = warc.merge(warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(9)))
+    got = [(r["url_key"], r["ts"].timestamp(), r["page_id"] is not None, r["page_id"] or 0) for r in index.collect()]
+    assert got == sorted(got) and len(got) == 500 and index.select("archive").distinct().count() > 5
+    assert sorted(r["position"] for r in index.collect()) == list(range(500))
+
+
+def test_records_are_read_in_steps(monkeypatch):
+    raw = [warc.record(i, "http://a.org", warc.EPOCH, bytes([i]) * 100_000, None, True) for i in range(5)]
+    monkeypatch.setattr(warc, "STEP_BYTES", 7)
+    found = list(warc.records(b"".join(raw)))
+    assert [at for at, *_ in found] == [sum(map(len, raw[:k])) for k in range(5)] and all(len(block) > 100_000 for _, _, block in found)
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.records(raw[0][:-3]))
+
+
 def test_loser_tree_merges_any_runs():
     rng = random.Random(6)
     for k in range(0, 9):
