@@ -4,9 +4,10 @@ Vectors are integers (floor(scale * x)). Distances are Euclidean, a metric; with
 covering radius and the largest norm below it, 2 q.x = |q|^2 + |x|^2 - d(q, x)^2 bounds every score in a node from above. A stored
 distance to the parent's centre gives such a bound by the triangle inequality before any distance is computed.
 
-Rows are dealt to cells round pivots (a bounded sample); a cell of more than CELL_ROWS rows is split by hash, so that a vector held by a third
-of all rows is spread out. Every cell part is one M-tree, written as a table of pages. A query first searches its most promising
-cell, and then only the cells whose bound reaches the k-th score found there.
+Rows are dealt to cells round pivots (a bounded sample). A cell of more than CELL_ROWS rows is cut into rings, by the distance to its pivot, and
+only rows at one distance (a vector held by a third of all rows) are spread by hash. Every ring is one M-tree, written as a
+table of pages. A query first searches the rings of its nearest cell that are about as far from the pivot as it is itself, and then only
+rings whose bound, from the cell's radius and the ring's distances to the pivot, reaches the k-th score found there.
 """
 
 from __future__ import annotations
@@ -15,15 +16,17 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Rows a cell part aims at, pivots at most, entries of a page, and queries searched together.
-CELL_ROWS, PIVOTS, PAGE, BLOCK = 1024, 1024, 64, 2048
+#: Rows a ring aims at, pivots at most, steps of distance in which a cell is cut, entries of a page, and queries searched together.
+CELL_ROWS, PIVOTS, STEPS, PAGE, BLOCK = 1024, 1024, 1024, 64, 2048
+#: Components of at most this size are exact in double arithmetic: sums of products stay below 2**53 up to a width of 8192.
+LARGEST = 1 << 20
 _SLACK = 1e-6
-PAGES = "cell int, part int, page int, leaf boolean, ids array<long>, vectors binary, parent_distances array<double>, radii array<double>, children array<int>, norms array<double>, least array<long>"
+PAGES = "cell int, part long, page int, leaf boolean, ids array<long>, rows array<long>, vectors binary, parent_distances array<double>, radii array<double>, children array<int>, norms array<double>, least array<long>"
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -41,7 +44,7 @@ def _distances(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, ((x - centre) ** 2).sum(-1)))
 
 
-def build(ids: np.ndarray, x: np.ndarray) -> list[dict]:
+def build(ids: np.ndarray, rows_: np.ndarray, x: np.ndarray) -> list[dict]:
     """Pages of one M-tree by recursive clustering round sampled centres; page 0 is the root."""
     pages: list[dict] = []
     norms = (x**2).sum(1)
@@ -52,7 +55,7 @@ def build(ids: np.ndarray, x: np.ndarray) -> list[dict]:
         pages.append({})
         if len(rows) <= PAGE:
             rows = rows[np.argsort(ids[rows])]
-            pages[me] = {"leaf": True, "ids": ids[rows], "vectors": x[rows], "pd": _distances(x[rows], centre), "radii": np.zeros(len(rows)), "children": np.zeros(0, int), "norms": norms[rows], "least": ids[rows]}
+            pages[me] = {"leaf": True, "ids": ids[rows], "rows": rows_[rows], "vectors": x[rows], "pd": _distances(x[rows], centre), "radii": np.zeros(len(rows)), "children": np.zeros(0, int), "norms": norms[rows], "least": ids[rows]}
             return me
         seeds = rng.choice(rows, min(PAGE, -(-len(rows) // PAGE) + 1), replace=False)
         near = np.argmin(norms[rows][:, None] - 2 * x[rows] @ x[seeds].T + norms[seeds], axis=1)
@@ -66,7 +69,7 @@ def build(ids: np.ndarray, x: np.ndarray) -> list[dict]:
             entries.append((own, _distances(x[g], own).max(), norms[g].max(), ids[g].min(), g))
         children = [make(g, own) for own, *_, g in entries]
         own = np.stack([e[0] for e in entries])
-        pages[me] = {"leaf": False, "ids": np.zeros(0, int), "vectors": own, "pd": _distances(own, centre), "radii": np.array([e[1] for e in entries]), "children": np.array(children), "norms": np.array([e[2] for e in entries]), "least": np.array([e[3] for e in entries])}
+        pages[me] = {"leaf": False, "ids": np.zeros(0, int), "rows": np.zeros(0, int), "vectors": own, "pd": _distances(own, centre), "radii": np.array([e[1] for e in entries]), "children": np.array(children), "norms": np.array([e[2] for e in entries]), "least": np.array([e[3] for e in entries])}
         return me
 
     if len(ids):
@@ -74,8 +77,8 @@ def build(ids: np.ndarray, x: np.ndarray) -> list[dict]:
     return pages
 
 
-def search(pages: dict[int, dict], query: np.ndarray, own_id: int, k: int, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The k best (score, -vec_id) of found and the tree; best first by the upper bound of each page."""
+def search(pages: dict[int, dict], query: np.ndarray, own_id: int, k: int, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The k best (score, -vec_id, -row) of found and the tree; best first by the upper bound of each page."""
     best = list(found)
     heapq.heapify(best)
     q2 = float(query @ query)
@@ -100,9 +103,9 @@ def search(pages: dict[int, dict], query: np.ndarray, own_id: int, k: int, found
             if len(best) == k:
                 fine = scores >= floor
                 at, scores = at[fine], scores[fine]
-            for s, i in zip(scores.tolist(), p["ids"][at].tolist(), strict=True):
+            for s, i, row in zip(scores.tolist(), p["ids"][at].tolist(), p["rows"][at].tolist(), strict=True):
                 if i != own_id:
-                    entry = (int(s), -i)
+                    entry = (int(s), -i, -row)
                     if len(best) < k:
                         heapq.heappush(best, entry)
                     elif entry > best[0]:
@@ -121,25 +124,33 @@ def _pages_of(rows: pa.Table, width: int) -> dict[int, dict]:
     out = {}
     for r in rows.to_pylist():
         v = np.frombuffer(r["vectors"], np.float64).reshape(-1, width)
-        out[r["page"]] = {"leaf": r["leaf"], "ids": np.array(r["ids"], np.int64), "vectors": v, "pd": np.array(r["parent_distances"]), "radii": np.array(r["radii"]), "children": np.array(r["children"], int), "norms": np.array(r["norms"]), "least": np.array(r["least"], np.int64)}
+        out[r["page"]] = {"leaf": r["leaf"], "ids": np.array(r["ids"], np.int64), "rows": np.array(r["rows"], np.int64), "vectors": v, "pd": np.array(r["parent_distances"]), "radii": np.array(r["radii"]), "children": np.array(r["children"], int), "norms": np.array(r["norms"]), "least": np.array(r["least"], np.int64)}
     return out
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """For each query row its k best other rows by inner product: query_id, rank, vec_id, score; ties to the smaller vec_id.
 
-    vectors and queries are tables of quantised(): (vec_id, v) of one width; a row doesn't find its own id. Components must stay
-    below 2**20 in size, so that double arithmetic on them is exact.
+    vectors and queries are tables of quantised(): (vec_id, v); a row doesn't find its own id. The width is that of most
+    vectors (of equally many, the larger): vectors and queries of another width, empty ones too, take no part. A component
+    above LARGEST in size is an error, as double arithmetic would not be exact.
 
-    An empty table on either side: empty result. Rows that repeat a vec_id take part each; of equal (score, vec_id) any stays. Fewer than
-    k others: all of them. Equal vectors are split by id into pages, and pages of a tied bound are only opened for a smaller id.
+    An empty table on either side: empty result. Repeated rows: candidates that repeat a vec_id take part each, by a row number
+    of their own, and a repeated query has its result as often. Fewer than k others: all of them. Equal vectors are split by id
+    into pages, and pages of a tied bound are only opened for a smaller id. Columns other than vec_id and v aren't read.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
-    vectors = materialise(vectors, "vectors")
-    n, width = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
-    if not n:
+    largest = lambda: F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))
+    vectors = materialise(vectors.select("vec_id", "v", F.monotonically_increasing_id().alias("row")), "vectors")
+    queries = materialise(queries.select("vec_id", "v", F.monotonically_increasing_id().alias("query_row")), "queries")
+    common = vectors.where(F.size("v") > 0).groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), largest().alias("top")).orderBy(F.desc("n"), F.desc("width")).first()
+    if common is None:
         return spark.createDataFrame([], schema)
+    width, n, top = common
+    vectors, queries = vectors.where(F.size("v") == width), queries.where(F.size("v") == width)
+    if max(top, queries.agg(largest()).first()[0] or 0) > LARGEST:
+        raise ValueError(f"a component is larger than {LARGEST}")
     wanted = int(min(PIVOTS, max(1, n // CELL_ROWS)))
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * wanted).select("v").distinct().limit(wanted).collect()  # at most PIVOTS vectors
     pivots = np.array([r[0] for r in sample], float)
@@ -151,87 +162,96 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             x = _matrix(b.column("v"), width)
             cell = np.argmin(norms - 2 * x @ centres.T, axis=1) if len(x) else np.zeros(0, int)
             d, norm = _distances(x, centres[cell]), (x**2).sum(1)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(cell, pa.int32()), pa.array(d), pa.array(norm)], names=["vec_id", "v", "cell", "d", "norm"])
-
-    dealt = materialise(vectors.select("vec_id", "v").mapInArrow(assign, "vec_id long, v array<long>, cell int, d double, norm double"), "dealt-vectors")
-    cells = dealt.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"), F.max("d").alias("radius"), F.max("norm").alias("norm"))
-    cells = materialise(cells, "cells")
-    about = {r["cell"]: r for r in cells.collect()}  # at most PIVOTS rows
-    parted = dealt.join(F.broadcast(cells.select("cell", "parts")), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("vec_id", "v", "row")), pa.array(cell, pa.int32()), pa.array(d), pa.array(norm)], names=["vec_id", "v", "row", "cell", "d", "norm"])
+
+    dealt = materialise(vectors.select("vec_id", "v", "row").mapInArrow(assign, "vec_id long, v array<long>, row long, cell int, d double, norm double"), "dealt-vectors")
+    radii = materialise(dealt.groupBy("cell").agg(F.max("d").alias("radius")), "cells")  # at most PIVOTS rows
+    # rings: steps of distance are gathered until CELL_ROWS rows; a step of more rows alone is dealt into parts by hash
+    step = F.when(F.col("radius") > 0, F.least(F.floor(F.col("d") / F.col("radius") * STEPS), F.lit(STEPS - 1))).otherwise(0).cast("int")
+    stepped = dealt.join(F.broadcast(radii), "cell").withColumn("step", step)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("cell").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    steps = stepped.groupBy("cell", "step").agg(F.count("*").alias("n")).withColumn("ring", F.floor(before / CELL_ROWS))
+    steps = steps.withColumn("parts", F.ceil(F.col("n") / CELL_ROWS).cast("long"))
+    steps = materialise(steps, "steps")  # at most PIVOTS * STEPS rows
+    part = F.when(F.col("parts") <= 2, F.col("ring") * STEPS).otherwise(F.col("ring") * STEPS + 1 + F.pmod(F.xxhash64("vec_id", "row"), F.col("parts")))
+    parted = stepped.join(F.broadcast(steps), ["cell", "step"]).withColumn("part", part)
+    rings = parted.groupBy("cell", "part").agg(F.min("d").alias("inner"), F.max("d").alias("outer"), F.max("norm").alias("norm"))
+    rings = materialise(rings.join(F.broadcast(radii.withColumnRenamed("radius", "reach")), "cell"), "rings")  # a row for each tree
+    cell_reach, cell_norm = np.full(len(pivots), -np.inf), np.zeros(len(pivots))
+    for cell, reach, norm in rings.groupBy("cell").agg(F.max("outer"), F.max("norm")).collect():  # at most PIVOTS rows
+        cell_reach[cell], cell_norm[cell] = reach, norm
+    reaches = spark.sparkContext.broadcast((cell_reach, cell_norm))
 
     def tree(key, rows):
-        pages = build(rows.column("vec_id").to_numpy(), _matrix(rows.column("v").combine_chunks(), width))
-        cols = list(zip(*((key[0].as_py(), key[1].as_py(), n, p["leaf"], p["ids"].tolist(), p["vectors"].astype(np.float64).tobytes(), p["pd"].tolist(), p["radii"].tolist(), p["children"].tolist(), p["norms"].tolist(), p["least"].tolist()) for n, p in enumerate(pages)), strict=True))
-        types = [pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int64())]
-        names = ["cell", "part", "page", "leaf", "ids", "vectors", "parent_distances", "radii", "children", "norms", "least"]
+        pages = build(rows.column("vec_id").to_numpy(), rows.column("row").to_numpy(), _matrix(rows.column("v").combine_chunks(), width))
+        cols = list(zip(*((key[0].as_py(), key[1].as_py(), n, p["leaf"], p["ids"].tolist(), p["rows"].tolist(), p["vectors"].astype(np.float64).tobytes(), p["pd"].tolist(), p["radii"].tolist(), p["children"].tolist(), p["norms"].tolist(), p["least"].tolist()) for n, p in enumerate(pages)), strict=True))
+        long, double = pa.list_(pa.int64()), pa.list_(pa.float64())
+        types = [pa.int32(), pa.int64(), pa.int32(), pa.bool_(), long, long, pa.binary(), double, double, pa.list_(pa.int32()), double, long]
+        names = ["cell", "part", "page", "leaf", "ids", "rows", "vectors", "parent_distances", "radii", "children", "norms", "least"]
         return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    index = materialise(parted.select("cell", "part", "vec_id", "v").groupBy("cell", "part").applyInArrow(tree, PAGES), "mtree-pages")
-    order = np.array(sorted(about))
-    radius, norm = (np.array([about[c][f] for c in order]) for f in ("radius", "norm"))
-    rings = spark.sparkContext.broadcast((order, pivots[order], radius, norm))
-    result = "query_id long, query array<long>, scores array<long>, found array<long>"
-
-    def bounds(x: np.ndarray):
-        numbers, centres, radius, norm = rings.value
-        q2 = (x**2).sum(1)[:, None]
-        d = np.sqrt(np.maximum(0.0, q2 - 2 * x @ centres.T + (centres**2).sum(1)))
-        return numbers, np.floor((q2 + norm - np.maximum(0.0, d - radius - _SLACK) ** 2) / 2 + _SLACK), d
+    index = materialise(parted.select("cell", "part", "vec_id", "row", "v").groupBy("cell", "part").applyInArrow(tree, PAGES), "mtree-pages")
+    state = "query_row long, query_id long, query array<long>, scores array<long>, found array<long>, rows array<long>"
+    carried = ["query_row", "query_id", "query", "scores", "found", "rows"]
 
     def route(first: bool):
+        """Queries with their squared length and k-th score so far, for each cell that may hold a better one (first: for the nearest), and its distance."""
+
         def run(batches):
+            (centres, norms), (reach, top) = pivot_table.value, reaches.value
             for b in batches:
                 for at in range(0, b.num_rows, 256):
                     c = b.slice(at, 256)
                     x = _matrix(c.column("query"), width)
-                    numbers, upper, d = bounds(x)
-                    home = np.argmin(d, axis=1)
-                    if first:
-                        rows, cols = np.arange(len(x)), home
-                    else:
-                        floor = np.array([min(s) if len(s) == k else -np.inf for s in c.column("scores").to_pylist()])
-                        open_ = upper >= floor[:, None]
-                        open_[np.arange(len(x)), home] = False
-                        rows, cols = np.nonzero(open_)
-                    yield pa.RecordBatch.from_arrays([*(c.column(n).take(pa.array(rows)) for n in ("query_id", "query", "scores", "found")), pa.array(numbers[cols], pa.int32())], names=["query_id", "query", "scores", "found", "cell"])
+                    q2 = (x**2).sum(1)
+                    d = np.sqrt(np.maximum(0.0, q2[:, None] - 2 * x @ centres.T + norms))
+                    home = np.argmin(np.where(np.isfinite(reach), d, np.inf), axis=1)
+                    floor = np.array([min(s) if len(s) == k else -np.inf for s in c.column("scores").to_pylist()], float)
+                    upper = np.floor((q2[:, None] + top - np.maximum(0.0, d - reach - _SLACK) ** 2) / 2 + _SLACK * (1 + q2[:, None] + top))
+                    rows, cells = (np.arange(len(x)), home) if first else np.nonzero((upper >= floor[:, None]) & np.isfinite(reach))
+                    yield pa.RecordBatch.from_arrays([*(c.column(n).take(pa.array(rows)) for n in carried), pa.array(cells, pa.int32()), pa.array(q2[rows]), pa.array(floor[rows]), pa.array(d[rows, cells]), pa.array(home[rows] == cells)], names=[*carried, "cell", "q2", "floor", "d", "home"])
 
         return run
 
     def seek(key, left, right):
-        cols = [[] for _ in range(4)]
+        cols = [[] for _ in range(6)]
         if left.num_rows and right.num_rows:
             pages = _pages_of(right, width)
             for r in left.to_pylist():
-                best = search(pages, np.array(r["query"], float), r["query_id"], k, list(zip(r["scores"], (-i for i in r["found"]), strict=True)))
-                for c, v in zip(cols, (r["query_id"], r["query"], [b[0] for b in best], [-b[1] for b in best]), strict=True):
+                best = search(pages, np.array(r["query"], float), r["query_id"], k, list(zip(r["scores"], (-i for i in r["found"]), (-i for i in r["rows"]), strict=True)))
+                for c, v in zip(cols, (r["query_row"], r["query_id"], r["query"], [b[0] for b in best], [-b[1] for b in best], [-b[2] for b in best]), strict=True):
                     c.append(v)
         long = pa.list_(pa.int64())
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), long, long, long), strict=True)], names=["query_id", "query", "scores", "found"])
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), long, long, long, long), strict=True)], names=carried)
 
     def searched(asked: DataFrame, first: bool, name: str) -> DataFrame:
-        """asked against the trees of its cells, a block of queries with a copy of a cell part's pages at a time."""
-        sent = asked.mapInArrow(route(first), result + ", cell int").join(F.broadcast(cells.select("cell", "parts")), "cell")
-        sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        sent = materialise(sent.drop("parts"), name)
+        """asked against the trees of its rings, a block of queries with a copy of a ring's pages at a time."""
+        sent = asked.select(*carried).mapInArrow(route(first), state + ", cell int, q2 double, floor double, d double, home boolean").join(rings, "cell")
+        gap = F.greatest(F.lit(0.0), F.col("inner") - F.col("d"), F.col("d") - F.col("outer"))
+        near = F.greatest(F.lit(0.0), gap - _SLACK)
+        upper = F.floor((F.col("q2") + F.col("norm") - near * near) / 2 + _SLACK * (1 + F.col("q2") + F.col("norm")))
+        here = F.col("home") & ((gap <= 0) | ((F.col("d") > F.col("reach")) & (F.col("outer") >= F.col("reach"))))
+        sent = sent.where(here if first else (upper >= F.col("floor")) & ~here)
+        sent = materialise(sent.select(*carried, "cell", "part"), name)
         blocks = sent.groupBy("cell", "part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        sent = sent.join(blocks, ["cell", "part"]).withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
+        sent = sent.join(blocks, ["cell", "part"]).withColumn("block", F.pmod(F.xxhash64("query_row"), F.col("blocks")).cast("int"))
         pages = index.join(blocks, ["cell", "part"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        a = sent.select("cell", "part", "block", "query_id", "query", "scores", "found").groupBy("cell", "part", "block")
-        return a.cogroup(pages.drop("blocks").groupBy("cell", "part", "block")).applyInArrow(seek, result)
+        a = sent.select("cell", "part", "block", *carried).groupBy("cell", "part", "block")
+        return a.cogroup(pages.drop("blocks").groupBy("cell", "part", "block")).applyInArrow(seek, state)
 
     none = F.array().cast("array<long>")
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("query"), none.alias("scores"), none.alias("found"))
-    pairs = F.explode(F.arrays_zip("scores", "found")).alias("p")
+    asked = queries.select("query_row", F.col("vec_id").alias("query_id"), F.col("v").alias("query"), none.alias("scores"), none.alias("found"), none.alias("rows"))
 
     def best(x: DataFrame) -> DataFrame:
         """The k best of each query's lists: sorted short lists are merged, never more than k of one source each."""
-        y = x.select("query_id", pairs).select("query_id", F.struct((-F.col("p.scores")).alias("s"), F.col("p.found").alias("i")).alias("e")).distinct()
-        return y.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("e")), 1, k).alias("e"))
+        y = x.select("query_row", "query_id", F.explode(F.arrays_zip("scores", "found", "rows")).alias("p"))
+        y = y.select("query_row", "query_id", F.struct((-F.col("p.scores")).alias("s"), F.col("p.found").alias("i"), F.col("p.rows").alias("r")).alias("e")).distinct()
+        return y.groupBy("query_row", "query_id").agg(F.slice(F.sort_array(F.collect_list("e")), 1, k).alias("e"))
 
     home = materialise(searched(asked, True, "home-queries"), "home-answers")
-    some = best(home).join(asked.select("query_id", "query"), "query_id")
-    some = materialise(some.select("query_id", "query", F.transform("e", lambda e: -e["s"]).alias("scores"), F.transform("e", lambda e: e["i"]).alias("found")), "first-answers")
-    rest = asked.join(some.select("query_id"), "query_id", "left_anti")  # whose home cell held nothing but themselves
+    some = best(home).join(asked.select("query_row", "query"), "query_row")
+    some = materialise(some.select("query_row", "query_id", "query", F.transform("e", lambda e: -e["s"]).alias("scores"), F.transform("e", lambda e: e["i"]).alias("found"), F.transform("e", lambda e: e["r"]).alias("rows")), "first-answers")
+    rest = asked.join(some.select("query_row"), "query_row", "left_anti")  # whose own rings held nothing but themselves
     known = some.unionByName(rest)
     everywhere = best(known.unionByName(searched(known, False, "other-queries")))
     ranked = everywhere.select("query_id", F.posexplode("e").alias("pos", "e"))
