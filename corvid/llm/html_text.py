@@ -11,6 +11,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -21,12 +22,15 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)", re.S)
-_HIDDEN = frozenset("title script style noscript template svg iframe object canvas select textarea button".split())
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|$)|'[^']*(?:'|$))|[^>])*+)(?:>|$)", re.S)
+#: Elements without text of the page; those of the first kind hold no tags and run to the end of the page if they aren't closed.
+_RAW = frozenset("title script style textarea".split())
+_HIDDEN = _RAW | frozenset("template svg iframe select button".split())
 _BLOCK = frozenset(
     "html head body article section main div p ul ol li dl dt dd table thead tbody tfoot tr td th caption h1 h2 h3 h4 h5 h6 pre blockquote "
     "figure figcaption header footer nav aside form fieldset legend label address details summary hr center dialog menu".split()
 )
+_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|$)", re.I) for t in _HIDDEN}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Opening the key ends an open element of the values, if it is the nearest block.
 _ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"td", "th", "tr", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "body": {"head", "title"}}
@@ -55,6 +59,13 @@ class Node:
 def parse(page: str) -> list[Node]:
     """Block elements and their runs of text, in page order; a parent comes before its children. Linear in the page."""
     nodes, stack, run, at, links = [Node("html", -1)], [0], -1, 0, 0
+    open_: Counter[str] = Counter()
+    unclosed: set[str] = set()
+
+    def close(k: int):
+        for n in stack[k:]:
+            open_[nodes[n].tag] -= 1
+        del stack[k:]
 
     def text(s: str):
         nonlocal run
@@ -74,8 +85,13 @@ def parse(page: str) -> list[Node]:
         tag, closing = m[2].lower(), bool(m[1])
         if tag in _HIDDEN:
             if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|$)", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                end = None if tag in unclosed else _END[tag].search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in _RAW:
+                    at = len(page)
+                else:
+                    unclosed.add(tag)
         elif tag == "br":
             text(" ") if run >= 0 else None
         elif tag == "a":
@@ -83,20 +99,22 @@ def parse(page: str) -> list[Node]:
         elif tag in _BLOCK:
             run = -1
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[k]].tag == tag:
-                        del stack[k:]
-                        links = 0
-                        break
+                if open_[tag]:
+                    k = len(stack) - 1
+                    while nodes[stack[k]].tag != tag:
+                        k -= 1
+                    close(k)
+                    links = 0
             else:
                 while len(stack) > 1 and nodes[stack[-1]].tag in _ENDS.get(tag, ()):
-                    stack.pop()
+                    close(len(stack) - 1)
                 if tag == "html":
                     continue
                 attributes = " ".join(re.findall(r"(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", m[3], re.I)).replace("_", "-").replace("-", " ") if m[3].strip() else ""
                 nodes.append(Node(tag, stack[-1], bool(_GOOD.search(attributes)), bool(_BAD.search(attributes))))
                 if tag not in _VOID:
                     stack.append(len(nodes) - 1)
+                    open_[tag] += 1
     text(page[at:])
     for n in reversed(nodes):
         if n.tag == "text":
