@@ -11,7 +11,7 @@ WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 SEED = "mix-1"
 #: Parts into which documents of one source and about one size are dealt, so that a hot source is ranked in many tasks.
-SALTS = 32
+SALTS = 128
 
 
 def word_count(text: Column) -> Column:
@@ -24,6 +24,11 @@ def _size_class(size: Column) -> Column:
     return (F.length(digits) * 100 + F.rpad(F.substring(digits, 1, 2), 2, "0").cast("int")).cast("int")
 
 
+def _salt(id_column: Column) -> Column:
+    """Ids of any pattern are dealt evenly: from four hexadecimal digits of the MD5 of the id as text; 0 for a null id."""
+    return F.coalesce(F.conv(F.substring(F.md5(id_column.cast("string")), 1, 4), 16, 10).cast("int") % SALTS, F.lit(0))
+
+
 def _targets(sources: DataFrame, weights: tuple[int, ...]) -> DataFrame:
     """source, source_size -> target: all sizes shared by weight, none above MOST_COPIES times its source's size.
 
@@ -63,7 +68,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -
 def _laid_out(docs: DataFrame, weights: tuple[int, ...], seed: str) -> DataFrame:
     """docs with the columns of mix() under names that begin with _mix."""
     x = docs.withColumn("_mix_size", word_count(text_or_empty()))
-    x = x.withColumns({"_mix_class": _size_class(F.col("_mix_size")), "_mix_salt": F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(SALTS)).cast("int"), "_mix_source": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))})
+    x = x.withColumns({"_mix_class": _size_class(F.col("_mix_size")), "_mix_salt": _salt(F.col("doc_id")), "_mix_source": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))})
     keys = ["_mix_source", "_mix_class", "_mix_salt"]
     groups = materialise(x.groupBy(*keys).agg(F.first("source").alias("source"), F.count("*").alias("n"), F.sum("_mix_size").alias("words")), "mix-groups")
     sources = materialise(_targets(groups.groupBy("_mix_source").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")).select("source", "source_size"), weights), "mix-sources")
@@ -90,7 +95,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEE
 ORACLE = rf"""
 WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM {{docs}}),
 laid AS (SELECT *, length(CAST(size AS VARCHAR)) * 100 + CAST(rpad(substr(CAST(size AS VARCHAR), 1, 2), 2, '0') AS INT) AS cls,
-  ((coalesce(doc_id, 0) % {SALTS}) + {SALTS}) % {SALTS} AS salt, coalesce('s' || source, 'n') AS sk FROM sized),
+  coalesce(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 4) AS INT) % {SALTS}, 0) AS salt, coalesce('s' || source, 'n') AS sk FROM sized),
 src AS (SELECT sk, min(source) AS source, CAST(sum(size) AS BIGINT) AS source_size FROM laid GROUP BY sk),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, source_size * 3 AS cap FROM src),
 x AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER p, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER p, 0) AS rest_weight
