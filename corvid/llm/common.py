@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -88,6 +89,8 @@ def claim(owner: str, forget=None) -> None:
         _held[owner] = forget
         gc.collect()
         pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc keeps freed memory of small objects otherwise
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_or_empty(column: str = "text"):

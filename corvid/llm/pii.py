@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
 from dataclasses import dataclass
@@ -207,6 +208,26 @@ def model(n: int = 2400) -> Trees:
     return boost(np.array(x), np.array(y), kinds)
 
 
+class Intervals:
+    """Disjoint intervals in order; those that overlap are joined."""
+
+    def __init__(self):
+        self.starts, self.ends = [], []
+
+    def _range(self, start: int, end: int) -> tuple[int, int]:
+        return bisect.bisect_right(self.ends, start), bisect.bisect_left(self.starts, end)
+
+    def meets(self, start: int, end: int) -> bool:
+        a, b = self._range(start, end)
+        return a < b
+
+    def add(self, start: int, end: int) -> None:
+        a, b = self._range(start, end)
+        if a < b:
+            start, end = min(start, self.starts[a]), max(end, self.ends[b - 1])
+        self.starts[a:b], self.ends[a:b] = [start], [end]
+
+
 def find(texts: list[str | None], trees: Trees) -> list[list[dict]]:
     """The spans of each text, by start and then kind; added ones never overlap others."""
     out: list[list[dict]] = []
@@ -218,22 +239,24 @@ def find(texts: list[str | None], trees: Trees) -> list[list[dict]]:
             continue
         base = base_spans(text)
         out.append([{"kind": k, "start": s, "end": e, "base": True, "score": 1.0} for s, e, k in base])
-        taken = sorted((s, e) for s, e, _ in base)
+        taken = Intervals()
+        for s, e, _ in base:
+            taken.add(s, e)
         for kind, pattern in PROPOSALS.items():
             if kind == "email" and "@" not in text and "at]" not in text and "at)" not in text:
                 continue
             for m in pattern.finditer(text):
                 s, e = m.span()
-                if not any(a < e and s < b for a, b in taken):
+                if not taken.meets(s, e):
                     waiting.append((n, s, e, kind))
                     rows.append(features(text, s, e, kind))
     if rows:
         p = trees.probability(np.array(rows))
-        chosen: dict[int, list] = {}
+        chosen: dict[int, Intervals] = {}
         for (n, s, e, kind), score in sorted(zip(waiting, p, strict=True), key=lambda x: -x[1]):
-            mine = chosen.setdefault(n, [])
-            if score >= trees.thresholds[kind] and not any(a < e and s < b for a, b in mine):
-                mine.append((s, e))
+            mine = chosen.setdefault(n, Intervals())
+            if score >= trees.thresholds[kind] and not mine.meets(s, e):
+                mine.add(s, e)
                 out[n].append({"kind": kind, "start": s, "end": e, "base": False, "score": float(score)})
         for n in chosen:
             out[n].sort(key=lambda x: (x["start"], _ORDER[x["kind"]]))
@@ -260,26 +283,35 @@ def with_spans(docs: DataFrame, text_col: str = "text", trees: Trees | None = No
     return docs.withColumn(name, spans(text_or_empty(text_col)))
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def redacted(text: str | None, found: list[dict]) -> str | None:
+    """text with each span replaced by its kind in angle brackets; overlapping ones together, by the first one's kind."""
+    at, parts = 0, []
+    for s in found:
+        if s["start"] >= at:
+            parts += [text[at : s["start"]], f"<{s['kind'].upper()}>"]
+        at = max(at, s["end"])
+    return "".join(parts) + text[at:] if parts else text
+
+
+def redact(docs: DataFrame, text_col: str = "text", trees: Trees | None = None) -> DataFrame:
     """docs with each span replaced by its kind in angle brackets; n_chars follows where there is such a column.
 
-    Overlapping spans are replaced together, by the first one's kind. A null text stays null.
+    Overlapping spans are replaced together, by the first one's kind. A null text stays null. Texts visit Python once.
     """
-    x = with_spans(docs, text_col, name="_pii_spans")
+    shared = docs.sparkSession.sparkContext.broadcast(trees or model())
+    kind = pa.struct([("text", pa.string()), ("changed", pa.bool_())])
 
-    @F.arrow_udf("string")
-    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    @F.arrow_udf("struct<text: string, changed: boolean>")
+    def cut(texts: pa.Array) -> pa.Array:
+        claim("pii")
         out = []
-        for text, found in zip(texts, spans, strict=True):
-            text, at, parts = text.as_py(), 0, []
-            for s in found.as_py() if text is not None else ():
-                if s["start"] >= at:
-                    parts += [text[at : s["start"]], f"<{s['kind'].upper()}>"]
-                at = max(at, s["end"])
-            out.append(text if not parts else "".join(parts) + text[at:])
-        return pa.array(out, pa.string())
-
-    x = x.withColumn(text_col, F.when(F.size("_pii_spans") > 0, cut(F.col(text_col), F.col("_pii_spans"))).otherwise(F.col(text_col)))
+        for at in range(0, len(texts), 256):
+            part = texts.slice(at, 256).to_pylist()
+            out += [{"text": redacted(t, f), "changed": bool(f)} for t, f in zip(part, find(part, shared.value), strict=True)]
+        return pa.array(out, kind)
+
+    x = docs.withColumn("_pii", cut(F.col(text_col)))
+    new = {text_col: F.col("_pii.text")}
     if "n_chars" in docs.columns:
-        x = x.withColumn("n_chars", F.when(F.size("_pii_spans") > 0, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return x.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("_pii.changed"), F.length("_pii.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return x.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))

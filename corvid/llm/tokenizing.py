@@ -16,8 +16,9 @@ from functools import lru_cache
 
 from .common import claim
 
-#: Units remembered by a worker, and the longest unit that is remembered; others are encoded each time.
-MEMO_UNITS, MEMO_CHARS = 600_000, 48
+#: Bytes of units and their results that a worker remembers, the longest unit that is remembered (others are encoded each
+#: time), and bytes that an entry takes besides its characters and results.
+MEMO_BYTES, MEMO_CHARS, ENTRY_BYTES = 150 << 20, 48, 200
 _GAP = re.compile(r"(?<=\S)(?= )")
 _UNEVEN = re.compile(r"\x00|\s\s|(?<![A-Za-zÀ-ÖØ-öø-ÿ0-9])[.,]")
 
@@ -47,7 +48,7 @@ class _Memo(dict):
 
     def __init__(self, encode):
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.encode, self.old, self.used = encode, {}, 0
 
     def __missing__(self, unit):
         value = self.old.get(unit)
@@ -55,8 +56,9 @@ class _Memo(dict):
             value = self.encode(unit)
             if len(unit) > MEMO_CHARS:
                 return value
-        if len(self) >= MEMO_UNITS // 2:
-            self.old = dict(self)
+        self.used += ENTRY_BYTES + len(unit) + (len(value) if isinstance(value, bytes) else 0)
+        if self.used > MEMO_BYTES // 2:
+            self.old, self.used = dict(self), 0
             self.clear()
         self[unit] = value
         return value
