@@ -416,14 +416,24 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of docs: that of the smallest id, null ids last, and of several such rows the first.
+    """One row of each component of docs: that of the smallest id, null ids last, then of the smallest hash of the text.
 
-    A row without words is a component of its own and stays. Rows are numbered in a copy of docs in the shared folder, so
-    that those of a repeated or null id are told apart.
+    A row without words is a component of its own and stays. Of rows that repeat both the id and the text of the one that
+    stays, any one does, whatever their other columns hold.
     """
-    numbered = materialise(docs.withColumn("_near_row", F.monotonically_increasing_id()), "numbered-documents")
-    key = F.struct(F.col(id_col).isNull().alias("without"), F.col(id_col).alias("id"), F.col("_near_row").alias("row"))
-    found = jaccard_components(numbered.select(key.alias("_near_key"), F.col(text_col).alias("_near_text")), width, percent, "_near_key", "_near_text")
-    gone = materialise(found.where("_near_key.row <> component_id.row").select("_near_key.row"), "near-copies")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return numbered.join(gone, numbered["_near_row"] == gone["row"], "left_anti").select(*docs.columns)
+    content = F.xxhash64(F.col(text_col))
+    key = F.struct(F.col(id_col).isNull().alias("without"), F.col(id_col).alias("id"), content.alias("content"))
+    found = jaccard_components(docs.select(key.alias("_near_key"), F.col(text_col).alias("_near_text")), width, percent, "_near_key", "_near_text")
+    per_key = found.where("n_shingles > 0").groupBy("_near_key").agg(F.max(F.col("_near_key") != F.col("component_id")).alias("copy"), F.count("*").alias("rows"))
+    told = materialise(per_key.where("copy or rows > 1").select("_near_key.id", "_near_key.content", "copy"), "near-copies")
+    few = told.count() <= BROADCAST_ROWS
+
+    def matched(x: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+        rows = rows.select(F.col("id").alias("_near_id"), F.col("content").alias("_near_content"))
+        return x.join(F.broadcast(rows) if few else rows, F.col(id_col).eqNullSafe(F.col("_near_id")) & (content == F.col("_near_content")), how)
+
+    kept, repeated = matched(docs, told.where("copy"), "left_anti"), told.where("not copy")
+    if repeated.isEmpty():
+        return kept
+    once = matched(kept, repeated, "left_semi").withColumn("_near_content", content).dropDuplicates([id_col, "_near_content"])
+    return matched(kept, repeated, "left_anti").unionByName(once.select(*docs.columns))
