@@ -154,7 +154,7 @@ def parity(tokens: np.ndarray) -> np.ndarray:
 
 
 def _needed_sets(rows: DataFrame, width: int, holders: DataFrame, needed: DataFrame, number, whole: bool = True) -> DataFrame:
-    """(node, tokens) of the needed sets, or (node, bits) with their parity maps, made again from one row of each.
+    """(node, bits, tokens) of the needed sets, or (node, bits): their parity maps alone, made again from one row of each.
 
     holders: (node, row), a row's hash for each set. A filter of needed hashes, whose size follows their number up to a
     constant bound, goes to the tasks, which shingle only rows that it lets through.
@@ -167,7 +167,7 @@ def _needed_sets(rows: DataFrame, width: int, holders: DataFrame, needed: DataFr
     mask = np.zeros(words, np.int64)
     mask[held.column("w").to_numpy()] = held.column("bits").to_numpy()
     shared = rows.sparkSession.sparkContext.broadcast(mask.view(np.uint64))
-    name = "tokens" if whole else "bits"
+    columns = ["bits", "tokens"] if whole else ["bits"]
 
     def wanted(row: np.ndarray) -> np.ndarray:
         at = row % np.int64(words * 64)
@@ -183,23 +183,33 @@ def _needed_sets(rows: DataFrame, width: int, holders: DataFrame, needed: DataFr
                     nodes.append(node)
                     kept.append(s)
             if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists(kept if whole else [parity(s) for s in kept])], names=["node", name])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _lists([parity(s) for s in kept]), *([_lists(kept)] if whole else [])], names=["node", *columns])
 
     keyed = rows.select(F.xxhash64(rows.columns[0]).alias("row"), rows.columns[1])
     wanted_nodes = needed.select("node")
-    found = keyed.mapInArrow(run, f"node long, {name} array<long>").join(F.broadcast(wanted_nodes) if few else wanted_nodes, "node", "left_semi")
-    return found.groupBy("node").agg(F.first(name).alias(name))
+    found = keyed.mapInArrow(run, ", ".join(["node long", *(f"{c} array<long>" for c in columns)])).join(F.broadcast(wanted_nodes) if few else wanted_nodes, "node", "left_semi")
+    return found.groupBy("node").agg(*(F.first(c).alias(c) for c in columns))
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (x, y, ...) with inter, the number of common tokens. Few pairs go to the sets, so that only theirs are shuffled."""
+def _differ(a: str, b: str) -> Column:
+    """Bits in which two parity maps differ: a lower bound of the tokens that only one set has."""
+    return reduce(lambda x, y: x + y, (F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(PARITY // 64)))
+
+
+def _with_ends(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """pairs (x, y, ...) with the column of both ends as x_ and y_. Few pairs go to the sets, so that only theirs are shuffled."""
+    of_y = sets
     if pairs.count() <= BROADCAST_PAIRS:
         pairs = F.broadcast(pairs)
-        sets_y = sets.join(F.broadcast(pairs.select(F.col("y").alias("node")).distinct()), "node", "left_semi")
-    else:
-        sets_y = sets
-    x, y = sets.select(F.col("node").alias("x"), F.col("tokens").alias("tx")), sets_y.select(F.col("node").alias("y"), F.col("tokens").alias("ty"))
-    return pairs.join(x, "x").join(y, "y").withColumn("inter", F.size(F.array_intersect("tx", "ty"))).drop("tx", "ty")
+        of_y = sets.join(F.broadcast(pairs.select(F.col("y").alias("node")).distinct()), "node", "left_semi")
+    x, y = sets.select(F.col("node").alias("x"), F.col(column).alias("x_")), of_y.select(F.col("node").alias("y"), F.col(column).alias("y_"))
+    return pairs.join(x, "x").join(y, "y")
+
+
+def _overlaps(pairs: DataFrame, sets: DataFrame, apart: Column) -> DataFrame:
+    """pairs (x, y, ...) with inter, the number of common tokens; without those whose parity maps show that more than apart tokens differ."""
+    near = materialise(_with_ends(pairs, sets, "bits").where(_differ("x_", "y_") <= apart).drop("x_", "y_"), "near-pairs")
+    return _with_ends(near, sets, "tokens").withColumn("inter", F.size(F.array_intersect("x_", "y_"))).drop("x_", "y_")
 
 
 def _relabelled(comp: DataFrame, merged: DataFrame) -> DataFrame:
@@ -300,7 +310,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     pairs = materialise(promising(pairs.unionByName(stars).distinct()), "first-pairs")
     sets = fetch(_ends(pairs), "needed-sets")
     release(spark)
-    first = materialise(_overlaps(pairs, sets), "first-overlaps")
+    apart = F.col("n") + F.col("m") - 2 * need(F.col("n"), F.col("m"))
+    first = materialise(_overlaps(pairs, sets, apart), "first-overlaps")
     discard(pairs)
     release(spark)
     linked = materialise(first.where(links(F.col("n"), F.col("m"), F.col("inter"))).select(F.col("x").alias("a"), F.col("y").alias("b")), "first-links")
@@ -322,10 +333,6 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
         more = materialise(_ends(pairs).join(sets.select("node"), "node", "left_anti"), "more-needed")
         return sets if more.isEmpty() else sets.unionByName(fetch(more, "needed-sets"))
 
-    def differ(a: str, b: str):
-        """Bits in which two parity maps differ: a lower bound of the tokens that only one set has."""
-        return reduce(lambda x, y: x + y, (F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(PARITY // 64)))
-
     opened = materialise(open_lists(comp), "open-lists")
     medium = (F.col("held") <= MEDIUM_LIST) & (F.col("part") < 0)
     met = first.select(F.col("x").alias("node"), F.col("y").alias("leader"), "inter").distinct()
@@ -354,7 +361,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
 
     def new_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Components (a, b) that sure pairs, or those whose sets overlap enough, connect."""
-        tested = _overlaps(pairs.where("not sure"), sets).where(links(F.col("n"), F.col("m"), F.col("inter")))
+        tested = _overlaps(pairs.where("not sure"), sets, apart).where(links(F.col("n"), F.col("m"), F.col("inter")))
         found = tested.select("c", "d").unionByName(pairs.where("sure").select("c", "d"))
         return materialise(found.select(F.col("c").alias("a"), F.col("d").alias("b")).distinct(), "new-links")
 
@@ -369,7 +376,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     x = turns.withColumn("b", F.array(*(F.lag(F.struct(*met_by), k).over(order) for k in range(1, NEIGHBOURS + 1))))
     x = x.select("*", F.explode("b").alias("_b")).select(*x.columns, *(F.col(f"_b.{c}").alias(f"{c}_b") for c in met_by)).where("node_b is not null")
     n, m = F.col("n"), F.col("n_b")
-    x = x.where((F.col("component") != F.col("component_b")) & may_link(n, F.col("pos"), m, F.col("pos_b")) & (differ("bits", "bits_b") <= n + m - 2 * need(n, m)))
+    x = x.where((F.col("component") != F.col("component_b")) & may_link(n, F.col("pos"), m, F.col("pos_b")) & (_differ("bits", "bits_b") <= n + m - 2 * need(n, m)))
     few = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("node_b", "turn").alias("h"), F.col("node_b").alias("y"), F.col("n_b").alias("m"), F.col("component_b").alias("d")))), 1, PARTNERS)
     x = x.groupBy("node", "n", "component", "turn").agg(few.alias("p"))
     x = x.select(F.col("node").alias("x"), "n", F.col("component").alias("c"), F.explode("p").alias("p")).select("x", "n", "c", "p.y", "p.m", "p.d")
@@ -394,7 +401,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     left = materialise(left, "open-members")
     # short prefixes travel with the postings: a pair is made once, at its first common token, and only if enough tokens follow
     both = F.array_intersect("prefix_a", "prefix_b")
-    fine &= (differ("bits_a", "bits_b") <= na + nb - 2 * need(na, nb)) & F.coalesce((F.size(both) >= common(na, nb)) & (F.get(both, F.lit(0)) == F.col("token_a")), F.lit(True))
+    fine &= (_differ("bits_a", "bits_b") <= na + nb - 2 * need(na, nb)) & F.coalesce((F.size(both) >= common(na, nb)) & (F.get(both, F.lit(0)) == F.col("token_a")), F.lit(True))
     a, b = joined(left, (*carry, "prefix", "bits"))
     pairs = materialise(paired(a.withColumn("token_a", F.col("token")), b, fine), "last-pairs")
     discard(left)
