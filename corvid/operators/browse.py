@@ -74,10 +74,10 @@ def brief_lines(passages: DataFrame) -> DataFrame:
 
 
 def http_status(body: Column | str, query: Column | str, most: int = 1000, most_bytes: int = 8192) -> Column:
-    """413 for an oversized body, 400 for one that isn't an object or has too long a query, else 200."""
+    """413 for an oversized body, 400 for one that isn't a JSON object or has too long a query, else 200."""
     b = F.col(body) if isinstance(body, str) else body
     q = F.col(query) if isinstance(query, str) else query
-    return F.when(F.octet_length(b) > most_bytes, 413).when(~F.rlike(F.coalesce(b, F.lit("")), F.lit("(?s)^\\s*\\{.*\\}\\s*$")) | (F.length(q) > most), 400).otherwise(200)
+    return F.when(F.octet_length(b) > most_bytes, 413).when(~F.rlike(F.coalesce(b, F.lit("")), F.lit("(?s)^\\s*\\{.*\\}\\s*$")) | F.try_parse_json(b).isNull() | (F.length(q) > most), 400).otherwise(200)
 
 
 def verses(text: Column | str) -> Column:

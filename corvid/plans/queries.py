@@ -394,9 +394,12 @@ def client_keys(spark, d):
     return x.select("user_id", limiter.client_key("secret", F.col("user_id").cast("string")).alias("client_key"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN octet_length(encode(text)) > 300 THEN 413 WHEN length(text) > 100 THEN 400 ELSE 200 END AS status FROM (SELECT conv_id, turn, '{' || text || '}' AS text FROM conversations)")
+@query(r"""SELECT conv_id, turn, CASE WHEN octet_length(encode(body)) > 300 THEN 413 WHEN NOT json_valid(body) OR length(body) > 100 THEN 400 ELSE 200 END AS status
+FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '{"text": "' || regexp_replace(text, '["\\\x00-\x1F]', ' ', 'g') || '"}' ELSE '{' || text || '}' END AS body FROM conversations)""")
 def http_guards(spark, d):
-    body = F.concat(F.lit("{"), "text", F.lit("}"))
+    """Bodies of even turns are JSON objects, those of odd ones are not."""
+    valid = F.concat(F.lit('{"text": "'), F.regexp_replace("text", r'["\\\x00-\x1F]', " "), F.lit('"}'))
+    body = F.when(F.col("turn") % 2 == 0, valid).otherwise(F.concat(F.lit("{"), "text", F.lit("}")))
     return table(spark, d, "conversations").select("conv_id", "turn", browse.http_status(body, body, 100, 300).alias("status"))
 
 

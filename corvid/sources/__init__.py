@@ -47,7 +47,8 @@ def corpus(parts: list[DataFrame]) -> DataFrame:
     for p in parts:
         q = p.withColumn("ord", F.col("ord") + base)
         out = q if out is None else out.unionByName(q, allowMissingColumns=True)
-        base += (p.agg(F.max("ord")).first()[0] or -1) + 1
+        last = p.agg(F.max("ord")).first()[0]
+        base += 0 if last is None else last + 1
     return out
 
 
@@ -85,12 +86,18 @@ def existing_rows(spark: SparkSession, path: str) -> int:
 
 
 def publish(df: DataFrame, path: str) -> None:
-    """Write beside the target, then swap by rename: a reader sees the old or the new table, never a part."""
+    """Write beside the target, then swap by two renames: a reader sees the old or the new table, or for a moment none, never a part.
+
+    An empty table is never published: it is an error, and the old one stays.
+    """
     spark = df.sparkSession
     stage, old = f"{path}.stage-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.parquet(stage)
     P = spark._jvm.org.apache.hadoop.fs.Path
     fs = P(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if spark.read.schema(df.schema).parquet(stage).isEmpty():
+        fs.delete(P(stage), True)
+        raise ValueError(f"{path}: an empty table is not published")
     had = fs.exists(P(path)) and fs.rename(P(path), P(old))
     if not fs.rename(P(stage), P(path)):
         if had:
