@@ -133,14 +133,14 @@ def slots(sequences: list[tuple[tuple[int, ...], int]], max_len: int) -> dict[in
     return {k: dict(zip(("rank", "each", "sequence", "offset"), np.array(v, np.int64).T, strict=True)) for k, v in out.items()}
 
 
-def tokenised_pieces(docs: DataFrame, tokenizer_path: str, max_len: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenised_pieces(docs: DataFrame, tokenizer_path: str, max_len: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", room: int = tokenizing.MEMO_BYTES) -> DataFrame:
     """Each document's ids, ended by end_id and cut into pieces of max_len, of which the first may be shorter.
 
     shard and local_rank number the pieces of each length within the task that wrote them.
     """
 
     def run(batches):
-        encode, shard, ranks = tokenizing.byte_level(tokenizer_path), TaskContext.get().partitionId(), Counter()
+        encode, shard, ranks = tokenizing.byte_level(tokenizer_path, room), TaskContext.get().partitionId(), Counter()
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 ids, texts = b.column(0).slice(at, 256), b.column(1).slice(at, 256).to_pylist()
@@ -162,7 +162,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, max_len: int, end_id:
     return rows.mapInArrow(run, PIECES.format(id=rows.schema["doc_id"].dataType.simpleString()))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", room: int = tokenizing.MEMO_BYTES) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit), sequence_id, offset.
 
     Pieces are tokenised once into the shared folder. Their length histogram is fitted by patterns of one to three
@@ -170,11 +170,13 @@ def pack(docs: DataFrame, tokenizer_path: str, max_len: int = 1024, end_id: int
     A piece's rank among those of its length is the rank within its task plus the task's offset; the rank alone decides
     its place, so no group is gathered anywhere.
 
+    room: bytes of units that a worker remembers; fewer cost time, never another result.
+
     Nulls: a null text is empty and gives one piece, the end id; a null id is kept. Empty table: empty result. Repeated
     rows and ids: each row is packed. Ties of length: by task, then order in the task. Other columns aren't read.
     """
     spark = docs.sparkSession
-    pieces = materialise(tokenised_pieces(docs, tokenizer_path, max_len, end_id, id_col, text_col), "pieces")
+    pieces = materialise(tokenised_pieces(docs, tokenizer_path, max_len, end_id, id_col, text_col, room), "pieces")
     counts = materialise(pieces.groupBy("shard", "length").agg(F.count("*").alias("n")), "piece-counts")
     histogram = np.zeros(max_len + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():  # at most max_len rows

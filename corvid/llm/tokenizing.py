@@ -46,9 +46,9 @@ class _Memo(dict):
     Two generations: when the young one is full it becomes the old one, from which units in use move back; rare units go.
     """
 
-    def __init__(self, encode):
+    def __init__(self, encode, room: int = MEMO_BYTES):
         super().__init__()
-        self.encode, self.old, self.used = encode, {}, 0
+        self.encode, self.old, self.used, self.room = encode, {}, 0, room
 
     def __missing__(self, unit):
         value = self.old.get(unit)
@@ -57,7 +57,7 @@ class _Memo(dict):
             if len(unit) > MEMO_CHARS:
                 return value
         self.used += ENTRY_BYTES + len(unit) + (len(value) if isinstance(value, bytes) else 0)
-        if self.used > MEMO_BYTES // 2:
+        if self.used > self.room // 2:
             self.old, self.used = dict(self), 0
             self.clear()
         self[unit] = value
@@ -71,7 +71,7 @@ def _byte_letters() -> dict[int, int]:
 
 
 @lru_cache(maxsize=4)
-def byte_level(path: str):
+def byte_level(path: str, room: int = MEMO_BYTES):
     """texts -> the ids of each as little-endian unsigned 32-bit bytes, for a byte-level .json tokenizer."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -91,7 +91,7 @@ def byte_level(path: str):
             return array.array("I", word(unit)).tobytes()
         return array.array("I", tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
 
-    ids = _Memo(encode).__getitem__
+    ids = _Memo(encode, room).__getitem__
 
     def run(texts: list[str]) -> list[bytes]:
         claim(path, byte_level.cache_clear)
