@@ -31,7 +31,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), max_len=1024, end_id=2)
+    # an executor still holds what the stages before it took: less room for units than packing alone has
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), max_len=1024, end_id=2, room=90 << 20)
 
 
 STAGES = [
