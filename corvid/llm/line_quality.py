@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialise, text_or_empty
 
-#: A line is boilerplate of a host if more than LINE_DOCS of its distinct texts and more than LINE_SHARE of them hold it.
-LINE_DOCS, LINE_SHARE = 20, 0.002
+#: A line is boilerplate of a host if more than LINE_DOCS of its documents hold it, at every size of the host.
+LINE_DOCS = 20
 #: A document is depleted if fewer than LEFT_WORDS words, or less than LEFT_SHARE of them, are outside such lines.
 LEFT_WORDS, LEFT_SHARE = 20, 0.3
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -32,7 +32,7 @@ def _base(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFra
     lines = F.filter(F.split("t", "\n", -1), lambda v: F.length(F.btrim(v, F.lit(" \t\n\x0b\f\r"))) > 0)
     x = x.withColumn("l", lines)
     return x.select(
-        "id", "host", "t", F.xxhash64("t").alias("content"), "n_words",
+        "id", "host", "t", "n_words",
         F.aggregate("w", F.lit(0).cast("long"), lambda a, v: a + F.length(v)).alias("word_chars"),
         F.length(F.regexp_replace("t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
@@ -49,18 +49,14 @@ def _key() -> Column:
     return F.coalesce(F.concat(F.lit("h"), F.col("host")), F.lit("n"))
 
 
-def _boilerplate(x: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of (row, host, content, lines): the lines above the limits (host, h), and the frequent lines that rows hold."""
-    host = _key().alias("host")
-    frequent = x.select(host, F.explode(F.array_distinct(F.transform("lines", lambda v: v["h"]))).alias("h")).groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > LINE_DOCS)
-    frequent = materialise(frequent, "frequent-lines")
-    # distinct texts: of the host, and of each frequent line
-    texts = materialise(x.select(host, "content").distinct().groupBy("host").agg(F.count("*").alias("texts")), "host-texts")
-    held = x.select("row", host, "content", F.explode("lines").alias("v")).select("row", "host", "content", F.col("v.h").alias("h"), F.col("v.n").alias("n"))
-    held = materialise(held.join(frequent.select("host", "h"), ["host", "h"]).groupBy("row", "host", "content", "h").agg(F.sum("n").alias("n")), "held-lines")
-    counts = held.select("host", "h", "content").distinct().groupBy("host", "h").agg(F.count("*").alias("docs"))
-    above = counts.join(texts, "host").where((F.col("docs") > LINE_DOCS) & (F.col("docs") > LINE_SHARE * F.col("texts"))).select("host", "h")
-    return materialise(above, "boilerplate-lines"), held
+def _above(x: DataFrame) -> DataFrame:
+    """Of rows with host and lines: the lines above the limit (host, h). Each row is a document and counts once a line."""
+    each = x.select(_key().alias("host"), F.explode(F.array_distinct(F.transform("lines", lambda v: v["h"]))).alias("h"))
+    return materialise(each.groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > LINE_DOCS).select("host", "h"), "boilerplate-lines")
+
+
+def _few(above: DataFrame) -> bool:
+    return above.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
 
 
 def _verdict() -> tuple[Column, Column]:
@@ -78,17 +74,18 @@ def _line_hash(line: Column) -> Column:
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per input row: id, n_words, base figures, base_failed, boilerplate_words, kept.
 
-    Lines are compared by their words in lower case. Their documents are counted per host (here the source); a line's
-    distinct texts count, so that copies of one document don't make its own lines boilerplate. Counting is partial before
-    the shuffle, the few frequent lines are written, and only they are joined back.
+    Lines are compared by their words in lower case. The documents that hold a line are counted per host (here the source):
+    rows, exact copies too. Counting is partial before the shuffle, the few lines above the limit are written, and only
+    they are joined back.
 
     Nulls: a null text has no words and fails; null hosts are one host; a null id is kept. Empty table: empty result.
     Repeated rows and ids: each row is judged alone. Other columns aren't read.
     """
     x = materialise(_base(docs, id_col, text_col, host_col).drop("t").withColumn("row", F.monotonically_increasing_id()), "line-figures")
-    above, held = _boilerplate(x)
-    removed = held.join(above, ["host", "h"]).groupBy("row").agg(F.sum("n").alias("boilerplate_words"))
-    x = x.drop("lines", "host", "content").join(removed, "row", "left").withColumn("boilerplate_words", F.coalesce("boilerplate_words", F.lit(0)))
+    above = _above(x)
+    held = x.select("row", _key().alias("host"), F.explode("lines").alias("v")).select("row", "host", F.col("v.h").alias("h"), F.col("v.n").alias("n"))
+    removed = held.join(F.broadcast(above) if _few(above) else above, ["host", "h"]).groupBy("row").agg(F.sum("n").alias("boilerplate_words"))
+    x = x.drop("lines", "host").join(removed, "row", "left").withColumn("boilerplate_words", F.coalesce("boilerplate_words", F.lit(0)))
     failed, kept = _verdict()
     return x.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed, "boilerplate_words", kept)
 
@@ -100,9 +97,8 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     A null text gives an empty one. Rows that aren't kept have their text too.
     """
     base = _base(docs, id_col, text_col, host_col)
-    found = materialise(base.select("host", "content", "lines").withColumn("row", F.monotonically_increasing_id()), "line-figures")
-    above, _ = _boilerplate(found)
-    few = above.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    above = _above(base.select("host", "lines"))
+    few = _few(above)
     gone = above.groupBy("host").agg(F.collect_set("h").alias("gone")).withColumnRenamed("host", "key")
     x = base.join(F.broadcast(gone) if few else gone, _key() == F.col("key"), "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<bigint>")))
     x = x.withColumn("boilerplate_words", F.aggregate(F.filter("lines", lambda v: F.array_contains("gone", v["h"])), F.lit(0).cast("long"), lambda a, v: a + v["n"]))
@@ -123,8 +119,7 @@ p AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2])
 l AS (SELECT r, host, t, unnest(string_split(t, chr(10))) AS line FROM w),
 lw AS (SELECT *, lower(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ')) AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
 u AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lw WHERE n > 0 GROUP BY r),
-texts AS (SELECT host, count(DISTINCT t) AS texts FROM d GROUP BY host),
-f AS (SELECT host, h FROM (SELECT host, h, count(DISTINCT t) AS c FROM lw WHERE n > 0 GROUP BY host, h) JOIN texts USING (host) WHERE c > {LINE_DOCS} AND c > CAST({LINE_SHARE} AS DOUBLE) * texts),
+f AS (SELECT host, h FROM lw WHERE n > 0 GROUP BY host, h HAVING count(DISTINCT r) > {LINE_DOCS}),
 b AS (SELECT r, sum(n) AS n FROM lw JOIN f USING (host, h) WHERE n > 0 GROUP BY r),
 a AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(u.n, 0) AS BIGINT) AS n_dup_lines,

@@ -218,19 +218,18 @@ def plain_quality(rows):
     import re
 
     word = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
-    held, texts = defaultdict(set), defaultdict(set)
-    for _, t, s in rows:
-        texts[s].add(t or "")
+    held = defaultdict(set)
+    for row, (_, t, s) in enumerate(rows):
         for v in (t or "").split("\n"):
             if word(v):
-                held[s, " ".join(word(v)).lower()].add(t or "")
+                held[s, " ".join(word(v)).lower()].add(row)
     out = []
     for i, t, s in rows:
         t = t or ""
         w, lines = word(t), [v for v in t.split("\n") if word(v)]
         windows = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
         covered = {k + j for k, x in enumerate(windows) if windows.count(x) > 1 for j in range(3)} if len(windows) < 3000 else set(range(len(w)))
-        removed = sum(len(word(v)) for v in lines if len(held[s, " ".join(word(v)).lower()]) > max(line_quality.LINE_DOCS, line_quality.LINE_SHARE * len(texts[s])))
+        removed = sum(len(word(v)) for v in lines if len(held[s, " ".join(word(v)).lower()]) > line_quality.LINE_DOCS)
         failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
         left = len(w) - removed
         out.append((str(i), len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), failed, removed, not failed and not (removed and (left < line_quality.LEFT_WORDS or left < line_quality.LEFT_SHARE * len(w)))))
@@ -259,6 +258,9 @@ def test_lines_above_limits_leave_the_text(spark):
     out = line_quality.cleaned(df)
     got = {r["doc_id"]: r["clean_text"] for r in out.collect()}
     assert all(got[i] == t.replace("All  RIGHTS reserved\n", "") for i, t, *_ in rows[:60]) and got[60] == "" and got[61] == rows[61][1] and got[900] == ""
+    licence = docs(spark, [(i, "one licence line\nand its text " + "w " * 60, "en", "s", 0) for i in range(21)] + [(50 + i, "rare line", "en", "s", 0) for i in range(20)])
+    got = {r["doc_id"]: r["clean_text"] for r in line_quality.cleaned(licence).collect()}
+    assert {got[i] for i in range(21)} == {""} and {got[50 + i] for i in range(20)} == {"rare line"}  # exact copies are documents too
     key = lambda r: tuple(map(str, r))
     assert sorted(map(key, out.drop("clean_text").collect())) == sorted(map(key, line_quality.quality(df).collect()))
     assert line_quality.cleaned(empty(spark)).count() == 0
