@@ -444,3 +444,16 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         return kept
     once = matched(kept, repeated, "left_semi").withColumn("_near_content", content).dropDuplicates([id_col, "_near_content"])
     return matched(kept, repeated, "left_anti").unionByName(once.select(*docs.columns))
+
+
+#: DuckDB: the rows of op7, from all pairs that share a shingle.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS h FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS shared FROM s a JOIN s b ON a.h = b.h AND a.r <> b.r GROUP BY a.r, b.r),
+l AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * shared >= 85 * (a.n + b.n - shared)),
+reach AS (SELECT r AS x, r AS y FROM d UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x),
+c AS (SELECT reach.x AS r, min(e.doc_id) AS component_id FROM reach JOIN d e ON e.r = reach.y GROUP BY reach.x)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM d JOIN c USING (r) LEFT JOIN n USING (r)
+"""
