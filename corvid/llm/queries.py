@@ -39,7 +39,7 @@ def op4_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind):
         return F.size(F.filter("pii", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
 
-    return x.select("doc_id", *map(count, pii.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    return x.select("doc_id", *map(count, pii.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"))
 
 
 def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +77,4 @@ def op10_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mtree_topk, op2_token_counts, op3_pattern_packing, op4_boosted_pii, op5_line_frequency, op5_line_removal, op6_centroid_language, op7_jaccard_join, op8_systematic_mix, op9_dom_model_text, op10_warc_index_merge)}
 
-ORACLES: dict[str, str] = {"op1_mtree_topk": mtree.ORACLE, "op5_line_frequency": line_quality.ORACLE, "op5_line_removal": line_quality.CLEAN_ORACLE, "op8_systematic_mix": mixing.ORACLE.format(docs="documents"), "op10_warc_index_merge": warc.ORACLE}
+ORACLES: dict[str, str] = {"op1_mtree_topk": mtree.ORACLE, "op5_line_frequency": line_quality.ORACLE, "op5_line_removal": line_quality.CLEAN_ORACLE, "op7_jaccard_join": jaccard_join.ORACLE, "op8_systematic_mix": mixing.ORACLE.format(docs="documents"), "op10_warc_index_merge": warc.ORACLE}
