@@ -28,7 +28,7 @@ from .components import connected_components
 #: A shingle is reported by a task if it is in so many of the sets it looks at together; the most frequent ones order last.
 LOCAL_MIN, FREQUENT = 4, 100_000
 #: Lists of at most so many sets are decided whole at once; up to the second bound, whole but for pairs inside a component.
-SHORT_LIST, MEDIUM_LIST = 8, 64
+SHORT_LIST, MEDIUM_LIST = 8, 16
 #: Sets that a list of a frequent shingle has at most, about; a longer one is dealt into lists with leaders of their own, which form one more list.
 HOT_LIST = 50_000
 #: Tokens of a prefix that is carried along in an open list; longer ones are looked at pair by pair.
