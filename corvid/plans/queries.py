@@ -147,13 +147,8 @@ def dedupe_first_wins(spark, d):
     return _docs(spark, d).groupBy(F.sha2(X.search_form("text"), 256)).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
-@query("SELECT 'doc-' || lpad(CAST(row_number() OVER (ORDER BY doc_id) AS VARCHAR), 6, '0') AS id, doc_id FROM documents WHERE lang = 'fr'")
-def dense_ids(spark, d):
-    return ingest._numbered(_docs(spark, d).where("lang = 'fr'").withColumn("ord", F.col("doc_id")), "doc-").select("id", "doc_id")
-
-
 @query("SELECT 'doc-' || lpad(n, greatest(6, length(n))::INT, '0') AS id, doc_id FROM (SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) AS VARCHAR) AS n FROM documents)")
-def dense_ids_all(spark, d):
+def dense_ids(spark, d):
     return ingest._numbered(_docs(spark, d).select("doc_id", F.col("doc_id").alias("ord")), "doc-").select("id", "doc_id")
 
 
@@ -165,19 +160,11 @@ def merge_facets(spark, d):
     return x.select(F.get("f", F.lit(0))["m"].alias("doc_id"), F.array_join(F.transform("f", lambda v: v["source"]), "|").alias("sources"))
 
 
-@query(f"""WITH x AS (SELECT doc_id, list_filter(string_split({S.norm('b.text')}, ' '), lambda t: length(t) >= 3) AS n, string_split({S.norm('d.text')}, ' ') AS h FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)
-SELECT doc_id, round(CASE WHEN len(n) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(n, lambda t: list_contains(h, t)))::DOUBLE / len(n) END, 6) AS ratio FROM x""")
-def overlap_ratio(spark, d):
-    b = _items(spark, d).select("item_id", F.col("text").alias("needle"))
-    x = _docs(spark, d).join(registry.small(b), F.col("doc_id") % 40 == F.col("item_id"))
-    return x.select("doc_id", F.round(X.overlap_ratio("needle", "text", X.search_form), 6).alias("ratio"))
-
-
 @query(f"""WITH b AS (SELECT item_id, list_filter(string_split({S.norm('text')}, ' '), lambda t: length(t) >= 3) AS n FROM benchmark), d AS (SELECT row_number() OVER () AS r, doc_id, string_split({S.norm('text')}, ' ') AS h FROM documents),
 w AS (SELECT item_id, len(n) AS n, unnest(n) AS t FROM b), v AS (SELECT r, doc_id, unnest(list_distinct(h)) AS t FROM d)
 SELECT item_id, doc_id, round(count(*)::DOUBLE / n, 6) AS ratio FROM w JOIN v USING (t) GROUP BY item_id, n, r, doc_id UNION ALL SELECT item_id, doc_id, 1.0::DOUBLE FROM b, d WHERE len(n) = 0""")
-def overlap_ratio_all(spark, d):
-    """overlap_ratio of every item with every document; pairs without a common word (ratio 0) have no row."""
+def overlap_ratio(spark, d):
+    """Overlap ratio of every item with every document; pairs without a common word (ratio 0) have no row."""
     x = retrieval.overlap_pairs(_items(spark, d), _docs(spark, d), "item_id", "text", "doc_id", "text")
     return x.select("item_id", "doc_id", F.round("ratio", 6).alias("ratio"))
 
@@ -375,13 +362,8 @@ def coverage_counts(spark, d):
     return _docs(spark, d).groupBy("lang", "source").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) > 24 AS compact FROM documents WHERE lang = 'de'")
-def display_split(spark, d):
-    return browse.display_split(_docs(spark, d).where("lang = 'de'").select("doc_id"), "doc_id").select("doc_id", "compact")
-
-
 @query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) > 24 AS compact FROM documents")
-def display_split_all(spark, d):
+def display_split(spark, d):
     return browse.display_split(_docs(spark, d).select("doc_id"), "doc_id").select("doc_id", "compact")
 
 
