@@ -9,8 +9,9 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space that separates words in every operator here: space, and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -95,3 +96,10 @@ def claim(owner: str, forget=None) -> None:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def row_beside(df: DataFrame, columns: list[str], added: str, value: Column, kind: str) -> tuple[DataFrame, T.StructType]:
+    """(row: a struct of the columns, added: value), in which no column's name can clash, and the schema of row beside the fields of kind, which a task returns."""
+    row = F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.lit(None).cast("struct<none: int>")
+    held = df.select(row.alias("row"), value.alias(added))
+    return held, T.StructType([held.schema["row"], *T.StructType.fromDDL(kind).fields])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, jaccard_join, language_id, line_quality, mixing, mtree, packing, pii, token_counts, warc
+from . import byte_bpe, html_text, jaccard_join, language_id, line_quality, mixing, mtree, packing, periodic_runs, pii, token_counts, warc, whitening
 from .common import table
 
 
@@ -75,6 +75,29 @@ def op10_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mtree_topk, op2_token_counts, op3_pattern_packing, op4_boosted_pii, op5_line_frequency, op5_line_removal, op6_centroid_language, op7_jaccard_join, op8_systematic_mix, op9_dom_model_text, op10_warc_index_merge)}
+def op11_byte_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    x = byte_bpe.round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), 256)
+    return x.select("doc_id", "n_tokens", ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = periodic_runs.with_runs(periodic_runs.planted(table(spark, sf_dir, "documents")))
+    # the greatest exact length / period, then the smallest start, then period: runs come in that order, so the first of the greatest stays
+    larger = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    none = F.lit(None).cast("struct<start: long, length: long, period: long>")
+    best = F.aggregate("runs", none, lambda best, r: F.when(larger(best, r), r).otherwise(best))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    x = x.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return x.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mtree_topk, op2_token_counts, op3_pattern_packing, op4_boosted_pii, op5_line_frequency, op5_line_removal, op6_centroid_language, op7_jaccard_join, op8_systematic_mix, op9_dom_model_text, op10_warc_index_merge, op11_byte_bpe_transducer, op12_periodic_runs, op13_whitening)}
 
 ORACLES: dict[str, str] = {"op1_mtree_topk": mtree.ORACLE, "op5_line_frequency": line_quality.ORACLE, "op5_line_removal": line_quality.CLEAN_ORACLE, "op7_jaccard_join": jaccard_join.ORACLE, "op8_systematic_mix": mixing.ORACLE.format(docs="documents"), "op10_warc_index_merge": warc.ORACLE}
