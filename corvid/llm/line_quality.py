@@ -19,7 +19,7 @@ def words(text: Column) -> Column:
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """The base figures, and lines: an array of (hash of the line's words in lower case, words) a document."""
+    """The base figures, and lines: an array of (hash of the line's words in lower case, words, place from 1) of a document's lines with words."""
     text = text_or_empty(text_col)
     x = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), text.alias("t")).withColumn("w", words(F.col("t")))
     x = x.withColumn("n_words", F.size("w").cast("long"))
@@ -29,15 +29,15 @@ def _base(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFra
     same = lambda a, b: F.coalesce(F.get("s", a)["h"] == F.get("s", b)["h"], F.lit(False))
     twice = F.filter("s", lambda v, k: same(k, k + 1) | same(k, k - 1))
     covered = F.array_distinct(F.flatten(F.transform(twice, lambda v: F.array(v["i"], v["i"] + 1, v["i"] + 2))))
-    lines = F.filter(F.split("t", "\n", -1), lambda v: F.length(F.btrim(v, F.lit(" \t\n\x0b\f\r"))) > 0)
-    x = x.withColumn("l", lines)
+    placed = F.transform(F.split("t", "\n", -1), lambda v, i: F.struct(v.alias("v"), (i + 1).alias("at")))
+    x = x.withColumn("l", F.filter(placed, lambda v: F.length(F.btrim(v["v"], F.lit(" \t\n\x0b\f\r"))) > 0))
     return x.select(
         "id", "host", "t", "n_words",
         F.aggregate("w", F.lit(0).cast("long"), lambda a, v: a + F.length(v)).alias("word_chars"),
         F.length(F.regexp_replace("t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
+        (F.size("l") - F.size(F.array_distinct(F.transform("l", lambda v: v["v"])))).cast("long").alias("n_dup_lines"),
         F.size(covered).cast("long").alias("n_repeat_words"),
-        F.transform("l", lambda v: F.struct(_line_hash(v).alias("h"), F.size(words(v)).alias("n"))).alias("lines"),
+        F.transform("l", lambda v: F.struct(_line_hash(v["v"]).alias("h"), F.size(words(v["v"])).alias("n"), v["at"].alias("at"))).alias("lines"),
     )
 
 
@@ -55,8 +55,15 @@ def _above(x: DataFrame) -> DataFrame:
     return materialise(each.groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > LINE_DOCS).select("host", "h"), "boilerplate-lines")
 
 
-def _few(above: DataFrame) -> bool:
-    return above.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+def _few(rows: DataFrame) -> bool:
+    return rows.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+
+
+def _removed(x: DataFrame, above: DataFrame) -> DataFrame:
+    """(row, boilerplate_words, places in order) of rows that hold lines above the limit: a join on (host, h)."""
+    held = x.select("row", _key().alias("host"), F.explode("lines").alias("v")).select("row", "host", "v.*")
+    met = held.join(F.broadcast(above) if _few(above) else above, ["host", "h"])
+    return met.groupBy("row").agg(F.sum("n").alias("boilerplate_words"), F.sort_array(F.collect_list("at")).alias("places"))
 
 
 def _verdict() -> tuple[Column, Column]:
@@ -83,8 +90,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     """
     x = materialise(_base(docs, id_col, text_col, host_col).drop("t").withColumn("row", F.monotonically_increasing_id()), "line-figures")
     above = _above(x)
-    held = x.select("row", _key().alias("host"), F.explode("lines").alias("v")).select("row", "host", F.col("v.h").alias("h"), F.col("v.n").alias("n"))
-    removed = held.join(F.broadcast(above) if _few(above) else above, ["host", "h"]).groupBy("row").agg(F.sum("n").alias("boilerplate_words"))
+    removed = _removed(x, above).drop("places")
     x = x.drop("lines", "host").join(removed, "row", "left").withColumn("boilerplate_words", F.coalesce("boilerplate_words", F.lit(0)))
     failed, kept = _verdict()
     return x.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed, "boilerplate_words", kept)
@@ -93,18 +99,19 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """quality(), and clean_text: the text without its lines above the limits; all other lines, blank ones too, stay in order.
 
-    Documents meet their host's few lines above the limits in a broadcast, so texts are neither written nor dealt out.
-    A null text gives an empty one. Rows that aren't kept have their text too.
+    Figures and texts are written once. The places of lines above the limit are found by the join that quality() makes, and each text is put
+    together from what stands between its own places. Few such rows are broadcast, so that texts stay where they are.
+    A null text gives an empty one. Rows that aren't kept have their text too. Repeated rows, ids, nulls and empty tables are as for quality().
     """
-    base = _base(docs, id_col, text_col, host_col)
-    above = _above(base.select("host", "lines"))
-    few = _few(above)
-    gone = above.groupBy("host").agg(F.collect_set("h").alias("gone")).withColumnRenamed("host", "key")
-    x = base.join(F.broadcast(gone) if few else gone, _key() == F.col("key"), "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<bigint>")))
-    x = x.withColumn("boilerplate_words", F.aggregate(F.filter("lines", lambda v: F.array_contains("gone", v["h"])), F.lit(0).cast("long"), lambda a, v: a + v["n"]))
-    # a line without words is never counted, so it stays
-    stays = lambda v: (F.size(words(v)) == 0) | ~F.array_contains("gone", _line_hash(v))
-    text = F.when(F.col("boilerplate_words") > 0, F.array_join(F.filter(F.split("t", "\n", -1), stays), "\n")).otherwise(F.col("t"))
+    x = materialise(_base(docs, id_col, text_col, host_col).withColumn("row", F.monotonically_increasing_id()), "lined-texts")
+    removed = materialise(_removed(x, _above(x)), "removed-lines")
+    x = x.drop("lines", "host").join(F.broadcast(removed) if _few(removed) else removed, "row", "left").withColumn("boilerplate_words", F.coalesce("boilerplate_words", F.lit(0)))
+    lines, last = F.split("t", "\n", -1), F.size(F.split("t", "\n", -1)) + 1
+    bounds = F.concat(F.array(F.lit(0)), "places", F.array(last))
+    between = F.transform(F.sequence(F.lit(1), F.size("places") + 1), lambda k: F.slice("split", F.get("bounds", k - 1) + 1, F.get("bounds", k) - F.get("bounds", k - 1) - 1))
+    held = F.col("places").isNotNull()
+    x = x.withColumns({"split": F.when(held, lines), "bounds": F.when(held, bounds)})
+    text = F.when(held, F.array_join(F.flatten(between), "\n")).otherwise(F.col("t"))
     failed, kept = _verdict()
     return x.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed, "boilerplate_words", kept, text.alias("clean_text"))
 
