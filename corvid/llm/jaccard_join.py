@@ -426,24 +426,25 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """One row of each component of docs: that of the smallest id, null ids last, then of the smallest hash of the text.
 
     A row without words is a component of its own and stays. Of rows that repeat both the id and the text of the one that
-    stays, any one does, whatever their other columns hold.
+    stays, any one does, whatever their other columns hold. Columns keep their names, whatever these are. Empty table: empty result.
     """
-    content = F.xxhash64(F.col(text_col))
-    key = F.struct(F.col(id_col).isNull().alias("without"), F.col(id_col).alias("id"), content.alias("content"))
-    found = jaccard_components(docs.select(key.alias("_near_key"), F.col(text_col).alias("_near_text")), width, percent, "_near_key", "_near_text")
-    per_key = found.where("n_shingles > 0").groupBy("_near_key").agg(F.max(F.col("_near_key") != F.col("component_id")).alias("copy"), F.count("*").alias("rows"))
-    told = materialise(per_key.where("copy or rows > 1").select("_near_key.id", "_near_key.content", "copy"), "near-copies")
+    docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # no column's name can clash
+    columns, ident = docs.schema["row"].dataType.names, F.col("row")[id_col]
+    content = F.xxhash64(F.col("row")[text_col])
+    key = F.struct(ident.isNull().alias("without"), ident.alias("id"), content.alias("content"))
+    found = jaccard_components(docs.select(key.alias("near_key"), F.col("row")[text_col].alias("near_text")), width, percent, "near_key", "near_text")
+    per_key = found.where("n_shingles > 0").groupBy("near_key").agg(F.max(F.col("near_key") != F.col("component_id")).alias("copy"), F.count("*").alias("rows"))
+    told = materialise(per_key.where("copy or rows > 1").select("near_key.id", "near_key.content", "copy"), "near-copies")
     few = told.count() <= BROADCAST_ROWS
 
     def matched(x: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-        rows = rows.select(F.col("id").alias("_near_id"), F.col("content").alias("_near_content"))
-        return x.join(F.broadcast(rows) if few else rows, F.col(id_col).eqNullSafe(F.col("_near_id")) & (content == F.col("_near_content")), how)
+        return x.join(F.broadcast(rows) if few else rows, ident.eqNullSafe(rows["id"]) & (content == rows["content"]), how)
 
     kept, repeated = matched(docs, told.where("copy"), "left_anti"), told.where("not copy")
-    if repeated.isEmpty():
-        return kept
-    once = matched(kept, repeated, "left_semi").withColumn("_near_content", content).dropDuplicates([id_col, "_near_content"])
-    return matched(kept, repeated, "left_anti").unionByName(once.select(*docs.columns))
+    if not repeated.isEmpty():
+        once = matched(kept, repeated, "left_semi").withColumns({"id": ident, "content": content}).dropDuplicates(["id", "content"])
+        kept = matched(kept, repeated, "left_anti").unionByName(once.select("row"))
+    return kept.select(*(F.col("row")[c].alias(c) for c in columns))
 
 
 #: DuckDB: the rows of op7, from all pairs that share a shingle.

@@ -313,7 +313,8 @@ def redacted(text: str | None, found: list[dict]) -> str | None:
 def redact(docs: DataFrame, text_col: str = "text", trees: Trees | None = None) -> DataFrame:
     """docs with each span replaced by its kind in angle brackets; n_chars follows where there is such a column.
 
-    Overlapping spans are replaced together, by the first one's kind. A null text stays null. Texts visit Python once.
+    Overlapping spans are replaced together, by the first one's kind. A null text stays null. Texts visit Python once. Columns keep their names,
+    whatever these are. Empty table: empty result. Repeated rows: each is redacted alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trees or model())
     kind = pa.struct([("text", pa.string()), ("changed", pa.bool_())])
@@ -327,8 +328,8 @@ def redact(docs: DataFrame, text_col: str = "text", trees: Trees | None = None)
             out += [{"text": redacted(t, f), "changed": bool(f)} for t, f in zip(part, find(part, shared.value), strict=True)]
         return pa.array(out, kind)
 
-    x = docs.withColumn("_pii", cut(F.col(text_col)))
-    new = {text_col: F.col("_pii.text")}
+    x = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), cut(F.col(f"`{text_col}`")).alias("cut"))  # no column's name can clash
+    new = {text_col: F.col("cut.text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_pii.changed"), F.length("_pii.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return x.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+        new["n_chars"] = F.when(F.col("cut.changed"), F.length("cut.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return x.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
