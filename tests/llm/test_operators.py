@@ -107,6 +107,19 @@ def test_token_counts_use_the_cache(spark, tmp_path):
     assert token_counts.token_counts(empty(spark), path).count() == 0
 
 
+def test_a_second_run_of_the_counting_query_encodes_nothing(spark, tmp_path):
+    from corvid.llm import queries
+
+    unique = f"never counted before {random.Random().random()}"
+    docs(spark, [(1, unique, "en", "s", 1), (2, unique, "en", "s", 1), (3, f"{unique} twice", "en", "s", 1)]).write.parquet(f"{tmp_path}/documents.parquet")
+    cache = token_counts.cache_of(spark, public_tokenizers.path("piece_bpe_32k.model"))
+    first = sorted(map(str, queries.op2_token_counts(spark, str(tmp_path)).collect()))
+    held = spark.read.parquet(cache).count()
+    assert sorted(map(str, queries.op2_token_counts(spark, str(tmp_path)).collect())) == first
+    assert spark.read.parquet(cache).count() == held
+    assert spark.read.parquet(cache).groupBy("content_digest").count().where("count > 1").where("content_digest = sha2('%s', 256)" % unique).count() == 0
+
+
 def test_packing_is_exact_and_gapless(spark):
     from tokenizers import Tokenizer
 
@@ -209,6 +222,8 @@ def test_redaction(spark):
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.where("doc_id < 10 or doc_id = 900").collect()}
     assert got == {1: ("é mail <EMAIL> now", 18), 2: ("card <CARD>.", 12), 3: ("clean 12 words", 14), 900: (None, None)}
     assert out.columns == df.columns and out.count() == df.count() and pii.redact(empty(spark)).count() == 0
+    named = pii.redact(df.withColumns({c: F.lit("kept") for c in ("_pii", "row", "cut")})).where("doc_id = 1").first()
+    assert (named["text"], named["_pii"], named["row"], named["cut"]) == ("é mail <EMAIL> now", "kept", "kept", "kept")
 
 
 # ---- 5
@@ -264,6 +279,14 @@ def test_lines_above_limits_leave_the_text(spark):
     key = lambda r: tuple(map(str, r))
     assert sorted(map(key, out.drop("clean_text").collect())) == sorted(map(key, line_quality.quality(df).collect()))
     assert line_quality.cleaned(empty(spark)).count() == 0
+    # many lines above the limit, in every place of a text
+    many = [(i, "\n".join(f"boiler line {v}" if v % 3 else f"own words {i} {v}" for v in range(i % 5, 90 + i % 7)), "en", None, 1) for i in range(40)]
+    got = {r["doc_id"]: r["clean_text"] for r in line_quality.cleaned(spark.createDataFrame(many, DOCS)).collect()}
+    held = defaultdict(set)
+    for i, t, *_ in many:
+        for v in t.split("\n"):
+            held[v].add(i)
+    assert got == {i: "\n".join(v for v in t.split("\n") if len(held[v]) <= line_quality.LINE_DOCS) for i, t, *_ in many}
 
 
 # ---- 6
@@ -372,6 +395,8 @@ def test_answers_derived_from_a_leader(spark):
 
 def test_jaccard_drops_all_but_the_first(spark):
     df = clashing(docs(spark, [(1, "a b c d e f", "en", "s", 0), (2, "A b c d e f", "en", "s", 0), (3, "other words in here now", "en", "s", 0), (3, "x y z a b c d e", "en", "s", 0), (4, "other words in here now", "en", "s", 0), (None, "one two three four five six", "fr", None, 1)]))
+    named = df.withColumns({c: F.lit("kept") for c in ("_near_id", "_near_content", "id", "content", "row", "near_key", "a.b")})
+    assert sorted(map(str, jaccard_join.drop_near_copies(named).select("doc_id", "text").collect())) == sorted(map(str, jaccard_join.drop_near_copies(df).select("doc_id", "text").collect()))
     kept = jaccard_join.drop_near_copies(df)
     # of repeated rows, and of copies without an id, one stays; id 3 stands for two different texts
     assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 3, 3, 900, 901, 902, 903, 904, None]))
