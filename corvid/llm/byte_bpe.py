@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import claim, row_beside, text_or_empty
-from .tokenizing import _Memo
+from .tokenizing import _Memo, units
 
 #: Compiled steps and pairs of tokens that a machine keeps (beyond, it begins anew), and places of a word that wait for the guesses to agree.
 STEPS, HELD = 600_000, 4096
+# Fixed value: the usual pattern, of which units() is known to cut texts only where it does.
+USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of words and their ids that a worker remembers.
 WORDS = 100 << 20
 #: Texts that a worker encodes at a time, and about the characters or ids of one result batch.
@@ -237,11 +239,16 @@ def _coder(path: str, pattern: str):
     """(text -> ids as little-endian unsigned 32-bit bytes, decoder) of a worker."""
     ranks = read_ranks(path)
     machine = Transducer(ranks)
-    split = regex.compile(pattern)
-    memo = _Memo(lambda word: np.array(machine.encode(word.encode()), "<u4").tobytes(), WORDS).__getitem__
+    split = regex.compile(pattern).findall
+
+    def coded(unit: str) -> bytes:
+        return np.array([i for word in split(unit) for i in machine.encode(word.encode())], "<u4").tobytes()
+
+    memo = _Memo(coded, WORDS).__getitem__
+    cut = units if pattern == USUAL else split
 
     def encode(text: str) -> bytes:
-        return b"".join(map(memo, split.findall(text)))
+        return b"".join(map(memo, cut(text)))
 
     return encode, Decoder(ranks)
 
@@ -305,7 +312,12 @@ def decode(coded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids"
         _, decoder = _claimed(ranks_path, pattern)
         for b in batches:
             for part in _slices(b, pa.compute.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([decoder.feed(ids) + decoder.end() for ids in part.column(1).to_pylist()], pa.string())], names=["row", "text"])
+                lists = part.column(1)
+                if lists.flatten().null_count:
+                    raise ValueError("a list of ids holds a null")
+                flat, ends = lists.flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+                texts = [decoder.feed(ids.tolist()) + decoder.end() for ids in np.split(flat, ends[:-1])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 
     out = held.mapInArrow(run, schema)
     return out.select(*(F.col("row")[c].alias(c) for c in others), F.col("text").alias(text_col))

@@ -94,6 +94,17 @@ def test_op11_query(spark, library, tmp_path):
     assert got == sorted(want)
 
 
+def test_units_of_the_usual_pattern_never_change_ids(library):
+    import tiktoken
+
+    assert byte_bpe.USUAL == PATTERN
+    other = r"\p{L}+|\s+|[^\s\p{L}]+"
+    for pattern, plain in ((PATTERN, library), (other, tiktoken.Encoding("other", pat_str=other, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={}))):
+        to_ids, _ = byte_bpe._coder(RANKS, pattern)
+        for text in [*strange(random.Random(11), 1500), "a\n b", "a.\nb, c", "x  \n\n y", "don't 's it.,"]:
+            assert np.frombuffer(to_ids(text), "<u4").tolist() == plain.encode_ordinary(text)
+
+
 def test_bpe_columns_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "ab cd", "x"), (None, None, "x")], DOCS + ", `a.row` string")
     coded = byte_bpe.encode(df, RANKS, PATTERN)
