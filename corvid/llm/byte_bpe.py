@@ -8,6 +8,7 @@ whose steps are compiled when a text first takes them. Tokens are put out as soo
 
 from __future__ import annotations
 
+import array
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
@@ -22,12 +23,13 @@ from pyspark.sql import functions as F
 from .common import claim, row_beside, text_or_empty
 from .tokenizing import _Memo, units
 
-#: Compiled steps and pairs of tokens that a machine keeps (beyond, it begins anew), and places of a word that wait for the guesses to agree.
-STEPS, HELD = 600_000, 4096
+#: Compiled steps, pairs of tokens and first bytes of words that a machine keeps (beyond, it begins anew), how many bytes these are, and places of a
+#: word that wait for the guesses to agree.
+STEPS, HEAD, HELD = 600_000, 6, 4096
 # Fixed value: the usual pattern, of which units() is known to cut texts only where it does.
 USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of words and their ids that a worker remembers.
-WORDS = 100 << 20
+WORDS = 180 << 20
 #: Texts that a worker encodes at a time, and about the characters or ids of one result batch.
 TEXTS, BATCH = 256, 4 << 20
 
@@ -55,27 +57,23 @@ class Transducer:
         self._renew()
 
     def _renew(self) -> None:
-        self.numbers: dict[bytes, int] = {}
-        self.guesses: list[bytes] = []
-        self.steps: list[dict[int, int]] = []
-        self.ends: list[list[tuple[bytes, int]]] = []
+        self.states: dict[bytes, tuple[bytes, dict[int, tuple], list[tuple[bytes, int]]]] = {}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.heads: dict[bytes, tuple[tuple, list[bytes]]] = {}
         self.compiled = 0
-        self._number(b"")
-
-    def _number(self, guess: bytes) -> int:
-        if guess not in self.numbers:
-            self.numbers[guess] = len(self.guesses)
-            self.guesses.append(guess)
-            self.steps.append({})
-            self.ends.append([(t, len(t)) for k in range(len(guess)) if (t := guess[k:]) in self.ranks and self._spines(t) is not None])
-        return self.numbers[guess]
-
-    def _compile(self, number: int, byte: int) -> int:
-        guess = self.guesses[number] + bytes([byte])
+        self.start = self._state(b"")
+
+    def _state(self, guess: bytes) -> tuple[bytes, dict[int, tuple], list[tuple[bytes, int]]]:
+        """(longest live guess, next state by byte, tokens that may end here with their lengths)."""
+        if guess not in self.states:
+            self.states[guess] = (guess, {}, [(t, len(t)) for k in range(len(guess)) if (t := guess[k:]) in self.ranks and self._spines(t) is not None])
+        return self.states[guess]
+
+    def _compile(self, state: tuple, byte: int) -> tuple:
+        guess = state[0] + bytes([byte])
         while guess not in self.begins:  # guesses that began before have died
             guess = guess[1:]
-        self.steps[number][byte] = step = self._number(guess)
+        state[1][byte] = step = self._state(guess)
         self.compiled += 1
         return step
 
@@ -139,14 +137,23 @@ class Transducer:
         """The ids of a word. A word that is a token itself is that token, reachable by merges or not, as in the library."""
         if (whole := self.ranks.get(word)) is not None:
             return [whole]
-        if self.compiled + len(self.pairs) > self.room:
+        if self.compiled + len(self.pairs) + len(self.heads) > self.room:
             self._renew()
-        ids: list[int] = []
-        last = [b""]  # at each place since what is put out: the last token of the text before it
-        state, steps, ends, pairs = 0, self.steps, self.ends, self.pairs
-        for byte in word:
-            state = steps[state].get(byte) or self._compile(state, byte)
-            for token, size in ends[state]:
+        head = word[:HEAD]
+        if head not in self.heads:
+            last = [b""]  # at each place since what is put out: the last token of the text before it
+            self.heads[head] = (self._read(self.start, head, last, []), last)
+        state, last = self.heads[head]
+        last, ids = last.copy(), []
+        self._read(state, word[HEAD:], last, ids)
+        return ids + self._traced(last, len(last) - 1)
+
+    def _read(self, state: tuple, part: bytes, last: list[bytes], ids: list[int]) -> tuple:
+        """The state after part; last grows, and ids by what all guesses agree on."""
+        pairs = self.pairs
+        for byte in part:
+            state = state[1].get(byte) or self._compile(state, byte)
+            for token, size in state[2]:
                 key = (last[-size], token)
                 fits = pairs.get(key)
                 if fits is None:
@@ -155,10 +162,10 @@ class Transducer:
                     last.append(token)
                     break
             if not len(last) % HELD:
-                put = self._agreed(last, self.guesses[state])
+                put = self._agreed(last, state[0])
                 ids += self._traced(last, put)
                 del last[:put]
-        return ids + self._traced(last, len(last) - 1)
+        return state
 
     def _agreed(self, last: list[bytes], guess: bytes) -> int:
         """The furthest place that all live guesses have in common."""
@@ -242,7 +249,7 @@ def _coder(path: str, pattern: str):
     split = regex.compile(pattern).findall
 
     def coded(unit: str) -> bytes:
-        return np.array([i for word in split(unit) for i in machine.encode(word.encode())], "<u4").tobytes()
+        return array.array("I", [i for word in split(unit) for i in machine.encode(word.encode())]).tobytes()
 
     memo = _Memo(coded, WORDS).__getitem__
     cut = units if pattern == USUAL else split
