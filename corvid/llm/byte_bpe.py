@@ -25,11 +25,11 @@ from .tokenizing import _Memo, units
 
 #: Compiled steps, pairs of tokens and first bytes of words that a machine keeps (beyond, it begins anew), how many bytes these are, and places of a
 #: word that wait for the guesses to agree.
-STEPS, HEAD, HELD = 600_000, 6, 4096
+STEPS, HEAD, HELD = 300_000, 6, 4096
 # Fixed value: the usual pattern, of which units() is known to cut texts only where it does.
 USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of words and their ids that a worker remembers.
-WORDS = 180 << 20
+WORDS = 80 << 20
 #: Texts that a worker encodes at a time, and about the characters or ids of one result batch.
 TEXTS, BATCH = 256, 4 << 20
 
