@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from corvid.functions.text import displayable, grounded, search_form
 
 
-def small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """A dimension for a broadcast, if it has at most `most` rows; else as it is, for Spark to choose the join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = 100_000, most_bytes: int = 32 << 20) -> DataFrame:
+    """A side for a broadcast, if it has at most `most` rows that take at most `most_bytes` as text; else as it is, for Spark to choose the join."""
+    size = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))
+    rows, taken = df.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= most and taken <= most_bytes else df
 
 
 def without_excluded(sources: DataFrame, excluded: DataFrame, title: str = "title") -> DataFrame:

@@ -1,7 +1,7 @@
 """Evidence-gated lexical retrieval as joins and aggregates.
 
-Queries with the same scope (restricted corpus) share one document-frequency table, computed once. A query meets a chunk only through an
-index join on token forms, or through substring joins of whole phrases and keywords, whose query side is small and checked.
+Document frequencies are kept by source, so that those of a scope (the sources and kinds of text that a query is restricted to) are sums. A query meets
+a chunk only through an index join on token forms, or on grams of whole phrases and keywords.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from corvid.functions.text import canonical, forms, py_search_form, search_form, tokens, variants
 from corvid.lexicon import words
+from corvid.sources import Kept
 
 from .registry import approved, passage, retrievable, small
+from .substrings import containing
 
 # Limits and weights of the scoring.
 MOST, LEAST_SCORE, LEAST_TEXT, RARE_SHARE, RARE_LEAST = 4, 3.0, 40, 0.02, 3.0
@@ -41,24 +43,31 @@ def rarity(n: Column, df: Column) -> Column:
 
 
 def topics_of(queries: DataFrame, topics: DataFrame, most: int = 3) -> DataFrame:
-    """(query_id, topic_id, order, score): two for each matching synonym, one for each keyword the query contains; the best `most`.
+    """(query_id, topic_id, order, score, rank): two for each matching synonym, one for each keyword the query contains; the best `most`.
 
     A one-word synonym of three characters or fewer must be a whole form of a query token; others match as a substring, or if all of two or more
-    of their longer tokens share a form with the query.
+    of their longer tokens share a form with the query. Each of the three ways is a join on forms or grams, so queries don't meet topics
+    that they share nothing with.
     """
-    q = queries.select("query_id", search_form(F.coalesce("query", F.lit(""))).alias("norm"), F.array_distinct(F.flatten(F.transform(tokens(F.coalesce("query", F.lit(""))), forms))).alias("q_forms")).where("norm <> ''")
-    # lists of forms are computed once for each topic, before the join
-    synonym = F.transform("synonyms", lambda s: F.struct(search_form(s).alias("n"), F.transform(F.filter(tokens(s), lambda t: F.length(t) >= 3), forms).alias("t")))
-    t = topics.select(F.col("id").alias("topic_id"), "order", synonym.alias("syn"), F.filter(F.transform("keywords", search_form), lambda k: k != "").alias("kw"))
-
-    def matches(s: Column) -> Column:
-        whole = F.when(~F.contains(s["n"], F.lit(" ")) & (F.length(s["n"]) <= 3), F.array_contains("q_forms", s["n"])).otherwise(F.contains("norm", s["n"]))
-        apart = (F.size(s["t"]) >= 2) & F.forall(s["t"], lambda f: F.arrays_overlap(f, F.col("q_forms")))
-        short = (s["n"] != "") & ~F.contains(s["n"], F.lit(" ")) & (F.length(s["n"]) <= 3)
-        return ((s["n"] != "") & whole) | (~short & apart)
-
-    score = 2 * F.size(F.filter("syn", matches)) + F.size(F.filter("kw", lambda k: F.contains("norm", k)))
-    x = q.join(small(t)).select("query_id", "topic_id", "order", score.alias("score")).where("score > 0")
+    asked = F.coalesce("query", F.lit(""))
+    q = queries.select("query_id", search_form(asked).alias("norm"), tokens(asked).alias("t")).where("norm <> ''").distinct()
+    q_forms = q.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform("t", forms)))).alias("form"))
+    q = q.select("query_id", "norm")
+    t = topics.select(F.col("id").alias("topic_id"), "order", "synonyms", "keywords")
+    s = t.select("topic_id", "order", F.posexplode("synonyms").alias("place", "synonym")).withColumn("n", search_form("synonym"))
+    short = (F.col("n") != "") & ~F.contains("n", F.lit(" ")) & (F.length("n") <= 3)
+    key = ["query_id", "topic_id", "order", "place"]
+    whole = q_forms.join(small(s.where(short).select("topic_id", "order", "place", F.col("n").alias("form"))), "form").select(key)
+    part = containing(q, s.where(~short).select("topic_id", "order", "place", "n"), "norm", "n").select(key)
+    longer = F.filter(tokens("synonym"), lambda v: F.length(v) >= 3)
+    apart = s.where(~short).select("topic_id", "order", "place", longer.alias("longer")).where(F.size("longer") >= 2)
+    apart = apart.select("topic_id", "order", "place", F.size("longer").alias("wanted"), F.posexplode("longer").alias("k", "token"))
+    apart = apart.select("topic_id", "order", "place", "wanted", "k", F.explode(forms(F.col("token"))).alias("form"))
+    apart = q_forms.join(small(apart), "form").groupBy(*key, "wanted").agg(F.count_distinct("k").alias("met")).where("met = wanted").select(key)
+    synonyms = whole.unionByName(part).unionByName(apart).distinct().withColumn("score", F.lit(2))
+    k = t.select("topic_id", "order", F.posexplode("keywords").alias("place", "keyword")).select("topic_id", "order", "place", search_form("keyword").alias("k"))
+    keywords = containing(q, k, "norm", "k").select(*key, F.lit(1).alias("score"))
+    x = synonyms.unionByName(keywords).groupBy("query_id", "topic_id", "order").agg(F.sum("score").cast("int").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "order")
     return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
@@ -70,11 +79,11 @@ def named_sources(queries: DataFrame, library: DataFrame) -> DataFrame:
     ignored |= {r[0] for r in stems if r[0]}
     author = F.filter(tokens("author"), lambda t: (F.length(t) >= 3) & ~_in(t, ignored))
     title = F.filter(tokens("title"), lambda t: (F.length(t) >= 4) & ~_in(t, ignored) & ~generic(t))
-    s = library.select(F.col("id").alias("source_id"), author.alias("author_t"), title.alias("title_t"))
-    q = queries.select("query_id", search_form(F.coalesce("query", F.lit(""))).alias("norm"))
-    hits = lambda c: F.filter(c, lambda t: F.contains("norm", t))
-    x = q.join(small(s)).select("query_id", "source_id", hits("author_t").alias("author_tokens"), F.size(hits("title_t")).alias("title_hits"))
-    return x.where((F.size("author_tokens") > 0) | (F.col("title_hits") >= 2)).select("query_id", "source_id", (F.size("author_tokens") > 0).alias("by_author"), "author_tokens")
+    parts = F.concat(F.transform(author, lambda t: F.struct(F.lit(True).alias("author"), t.alias("token"))), F.transform(title, lambda t: F.struct(F.lit(False).alias("author"), t.alias("token"))))
+    named = library.select(F.col("id").alias("source_id"), F.posexplode(parts).alias("place", "part")).select("source_id", "place", "part.*")
+    q = queries.select("query_id", search_form(F.coalesce("query", F.lit(""))).alias("norm")).distinct()
+    x = containing(q, named, "norm", "token").groupBy("query_id", "source_id").agg(F.collect_set(F.when(F.col("author"), F.col("token"))).alias("author_tokens"), F.count_if(~F.col("author")).alias("title_hits"))
+    return x.where((F.size("author_tokens") > 0) | (F.col("title_hits") >= 2)).select("query_id", "source_id", (F.size("author_tokens") > 0).alias("by_author"), F.sort_array("author_tokens").alias("author_tokens"))
 
 
 def scripture_request(norm: Column) -> Column:
@@ -83,13 +92,26 @@ def scripture_request(norm: Column) -> Column:
     return has(words.QURAN_HINTS) & (has(words.QURAN_CUES) | F.rlike(norm, F.lit("(?:سوره|سورة|ايه|آيه|اية|آية)\\s*(?:[0-9]+|[ء-ي]{2,})")))
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, sources: DataFrame, excluded: DataFrame, topics: DataFrame, most: int = MOST) -> DataFrame:
+def scope_statistics(index: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(df by form, source and verse flag; rows by source and verse flag), each with its sums over all sources under a null source.
+
+    A row belongs to one source, so a scope's figures are sums over its sources, and no scope needs a pass of its own.
+    """
+    df = index.groupBy("form", "sourceId", "verse").agg(F.count("*").alias("df"))
+    n = corpus.groupBy("sourceId", "verse").agg(F.count("*").alias("n"))
+    everywhere = F.lit(None).cast("string").alias("sourceId")
+    df = df.unionByName(df.groupBy("form", "verse").agg(F.sum("df").alias("df")).select("form", everywhere, "verse", "df"))
+    return df, n.unionByName(n.groupBy("verse").agg(F.sum("n").alias("n")).select(everywhere, "verse", "n"))
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, sources: DataFrame, excluded: DataFrame, topics: DataFrame, most: int = MOST, kept: Kept | None = None) -> DataFrame:
     """The selected passages: query_id, rank, and the passage columns with their score.
 
     queries: query_id, query. chunks: the corpus with its position `ord`, which breaks ties. The first passage of each source comes first, then the
     others, each by score. At least one row is returned even for a limit under one. Nulls: a null query finds nothing; null texts and keyword lists
-    are empty; a null role is evidence.
+    are empty; a null role is evidence. kept: holds the tables that are written for several joins, for the caller to delete.
     """
+    kept = kept or Kept(queries.sparkSession)
     none = F.array().cast("array<string>")
     active = retrievable(sources, excluded)
     corpus = approved(chunks, sources, excluded).select("ord", "sourceId", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("keywords", none).alias("keywords"), F.coalesce("topics", none).alias("topics"), "role", (F.length(F.coalesce("quranText", F.lit(""))) * F.length(F.coalesce("quranReference", F.lit(""))) > 0).alias("verse"))
@@ -102,45 +124,50 @@ def retrieve(queries: DataFrame, chunks: DataFrame, sources: DataFrame, excluded
     cue = F.arrays_overlap(tokens("norm"), F.array(*(F.lit(py_search_form(w)) for w in words.AUTHORITY_HINTS)))
     q = q.withColumn("cue", cue).withColumn("allowed", F.when(F.col("cue") & (F.size("author_ids") > 0), F.col("author_ids")).otherwise(F.col("ids")))
     q = q.where(~F.col("cue") | (F.size("allowed") > 0))
-    verses = corpus.where("verse").limit(1).count() > 0
-    q = q.withColumn("verse_only", scripture_request(F.col("norm")) & F.lit(verses)).withColumn("scope", F.concat_ws("|", F.col("verse_only").cast("string"), F.array_join("allowed", ","))).persist()  # used by every join below; lost blocks are computed again
-
-    # one frequency table a scope; scopes are few: subsets of sources that were named
-    scopes = q.select("scope", "verse_only", "allowed").distinct()
-    within = (~F.col("verse_only") | F.col("verse")) & ((F.size("allowed") == 0) | F.array_contains("allowed", F.col("sourceId")))
-    scoped = corpus.join(small(scopes), within)
-    df = document_frequency(scoped, key=["scope"])
-    sizes = scoped.groupBy("scope").agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
-
-    author_forms = F.array_distinct(F.flatten(F.transform(tokens("author"), variants)))
-    name_forms = library.select(F.explode(author_forms).alias("form")).where(F.rlike("form", F.lit("[؀-ۿ]"))).select(F.collect_set("form").alias("name_forms"))
-    t = q.join(F.broadcast(name_forms)).select("query_id", "scope", "author_tokens", "name_forms", F.explode(F.array_distinct(tokens("query"))).alias("token"))
-    both = lambda f: f(F.col("token")) | f(canonical(F.col("token")))
-    meaningful = ~generic(F.col("token")) & ~both(lambda x: F.array_contains("author_tokens", x)) & ((F.size("author_tokens") == 0) | ~both(lambda x: F.array_contains("name_forms", x)))
-    t = t.select("query_id", "scope", "token", meaningful.alias("meaningful"), F.explode(variants(F.col("token"))).alias("form"))
-    t = t.join(df, ["scope", "form"], "left").join(small(sizes), "scope", "left").withColumns({"df": F.coalesce("df", F.lit(0)), "n": F.coalesce("n", F.lit(1))})
-    t = t.persist()
+    verses = F.coalesce(corpus.agg(F.max("verse")).scalar(), F.lit(False))
+    q = kept(q.withColumn("verse_only", scripture_request(F.col("norm")) & verses), "queries")
+
+    # query tokens, whether they tell anything, and their forms
+    t = q.select("query_id", "author_tokens", F.explode(F.array_distinct(tokens("query"))).alias("token"))
+    name_forms = library.select(F.explode(F.flatten(F.transform(tokens("author"), variants))).alias("name")).where(F.rlike("name", F.lit("[؀-ۿ]"))).distinct()
+    names = t.select("token", F.explode(F.array(F.col("token"), canonical(F.col("token")))).alias("name")).join(small(name_forms), "name", "left_semi").select("token", F.lit(True).alias("is_name")).distinct()
+    t = t.join(small(names), "token", "left")
+    own_name = F.array_contains("author_tokens", F.col("token")) | F.array_contains("author_tokens", canonical(F.col("token")))
+    meaningful = ~generic(F.col("token")) & ~own_name & ((F.size("author_tokens") == 0) | F.col("is_name").isNull())
+    t = t.select("query_id", "token", meaningful.alias("meaningful"), F.explode(variants(F.col("token"))).alias("form"))
+
+    # the corpus is tokenised once, for the forms that are asked for and their stems; a scope's frequencies are sums of what its sources have
+    sought = t.select(F.explode(F.array(F.col("form"), canonical(F.col("form")))).alias("form")).where("form <> ''").distinct()
+    keyword_forms = F.array_distinct(F.flatten(F.transform(F.flatten(F.transform("keywords", tokens)), variants)))
+    index = corpus.withColumn("kf", keyword_forms).select("ord", "kf", "verse", "sourceId", F.explode(F.array_distinct(F.concat("kf", F.flatten(F.transform(tokens("text"), variants))))).alias("form"))
+    index = kept(index.withColumn("keyword", F.array_contains("kf", F.col("form"))).drop("kf").join(small(sought), "form", "left_semi"), "index")
+    by_source, sizes = scope_statistics(index, corpus)
+    scope = q.select("query_id", "verse_only", F.explode(F.when(F.size("allowed") > 0, F.col("allowed")).otherwise(F.array(F.lit(None).cast("string")))).alias("source"))
+    within = (F.col("source").eqNullSafe(F.col("sourceId"))) & (~F.col("verse_only") | F.col("verse"))
+    n = scope.join(small(sizes), within).groupBy("query_id").agg(F.sum("n").alias("n"))
+    df = t.select("query_id", "form").join(scope, "query_id").join(by_source.withColumnRenamed("form", "held"), within & (F.col("form") == F.col("held"))).groupBy("query_id", "form").agg(F.sum("df").alias("df"))
+    t = kept(t.join(df, ["query_id", "form"], "left").join(n, "query_id", "left").withColumns({"df": F.coalesce("df", F.lit(0)), "n": F.coalesce("n", F.lit(1))}), "query-tokens")
     # tokens of a query by how telling they are
     kinds = t.groupBy("query_id", "token").agg(F.first("meaningful").alias("meaningful"), (F.max("df") <= F.greatest(F.lit(RARE_LEAST), RARE_SHARE * F.first("n"))).alias("rare")).withColumn("distinctive", F.col("meaningful") & F.col("rare"))
     totals = kinds.groupBy("query_id").agg(F.count_if("meaningful").alias("n_meaningful"), F.count_if("distinctive").alias("n_distinctive"))
+    within = (~F.col("verse_only") | F.col("verse")) & ((F.size("allowed") == 0) | F.array_contains("allowed", F.col("sourceId")))
 
     # token evidence: the best weight of each query token in each chunk
-    own = t.select("query_id", "scope", "token", "form", rarity(F.col("n"), F.col("df")).alias("weight"), F.lit(True).alias("itself"))
-    stem = t.select("query_id", "scope", "token", canonical(F.col("form")).alias("form"), F.lit(STEM).alias("weight"), F.lit(False).alias("itself")).where("form <> ''")
-    keyword_forms = F.array_distinct(F.flatten(F.transform(F.flatten(F.transform("keywords", tokens)), variants)))
-    c = corpus.withColumn("kf", keyword_forms).select("ord", "kf", "verse", "sourceId", F.explode(F.array_distinct(F.concat("kf", F.flatten(F.transform(tokens("text"), variants))))).alias("form")).withColumn("keyword", F.array_contains("kf", F.col("form"))).drop("kf")
-    hit = own.unionByName(stem).join(q.select("query_id", "verse_only", "allowed"), "query_id").join(c, "form").where(within)
+    own = t.select("query_id", "token", "form", rarity(F.col("n"), F.col("df")).alias("weight"), F.lit(True).alias("itself"))
+    stem = t.select("query_id", "token", canonical(F.col("form")).alias("form"), F.lit(STEM).alias("weight"), F.lit(False).alias("itself")).where("form <> ''")
+    hit = own.unionByName(stem).join(q.select("query_id", "verse_only", "allowed"), "query_id").join(index, "form").where(within)
     hit = hit.withColumn("weight", F.when(F.col("itself") & F.col("keyword"), F.greatest("weight", F.lit(KEYWORD))).otherwise(F.col("weight")))
     hit = hit.groupBy("query_id", "ord", "token").agg(F.max("weight").alias("weight")).join(kinds, ["query_id", "token"])
     telling = ~generic(F.col("token"))
     hit = hit.groupBy("query_id", "ord").agg(F.sum("weight").alias("sum"), F.count_if(telling).alias("telling"), F.count_if(telling & F.col("distinctive")).alias("distinctive"), F.max(telling & (F.col("weight") >= KEYWORD)).alias("strong_token"), F.lit(0).alias("phrases"), F.lit(0).alias("keyword_hits"), F.lit(False).alias("strong_keyword"))
 
-    # phrase and keyword evidence: substring joins against the checked query side
-    asked = small(q.select("query_id", "norm", "verse_only", "allowed"))
-    phrase = corpus.select("ord", "verse", "sourceId", search_form("text").alias("body")).join(asked, within & (F.length("norm") >= 6) & F.contains("body", "norm")).select("query_id", "ord", F.lit(1).alias("phrases"))
-    kw = corpus.select("ord", "verse", "sourceId", F.explode("keywords").alias("kw")).withColumn("k", search_form("kw")).where("k <> ''")
+    # phrase and keyword evidence: texts that hold the whole query, queries that hold a keyword
+    asked = q.select("query_id", "norm", "verse_only", "allowed")
+    bodies = corpus.select("ord", "verse", "sourceId", search_form("text").alias("body"))
+    phrase = containing(bodies, asked, "body", "norm", least=6).where(within).select("query_id", "ord", F.lit(1).alias("phrases"))
+    kw = corpus.select("ord", "verse", "sourceId", F.explode("keywords").alias("kw")).withColumn("k", search_form("kw"))
     signal = F.exists(tokens("kw"), lambda x: (F.length(x) >= 3) & ~generic(x))
-    kw = kw.join(asked, within & F.contains("norm", "k")).groupBy("query_id", "ord").agg(F.count("*").alias("keyword_hits"), F.max(signal).alias("strong_keyword"))
+    kw = containing(asked, kw, "norm", "k").where(within).groupBy("query_id", "ord").agg(F.count("*").alias("keyword_hits"), F.max(signal).alias("strong_keyword"))
     blank = {"sum": F.lit(0.0), "telling": F.lit(0), "distinctive": F.lit(0), "strong_token": F.lit(False), "phrases": F.lit(0), "keyword_hits": F.lit(0), "strong_keyword": F.lit(False)}
     fill = lambda x: x.select("query_id", "ord", *((F.col(k) if k in x.columns else v).alias(k) for k, v in blank.items()))
     e = fill(hit).unionByName(fill(phrase)).unionByName(fill(kw)).groupBy("query_id", "ord").agg(*(F.max(k).alias(k) for k in blank))
@@ -203,14 +230,15 @@ def overlap_pairs(needles: DataFrame, docs: DataFrame, needle_id: str, needle: s
     return x.select(needle_id, doc_id, (F.col("k") / F.col("n")).alias("ratio")).unionByName(wordless.withColumn("ratio", F.lit(1.0)))
 
 
-def run_research(queries: DataFrame, chunks: DataFrame, sources: DataFrame, excluded: DataFrame, topics: DataFrame) -> DataFrame:
-    """(query_id, outcome, gate, topic_ids, keywords, passage_ids): gates, topics, keywords, retrieval, in this order."""
+def run_research(queries: DataFrame, chunks: DataFrame, sources: DataFrame, excluded: DataFrame, topics: DataFrame, kept: Kept | None = None) -> DataFrame:
+    """(query_id, outcome, gate, topic_ids, keywords, passage_ids): gates, topics, keywords, retrieval, in this order. kept is as for retrieve()."""
     from .gates import outcome
 
-    gated = outcome(queries).persist()  # what several joins below read is kept; lost blocks are computed again
+    kept = kept or Kept(queries.sparkSession)
+    gated = kept(outcome(queries), "gated")
     free = gated.where("outcome is null").select("query_id", F.col("rewritten").alias("query"))
-    matched = topics_of(free, topics).persist()
-    found = retrieve(free, chunks, sources, excluded, topics).persist()
+    matched = kept(topics_of(free, topics), "matched")
+    found = kept(retrieve(free, chunks, sources, excluded, topics, kept=kept), "found")
     kws = keywords_of(free, matched, topics, found)
     ids = found.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "chunkId"))), lambda x: x["chunkId"]).alias("passage_ids"))
     tops = matched.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "topic_id"))), lambda x: x["topic_id"]).alias("topic_ids"))

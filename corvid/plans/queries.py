@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corvid.functions import html as H
 from corvid.functions import text as X
+from corvid.lexicon import words
 from corvid.operators import browse, evaluation, gates, ingest, registry, retrieval
 from corvid.sources import table
 from corvid.streaming import limiter
@@ -385,16 +386,115 @@ def http_guards(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", browse.http_status(body, body, 100, 300).alias("status"))
 
 
-@query(None)
-def query_outcomes(spark, d):
-    """The whole pipeline over the tables: benchmark asks, documents answer, sources are the registry."""
+# ---- retrieval and the whole pipeline over the tables: benchmark asks, in five ways, and documents answer
+
+#: How an item's text is asked: as it is; naming an author with a cue; naming a title; for a verse; with an unknown authority.
+ASKED = ("", "قول auth3 ", "book src4 ", "تفسير سورة البقرة ", "موقف ")
+EXCLUDED_TITLE = "src7"
+TOPIC_ROWS = tuple((k[:2], n, list(v), [v[0], f"{v[-1]} {v[0]}"]) for n, (k, v) in enumerate(TOPIC_WORDS.items()))
+
+
+def world(spark, d):
+    """(queries, chunks, sources, excluded, topics) made of the tables.
+
+    A chunk's keywords are its second and third word, and its first; texts with a digit are verses, short ones index entries.
+    """
     docs = _docs(spark, d)
     none = F.lit(None).cast("string")
-    chunks = docs.select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), F.col("source").alias("sourceId"), "text", F.array("lang").alias("topics"), F.array().cast("array<string>").alias("keywords"), F.lit("evidence").alias("role"), F.lit("literal").alias("excerptType"), F.lit("").alias("chapter"), *(none.alias(c) for c in ("page", "sourceUrl", "citationStatus", "quranText", "quranReference", "hadithText", "hadithFullText", "explanationText", "explanationSourceUrl")))
-    sources = docs.select(F.col("source").alias("id")).distinct().where("id is not null").select("id", *(F.concat(F.lit(c), F.lit(" "), "id").alias(c) for c in ("slug", "title", "author", "publisher", "registryUrl", "originalUrl")), F.lit("active").alias("status"), none.alias("verificationUrl"), none.alias("verificationLabel"), F.lit(None).cast("boolean").alias("showInLibrary"))
-    topics = spark.createDataFrame([("en", 1, list(TOPIC_WORDS["english"]), []), ("fr", 2, list(TOPIC_WORDS["french"]), [])], "id string, order int, synonyms array<string>, keywords array<string>")
-    asked = _items(spark, d).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return retrieval.run_research(asked, chunks, sources, spark.createDataFrame([], "title string"), topics)
+    word = lambda k, n: F.regexp_extract("text", f"^{'(?:[^ ]+ )' * k}([^ ]+{' [^ ]+' * (n - 1)})", 1)
+    digit = F.when(F.rlike("text", F.lit("[0-9]")), F.lit("verse"))
+    chunks = docs.select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("id"), F.col("source").alias("sourceId"), "text", F.array("lang").alias("topics"), F.array(word(1, 2), word(0, 1)).alias("keywords"), F.when(F.length("text") < 200, "index").otherwise("evidence").alias("role"), F.lit("literal").alias("excerptType"), F.lit("").alias("chapter"), digit.alias("quranText"), digit.alias("quranReference"), *(none.alias(c) for c in ("page", "sourceUrl", "citationStatus", "hadithText", "hadithFullText", "explanationText", "explanationSourceUrl")))
+    names = {"title": "book of ", "author": "auth", "slug": "", "publisher": "", "registryUrl": "", "originalUrl": ""}
+    sources = docs.select(F.col("source").alias("id")).distinct().where("id is not null").select("id", *(F.concat(F.lit(v), F.replace("id", F.lit("src"), F.lit("")) if c == "author" else F.col("id")).alias(c) for c, v in names.items()), F.lit("active").alias("status"), none.alias("verificationUrl"), none.alias("verificationLabel"), F.lit(None).cast("boolean").alias("showInLibrary"))
+    topics = spark.createDataFrame([*TOPIC_ROWS], "id string, order int, synonyms array<string>, keywords array<string>")
+    ways = F.posexplode(F.array(*map(F.lit, ASKED)))
+    asked = _items(spark, d).select("item_id", "text", ways.alias("way", "begin")).select((5 * F.col("item_id") + F.col("way")).alias("query_id"), F.concat("begin", "text").alias("query"))
+    return asked, chunks, sources, spark.createDataFrame([(EXCLUDED_TITLE,)], "title string"), topics
+
+
+def _fold(x: str) -> str:
+    return f"list_distinct(flatten(list_transform({x}, lambda v: list_distinct([v, {S.stem_of('v')}]))))"
+
+
+def _topic_sql() -> str:
+    """tk (query_id, topic_id, ord, score, rank) of aq (query_id, norm, qt)."""
+    t = ", ".join(f"({S.quoted(i)}, {n}, {S.listed(syn)}, {S.listed(kw)})" for i, n, syn, kw in TOPIC_ROWS)
+    longer = f"list_filter({S.tokens('s')}, lambda v: length(v) >= 3)"
+    forms = lambda v: f"list_filter([{v}, {S.stem_of(v)}], lambda f: length(f) >= 3)"
+    return f"""qf AS (SELECT query_id, norm, list_filter({_fold('qt')}, lambda f: length(f) >= 3) AS qf FROM aq),
+tp(id, ord, syn, kw) AS (VALUES {t}),
+sy AS (SELECT id, ord, k, {S.norm('s')} AS n, {longer} AS lt FROM (SELECT id, ord, unnest(syn) AS s, unnest(range(len(syn))) AS k FROM tp)),
+sm AS (SELECT query_id, id, ord, count(*) * 2 AS score FROM qf, sy WHERE CASE WHEN n <> '' AND NOT contains(n, ' ') AND length(n) <= 3 THEN list_contains(qf, n)
+  ELSE (n <> '' AND contains(norm, n)) OR (len(lt) >= 2 AND len(list_filter(lt, lambda v: list_has_any({forms('v')}, qf))) = len(lt)) END GROUP BY ALL),
+km AS (SELECT query_id, id, ord, count(*) AS score FROM qf, (SELECT id, ord, unnest(kw) AS s FROM tp) WHERE {S.norm('s')} <> '' AND contains(norm, {S.norm('s')}) GROUP BY ALL),
+tk AS (SELECT query_id, id AS topic_id, ord, sum(score) AS score, row_number() OVER (PARTITION BY query_id ORDER BY sum(score) DESC, ord) AS rank FROM (SELECT * FROM sm UNION ALL SELECT * FROM km) GROUP BY query_id, id, ord QUALIFY rank <= 3)"""
+
+
+def _retrieval_sql() -> str:
+    """pk (query_id, rank, ord, source, score) and tk, from aq (query_id, query)."""
+    ignored = [X.py_search_form(w) for w in words.IGNORED_AUTHOR_TOKENS]
+    hints = S.listed(sorted({X.py_search_form(w) for w in words.AUTHORITY_HINTS}))
+    scripture = "|".join(sorted({X.py_search_form(w) for w in words.QURAN_HINTS}))
+    cues = "|".join(sorted({X.py_search_form(w) for w in words.QURAN_CUES}))
+    generic = S.listed(sorted(set(words.GENERIC_TOKENS)))
+    named = lambda least: f"lambda t: length(t) >= {least} AND NOT list_contains({S.listed(sorted(set(ignored)))}, t)"
+    within = "(NOT q.verse_only OR c.verse) AND (len(q.allowed) = 0 OR list_contains(q.allowed, c.source))"
+    return f"""aq AS (SELECT query_id, query, {S.norm('query')} AS norm, {S.tokens('query')} AS qt FROM (SELECT 5 * item_id + way AS query_id, begin || text AS query FROM benchmark, (VALUES {', '.join(f"({n}, {S.quoted(v)})" for n, v in enumerate(ASKED))}) w(way, begin))),
+{_topic_sql()},
+src AS (SELECT DISTINCT source AS id, 'book of ' || source AS title, 'auth' || replace(source, 'src', '') AS author FROM documents WHERE source IS NOT NULL AND NOT contains('book of ' || source, '{EXCLUDED_TITLE}')),
+ch AS (SELECT doc_id AS ord, source, coalesce(text, '') AS text, [regexp_extract(coalesce(text, ''), '^(?:[^ ]+ )([^ ]+ [^ ]+)', 1), regexp_extract(coalesce(text, ''), '^([^ ]+)', 1)] AS keywords, [lang] AS topics, length(text) < 200 AS idx, regexp_matches(coalesce(text, ''), '[0-9]') AS verse
+  FROM documents WHERE source IN (SELECT id FROM src)),
+nm AS (SELECT query_id, id, list_distinct(list_filter({S.tokens('author')}, {named(3)})).list_filter(lambda t: contains(norm, t)) AS au, len(list_filter(list_filter({S.tokens('title')}, {named(4)}), lambda t: NOT list_contains({generic}, t) AND contains(norm, t))) AS ti FROM aq, src WHERE norm <> ''),
+ex AS (SELECT query_id, list(id ORDER BY id) FILTER (WHERE len(au) > 0 OR ti >= 2) AS ids, list(id ORDER BY id) FILTER (WHERE len(au) > 0) AS author_ids, list_distinct(flatten(list(au))) AS author_tokens FROM nm GROUP BY query_id),
+q AS (SELECT query_id, norm, qt, coalesce(author_tokens, []) AS author_tokens, list_has_any({S.tokens('norm')}, {hints}) AS cue, CASE WHEN cue AND len(author_ids) > 0 THEN author_ids ELSE coalesce(ids, []) END AS allowed,
+  regexp_matches(norm, '{scripture}') AND (regexp_matches(norm, '{cues}') OR regexp_matches(norm, '(?:سوره|سورة|ايه|آيه|اية|آية)\\s*(?:[0-9]+|[ء-ي]{{2,}})')) AND (SELECT bool_or(verse) FROM ch) AS verse_only,
+  coalesce((SELECT list(topic_id) FROM tk WHERE tk.query_id = aq.query_id), []) AS matched FROM aq JOIN ex USING (query_id) WHERE norm <> '' AND (NOT cue OR len(allowed) > 0)),
+kt AS (SELECT ord, {_fold(f"flatten(list_transform(keywords, lambda k: {S.tokens('k')}))")} AS kf FROM ch),
+ix AS (SELECT ord, source, verse, form, list_contains(kf, form) AS keyword FROM (SELECT ord, source, verse, kf, unnest(list_distinct(list_concat(kf, {_fold(S.tokens('text'))}))) AS form FROM ch JOIN kt USING (ord))),
+n AS (SELECT query_id, count(*) AS n FROM q, ch c WHERE {within} GROUP BY query_id),
+tt AS (SELECT query_id, token, NOT list_contains({generic}, token) AND NOT list_contains(author_tokens, token) AND NOT list_contains(author_tokens, {S.stem_of('token')}) AS meaningful FROM (SELECT query_id, author_tokens, unnest(list_distinct(qt)) AS token FROM q)),
+tf AS (SELECT query_id, token, meaningful, unnest(list_distinct([token, {S.stem_of('token')}])) AS form FROM tt),
+fs AS (SELECT query_id, form FROM tf UNION SELECT query_id, {S.stem_of('form')} FROM tf),
+sc AS (SELECT q.query_id, c.ord, c.form, c.keyword FROM q JOIN fs USING (query_id) JOIN ix c ON c.form = fs.form WHERE {within}),
+df AS (SELECT query_id, form, count(*) AS df FROM sc GROUP BY ALL),
+w AS (SELECT tf.*, coalesce(df, 0) AS df, coalesce(n, 1) AS n, least(6.0::DOUBLE, 1.0::DOUBLE + log2((coalesce(n, 1) + 1)::DOUBLE / greatest(coalesce(df, 0), 1))) AS rarity, {S.stem_of('tf.form')} AS stem FROM tf LEFT JOIN df ON df.query_id = tf.query_id AND df.form = tf.form LEFT JOIN n ON n.query_id = tf.query_id),
+kd AS (SELECT query_id, token, bool_or(meaningful) AS meaningful, bool_or(meaningful) AND max(df) <= greatest(3.0::DOUBLE, 0.02::DOUBLE * max(n)) AS distinctive FROM w GROUP BY ALL),
+tot AS (SELECT query_id, count(*) FILTER (WHERE meaningful) AS nm, count(*) FILTER (WHERE distinctive) AS nd FROM kd GROUP BY ALL),
+h AS (SELECT query_id, ord, token, max(own) AS own, max(st) AS st FROM (
+  SELECT w.query_id, sc.ord, w.token, CASE WHEN sc.keyword THEN greatest(rarity, 3.5::DOUBLE) ELSE rarity END AS own, 0.0::DOUBLE AS st FROM w JOIN sc ON sc.query_id = w.query_id AND sc.form = w.form
+  UNION ALL SELECT w.query_id, sc.ord, w.token, 0.0::DOUBLE, 2.5::DOUBLE FROM w JOIN sc ON sc.query_id = w.query_id AND sc.form = w.stem) GROUP BY ALL),
+hh AS (SELECT query_id, ord, sum(greatest(own, st)) AS total, count(*) FILTER (WHERE NOT list_contains({generic}, token)) AS telling, count(*) FILTER (WHERE NOT list_contains({generic}, token) AND distinctive) AS dist, bool_or(NOT list_contains({generic}, token) AND greatest(own, st) >= 3.5) AS strong FROM h JOIN kd USING (query_id, token) GROUP BY ALL),
+ph AS (SELECT query_id, ord FROM q, ch c WHERE {within} AND length(norm) >= 6 AND contains({S.norm('c.text')}, norm)),
+kk AS (SELECT ord, source, verse, {S.norm('kw')} AS k, len(list_filter({S.tokens('kw')}, lambda t: length(t) >= 3 AND NOT list_contains({generic}, t))) > 0 AS signal FROM (SELECT ord, source, verse, unnest(keywords) AS kw FROM ch)),
+kh AS (SELECT query_id, ord, count(*) AS hits, bool_or(signal) AS strong FROM q, kk c WHERE {within} AND k <> '' AND contains(norm, k) GROUP BY ALL),
+e AS (SELECT q.query_id, c.ord, c.source, 3.0::DOUBLE * len(list_filter(c.topics, lambda t: list_contains(q.matched, t))) AS ts, coalesce(total, 0) AS total, coalesce(telling, 0) AS telling, coalesce(dist, 0) AS dist, ph.ord IS NOT NULL AS phrase, coalesce(hits, 0) AS hits,
+  coalesce(hh.strong, false) OR coalesce(kh.strong, false) OR ph.ord IS NOT NULL AS strong, idx, length(trim(c.text)) AS len, len(q.allowed) > 0 AND len(q.matched) > 0 AS named, nm, nd
+  FROM (SELECT query_id, ord FROM hh UNION SELECT * FROM ph UNION SELECT query_id, ord FROM kh) p JOIN q USING (query_id) JOIN ch c USING (ord) LEFT JOIN hh USING (query_id, ord) LEFT JOIN ph USING (query_id, ord) LEFT JOIN kh USING (query_id, ord) LEFT JOIN tot USING (query_id)),
+s AS (SELECT query_id, ord, source, ts + 7 * phrase::INT + 3.5::DOUBLE * hits + least(total, 8.0::DOUBLE) - idx::INT AS score, ts > 0 OR named OR (telling >= 2 AND telling >= 0.5 * nm AND nm > 0 AND (strong OR telling >= 0.99 * nm) AND (nd = 0 OR dist > 0)) AS relevant, len FROM e),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY round(score, 9) DESC, ord) AS r FROM s WHERE relevant AND score >= 3 AND len >= 40),
+pk AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CAST(r > 1 AS INT), round(score, 9) DESC, ord) AS INT) AS rank, ord, source, score FROM b QUALIFY rank <= 4)"""
+
+
+@query(f"WITH {_retrieval_sql()} SELECT query_id, rank, ord, source, round(score, 6) AS score FROM pk")
+def retrieved_passages(spark, d):
+    """Every kind of evidence: tokens, stems, keywords, phrases and topics, in all scopes (everything, named sources, verses)."""
+    return retrieval.retrieve(*world(spark, d)).select("query_id", "rank", "ord", F.col("source.sourceId").alias("source"), F.round("score", 6).alias("score"))
+
+
+KEYWORDS = f"""ka AS (SELECT query_id, 1 AS stage, rank AS a, k AS b, kw[k + 1] AS kw FROM tk JOIN tp ON tp.id = topic_id, (VALUES (0), (1)) v(k) WHERE rank <= 2 AND k < len(kw)),
+kb AS (SELECT query_id, 2 AS stage, rank AS a, k AS b, keywords[k + 1] AS kw FROM pk JOIN ch USING (ord) JOIN aq USING (query_id), (VALUES (0), (1)) v(k) WHERE {S.norm('keywords[k + 1]')} <> '' AND contains(norm, {S.norm('keywords[k + 1]')})),
+kc AS (SELECT query_id, 3 AS stage, rank AS a, k AS b, kw[k + 1] AS kw FROM tk JOIN tp ON tp.id = topic_id, (SELECT unnest(range(10)) AS k) WHERE rank = 1 AND k < len(kw)),
+ku AS (SELECT query_id, {S.norm('kw')} AS key, min(struct_pack(stage, a, b, kw)) AS v FROM (SELECT * FROM ka UNION ALL SELECT * FROM kb UNION ALL SELECT * FROM kc) WHERE {S.norm('kw')} <> '' GROUP BY ALL),
+kl AS (SELECT query_id, list(v.kw ORDER BY v)[1:8] AS keywords FROM ku GROUP BY query_id)"""
+
+
+@query(f"""WITH {_retrieval_sql()}, {KEYWORDS}, pi AS (SELECT query_id, list(CAST(ord AS VARCHAR) ORDER BY rank) AS ids FROM pk GROUP BY query_id), ti AS (SELECT query_id, list(topic_id ORDER BY rank) AS ids FROM tk GROUP BY query_id)
+SELECT aq.query_id, CASE WHEN len(pi.ids) > 0 THEN 'ok' ELSE 'abstained' END AS outcome, coalesce(array_to_string(ti.ids, '|'), '') AS topic_ids, coalesce(array_to_string(keywords, '|'), '') AS keywords, coalesce(array_to_string(pi.ids, '|'), '') AS passage_ids
+FROM aq LEFT JOIN pi USING (query_id) LEFT JOIN ti USING (query_id) LEFT JOIN kl USING (query_id)""")
+def query_outcomes(spark, d):
+    """The whole pipeline: gates (none of which the tables' prose trips), topics, keywords, passages."""
+    x = retrieval.run_research(*world(spark, d))
+    return x.select("query_id", "outcome", *(F.array_join(c, "|").alias(c) for c in ("topic_ids", "keywords", "passage_ids")))
 
 
 @cache

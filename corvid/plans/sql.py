@@ -34,6 +34,11 @@ def stems(tokens_: str) -> str:
     return f"list_transform(list_transform(list_transform({tokens_}, lambda t: {_prefix(X.PREFIXES)}), lambda t: {suffix}), lambda t: {verb})"
 
 
+def stem_of(token: str) -> str:
+    """stems() of one token."""
+    return f"({stems(f'[{token}]')})[1]"
+
+
 def clean(x: str) -> str:
     """Tags, the entities that occur in the tables, blanks."""
     from corvid.lexicon.framing import ENTITIES

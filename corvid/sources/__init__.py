@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,6 +76,54 @@ def within_limit(requests: DataFrame, body: str, most: int = 8192) -> DataFrame:
     return requests.where(F.octet_length(F.coalesce(F.col(body), F.lit(""))) <= most)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a session on one machine gets one of its own; a cluster is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="corvid-shared-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
+def _path(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
+class Kept:
+    """Tables that several joins of an operator read, written once to the shared folder: plans stay short, and lost executors cost nothing.
+
+    They are deleted by close(), or at the end of a with block, once nothing reads the operator's result any more.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/corvid/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        while self.paths:
+            delete(self.spark, self.paths.pop())
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.close()
+
+
 def existing_rows(spark: SparkSession, path: str) -> int:
     """Rows of a published table; 0 if it isn't there or can't be read."""
     from py4j.protocol import Py4JJavaError
