@@ -1,83 +1,57 @@
-"""Compositional reading of a query for personal intent to leave life, as a table of rules over token windows.
+"""Compositional reading of a query for personal intent to leave life: a positional index of token groups, and rules as a table over it.
 
-A rule starts at a token of its trigger group and walks steps: each looks for a group in a window after (or before) the place that
-the step before it found. Guards keep research questions and other people's matters out. Lists are compared in search form.
+A token's place in a row's index holds two bit sets: the groups that its core is in, and those that one of its shapes is in. A rule starts at a
+core of its trigger group and walks steps: each looks for a group in a window after (or before) the place that the step before it found. Guards
+keep research questions and other people's matters out. Lists are compared in search form. All of it is column expressions on one row, so that
+queries are neither dealt out nor leave the JVM.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import lru_cache
 from typing import NamedTuple
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corvid.functions.text import PREFIXES, _col, py_search_form, search_form
+from corvid.functions.text import PREFIXES, _col, let, py_search_form, search_form
 from corvid.lexicon import safety as L
 
-GROUPS = {name: frozenset(getattr(L, name)) for name in dir(L) if name.isupper() and name not in ("MARKERS", "PATTERNS")}
+GROUPS = {name: tuple(dict.fromkeys(getattr(L, name))) for name in dir(L) if name.isupper() and name not in ("MARKERS", "PATTERNS")}
 # Small groups that only single rules use, and prefixes that dialects fuse with a word.
-GROUPS |= {"BACK_REFERENCE": frozenset(("منها", "منه", "منهاش")), "SOLUTION": frozenset(("الحل", "حل", "الوحيد", "المخرج")), "ABILITY": frozenset(("اقدر", "اكدر", "قادر", "قادره", "فيني", "طاقه", "استمر", "اكمل"))}
+GROUPS |= {"BACK_REFERENCE": ("منها", "منه", "منهاش"), "SOLUTION": ("الحل", "حل", "الوحيد", "المخرج"), "ABILITY": ("اقدر", "اكدر", "قادر", "قادره", "فيني", "طاقه", "استمر", "اكمل")}
 FUSED = (*PREFIXES, "ما", "مان")
+#: Negation and desire in one word, as Maghrebi dialects write it, counts as a group of its own.
+FUSED_DESIRE = "FUSED_DESIRE"
+BIT = {name: 1 << k for k, name in enumerate([*sorted(GROUPS), FUSED_DESIRE])}
 _MARKERS = tuple(m for m in dict.fromkeys(map(py_search_form, L.MARKERS)) if m)
-_PATTERNS = tuple(map(re.compile, L.PATTERNS))
 
 
-@lru_cache(maxsize=50_000)
-def core(token: str) -> str:
-    """The token without the first fitting prefix, if three characters stay."""
-    return next((token[len(p) :] for p in PREFIXES if token.startswith(p) and len(token) - len(p) >= 3), token)
-
-
-@lru_cache(maxsize=50_000)
-def shapes(token: str) -> frozenset[str]:
-    """The token and what it may be without a final sheen or alif and without a fused prefix; three characters at least."""
-    cut = lambda t, end, least: [t[:-1]] if t.endswith(end) and len(t) >= least else []
-    bases = [token, *cut(token, "ش", 5), *cut(token, "ا", 4)]
-    out = set(bases)
-    for b in bases:
-        out.update(cut(b, "ا", 4))
-        for c in cut(b, "ش", 5):
-            out.update([c, *cut(c, "ا", 4)])
-        out.update(b[len(p) :] for p in FUSED if b.startswith(p))
-    return frozenset(t for t in out if len(t) >= 3) | {token}
-
-
-def belongs(token: str, group: str) -> bool:
-    return not GROUPS[group].isdisjoint(shapes(token)) or core(token) in GROUPS[group]
-
-
-def find(tokens: list[str], start: int, span: int, group: str) -> int:
-    """First place of the group in a window whose start never lies before the query; -1 without one."""
-    start = max(0, start)
-    return next((k for k in range(start, min(len(tokens), start + span)) if belongs(tokens[k], group)), -1)
+def _any(words) -> str:
+    return "(?:" + "|".join(map(re.escape, words)) + ")"
 
 
-def framed(tokens: list[str], start: int, end: int) -> bool:
-    """A research word lies in the range."""
-    return any(core(t) in GROUPS["RESEARCH_FRAME"] for t in tokens[max(0, start) : max(0, end)])
+def shape_pattern(words) -> str:
+    """What a token of a group looks like: a word, or one of three letters or more with a fused prefix or final sheen and alif.
 
-
-def negated(tokens: list[str], at: int) -> bool:
-    return any(core(t) in GROUPS["NEGATION"] for t in tokens[max(0, at - 2) : at])
-
-
-def fused_desire(token: str) -> bool:
-    """Negation and desire in one word, as Maghrebi dialects write it."""
-    inner = token[2:-1]
-    if not (token.startswith("ما") and token.endswith("ش") and len(inner) >= 2):
-        return False
-    return any({p + inner, inner[len(p) :]} & GROUPS["DESIRE"] for p in ("", "ن", "ي", "ت", "ا"))
+    A final sheen goes from tokens of five letters or more, an alif from four; behind a prefix one of them goes, without one up to
+    three as far as these lengths allow.
+    """
+    three, four = [w for w in words if len(w) >= 3], [w for w in words if len(w) >= 4]
+    ways = [_any(words)]
+    if three:
+        ways += [f"{_any(three)}(?:ا|اش|اا|اشا|اشش)", f"{_any(FUSED)}{_any(three)}(?:ش|ا)?"]
+    if four:
+        ways.append(f"{_any(four)}(?:ش|شا|شش)")
+    return "^(?:" + "|".join(ways) + ")$"
 
 
 class Step(NamedTuple):
     group: str
     span: int
     unframed: bool = False  # no research word between the place before and this one
-    check: Callable[[list[str], int], bool] | None = None  # of the tokens and the place found
+    check: str = ""  # a condition of CHECKS on the place found
 
 
 class Rule(NamedTuple):
@@ -88,29 +62,14 @@ class Rule(NamedTuple):
     behind: int = 0  # the first step looks in a window that starts so many tokens before the trigger
 
 
-def _not_for_others(tokens, at):
-    return find(tokens, at + 1, 3, "OTHER_TARGET") < 0
-
-
-def _burden_before(tokens, at):
-    return any(not GROUPS["LIFE_BURDEN"].isdisjoint(shapes(t)) for t in _upto(tokens, at))
-
-
-def _upto(tokens, at):
-    """The tokens before the departure that a back reference at `at` follows."""
-    last = max(k for k in range(at) if belongs(tokens[k], "DEPARTURE"))
-    first = next(k for k in range(max(0, at - 3), last + 1) if belongs(tokens[k], "DEPARTURE"))
-    return tokens[:first]
-
-
 RULES = (
-    Rule("DESIRE", (Step("DEATH", 4, True, _not_for_others),), asserted=True),
+    Rule("DESIRE", (Step("DEATH", 4, True, "not for others"),), asserted=True),
     Rule("DESIRE", (Step("DEPARTURE", 4, True), Step("LIFE_BURDEN", 3)), asserted=True),
-    Rule("DESIRE", (Step("DEPARTURE", 4, True), Step("BACK_REFERENCE", 3, False, _burden_before)), asserted=True),
+    Rule("DESIRE", (Step("DEPARTURE", 4, True), Step("BACK_REFERENCE", 3, False, "burden before")), asserted=True),
     Rule("DESIRE", (Step("END_VERBS", 4), Step("LIFE_SELF", 3)), asserted=True),
     Rule("NEGATION_OR_INABILITY", (Step("DESIRE", 3), Step("LIVE", 3, True))),
-    Rule("NEGATION_OR_INABILITY", (Step("LIVE", 3, False, lambda t, k: core(t[k]) in GROUPS["ABILITY"]), Step("LIVE", 3))),
-    Rule("NEGATION_OR_INABILITY", (Step("LIVE", 3, False, lambda t, k: not framed(t, k + 1, len(t))), Step("LIFE_BURDEN", 4))),
+    Rule("NEGATION_OR_INABILITY", (Step("LIVE", 3, False, "ability"), Step("LIVE", 3))),
+    Rule("NEGATION_OR_INABILITY", (Step("LIVE", 3, False, "unframed rest"), Step("LIFE_BURDEN", 4))),
     Rule("NEGATION_OR_INABILITY", (Step("MEANING", 4), Step("PERSONAL_LIVE", 4))),
     Rule("NEGATION_OR_INABILITY", (Step("MEANING", 4), Step("LIFE_SELF", 4))),
     Rule("REST_VERBS", (Step("LIFE_BURDEN", 3, True),), asserted=True),
@@ -128,69 +87,153 @@ RULES = (
     Rule("LIFE_SELF", (Step("HOPELESS", 4),)),
     Rule("EXHAUSTION", (Step("LIFE_BURDEN", 4),)),
     Rule("EXHAUSTION", (Step("LIFE_SELF", 4),)),
-    Rule("DEATH", (Step("SOLUTION", 3, False, lambda t, k: not negated(t, k)),)),
+    Rule("DEATH", (Step("SOLUTION", 3, False, "asserted"),)),
     Rule("DECISION", (Step("END_VERBS", 4),)),
     Rule("DECISION", (Step("DEATH", 4),)),
+    Rule(FUSED_DESIRE, (Step("LIVE", 3),)),
+    Rule(FUSED_DESIRE, (Step("DEATH", 3),)),
 )
 
 
-def _fires(rule: Rule, tokens: list[str], at: int, research: bool) -> bool:
-    if (rule.asserted and negated(tokens, at)) or (rule.alone == "anywhere" and research) or (rule.alone == "before" and framed(tokens, at - 3, at)):
-        return False
-    start = at - rule.behind if rule.behind else at + 1
-    for s in rule.steps:
-        k = find(tokens, start, s.span, s.group)
-        if k < 0 or (s.unframed and framed(tokens, start, k)) or (s.check and not s.check(tokens, k)):
-            return False
-        start = k + 1
-    return True
+def core(token: Column) -> Column:
+    """The token without the first fitting prefix, if three characters stay."""
+    return F.regexp_replace(token, f"^(?:{'|'.join(PREFIXES)})(?=.{{3,}}$)", "")
+
+
+def _fused_desire(token: Column) -> Column:
+    inner = F.substring(token, F.lit(3), F.length(token) - 3)
+    desire = lambda c: c.isin(*GROUPS["DESIRE"])
+    ways = desire(inner) | desire(F.substring(inner, F.lit(2), F.length(inner)))
+    for p in ("ن", "ي", "ت", "ا"):
+        ways = ways | desire(F.concat(F.lit(p), inner))
+    return F.startswith(token, F.lit("ما")) & F.endswith(token, F.lit("ش")) & (F.length(inner) >= 2) & ways
+
+
+_SHAPED = sorted({s.group for r in RULES for s in r.steps} | {"OTHER_TARGET", "LIFE_BURDEN", "DESIRE", "FOREVER", "DEPARTURE"})
+_CORED = sorted({r.trigger for r in RULES if r.trigger != FUSED_DESIRE} | {"RESEARCH_FRAME", "NEGATION", "ABILITY", "REST_VERBS"})
+
+
+def index(form: Column) -> Column:
+    """A place for each token: cores, the groups that its core is in, and shapes, those that one of its shapes is in, as bits."""
+
+    def bits(tests) -> Column:
+        out = F.lit(0).cast("long")
+        for name, test in tests:
+            out = out.bitwiseOR(F.when(test, F.lit(BIT[name]).cast("long")).otherwise(F.lit(0).cast("long")))
+        return out
+
+    def place(token: Column) -> Column:
+        cores = let(core(token), lambda c: bits((g, c.isin(*GROUPS[g])) for g in _CORED)).bitwiseOR(bits([(FUSED_DESIRE, _fused_desire(token))]))
+        some = F.rlike(token, F.lit(shape_pattern(dict.fromkeys(w for g in _SHAPED for w in GROUPS[g]))))  # most tokens are in no group
+        shapes = F.when(some, bits((g, F.rlike(token, F.lit(shape_pattern(GROUPS[g])))) for g in _SHAPED)).otherwise(F.lit(0).cast("long"))
+        return F.struct(cores.alias("cores"), shapes.alias("shapes"))
 
+    return F.transform(F.filter(F.split(form, " "), lambda t: t != ""), place)
 
-def _rest_after_burden(tokens: list[str], at: int) -> bool:
+
+def _has(bits: Column, group: str) -> Column:
+    return F.coalesce(bits.bitwiseAND(F.lit(BIT[group]).cast("long")) != 0, F.lit(False))
+
+
+def _find(x: Column, start: Column, span: int, group: str) -> Column:
+    """First place of the group in a window whose start never lies before the query; null without one."""
+    return let(F.greatest(start, F.lit(0)), lambda s: F.array_min(F.filter(F.sequence(s, s + (span - 1)), lambda k: _has(F.get(x, k)["shapes"], group))))
+
+
+def _cored(x: Column, start: Column, end: Column, group: str) -> Column:
+    """Some core in [start, end) is in the group."""
+    return let(F.greatest(start, F.lit(0)), lambda s: F.exists(F.slice(x, s + 1, F.greatest(end - s, F.lit(0))), lambda p: _has(p["cores"], group)))
+
+
+def _negated(x: Column, at: Column) -> Column:
+    return _cored(x, at - 2, at, "NEGATION")
+
+
+def _burden_before(x: Column, at: Column) -> Column:
+    """A burden lies before the departure that a back reference at `at` follows within three tokens."""
+    return let(_find(x, at - 3, 3, "DEPARTURE"), lambda d: F.exists(F.slice(x, 1, d), lambda p: _has(p["shapes"], "LIFE_BURDEN")))
+
+
+CHECKS: dict[str, Callable[[Column, Column], Column]] = {
+    "not for others": lambda x, k: _find(x, k + 1, 3, "OTHER_TARGET").isNull(),
+    "burden before": _burden_before,
+    "ability": lambda x, k: _has(F.get(x, k)["cores"], "ABILITY"),
+    "unframed rest": lambda x, k: ~_cored(x, k + 1, F.size(x), "RESEARCH_FRAME"),
+    "asserted": lambda x, k: ~_negated(x, k),
+}
+
+
+def _walk(x: Column, steps: tuple[Step, ...], start: Column) -> Column:
+    s, *rest = steps
+
+    def found(k: Column) -> Column:
+        out = k.isNotNull()
+        if s.unframed:
+            out = out & ~_cored(x, start, k, "RESEARCH_FRAME")
+        if s.check:
+            out = out & CHECKS[s.check](x, k)
+        return out & _walk(x, tuple(rest), k + 1) if rest else out
+
+    return let(_find(x, start, s.span, s.group), found)
+
+
+def _fires(rule: Rule, x: Column, at: Column, research: Column) -> Column:
+    out = F.lit(True)
+    if rule.asserted:
+        out = out & ~_negated(x, at)
+    if rule.alone == "anywhere":
+        out = out & ~research
+    if rule.alone == "before":
+        out = out & ~_cored(x, at - 3, at, "RESEARCH_FRAME")
+    return out & _walk(x, rule.steps, at - rule.behind if rule.behind else at + 1)
+
+
+def _rest_after_burden(x: Column, at: Column) -> Column:
     """A burden just before asserted rest, with desire between or for ever after."""
-    k = find(tokens, at - 3, 3, "LIFE_BURDEN")
-    return core(tokens[at]) in GROUPS["REST_VERBS"] and not negated(tokens, at) and 0 <= k < at and (find(tokens, k + 1, 4, "DESIRE") >= 0 or find(tokens, at + 1, 3, "FOREVER") >= 0)
 
+    def after(k: Column) -> Column:
+        return (k < at) & (_find(x, k + 1, 4, "DESIRE").isNotNull() | _find(x, at + 1, 3, "FOREVER").isNotNull())
 
-def composed(form: str) -> bool:
-    tokens = form.split()
-    research = framed(tokens, 0, len(tokens))
-    for at, token in enumerate(tokens):
-        c = core(token)
-        if any(c in GROUPS[r.trigger] and _fires(r, tokens, at, research) for r in RULES) or _rest_after_burden(tokens, at):
-            return True
-        if fused_desire(token) and (find(tokens, at + 1, 3, "LIVE") >= 0 or find(tokens, at + 1, 3, "DEATH") >= 0):
-            return True
-    return False
+    return ~_negated(x, at) & F.coalesce(let(_find(x, at - 3, 3, "LIFE_BURDEN"), after), F.lit(False))
 
 
-def _affirmed(form: str, start: int, end: int) -> bool:
-    """Neither negated by the word before nor about someone else in the two words after."""
-    before, after = form[:start].split(), form[end:].split()[:2]
-    return not (before and before[-1] in GROUPS["NEGATION"]) and not any(not GROUPS["OTHER_TARGET"].isdisjoint(shapes(w)) for w in after)
+def composed(form: Column) -> Column:
+    """Some rule fires at some token."""
+    triggers = sorted({r.trigger for r in RULES})
+    started = F.lit(sum(BIT[g] for g in {*triggers, "REST_VERBS"})).cast("long")
 
+    def read(x: Column) -> Column:
+        def at_place(at: Column, research: Column) -> Column:
+            cores = F.get(x, at)["cores"]
+            out = _has(cores, "REST_VERBS") & _rest_after_burden(x, at)
+            for g in triggers:
+                some = F.lit(False)
+                for r in RULES:
+                    if r.trigger == g:
+                        some = some | F.coalesce(_fires(r, x, at, research), F.lit(False))
+                out = out | (_has(cores, g) & some)
+            return (cores.bitwiseAND(started) != 0) & out
 
-def at_risk(form: str) -> bool:
-    """Marker list, patterns, then rules, on a text in search form."""
-    if not form:
-        return False
-    for m in _MARKERS:
-        at = form.find(m)
-        while at >= 0:
-            if _affirmed(form, at, at + len(m)):
-                return True
-            at = form.find(m, at + len(m))
-    return any(_affirmed(form, *m.span()) for p in _PATTERNS for m in p.finditer(form)) or composed(form)
+        return let(_cored(x, F.lit(0), F.size(x), "RESEARCH_FRAME"), lambda research: F.exists(F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0))), lambda at: F.coalesce(at_place(at, research), F.lit(False))))
 
+    return let(index(form), read)
 
-def detect_risk(query: Column | str) -> Column:
-    """Texts without an Arabic letter or one of the few Latin markers never leave the JVM: the other lists are Arabic."""
 
-    @F.arrow_udf("boolean")
-    def run(x: pa.Array) -> pa.Array:
-        return pa.array([v is not None and at_risk(v) for v in x.to_pylist()], pa.bool_())
+def affirmed_pattern(pattern: str) -> str:
+    """pattern where no negation stands before it, and none of the two words after it is about someone else."""
+    other = shape_pattern(GROUPS["OTHER_TARGET"])[1:-1]
+    return f"(?<!(?:^| ){_any(GROUPS['NEGATION'])} ?)(?>{pattern})(?! ?{other}(?: |$)| ?[^ ]+ {other}(?: |$))"
+
 
-    form = search_form(F.coalesce(_col(query), F.lit("")))
-    latin = "|".join(re.escape(m) for m in _MARKERS if re.search("[a-z]", m))
-    maybe = F.rlike(form, F.lit("[ء-ي]" + (f"|{latin}" if latin else "")))
-    return F.coalesce(F.when(maybe, run(F.when(maybe, form))), F.lit(False))
+def at_risk(form: Column) -> Column:
+    """Marker list, patterns, then rules, on a text in search form; an empty text is at none."""
+    marked = F.rlike(form, F.lit(_any(_MARKERS))) & F.rlike(form, F.lit("|".join(affirmed_pattern(re.escape(m)) for m in _MARKERS)))
+    patterned = F.rlike(form, F.lit("|".join(map(affirmed_pattern, L.PATTERNS))))
+    return marked | patterned | composed(form)
+
+
+def detect_risk(query: Column | str) -> Column:
+    """at_risk() of a raw text; a null one is empty. Texts without an Arabic letter or a Latin marker aren't read further: the other lists are Arabic."""
+    latin = [m for m in _MARKERS if re.search("[a-z]", m)]
+    maybe = "[ء-ي]" + (f"|{_any(latin)}" if latin else "")
+    return let(search_form(F.coalesce(_col(query), F.lit(""))), lambda f: F.coalesce(F.when(F.rlike(f, F.lit(maybe)), at_risk(f)), F.lit(False)))

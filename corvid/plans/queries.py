@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corvid.functions import html as H
 from corvid.functions import text as X
 from corvid.lexicon import words
-from corvid.operators import browse, evaluation, gates, ingest, registry, retrieval
+from corvid.operators import browse, crisis, evaluation, gates, ingest, registry, retrieval
 from corvid.sources import table
 from corvid.streaming import limiter
 
@@ -232,6 +232,23 @@ def gate_cascade(spark, d):
     return gates.outcome(table(spark, d, "conversations"), "text").select("conv_id", "turn", "outcome")
 
 
+#: Words that the tables' words stand for in the crisis query: every listed one, and neutral ones between.
+LISTED = tuple(dict.fromkeys(w for g in sorted(crisis.GROUPS) for w in crisis.GROUPS[g] if " " not in w))
+POOL = tuple(w for pair in zip(LISTED, ("قال", "يوم", "بيت", "قلم", "سماء", "ثم") * len(LISTED), strict=False) for w in (pair[0], pair[1], pair[1]))
+
+
+@query(f"""WITH s AS (SELECT conv_id, turn, unnest(string_split(text, '.')) AS s, unnest(range(len(string_split(text, '.')))) AS n FROM conversations),
+forms AS (SELECT row_number() OVER () AS r, conv_id, turn, CAST(n AS INT) AS sentence, array_to_string(list_transform(list_filter(string_split(s, ' '), lambda w: w <> ''), lambda w: ({S.listed(POOL)})[1 + CAST('0x' || left(md5(w), 6) AS BIGINT) % {len(POOL)}]), ' ') AS f FROM s),
+{S.crisis_rules('forms', 'r')} SELECT conv_id, turn, sentence, r IN (SELECT r FROM fired) AS fired FROM forms""")
+def crisis_rules(spark, d):
+    """The composed rules over the sentences of all turns, each word standing for one of the pool by its digest."""
+    pool = F.array(*map(F.lit, POOL))
+    place = lambda w: (F.conv(F.left(F.md5(w), F.lit(6)), 16, 10).cast("long") % len(POOL)).cast("int")
+    x = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", r"\.", -1)).alias("sentence", "s"))
+    form = F.array_join(F.transform(F.filter(F.split("s", " ", -1), lambda w: w != ""), lambda w: F.get(pool, place(w))), " ")
+    return x.select("conv_id", "turn", "sentence", X.let(form, crisis.composed).alias("fired"))
+
+
 @query(f"""WITH t AS (SELECT doc_id, list_filter(string_split({S.norm('text')}, ' '), lambda x: x <> '') AS t FROM documents)
 SELECT doc_id, len(list_filter(range(1, len(t) + 1), lambda i: list_contains({S.listed(CUES)}, t[i]) AND list_has_any(t[i + 1:i + 4], {S.listed(TARGETS)}))) > 0 AS near FROM t""")
 def window_cue(spark, d):
