@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json as json_
 import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,37 +126,104 @@ class Kept:
         self.close()
 
 
-def existing_rows(spark: SparkSession, path: str) -> int:
-    """Rows of a published table; 0 if it isn't there or can't be read."""
-    from py4j.protocol import Py4JJavaError
-    from pyspark.errors import PySparkException
+class Snapshots:
+    """A table in versions, each in a folder of its own, and numbered pointer files, the last of which names the present one.
 
-    try:
-        return spark.read.parquet(path).count()
-    except (PySparkException, Py4JJavaError):
-        return 0
+    A new version is written beside the others, and then a pointer appears by one rename to a name that wasn't there, so that a reader finds
+    the old version or the new one, whole, at any moment. A pointer also holds the version's number of rows and a note of the writer's. Old
+    versions stay for readers that have begun, until prune(). Of two writers at once, the second to point takes the next number.
+    """
 
+    POINTER = re.compile(r"present-(\d{12})")
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def state(self) -> dict | None:
+        """What the last pointer holds (version, rows, note), or None before the first version. A pointer that can't be read is an error."""
+        last = max(self._numbers(), default=None)
+        if last is None:
+            return None
+        fs, p = _path(self.spark, f"{self.path}/present-{last:012}")
+        stream = fs.open(p)
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json_.loads(text)
+
+    def _names(self) -> list[str]:
+        fs, p = _path(self.spark, self.path)
+        return [status.getPath().getName() for status in fs.listStatus(p)] if fs.exists(p) else []
+
+    def _numbers(self) -> list[int]:
+        return [int(m[1]) for name in self._names() if (m := self.POINTER.fullmatch(name))]
+
+    def read(self) -> DataFrame | None:
+        """The present version; None before the first."""
+        now = self.state()
+        return None if now is None else self.spark.read.parquet(f"{self.path}/{now['version']}")
+
+    def rows(self) -> int:
+        now = self.state()
+        return 0 if now is None else now["rows"]
+
+    def stage(self, df: DataFrame, **metrics: Column) -> tuple[str, dict]:
+        """Write a version that nothing points to yet: its name, and its number of rows and the metrics, observed while it is written."""
+        seen = Observation()
+        version = f"v-{uuid.uuid4().hex}"
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(n) for n, c in metrics.items())).write.parquet(f"{self.path}/{version}")
+        return version, seen.get
+
+    def point(self, version: str, rows_: int, note: dict | None = None) -> None:
+        """Make a staged version the present one."""
+        text = json_.dumps({"version": version, "rows": rows_, "note": note or {}})
+        fs, new = _path(self.spark, f"{self.path}/.pointer-{uuid.uuid4().hex}")
+        out = fs.create(new)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        jvm = self.spark._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        for _ in range(100):
+            target = f"{self.path}/present-{max(self._numbers(), default=0) + 1:012}"
+            try:
+                return context.rename(new, jvm.org.apache.hadoop.fs.Path(target), options)
+            except Py4JJavaError as e:  # another writer took the number
+                if "FileAlreadyExists" not in str(e.java_exception):
+                    raise
+        raise OSError(f"{self.path}: no pointer could be placed")
+
+    def drop(self, version: str) -> None:
+        delete(self.spark, f"{self.path}/{version}")
+
+    def publish(self, df: DataFrame, note: dict | None = None) -> str:
+        """A new present version. An empty table is never published: it is an error, and the old version stays."""
+        version, seen = self.stage(df)
+        if not seen["rows"]:
+            self.drop(version)
+            raise ValueError(f"{self.path}: an empty table is not published")
+        self.point(version, seen["rows"], note)
+        return version
+
+    def prune(self) -> None:
+        """Delete all versions but the present one, and their pointers."""
+        now, last = self.state(), max(self._numbers(), default=0)
+        for name in self._names():
+            m = self.POINTER.fullmatch(name)
+            if (m and int(m[1]) < last) or (name.startswith("v-") and (now is None or name != now["version"])):
+                delete(self.spark, f"{self.path}/{name}")
 
-def publish(df: DataFrame, path: str) -> None:
-    """Write beside the target, then swap by two renames: a reader sees the old or the new table, or for a moment none, never a part.
 
-    An empty table is never published: it is an error, and the old one stays.
-    """
-    spark = df.sparkSession
-    stage, old = f"{path}.stage-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(stage)
-    P = spark._jvm.org.apache.hadoop.fs.Path
-    fs = P(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if spark.read.schema(df.schema).parquet(stage).isEmpty():
-        fs.delete(P(stage), True)
-        raise ValueError(f"{path}: an empty table is not published")
-    had = fs.exists(P(path)) and fs.rename(P(path), P(old))
-    if not fs.rename(P(stage), P(path)):
-        if had:
-            fs.rename(P(old), P(path))
-        raise OSError(f"{path} could not be replaced")
-    if had:
-        fs.delete(P(old), True)
+def existing_rows(spark: SparkSession, path: str) -> int:
+    """Rows of a published table; 0 before the first version. A table that can't be read is an error."""
+    return Snapshots(spark, path).rows()
+
+
+def publish(df: DataFrame, path: str) -> None:
+    Snapshots(df.sparkSession, path).publish(df)
 
 
 def publish_or_reject(rows_: DataFrame, reason: str | None, path: str, rejected: str) -> bool:

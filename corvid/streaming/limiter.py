@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvid.sources import Snapshots
+
 # Fixed values.
 MOST, SECONDS, KEEP_HOURS = 30, 60, 24
 
@@ -42,36 +44,114 @@ def counts(requests: DataFrame, key: str, ts: str, most: int = MOST, seconds: in
     return g.select(F.col("w.start").alias("window_start"), key, "requests", F.least("requests", F.lit(most)).alias("allowed"))
 
 
-def stream(requests: DataFrame, key: str, ts: str, most: int = MOST, seconds: int = SECONDS, watermark: str = "24 hours") -> DataFrame:
-    """decide() on a stream: a counter of the current window in each key's state, which times out after the watermark.
+def stream(requests: DataFrame, key: str, ts: str, tie: str, most: int = MOST, seconds: int = SECONDS, watermark: str = "24 hours") -> DataFrame:
+    """decide() on a stream: key, ts, tie, allowed, remaining and retry_after_seconds of each request.
 
-    Requests of one batch are taken in order of time; those of a window older than the key's current one start no new count and are denied.
+    The state is a counter for each key and window, so a request of an older window that arrives late is counted there, and one hot key is dealt out
+    by its windows. Requests are counted in order of arrival, those of one batch by time and tie as in decide(). A window's counter goes by
+    a timer once the watermark has passed it by KEEP_HOURS; requests behind the watermark are dropped by the stream. A task holds at most
+    `most` requests of a window, however many arrive. The session needs the RocksDB state store, which prepare() sets.
     """
+    import heapq
+
     import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    from pyspark.sql import types as T
+    from pyspark.sql.streaming import StatefulProcessor
 
     span = seconds * 1_000_000
+    out = T.StructType([*(requests.schema[c] for c in (key, ts, tie)), T.StructField("allowed", T.BooleanType()), T.StructField("remaining", T.IntegerType()), T.StructField("retry_after_seconds", T.LongType())])
+
+    class Windows(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.used = handle.getValueState("used", "used long")
+
+        def handleInputRows(self, k, frames, timer):
+            used = int(self.used.get()[0]) if self.used.exists() else 0
+            start = int(pd.Timestamp(k[1]).value // 1000)
+            room = max(0, most - used)
+            first: list[tuple] = []  # the earliest requests so far, latest on top
+
+            def rows(items, allowed):
+                wait = [0 if allowed else max(1, -(-(start + span - t) // 1_000_000)) for t, *_ in items]
+                left = [max(0, most - used - n - 1) if allowed else 0 for n in range(len(items))]
+                return pd.DataFrame({key: [k[0]] * len(items), ts: pd.to_datetime([t for t, *_ in items], unit="us"), tie: [v for _, v in items], "allowed": [allowed] * len(items), "remaining": pd.Series(left, dtype="int32"), "retry_after_seconds": pd.Series(wait, dtype="int64")})
+
+            for frame in frames:
+                times = frame[ts].astype("datetime64[us]").astype("int64")
+                late = []
+                for t, v in sorted(zip(times.tolist(), frame[tie].tolist(), strict=True)):
+                    entry = _Later(t, v)
+                    if len(first) < room:
+                        heapq.heappush(first, entry)
+                    else:
+                        late.append(heapq.heappushpop(first, entry).item if first else entry.item)
+                if late:
+                    yield rows(late, False)
+            kept = sorted(e.item for e in first)
+            if kept:
+                yield rows(kept, True)
+            used += len(kept)
+            self.used.update((used,))
+            self.handle.registerTimer(start // 1000 + span // 1000 + KEEP_HOURS * 3_600_000)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.used.clear()
+            yield from ()
+
+        def close(self):
+            pass
+
+    x = requests.select(key, ts, tie).withWatermark(ts, watermark).withColumn("_window", window_start(ts, seconds))
+    return x.groupBy(key, "_window").transformWithStateInPandas(Windows(), out, "Append", "EventTime")
+
 
-    def run(k, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(ts, kind="stable")
-        start, used = state.get if state.exists else (-1, 0)
-        allowed = []
-        for t in rows[ts].astype("datetime64[us]").astype("int64"):
-            if t // span * span > start:
-                start, used = t // span * span, 0
-            ok = t // span * span == start and used < most
-            used += ok
-            allowed.append(bool(ok))
-        state.update((int(start), int(used)))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, start // 1000 + KEEP_HOURS * 3_600_000))
-        yield pd.DataFrame({key: k[0], ts: rows[ts], "allowed": allowed})
-
-    kind = requests.schema[key].dataType.simpleString()
-    x = requests.withWatermark(ts, watermark).select(key, ts).groupBy(key)
-    return x.applyInPandasWithState(run, f"{key} {kind}, {ts} timestamp, allowed boolean", "start long, used long", "append", GroupStateTimeout.EventTimeTimeout)
+class _Later:
+    """A request in a heap whose top is the latest."""
+
+    def __init__(self, t, tie):
+        self.item = (t, tie)
+
+    def __lt__(self, other):
+        return self.item > other.item
+
+
+def prepare(spark) -> None:
+    """Set the state store that stream() needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def count_batch(batch: DataFrame, batch_id: int, store: Snapshots, key: str, ts: str, seconds: int = SECONDS) -> bool:
+    """Add a batch's requests to the stored counters (key, window_start, requests), once: for foreachBatch.
+
+    The store's pointer holds the last batch's id, and changes together with the counters, so that a batch that is replayed after a failure
+    changes nothing (False). Windows older than KEEP_HOURS before the newest one are dropped.
+    """
+    now = store.state()
+    if now is not None and batch_id <= now["note"]["batch"]:
+        return False
+    new = batch.select(F.col(key).alias("key"), window_start(ts, seconds).alias("window_start")).groupBy("key", "window_start").agg(F.count("*").alias("requests"))
+    old = store.read()
+    both = new if old is None else old.unionByName(new).groupBy("key", "window_start").agg(F.sum("requests").alias("requests"))
+    newest = both.agg(F.max("window_start")).scalar()
+    version, seen = store.stage(both.where(F.col("window_start") >= newest - F.expr(f"INTERVAL {KEEP_HOURS} HOURS")))
+    if not seen["rows"] and now is not None:  # a batch without requests
+        store.drop(version)
+        version, seen = now["version"], now
+    store.point(version, seen["rows"], {"batch": batch_id})
+    return True
+
+
+def decide_stored(batch: DataFrame, counters: DataFrame | None, key: str, ts: str, tie: str, most: int = MOST, seconds: int = SECONDS) -> DataFrame:
+    """decide() of a batch whose windows have begun: stored counters (key, window_start, requests) count first."""
+    x = decide(batch, key, ts, tie, most, seconds).drop("allowed", "remaining", "retry_after_seconds")
+    n = F.row_number().over(Window.partitionBy(key, "window_start").orderBy(ts, tie))
+    x = x.withColumn("_n", n.cast("long"))
+    if counters is not None:
+        c = counters.select(F.col("key").alias("_key"), F.col("window_start").alias("_start"), "requests")
+        x = x.join(c, F.col(key).eqNullSafe(F.col("_key")) & (F.col("window_start") == F.col("_start")), "left").withColumn("_n", F.col("_n") + F.coalesce("requests", F.lit(0))).drop("_key", "_start", "requests")
+    x = x.withColumn("allowed", F.col("_n") <= most)
+    return x.withColumns({"remaining": F.greatest(F.lit(0), F.lit(most) - F.col("_n")).cast("int"), "retry_after_seconds": F.when(F.col("allowed"), F.lit(0)).otherwise(retry_after(ts, seconds))}).drop("_n")
 
 
 def client_ip(forwarded: Column | str, real: Column | str | None = None, platform: Column | str | None = None, hops: int = 1, trusted: bool = True) -> Column:

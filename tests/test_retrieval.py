@@ -97,20 +97,6 @@ def test_limiter_boundary_and_retry(spark):
     assert got[29]["allowed"] and got[29]["remaining"] == 0 and not got[30]["allowed"] and got[30]["retry_after_seconds"] == 30 and got[99]["allowed"]
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from datetime import datetime, timedelta
-
-    rows = [("c%d" % (k % 2), datetime(2026, 1, 1) + timedelta(seconds=3 * k)) for k in range(80)]
-    df = spark.createDataFrame(rows, "key string, ts timestamp")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    s = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = limiter.stream(s, "key", "ts", most=5).writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    batch = limiter.decide(df, "key", "ts", "ts", most=5)
-    want = {(r["key"], r["ts"], r["allowed"]) for r in batch.collect()}
-    assert {(r["key"], r["ts"], r["allowed"]) for r in spark.table("limited").collect()} == want
-
-
 @pytest.mark.parametrize(("header", "hops", "want"), [("1.1.1.1, 2.2.2.2", 1, "2.2.2.2"), ("1.1.1.1, 2.2.2.2", 5, "1.1.1.1"), (" , ", 1, "unknown"), (None, 1, "unknown")])
 def test_client_ip(spark, header, hops, want):
     assert spark.createDataFrame([(header,)], "h string").select(limiter.client_ip("h", hops=hops)).first()[0] == want
@@ -124,15 +110,6 @@ def test_hmac(spark):
     assert got == hmac.new(b"k" * 80, b"rate-limit|1.2.3.4", hashlib.sha256).hexdigest()
 
 
-def test_publish_replaces_and_rejects(spark, tmp_path):
-    path = f"{tmp_path}/corpus"
-    assert S.existing_rows(spark, path) == 0
-    assert S.publish_or_reject(spark.range(3), None, path, f"{tmp_path}/no") and S.existing_rows(spark, path) == 3
-    S.publish(spark.range(5), path)
-    assert not S.publish_or_reject(spark.range(1), "shrunk", path, f"{tmp_path}/no")
-    assert S.existing_rows(spark, path) == 5 and S.existing_rows(spark, f"{tmp_path}/no") == 1
-
-
 def test_questionnaire(spark):
     areas = spark.createDataFrame([("a", ["t2"])], "id string, topicIds array<string>")
     refinements = spark.createDataFrame([(0, "r1", "a", "t1", ["k1", "k2"]), (1, "r2", "a", "t2", ["k2"])], "ord int, id string, areaId string, topicId string, keywords array<string>")
