@@ -1,228 +1,159 @@
-"""Matn and commentary of a landed page: line logic that depends on what came before, in one Arrow pass over the page."""
+"""Matn and commentary of a landed page, as columns over the array of its lines: numbered candidates, the lines that belong to the best one, and where commentary begins.
+
+A page is one row and stays one: its lines are islands between lines that break them, found by places in the array.
+"""
 
 from __future__ import annotations
 
 import re
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corvid.lexicon import framing
-
 from . import html as H
-from . import text as X
-from .text import _col
+from .text import ARABIC, COMMENTARY_LINE, _col, dedupe_form, let, overlap_ratio
 
 # Limits, and labels of the site's interface that end a commentary.
 LEAST, ALIKE, WINDOW = 60, 0.6, 4000
 TAIL_LABELS = ("تحليل الحديث", "الأعلام والأماكن", "مقارنة المتون", "إضافة تعليق", "الرواة")
-_NUMBERED = re.compile(r"^(\d{1,5})\s*[-–—]\s*")
-_OPENS = re.compile(X.COMMENTARY_LINE)
-_MARK = re.compile("|".join(H.COMMENTARY_MARKS), re.I)
-_STARS = re.compile(r"\*\s*\*\s*\*")
-_ARABIC = re.compile(X.ARABIC)
-_BLOCKED, _SOFT = re.compile(H.BLOCKED), re.compile(H.SOFT_ERROR)
-_BOOK_END = re.compile(f"(?:{'|'.join(map(re.escape, framing.BOOK_SUFFIXES))})$")
-_DEDUPE = str.maketrans(X.MATCH_FROM, X.MATCH_TO)
+NUMBERED = r"^(\d{1,5})\s*[-–—]\s*"
+STARS = r"\*\s*\*\s*\*"
+_MARK = "(?i)(?:" + "|".join(H.COMMENTARY_MARKS) + ")"
 
 
-def tidy(raw: str) -> str:
-    """Readable text of HTML or text, as H.clean() makes it."""
-    x = re.sub(H.HIDDEN, " ", raw)
-    x = re.sub(r"(?i)<br\s*/?\s*>|</(?:p|div|section|article|main|header|footer|li|h[1-6]|tr|td|th)>", "\n", x)
-    x = H.py_decode(re.sub("<[^>]+>", " ", x).replace(" ", " "))
-    x = re.sub(r"https?://\S+", " ", re.sub(r"\[([^\]]*)\]\(\s*(?:https?:)?//[^)]*\)", r"\1", re.sub(r"!\[[^\]]*\]\([^)]*\)", " ", x)))
-    x = re.sub("[ \t ]+", " ", re.sub("[​-‍﻿]", "", x))
-    return re.sub("\n{3,}", "\n\n", re.sub(" ?\n ?", "\n", x)).strip()
+def _tidy(c: Column) -> Column:
+    return H.clean(c, tags=False)
 
 
-def key(text: str) -> str:
-    """X.dedupe_form() of one text."""
-    x = re.sub(f"[{X.WIDE_MARKS}]", "", text).translate(_DEDUPE)
-    return re.sub("[^؀-ۿݐ-ݿ]+", " ", x).strip()
+def _lines(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, "\n"), lambda v: F.btrim(v)), lambda v: v != "")
 
 
-def alike(needle: str, haystack: str) -> float:
-    words = [t for t in key(needle).split() if len(t) >= 3]
-    have = set(key(haystack).split())
-    return sum(w in have for w in words) / len(words) if words else 1.0
+def _arabic(c: Column) -> Column:
+    return F.rlike(c, F.lit(ARABIC))
 
 
-def main(page: str) -> str:
-    for tag in ("main", "article", "body"):
-        if (m := re.search(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", page)) and m[1]:
-            return m[1]
-    return page
+def once(lines: Column) -> Column:
+    """Lines in order without those that have no form, and without later copies of forms of LEAST characters or more."""
+    keyed = F.transform(lines, lambda v: F.struct(v.alias("line"), dedupe_form(v).alias("key")))
 
+    def kept(x: Column) -> Column:
+        long = F.transform(x, lambda v: F.when(F.length(v["key"]) >= LEAST, v["key"]))
+        fresh = F.filter(x, lambda v, k: (v["key"] != "") & ((F.length(v["key"]) < LEAST) | (F.array_position(long, v["key"]) == k + 1)))
+        return F.transform(fresh, lambda v: v["line"])
 
-def noise(line: str) -> bool:
-    x = line.strip()
-    return not x or (len(x) <= 24 and x.startswith(framing.UI_NOISE))
+    return let(keyed, kept)
 
 
-def once(lines: list[str]) -> list[str]:
-    """Without lines that have no form, and without later copies of long ones."""
-    seen, out = set(), []
-    for line in lines:
-        k = key(line)
-        if k and not (len(k) >= LEAST and k in seen):
-            seen.add(k)
-            out.append(line)
-    return out
+def snippet(title: Column | str) -> Column:
+    """A result title's words: no ordinal, no book name, no final punctuation."""
+    from corvid.operators.ingest import result_title
 
+    return result_title(title)["snippet"]
 
-def snippet(title: str) -> str:
-    """A result title's words: no ordinal, no book name, no final punctuation."""
-    lines = [v.strip() for v in tidy(title).split("\n") if v.strip()]
-    if not lines:
-        return ""
-    m = re.match(r"^(\d{1,5})\s*[-–—:]\s*(.*)$", lines[0])
-    head = m[2].strip() if m else lines[0]
-    if not head:
-        head = next((v for v in lines if not re.match(r"^\d{1,5}\s*[-–—:]\s*$", v)), " ".join(lines))
-    return re.sub(r"[،,:;\s]+$", "", _BOOK_END.sub("", _NUMBERED.sub("", head).strip()).strip())
-
-
-def split(text: str) -> tuple[str, str]:
-    """(matn, commentary): before the first line that opens a commentary, else before a late enough mark, at a word's end."""
-    x = tidy(text)
-    lines = x.split("\n")
-    for k in range(1, len(lines)):
-        if _OPENS.match(lines[k]) and (matn := tidy("\n".join(lines[:k]))):
-            return matn, tidy("\n".join(lines[k:]))
-    if (m := _MARK.search(x)) and m.start() >= LEAST:
-        head = x[: m.start()]
-        cut = max(head.rfind(" "), head.rfind("\n"))
-        matn = tidy(head[:cut] if cut > 0 else head)
-        if len(matn) >= LEAST:
-            return matn, tidy(x[len(matn) :])
-    return x, ""
-
-
-def extract(page_text: str, hint: str = "") -> dict:
-    """number, matn, commentary, matched: the numbered line most like the hint and the lines that belong to it.
-
-    Without a numbered line, a window from where the hint stands in the text.
+
+def extract(page_text: Column, hint: Column) -> Column:
+    """struct<number, matn, commentary, matched> of readable text: the numbered line most like the hint and the lines that belong to it.
+
+    The lines after it belong to it up to one that is noise, numbered, a separator or opens a commentary. Without a numbered line, a window from
+    where the hint stands in the text. An empty hint takes the first numbered line.
     """
-    whole = tidy(page_text)
-    lines, wanted = [v.strip() for v in whole.split("\n") if v.strip()], key(hint)
-    found = []
-    for k, line in enumerate(lines):
-        m = _NUMBERED.match(line)
-        body = line[m.end() :].strip() if m else ""
-        if m and not noise(line) and len(body) >= 40 and _ARABIC.search(body):
-            found.append((alike(hint, body) if wanted else 0.0, -k, m[1], body))
-    if not found:
-        at = whole.find(hint.strip()) if wanted else -1
-        if at < 0:
-            return {"number": "", "matn": "", "commentary": "", "matched": False}
-        kept = once([v for v in tidy(whole[max(0, at - 40) : at + WINDOW]).split("\n") if not noise(v) and _ARABIC.search(v)])
-        matn, commentary = split(_NUMBERED.sub("", tidy("\n".join(kept))))
-        return {"number": "", "matn": matn, "commentary": commentary, "matched": True}
-    good = [c for c in found if c[0] >= ALIKE]
-    _, at, number, body = max(good) if good else found[0]
-    block = [body]
-    for line in lines[1 - at :]:
-        if noise(line) or _NUMBERED.match(line) or line == "* * *" or _OPENS.match(line):
-            break
-        if _ARABIC.search(line):
-            block.append(line)
-    matn, commentary = split(tidy("\n".join(once(block))))
-    return {"number": number, "matn": matn, "commentary": commentary, "matched": alike(hint, matn) >= ALIKE if wanted else True}
-
-
-def truncate(text: str, most: int) -> str:
-    if not most or len(text) <= most:
-        return text
-    window = text[:most]
-    cut = max(window.rfind(" . "), window.rfind("\n"), window.rfind("، "))
-    return tidy(window[:cut] if cut > most * 0.5 else window)
-
-
-def explanation(page: str, most: int = 6000) -> str:
-    """The commentary of a service page: after the separator, from its first mark, without the interface's tail."""
-    text = tidy(main(page))
-    if m := _STARS.search(text):
-        text = text[m.end() :]
-    if not (m := _MARK.search(text)):
-        return ""
-    body = tidy(text[m.start() :])
+
+    def result(number: Column, block: Column, matched) -> Column:
+        return let(H.split_commentary(block), lambda s: F.struct(number.alias("number"), s["matn"].alias("matn"), s["commentary"].alias("commentary"), matched(s["matn"]).alias("matched")))
+
+    def numbered(v: dict) -> Column:
+        lines, hint, best = v["lines"], v["hint"], v["best"]
+        breaks = lambda w: H.is_noise(w) | F.rlike(w, F.lit(NUMBERED)) | (w == "* * *") | F.rlike(w, F.lit(COMMENTARY_LINE))
+        after = F.slice(lines, best["at"] + 2, F.size(lines))
+        stop = F.array_position(F.transform(after, breaks), True)
+        belonging = F.filter(F.when(stop > 0, F.slice(after, F.lit(1), (stop - 1).cast("int"))).otherwise(after), _arabic)
+        block = F.array_join(once(F.concat(F.array(best["body"]), belonging)), "\n")
+        return result(best["number"], block, lambda matn: F.when(dedupe_form(hint) != "", overlap_ratio(hint, matn) >= ALIKE).otherwise(True))
+
+    def window(v: dict) -> Column:
+        at = F.when(dedupe_form(v["hint"]) != "", F.instr(v["text"], F.btrim(v["hint"]))).otherwise(0)
+        part = F.substring(v["text"], F.greatest(at - 40, F.lit(1)), F.lit(WINDOW) + at - F.greatest(at - 40, F.lit(1)))
+        kept = once(F.filter(F.split(_tidy(part), "\n"), lambda w: ~H.is_noise(w) & _arabic(w)))
+        block = F.regexp_replace(_tidy(F.array_join(kept, "\n")), NUMBERED, "")
+        none = F.struct(F.lit("").alias("number"), F.lit("").alias("matn"), F.lit("").alias("commentary"), F.lit(False).alias("matched"))
+        return F.when(at > 0, result(F.lit(""), block, lambda _: F.lit(True))).otherwise(none)
+
+    def read(x: Column) -> Column:
+        v = {c: x[c] for c in ("text", "hint", "lines")}
+        wanted = dedupe_form(v["hint"]) != ""
+        body = lambda w: F.btrim(F.regexp_replace(w, NUMBERED, ""))
+        entries = F.transform(v["lines"], lambda w, k: F.struct(k.alias("at"), F.regexp_extract(w, NUMBERED, 1).alias("number"), body(w).alias("body"), w.alias("line")))
+        fine = F.filter(entries, lambda e: (e["number"] != "") & ~H.is_noise(e["line"]) & (F.length(e["body"]) >= 40) & _arabic(e["body"]))
+        scored = F.transform(fine, lambda e: F.struct(F.when(wanted, -overlap_ratio(v["hint"], e["body"])).otherwise(0.0).alias("unlike"), e["at"].alias("at"), e["number"].alias("number"), e["body"].alias("body")))
+
+        def choose(c: Column) -> Column:
+            best = F.array_min(F.filter(c, lambda e: e["unlike"] <= -ALIKE))
+            return F.coalesce(best, F.get(c, F.lit(0)))
+
+        return let(let(scored, choose), lambda best: F.when(best.isNotNull(), numbered(v | {"best": best})).otherwise(window(v)))
+
+    text = _tidy(page_text)
+    return let(let(F.struct(text.alias("text"), hint.alias("hint")), lambda t: F.struct(t["text"].alias("text"), t["hint"].alias("hint"), _lines(t["text"]).alias("lines"))), read)
+
+
+def explanation(page_text: Column, most: int = 6000) -> Column:
+    """The commentary in the readable text of a service page: after the separator, from its first mark, without the interface's tail; empty if it is too short."""
+    text = F.regexp_replace(page_text, f"(?s)^.*?{STARS}", "")
+    body = _tidy(F.regexp_extract(text, f"(?s)({_MARK}.*)$", 1))
+
+    def without(label: str, body: Column) -> Column:
+        return let(body, lambda b: let(F.regexp_extract(b, f"(?s)^(.*){re.escape(label)}", 1), lambda head: F.when(F.length(head) > 400, head).otherwise(b)))
+
     for label in TAIL_LABELS:
-        if (at := body.rfind(label)) > 400:
-            body = body[:at]
-    body = body.strip()
-    return truncate(body, most) if len(key(body)) >= LEAST else ""
-
-
-def references(page: str, wanted: str, parameter: str) -> int:
-    return len(re.findall(rf"(?i){parameter}={re.escape(wanted)}(?![0-9])", page))
-
-
-def _parameter(url: str, parameter: str) -> str:
-    m = re.search(rf"(?i)[?&]{parameter}=([^&#]*)", url or "")
-    return m[1] if m else ""
-
-
-def detail(page: str | None, url: str | None, title: str | None, parameter: str = "mainId", most: int = 6000) -> dict:
-    """reason (null for a usable page), number, matn, explanation: the checks of a detail page, in their order."""
-    out = {"reason": None, "number": "", "matn": "", "explanation": ""}
-    page, hint = page or "", snippet(title or "")
-    text = tidy(main(page))
-    wanted = _parameter(url, parameter)
-    if not page.strip():
-        reason = "empty-response"
-    elif _BLOCKED.search(page):
-        reason = "block-page"
-    elif not _ARABIC.search(text):
-        reason = "no-arabic-content"
-    elif _SOFT.search(text) and len(text) < 900:
-        reason = "site-error-page"
-    elif wanted and references(page, wanted, parameter) < 2:
-        reason = f"page-does-not-reference-{parameter}-{wanted}"
-    else:
-        found = extract(text, hint)
-        said = explanation(page, most) if _STARS.search(text) or _MARK.search(text) else ""
-        if not said and len(key(found["commentary"])) >= LEAST:
-            said = truncate(found["commentary"], most)
-        out |= {"number": found["number"], "matn": found["matn"], "explanation": said}
-        reason = "no-matn-extracted" if not found["matn"] else "matn-too-short" if len(found["matn"]) < LEAST else "matn-does-not-match-result-excerpt" if hint and not found["matched"] else None
-    return out | {"reason": reason}
-
-
-def commentary(page: str | None, url: str | None, parameter: str = "mainId", most: int = 6000) -> dict:
-    """reason (null for a usable page) and explanation of a commentary page."""
-    page = page or ""
-    text, wanted = tidy(main(page)), _parameter(url, parameter)
-    said = explanation(page, most)
-    if len(text) < 200 or not _ARABIC.search(text) or _BLOCKED.search(text):
-        reason = "not-a-commentary-page"
-    elif not _MARK.search(text):
-        reason = "no-commentary-markers"
-    elif not said:
-        reason = "no-explanation-extracted"
-    elif wanted and references(page, wanted, parameter) < 1:
-        reason = "commentary-does-not-reference-itself"
-    else:
-        reason = None
-    return {"reason": reason, "explanation": "" if reason else said}
-
-
-def detail_page(page: Column | str, url: Column | str, title: Column | str, parameter: str = "mainId") -> Column:
-    kind = pa.struct([("reason", pa.string()), ("number", pa.string()), ("matn", pa.string()), ("explanation", pa.string())])
-
-    @F.arrow_udf("struct<reason: string, number: string, matn: string, explanation: string>")
-    def run(p: pa.Array, u: pa.Array, t: pa.Array) -> pa.Array:
-        return pa.array([detail(a.as_py(), b.as_py(), c.as_py(), parameter) for a, b, c in zip(p, u, t, strict=True)], kind)
-
-    return run(_col(page), _col(url), _col(title))
-
-
-def commentary_page(page: Column | str, url: Column | str, parameter: str = "mainId") -> Column:
-    kind = pa.struct([("reason", pa.string()), ("explanation", pa.string())])
-
-    @F.arrow_udf("struct<reason: string, explanation: string>")
-    def run(p: pa.Array, u: pa.Array) -> pa.Array:
-        return pa.array([commentary(a.as_py(), b.as_py(), parameter) for a, b in zip(p, u, strict=True)], kind)
-
-    return run(_col(page), _col(url))
+        body = without(label, body)
+    return let(body, lambda b: let(F.regexp_replace(b, r"^\s+|\s+$", ""), lambda v: F.when(F.length(dedupe_form(v)) >= LEAST, H.truncate_at_boundary(v, most)).otherwise("")))
+
+
+def references(page: Column, wanted: Column, parameter: str) -> Column:
+    quoted = F.concat(F.lit(f"(?i){parameter}=\\Q"), F.replace(wanted, F.lit("\\E"), F.lit("")), F.lit("\\E(?![0-9])"))
+    return F.regexp_count(page, quoted)
+
+
+def detail_page(page: Column | str, url: Column | str, title: Column | str, parameter: str = "mainId", most: int = 6000) -> Column:
+    """struct<reason, number, matn, explanation>: why a detail page isn't usable, the first of the checks in their order (null if it is), and what it says.
+
+    A null page is empty; a null url names no page, a null title no excerpt.
+    """
+    p, hint = F.coalesce(_col(page), F.lit("")), snippet(F.coalesce(_col(title), F.lit("")))
+    text, wanted = H.clean(H.main_html(p)), H.query_parameter(F.coalesce(_col(url), F.lit("")), parameter)
+
+    def early(v: Column) -> Column:
+        out = F.when(F.regexp_replace(v["page"], r"(?U)\s+", "") == "", "empty-response").when(F.rlike(v["page"], F.lit(H.BLOCKED)), "block-page")
+        out = out.when(~_arabic(v["text"]), "no-arabic-content").when(F.rlike(v["text"], F.lit(H.SOFT_ERROR)) & (F.length(v["text"]) < 900), "site-error-page")
+        return out.when((v["wanted"] != "") & (references(v["page"], v["wanted"], parameter) < 2), F.concat(F.lit(f"page-does-not-reference-{parameter}-"), v["wanted"]))
+
+    def read(v: Column) -> Column:
+        def said(found: Column) -> Column:
+            marked = F.rlike(v["text"], F.lit(STARS)) | F.rlike(v["text"], F.lit(_MARK))
+            own = F.when(marked, explanation(v["text"], most)).otherwise("")
+            rest = F.when(F.length(dedupe_form(found["commentary"])) >= LEAST, H.truncate_at_boundary(found["commentary"], most)).otherwise("")
+            late = F.when(found["matn"] == "", "no-matn-extracted").when(F.length(found["matn"]) < LEAST, "matn-too-short").when((v["hint"] != "") & ~found["matched"], "matn-does-not-match-result-excerpt")
+            return F.struct(late.alias("reason"), found["number"].alias("number"), found["matn"].alias("matn"), F.coalesce(F.nullif(own, F.lit("")), rest).alias("explanation"))
+
+        nothing = F.struct(early(v).alias("reason"), *(F.lit("").alias(c) for c in ("number", "matn", "explanation")))
+        return F.when(early(v).isNotNull(), nothing).otherwise(let(extract(v["whole"], v["hint"]), said))
+
+    # markup that entities stood for goes from what is extracted
+    return let(F.struct(p.alias("page"), text.alias("text"), H.clean(text).alias("whole"), wanted.alias("wanted"), hint.alias("hint")), read)
+
+
+def commentary_page(page: Column | str, url: Column | str, parameter: str = "mainId", most: int = 6000) -> Column:
+    """struct<reason, explanation> of a commentary page; nulls are as for detail_page()."""
+    p = F.coalesce(_col(page), F.lit(""))
+    wanted = H.query_parameter(F.coalesce(_col(url), F.lit("")), parameter)
+
+    def read(v: Column) -> Column:
+        def judged(said: Column) -> Column:
+            reason = F.when((F.length(v["text"]) < 200) | ~_arabic(v["text"]) | F.rlike(v["page"], F.lit(H.BLOCKED)), "not-a-commentary-page").when(~F.rlike(v["text"], F.lit(_MARK)), "no-commentary-markers")
+            reason = reason.when(said == "", "no-explanation-extracted").when((v["wanted"] != "") & (references(v["page"], v["wanted"], parameter) < 1), "commentary-does-not-reference-itself")
+            return F.struct(reason.alias("reason"), F.when(reason.isNull(), said).otherwise("").alias("explanation"))
+
+        return let(explanation(v["text"], most), judged)
+
+    return let(F.struct(p.alias("page"), H.clean(H.main_html(p)).alias("text"), wanted.alias("wanted")), read)
