@@ -95,3 +95,70 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
     return F.when((F.size(x) == F.size(y)) & (norm > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(x, y) / F.nullif(norm, F.lit(0.0))))).otherwise(0.0)
+
+
+def suggestions(topics: DataFrame, most: int = 4) -> DataFrame:
+    """(slug, title) of the first topics in order, for a query without an answer."""
+    return topics.orderBy("order", "slug").limit(most).select("slug", "title")
+
+
+# The brief's headings and its closing note.
+BRIEF = "تنظيم آلي حتمي للمادة المسترجعة (بدون نموذج ذكاء اصطناعي):"
+BRIEF_TOPICS = "موضوعات المسار البحثي:"
+BRIEF_PASSAGES = "أبرز ما تضمنته المادة المسترجعة من المصدر المعتمد:"
+BRIEF_NOTE = "ملاحظة منهجية: التلخيص أعلاه جُمّع حرفياً من المقاطع المسترجعة نفسها، ولم يُضف إليه أي معنى من خارجها. وصفُ المستخدم يبقى وصفاً شخصياً، ومحتوى المصدر يبقى محتوى المصدر."
+
+
+def brief(queries: DataFrame, matched: DataFrame, topics: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, brief): heading, the matched topics' titles, a line of each passage, and the closing note. Queries without topics have no topic list."""
+    titles = matched.join(small(topics.select(F.col("id").alias("topic_id"), "title")), "topic_id").select("query_id", F.struct(F.lit(1).alias("part"), "rank", F.concat(F.lit("• "), arabic_punctuation("title")).alias("line")).alias("v"))
+    lines = brief_lines(passages).select("query_id", F.struct(F.lit(3).alias("part"), "rank", "line").alias("v"))
+    fixed = lambda part, line: F.struct(F.lit(part).alias("part"), F.lit(0).alias("rank"), F.lit(line).alias("line"))
+    frame = queries.select("query_id", F.explode(F.array(fixed(0, BRIEF + "\n"), fixed(2, BRIEF_PASSAGES), fixed(4, "\n" + BRIEF_NOTE))).alias("v"))
+    heads = matched.select("query_id").distinct().select("query_id", F.explode(F.array(fixed(1, BRIEF_TOPICS), F.struct(F.lit(1).alias("part"), F.lit(1 << 30).alias("rank"), F.lit("").alias("line")))).alias("v"))
+    x = frame.unionByName(heads).unionByName(titles).unionByName(lines).groupBy("query_id").agg(F.sort_array(F.collect_list("v")).alias("v"))
+    return x.select("query_id", F.array_join(F.transform("v", lambda v: v["line"]), "\n").alias("brief"))
+
+
+def verse_parts(text: Column | str) -> Column:
+    """array<struct<verse, text>>: the passage cut into bracketed verses and the text between them, in order; nothing is lost."""
+    parts = F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit("﴿[^﴾]+﴾|(?:(?!﴿[^﴾]+﴾)[\\s\\S])+"), F.lit(0))
+    return F.transform(parts, lambda p: F.struct(F.rlike(p, F.lit("^﴿[^﴾]+﴾$")).alias("verse"), p.alias("text")))
+
+
+# Fixed value: characters of a text that are embedded.
+EMBED = 1400
+
+
+def embed_text(text: Column | str, role: str = "neutral", most: int = EMBED) -> Column:
+    """The trimmed and clipped text, framed for its role: query, document or neutral. A null text is empty."""
+    x = F.left(F.regexp_replace(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), r"(?U)^\s+|\s+$", ""), F.lit(most))
+    frame = {"query": "task: question answering | query: ", "document": "title: none | text: "}.get(role)
+    return F.concat(F.lit(frame), x) if frame else x
+
+
+def health(**tables: DataFrame) -> DataFrame:
+    """(name, rows) of each table."""
+    out = None
+    for name, df in tables.items():
+        n = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+def distinct_by(rows: DataFrame, key: Column, order: str) -> DataFrame:
+    """The first row, by a unique order, of each value of key; null is a value."""
+    first = rows.groupBy(key.alias("_k")).agg(F.min(order).alias(order)).select(order)
+    return rows.join(first, order, "left_semi")
+
+
+def contains_all(held: DataFrame, group: str, member: str, wanted: DataFrame, key: str) -> DataFrame:
+    """(group, key): groups that hold every member of a wanted set (relational division), by counts of a join on the members.
+
+    held: (group, member), wanted: (key, member); repeats count once, null members are none. A set without members is no row of wanted and has
+    no pair: every group holds it, so callers that list such sets know the answer. Only pairs that share a member are looked at.
+    """
+    w = wanted.select(key, F.col(member)).where(F.col(member).isNotNull()).distinct()
+    sizes = w.groupBy(key).agg(F.count("*").alias("_wanted"))
+    met = held.select(group, member).where(F.col(member).isNotNull()).distinct().join(small(w), member).groupBy(group, key).agg(F.count("*").alias("_met"))
+    return met.join(small(sizes), key).where("_met = _wanted").select(group, key)

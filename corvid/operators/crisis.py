@@ -237,3 +237,20 @@ def detect_risk(query: Column | str) -> Column:
     latin = [m for m in _MARKERS if re.search("[a-z]", m)]
     maybe = "[ء-ي]" + (f"|{_any(latin)}" if latin else "")
     return let(search_form(F.coalesce(_col(query), F.lit(""))), lambda f: F.coalesce(F.when(F.rlike(f, F.lit(maybe)), at_risk(f)), F.lit(False)))
+
+
+def dead_entries(texts: DataFrame, text: str) -> DataFrame:
+    """(group, word): listed words that no token of the texts is, as it stands, without a prefix or in another shape: entries that never fire there.
+
+    Distinct tokens meet the groups' patterns once each, whatever the number of texts.
+    """
+    seen = texts.select(F.explode(F.array_distinct(F.split(search_form(F.coalesce(_col(text), F.lit(""))), " "))).alias("token")).where("token <> ''").distinct()
+    cut = lambda t, end: F.regexp_replace(t, f"{end}$", "")
+    bare = [F.col("token"), *(F.substring("token", F.lit(len(p) + 1), F.length("token")) for p in FUSED)]
+    forms = F.array_distinct(F.flatten(F.array(*(F.array(b, cut(b, "ش"), cut(b, "ا"), cut(cut(b, "ش"), "ا"), cut(cut(b, "ا"), "ش")) for b in bare))))
+    spark = texts.sparkSession
+    listed = spark.createDataFrame([(g, w) for g in sorted(GROUPS) for w in GROUPS[g]], "group string, word string")
+    near = seen.select("token", F.explode(forms).alias("word")).join(F.broadcast(listed), "word")  # the fixed list
+    patterns = F.create_map(*(F.lit(v) for g in sorted(GROUPS) for v in (g, shape_pattern(GROUPS[g]))))
+    fired = near.where(F.rlike("token", F.get(F.array(F.element_at(patterns, F.col("group"))), F.lit(0))) & F.rlike("token", F.concat(F.lit("^(?:"), F.lit(_any(FUSED)), F.lit(")?"), "word", F.lit("(?:ش|ا|اش|شا|شش|اا|اشا|اشش)?$"))))
+    return listed.join(fired.select("group", "word").distinct(), ["group", "word"], "left_anti")

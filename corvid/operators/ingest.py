@@ -54,6 +54,64 @@ def links(pages: DataFrame, id_col: str, url_col: str, html_col: str, origins: l
     return x
 
 
+def subject_links(pages: DataFrame, id_col: str, url_col: str, html_col: str, origins: list[str], route: str, most: int = 40, arabic: bool = True) -> DataFrame:
+    """(id, pos, url, title): links of a listing page whose label says something, distinct by url and label's form, in page order.
+
+    The first `most` distinct links stay. Nulls: a null page has no links. Repeated pages: each id has its own.
+    """
+    a = pages.select(id_col, F.col(url_col).alias("_base"), F.posexplode(H.anchors(F.coalesce(F.col(html_col), F.lit("")))).alias("pos", "a"))
+    x = a.select(id_col, "pos", H.absolute_url("a.href", "_base").alias("url"), result_title("a.label")["snippet"].alias("title"))
+    x = x.where(F.exists(F.array(*map(F.lit, origins)), lambda o: F.startswith(F.col("url"), o)) & F.rlike("url", F.lit(f"(?i){route}")) & (F.col("title") != ""))
+    x = (x.where(has_arabic("title")) if arabic else x).withColumn("_k", dedupe_form("title") if arabic else F.lower("title"))
+    first = x.groupBy(id_col, "url", "_k").agg(F.min_by(F.struct("pos", "title"), "pos").alias("v")).select(id_col, "v.pos", "url", "v.title")
+    return first.withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy("pos"))).where(F.col("_n") <= most).drop("_n")
+
+
+def best_links(found: DataFrame, id_col: str, service: str, most: int = 3) -> DataFrame:
+    """(id, rank, url): the best `most` links of a page: the wanted service's first, then service pages, then others, each in page order."""
+    order = Window.partitionBy(id_col).orderBy(commentary_rank("url", service), "pos")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select(id_col, "rank", "url")
+
+
+def discover(pages: DataFrame, links_: DataFrame, seeds: DataFrame, most: int = 100_000, depth: int = 10, kept=None) -> DataFrame:
+    """(url, depth): landed pages that links reach from the seeds (url), breadth first, each at its least depth.
+
+    links_: (source, url). A level's pages are those that the level before links to and that no level has; each level is written, and the visited ones
+    are told apart by an anti join, so cycles end. Levels stop at depth, or where `most` pages have been met: the level that crosses it is cut by url.
+    Pages that haven't landed aren't met. Nulls and repeats in any table are ignored.
+    """
+    from corvid.sources import Kept
+
+    kept = kept or Kept(pages.sparkSession)
+    landed = pages.select("url").where("url is not null").distinct()
+    level = kept(seeds.select("url").distinct().join(landed, "url", "left_semi").orderBy("url").limit(most).withColumn("depth", F.lit(0)), "frontier")
+    met, n = level, level.count()
+    for d in range(1, depth + 1):
+        new = links_.join(level.select(F.col("url").alias("source")), "source", "left_semi").select("url").distinct()
+        new = new.join(landed, "url", "left_semi").join(met, "url", "left_anti")
+        if (left := most - n) <= 0:
+            break
+        new = new if new.limit(left + 1).count() <= left else new.orderBy("url").limit(left)
+        level = kept(new.withColumn("depth", F.lit(d)), "frontier")
+        if not (grown := level.count()):
+            break
+        met, n = met.unionByName(level), n + grown
+    return met
+
+
+def duplicate_keys(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """(column, key, n) of values that more than one row has; nulls are no values. columns: name -> expression as text."""
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("column"), c.cast("string").alias("key")) for n, c in columns.items())))
+    return rows.select(each.alias("v")).select("v.*").where("key is not null").groupBy("column", "key").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def useful_page(page: Column | str, least: int = 80, arabic: bool = True) -> Column:
+    """The main text is long enough, Arabic, and no block page's."""
+    text = H.clean(H.main_html(F.coalesce(F.col(page) if isinstance(page, str) else page, F.lit(""))))
+    out = (F.length(text) >= least) & ~F.rlike(text, F.lit(H.BLOCKED))
+    return out & has_arabic(text) if arabic else out
+
+
 def commentary_rank(url: Column | str, service: str) -> Column:
     u = F.col(url) if isinstance(url, str) else url
     return F.when(H.query_parameter(u, "serviceId") == service, 0).when(F.rlike(u, F.lit("(?i)ViewServicePage")), 1).otherwise(2)

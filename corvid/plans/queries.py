@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from corvid.functions import html as H
 from corvid.functions import text as X
 from corvid.lexicon import words
-from corvid.operators import browse, crisis, evaluation, gates, ingest, registry, retrieval
+from corvid.operators import browse, crisis, evaluation, gates, ingest, registry, retrieval, shapes
+from corvid.operators.substrings import containing
 from corvid.sources import table
 from corvid.streaming import limiter
 
@@ -105,9 +106,8 @@ def coverage_gate(spark, d):
 
 @query(f"SELECT item_id, doc_id FROM (SELECT item_id, {S.norm('text')} AS q FROM benchmark) JOIN (SELECT doc_id, {S.norm('text')} AS t FROM documents) ON length(q) >= 6 AND contains(t, q)")
 def phrase_contains(spark, d):
-    q = _items(spark, d).select("item_id", X.search_form("text").alias("q")).where(F.length("q") >= 6)
-    t = _docs(spark, d).select("doc_id", X.search_form("text").alias("t"))
-    return t.join(registry.small(q), F.contains("t", "q")).select("item_id", "doc_id")
+    q = _items(spark, d).select("item_id", X.search_form("text").alias("q"))
+    return containing(_docs(spark, d).select("doc_id", X.search_form("text").alias("t")), q, "t", "q", least=6).select("item_id", "doc_id")
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
@@ -514,6 +514,187 @@ def query_outcomes(spark, d):
     return x.select("query_id", "outcome", *(F.array_join(c, "|").alias(c) for c in ("topic_ids", "keywords", "passage_ids")))
 
 
+# ---- rules over whole tables
+
+COLLAPSED = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
+
+
+@query(f"SELECT min(doc_id) AS doc_id FROM documents WHERE {COLLAPSED} <> '' GROUP BY source, {COLLAPSED}")
+def distinct_texts(spark, d):
+    return ingest.distinct_texts(_docs(spark, d), "doc_id", source="source").select("doc_id")
+
+
+@query("""WITH m AS (SELECT source || v AS source, n AS minimum FROM (SELECT DISTINCT source FROM documents), (VALUES ('', 20), ('', 60), ('9', 1)) t(v, n)), n AS (SELECT source, count(*) AS n FROM documents GROUP BY source)
+SELECT source, coalesce(n, 0) AS n, minimum FROM m LEFT JOIN n USING (source) WHERE coalesce(n, 0) < minimum""")
+def short_sources(spark, d):
+    """Sources against minimums, some of which no row belongs to."""
+    docs = _docs(spark, d)
+    ways = F.explode(F.array(*(F.struct(F.lit(v).alias("v"), F.lit(n).alias("n")) for v, n in (("", 20), ("", 60), ("9", 1)))))
+    least = docs.select("source").distinct().select("source", ways.alias("w")).select(F.concat("source", "w.v").alias("source"), F.col("w.n").alias("minimum"))
+    return ingest.short_sources(docs, least, source="source")
+
+
+@query("SELECT lang, CASE WHEN n < 20 THEN 'too-few-rows' WHEN n >= 100 AND whole < 0.9::DOUBLE * n THEN 'few-full-texts' END AS reason FROM (SELECT lang, count(*) AS n, count(*) FILTER (WHERE length(text) >= 400) AS whole FROM documents GROUP BY lang)")
+def full_text_gate(spark, d):
+    x = _docs(spark, d).groupBy("lang").agg(F.count("*").alias("n"), ingest.full_texts(F.when(F.length("text") >= 400, F.col("text"))).alias("full"))
+    return x.select("lang", ingest.assess(F.col("n"), F.lit(0), F.lit(0), 20, full=F.col("full")).alias("reason"))
+
+
+@query("""WITH c AS (SELECT doc_id, nullif(regexp_extract(text, '^[A-Z][a-z]+'), '') AS id, CASE WHEN length(text) < 200 THEN 'index' ELSE 'evidence' END AS role, CASE WHEN length(text) > 300 THEN md5(text) END AS hash, regexp_extract(text, '[.]') <> '' AS head, lang = 'fr' AS web FROM documents),
+r AS (SELECT unnest([CASE WHEN id IS NULL THEN 'missing id' END, CASE WHEN id IS NOT NULL AND role <> 'evidence' THEN 'role' END, CASE WHEN id IS NOT NULL AND hash IS NULL THEN 'document provenance' END,
+CASE WHEN id IS NOT NULL AND NOT head THEN 'heading provenance' END, CASE WHEN web THEN 'input not official' END]) AS rule FROM c) SELECT rule, count(*) AS n FROM r WHERE rule IS NOT NULL GROUP BY rule""")
+def provenance_rules(spark, d):
+    none = F.lit(None).cast("string")
+    head = F.when(F.contains("text", F.lit(".")), F.array(F.lit("h"))).otherwise(F.array().cast("array<string>"))
+    file = F.when(F.col("lang") == "fr", "http://other.example/x").when(F.col("lang") == "de", "https://site.example/x").otherwise("x.pdf")
+    x = _docs(spark, d).select(F.col("doc_id").alias("ord"), F.nullif(F.regexp_extract("text", "^[A-Z][a-z]+", 0), F.lit("")).alias("id"), F.lit("s").alias("sourceId"), "text", F.lit("literal").alias("excerptType"), F.when(F.length("text") < 200, "index").otherwise("evidence").alias("role"), F.lit("u").alias("sourceUrl"), F.lit("").alias("chapter"), file.alias("sourceFile"), F.struct(F.when(F.length("text") > 300, F.md5("text")).alias("documentHash"), none.alias("sourceFile"), head.alias("headings")).alias("docling"))
+    return ingest.provenance_violations(x, "https://site.example/").groupBy("rule").agg(F.count("*").alias("n"))
+
+
+HOST = "regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
+
+
+@query(f"""WITH h AS (SELECT DISTINCT {HOST} AS id FROM pages), t AS (SELECT id FROM h UNION SELECT 'no.' || id FROM h)
+SELECT 'missing topic' AS rule, id AS detail, 1::BIGINT AS n FROM t WHERE id NOT IN (SELECT id FROM h) UNION ALL SELECT 'url not official', url, count(*) FROM pages WHERE NOT starts_with(url, 'https://') GROUP BY url
+UNION ALL SELECT 'no index role', NULL, 1 UNION ALL SELECT 'too few entries', CAST(count(*) AS VARCHAR), 1 FROM pages HAVING count(*) < 100""")
+def routing_rules(spark, d):
+    x = table(spark, d, "pages").select(F.array(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)).alias("topics"), F.lit("evidence").alias("role"), F.col("url").alias("sourceUrl"))
+    ids = x.select(F.explode("topics").alias("id")).distinct()
+    return ingest.routing_violations(x, ids.union(ids.select(F.concat(F.lit("no."), "id"))), "https://").groupBy("rule", "detail").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH p AS (SELECT {HOST} AS host, url, regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)/', 1) AS lang FROM pages),
+m AS (SELECT host, count(*) AS n, count(DISTINCT lang) AS langs, bool_or(NOT starts_with(url, 'https://')) AS other, bool_or(lang = '') AS untold, bool_or(lang = 'de') AS unknown FROM p GROUP BY host),
+r AS (SELECT unnest([CASE WHEN host <> (SELECT min(host) FROM m) THEN 'wrong source' END, 'base url', CASE WHEN n < 8 THEN 'too few targets' END, CASE WHEN langs - unknown::INT <> 3 THEN 'topics' END, CASE WHEN other THEN 'target not official' END,
+CASE WHEN untold THEN 'target without topics' END, CASE WHEN unknown THEN 'target with unknown topic' END, CASE WHEN n * 40 < 100 THEN 'minimumChunks' END]) AS rule FROM m) SELECT rule, count(*) AS n FROM r WHERE rule IS NOT NULL GROUP BY rule""")
+def manifest_rules(spark, d):
+    """A manifest of each host's pages, whose paths name the topics."""
+    lang = F.regexp_extract("url", "^[a-z]+://[^/]+/([a-z]+)/", 1)
+    p = table(spark, d, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"), "url", lang.alias("lang"))
+    m = p.groupBy(F.col("host").alias("sourceId")).agg(F.collect_list(F.struct("url", F.when(F.col("lang") != "", F.array("lang")).otherwise(F.array().cast("array<string>")).alias("topicIds"))).alias("targets"), F.collect_set(F.when(F.col("lang") != "de", F.col("lang"))).alias("requiredTopicIds"), F.count("*").alias("n"))
+    x = m.select("sourceId", F.lit("b").alias("baseUrl"), "targets", "requiredTopicIds", F.lit(None).cast("array<string>").alias("allowedOrigins"), (F.col("n") * 40).cast("int").alias("minimumChunks"), *(F.lit(None).cast("int").alias(c) for c in ("minimumChunksPerTopic", "maxSubjectResults", "fetchAttempts")))
+    return ingest.manifest_violations(x, m.agg(F.min("sourceId")).first()[0], "https://", topics=3).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+LABELLED = f"""l AS (SELECT page_id, {HOST} AS host, regexp_extract(url, '^[a-z]+://[^/?#]+') AS origin, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*?href\\s*=\\s*"([^"]*)"[^>]*>.*?</a>', 1)) AS href,
+unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*?href\\s*=\\s*"[^"]*"[^>]*>(.*?)</a>', 1)) AS label, unnest(range(len(regexp_extract_all(html, '(?is)<a\\b[^>]*?href\\s*=\\s*"[^"]*"[^>]*>.*?</a>')))) AS pos FROM pages)"""
+
+
+@query(f"""WITH {LABELLED}, f AS (SELECT page_id, origin || href AS url, regexp_replace(trim(label), '[،,:;\\s]+$', '') AS title, min(pos) AS pos FROM l WHERE starts_with(href, '/') GROUP BY ALL),
+g AS (SELECT page_id, url, lower(title) AS k, arg_min(title, pos) AS title, min(pos) AS pos FROM f WHERE title <> '' GROUP BY ALL)
+SELECT page_id, CAST(pos AS INT) AS pos, url, title FROM g QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 4""")
+def subject_links(spark, d):
+    return ingest.subject_links(table(spark, d, "pages"), "page_id", "url", "html", ["http"], "^http", most=4, arabic=False)
+
+
+@query(f"""WITH {LABELLED}, f AS (SELECT page_id, origin || href AS url, min(pos) AS pos FROM l WHERE starts_with(href, '/') GROUP BY ALL)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN regexp_matches(url, '(?i)ViewServicePage') THEN 1 ELSE 2 END, pos) AS INT) AS rank, url FROM f QUALIFY rank <= 3""")
+def best_links(spark, d):
+    found = ingest.links(table(spark, d, "pages"), "page_id", "url", "html", ["http"])
+    return ingest.best_links(found, "page_id", "6")
+
+
+GRAPH = f"""{LABELLED}, a AS (SELECT page_id, arg_min(href, pos) AS source FROM l WHERE starts_with(href, '/') GROUP BY page_id), e AS (SELECT DISTINCT source, href AS url FROM l JOIN a USING (page_id) WHERE starts_with(href, '/')), landed AS (SELECT DISTINCT source AS url FROM a),
+r AS (SELECT url, 0 AS depth FROM landed WHERE length(url) <= 4 UNION SELECT e.url, depth + 1 FROM r JOIN e ON e.source = r.url JOIN landed ON landed.url = e.url WHERE depth < 8)"""
+
+
+@query(f"WITH RECURSIVE {GRAPH} SELECT url, CAST(min(depth) AS INT) AS depth FROM r GROUP BY url")
+def discovered_pages(spark, d):
+    """Pages that links reach, a page being known by its first link: cycles and pages that no link reaches included."""
+    a = table(spark, d, "pages").select("page_id", F.posexplode(H.anchors("html")).alias("pos", "a")).where(F.startswith("a.href", F.lit("/"))).select("page_id", "pos", F.col("a.href").alias("url"))
+    first = a.groupBy("page_id").agg(F.min_by("url", "pos").alias("source"))
+    landed = first.select(F.col("source").alias("url"))
+    return ingest.discover(landed, a.join(first, "page_id").select("source", "url"), landed.where(F.length("url") <= 4), depth=8)
+
+
+@query("""WITH v AS (SELECT unnest([{'c': 'url', 'k': url}, {'c': 'html', 'k': md5(html)}, {'c': 'title', 'k': regexp_extract(html, '<title>([^<]*)', 1)}], recursive := true) FROM pages) SELECT c AS "column", k AS key, count(*) AS n FROM v WHERE k IS NOT NULL GROUP BY ALL HAVING count(*) > 1""")
+def duplicate_keys(spark, d):
+    return ingest.duplicate_keys(table(spark, d, "pages"), {"url": F.col("url"), "html": F.md5("html"), "title": F.regexp_extract("html", "<title>([^<]*)", 1)})
+
+
+@query(f"""SELECT page_id, length({S.clean("coalesce(nullif(regexp_extract(html, '(?is)<main[^>]*>(.*?)</main>', 1), ''), nullif(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), ''), nullif(regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1), ''), html)")}) >= 900 AS useful FROM pages""")
+def useful_pages(spark, d):
+    return table(spark, d, "pages").select("page_id", ingest.useful_page("html", least=900, arabic=False).alias("useful"))
+
+
+@query("SELECT doc_id, 'task: question answering | query: ' || left(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1400) AS prepared FROM documents")
+def embed_texts(spark, d):
+    return _docs(spark, d).select("doc_id", browse.embed_text("text", "query").alias("prepared"))
+
+
+@query("SELECT 'documents' AS name, count(*) AS rows FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'topics', count(*) FROM nation")
+def health_counts(spark, d):
+    return browse.health(documents=_docs(spark, d), pages=table(spark, d, "pages"), topics=table(spark, d, "nation"))
+
+
+@query(f"SELECT min(event_id) AS event_id FROM events GROUP BY user_id, date_trunc('day', ts)")
+def distinct_summaries(spark, d):
+    x = table(spark, d, "events")
+    return browse.distinct_by(x, F.struct("user_id", F.date_trunc("day", "ts")), "event_id").select("event_id")
+
+
+LONG = f"list_filter({S.tokens('text')}, lambda t: length(t) >= 11)"
+
+
+@query(f"""WITH h AS (SELECT DISTINCT doc_id, unnest({LONG}) AS t FROM documents), w AS (SELECT DISTINCT item_id, unnest({LONG}) AS t FROM benchmark), n AS (SELECT item_id, count(*) AS n FROM w GROUP BY item_id)
+SELECT doc_id, item_id FROM (SELECT doc_id, item_id, count(*) AS k FROM h JOIN w USING (t) GROUP BY ALL) JOIN n USING (item_id) WHERE k = n""")
+def contains_all(spark, d):
+    """Documents that hold every long token of an item."""
+    long = lambda df, key: df.select(key, F.explode(F.filter(X.tokens("text"), lambda t: F.length(t) >= 11)).alias("t"))
+    return browse.contains_all(long(_docs(spark, d), "doc_id"), "doc_id", "t", long(_items(spark, d), "item_id"), "item_id")
+
+
+@query("SELECT doc_id, len(p)::INT AS parts, len(list_filter(p, lambda v: regexp_full_match(v, '﴿[^﴾]+﴾')))::INT AS verses, md5(array_to_string(p, '')) AS digest FROM (SELECT doc_id, regexp_extract_all(t, '﴿[^﴾]+﴾|[^﴿]+') AS p FROM (SELECT doc_id, replace(replace(text, 'the', '﴿the﴾'), ' des ', '﴿des﴾') AS t FROM documents))")
+def verse_parts(spark, d):
+    """Two words stand in brackets for verses; the parts put together are the text again."""
+    t = F.replace(F.replace("text", F.lit("the"), F.lit("﴿the﴾")), F.lit(" des "), F.lit("﴿des﴾"))
+    x = _docs(spark, d).select("doc_id", browse.verse_parts(t).alias("p"))
+    return x.select("doc_id", F.size("p").alias("parts"), F.size(F.filter("p", lambda v: v["verse"])).alias("verses"), F.md5(F.array_join(F.transform("p", lambda v: v["text"]), "")).alias("digest"))
+
+
+#: A response made of a turn, in SQL that both engines read: its role is the outcome, its length decides which fields are odd.
+RESPONSE_BODY = """'{"outcome":"' || CASE WHEN role = 'user' THEN 'ok' ELSE role END || '","query":' || CASE WHEN length(text) % 3 = 0 THEN 'null' ELSE '"q"' END || CASE WHEN turn % 2 = 0 THEN ',"disclaimer":"d"' ELSE '' END || ',"message":null,"topics":[{"topic":{"id":"a","title":' || CASE WHEN length(text) % 5 = 0 THEN '7' ELSE '"t"' END || '}}],"keywords":["k"' || CASE WHEN length(text) % 7 = 0 THEN ',[]' ELSE '' END || '],"passages":' || CASE WHEN length(text) % 4 = 0 THEN '{}' WHEN length(text) % 4 = 1 THEN '[{"chunkId":"c","text":"t","chapter":1,"source":{"sourceId":"s"}}]' ELSE '[]' END || ',"suggestions":[],"ai":' || CASE WHEN length(text) % 11 = 0 THEN '[]' ELSE '{"mode":"model","text":"x"}' END || ',"safety":null,"fatwa":{}' || CASE WHEN length(text) % 13 = 0 THEN '' ELSE '}' END"""
+
+
+def _shape_sql() -> str:
+    kinds = {"OBJECT": "OBJECT", "ARRAY": "ARRAY", "STRING": "VARCHAR", "VOID": "NULL"}
+    tests = []
+    for r in shapes.RESPONSE:
+        kind = lambda v, path: f"coalesce(json_type({v}, '{path}'), 'MISSING')"
+        broken = lambda v: f"(NOT list_contains({S.listed([kinds[k] for k in r.kinds])}, {kind(v, r.path)})" + (f" OR ({kind(v, r.path)} = 'VARCHAR' AND NOT list_contains({S.listed(r.values)}, json_extract_string({v}, '{r.path}')))" if r.values else "") + ")"  # noqa: B023, E731
+        test = f"CASE WHEN json_type(b, '{r.each}') = 'ARRAY' THEN len(list_filter(CAST(json_extract(b, '{r.each}') AS JSON[]), lambda e: {broken('e')})) > 0 ELSE false END" if r.each else broken("b")
+        tests.append(f"CASE WHEN {test} THEN {S.quoted(shapes.name(r))} END")
+    return f"[{', '.join(tests)}]"
+
+
+@query(f"WITH x AS (SELECT conv_id, turn, CASE WHEN json_valid(b) THEN CAST(b AS JSON) END AS b FROM (SELECT conv_id, turn, {RESPONSE_BODY} AS b FROM conversations)), y AS (SELECT conv_id, turn, unnest({_shape_sql()}) AS path FROM x) SELECT conv_id, turn, path FROM y WHERE path IS NOT NULL")
+def response_shapes(spark, d):
+    x = table(spark, d, "conversations").select("conv_id", "turn", F.expr(RESPONSE_BODY).alias("b"))
+    return shapes.violations(x, ["conv_id", "turn"], "b")
+
+
+@query(f"""WITH w AS (SELECT DISTINCT ({S.listed(POOL)})[1 + CAST('0x' || left(md5(w), 6) AS BIGINT) % {len(POOL)}] AS t FROM (SELECT DISTINCT unnest(string_split({S.norm('text')}, ' ')) AS w FROM conversations WHERE turn = 0 AND text IS NOT NULL) WHERE w <> ''),
+l("group", word, pat) AS (VALUES {', '.join(f"({S.quoted(g)}, {S.quoted(v)}, {S.quoted(crisis.shape_pattern([v]))})" for g in sorted(crisis.GROUPS) for v in crisis.GROUPS[g])})
+SELECT "group", word FROM l WHERE NOT EXISTS (SELECT 1 FROM w WHERE regexp_matches(w.t, pat))""")
+def dead_entries(spark, d):
+    """Listed words that the first turns, each word standing for one of the pool, never say."""
+    pool = F.array(*map(F.lit, POOL))
+    place = lambda w: (F.conv(F.left(F.md5(w), F.lit(6)), 16, 10).cast("long") % len(POOL)).cast("int")
+    said = F.array_join(F.transform(F.filter(F.split(X.search_form("text"), " "), lambda w: w != ""), lambda w: F.get(pool, place(w))), " ")
+    return crisis.dead_entries(table(spark, d, "conversations").where("turn = 0").select(said.alias("t")), "t")
+
+
+@query("""WITH n AS (SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS k FROM events) SELECT event_id, k <= 2 AS allowed, CAST(greatest(0, 2 - k) AS INT) AS remaining FROM n""")
+def stored_decisions(spark, d):
+    """A day's requests decided in two batches, the second from the counters that the first one left: as if decided at once."""
+    x = table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("user_id"), "ts")
+    half = F.hour("ts") < 12
+    counters = x.where(half).groupBy(F.col("user_id").alias("key"), limiter.window_start("ts", 86_400).alias("window_start")).agg(F.count("*").alias("requests"))
+    first = limiter.decide_stored(x.where(half), None, "user_id", "ts", "event_id", most=2, seconds=86_400)
+    second = limiter.decide_stored(x.where(~half), counters, "user_id", "ts", "event_id", most=2, seconds=86_400)
+    return first.unionByName(second).select("event_id", "allowed", "remaining")
+
+
 @cache
 def names() -> tuple[str, ...]:
     return tuple(QUERIES)
