@@ -323,10 +323,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     known = prefixes.select("node", F.size("prefix").alias("kin"))
 
     def open_lists(comp: DataFrame) -> DataFrame:
-        """The postings, with components, of lists that more than one component shares; the others are skipped whole."""
+        """The postings, with components, of lists and sizes that more than one component shares; others are skipped whole.
+
+        A set links only with sets of its own block of sizes or one next to it, so where these three hold one component there is nothing to find.
+        """
         x = rest.join(known.join(comp, "node", "left"), "node").withColumn("component", F.coalesce("component", "node"))
-        mixed = x.groupBy("token").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("token")
-        return x.join(mixed, "token")
+        beside = Window.partitionBy("token").orderBy("block").rangeBetween(-1, 1)
+        mixed = x.groupBy("token", "block").agg(F.min("component").alias("c"), F.max("component").alias("d"))
+        mixed = mixed.select("token", "block", F.min("c").over(beside).alias("c"), F.max("d").over(beside).alias("d")).where("c <> d").select("token", "block")
+        return x.join(mixed, ["token", "block"])
 
     def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The sets fetched so far and those that the pairs need besides."""
