@@ -23,9 +23,11 @@ from .common import materialise
 
 #: Rows a ring aims at, pivots at most, steps of distance in which a cell is cut, entries of a page, and queries searched together.
 CELL_ROWS, PIVOTS, STEPS, PAGE, BLOCK = 1024, 1024, 1024, 64, 2048
-#: Components of at most this size are exact in double arithmetic: sums of products stay below 2**53 up to a width of 8192.
-LARGEST = 1 << 20
-_SLACK = 1e-6
+#: Sums of products below this are exact in double arithmetic. Beyond it ("wide"), bounds get slack for rounding, and scores are computed as Python's integers.
+EXACT = 1 << 53
+#: What bounds allow for rounding of distances: always, and in wide arithmetic as a share of the vectors' lengths, for distances taken as such or from products.
+_SLACK, _WIDE, _WIDE_PRODUCTS = 1e-6, 1e-9, 1e-6
+_ZERO = 10**42
 PAGES = "cell int, part long, page int, leaf boolean, ids array<long>, rows array<long>, vectors binary, parent_distances array<double>, radii array<double>, children array<int>, norms array<double>, least array<long>"
 
 
@@ -44,8 +46,17 @@ def _distances(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, ((x - centre) ** 2).sum(-1)))
 
 
-def build(ids: np.ndarray, rows_: np.ndarray, x: np.ndarray) -> list[dict]:
-    """Pages of one M-tree by recursive clustering round sampled centres; page 0 is the root."""
+def _key(score: int) -> str:
+    """A score of any size as text of one length that sorts the higher one first."""
+    return f"{_ZERO - score:043}"
+
+
+def _score(key: str) -> int:
+    return _ZERO - int(key)
+
+
+def build(ids: np.ndarray, rows_: np.ndarray, x: np.ndarray, exact: np.ndarray | None = None) -> list[dict]:
+    """Pages of one M-tree by recursive clustering round sampled centres; page 0 is the root. exact: x as integers, for the leaves of wide arithmetic."""
     pages: list[dict] = []
     norms = (x**2).sum(1)
     rng = np.random.default_rng(3)
@@ -55,7 +66,7 @@ def build(ids: np.ndarray, rows_: np.ndarray, x: np.ndarray) -> list[dict]:
         pages.append({})
         if len(rows) <= PAGE:
             rows = rows[np.argsort(ids[rows])]
-            pages[me] = {"leaf": True, "ids": ids[rows], "rows": rows_[rows], "vectors": x[rows], "pd": _distances(x[rows], centre), "radii": np.zeros(len(rows)), "children": np.zeros(0, int), "norms": norms[rows], "least": ids[rows]}
+            pages[me] = {"leaf": True, "ids": ids[rows], "rows": rows_[rows], "vectors": x[rows] if exact is None else exact[rows], "pd": _distances(x[rows], centre), "radii": np.zeros(len(rows)), "children": np.zeros(0, int), "norms": norms[rows], "least": ids[rows]}
             return me
         seeds = rng.choice(rows, min(PAGE, -(-len(rows) // PAGE) + 1), replace=False)
         near = np.argmin(norms[rows][:, None] - 2 * x[rows] @ x[seeds].T + norms[seeds], axis=1)
@@ -77,20 +88,22 @@ def build(ids: np.ndarray, rows_: np.ndarray, x: np.ndarray) -> list[dict]:
     return pages
 
 
-def search(pages: dict[int, dict], query: np.ndarray, own_id: int, k: int, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The k best (score, -vec_id, -row) of found and the tree; best first by the upper bound of each page."""
+def search(pages: dict[int, dict], query: np.ndarray, own_id: int, k: int, found: list[tuple[int, int, int]], exact: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """The k best (score, -vec_id, -row) of found and the tree; best first by the upper bound of each page. exact: the query as integers, in wide arithmetic."""
     best = list(found)
     heapq.heapify(best)
     q2 = float(query @ query)
+    wide = 0.0 if exact is None else _WIDE
     queue = [(-np.inf, 0, np.sqrt(q2))]  # bound negated, page, distance from the query to the page's centre (the origin for the root)
     while queue:
         bound, number, centre = heapq.heappop(queue)
-        floor = best[0][0] if len(best) == k else -np.inf
+        floor = float(best[0][0]) if len(best) == k else -np.inf
         if -bound < floor:
             break
         p = pages[number]
         # triangle inequality with the stored parent distances: no distance computed yet
-        nearest = np.maximum(0.0, np.abs(centre - p["pd"]) - p["radii"] - _SLACK)
+        slack = _SLACK + wide * (np.sqrt(q2) + np.sqrt(p["norms"])) if wide else _SLACK
+        nearest = np.maximum(0.0, np.abs(centre - p["pd"]) - p["radii"] - slack)
         upper = np.floor((q2 + p["norms"] - nearest**2) / 2 + _SLACK * (1 + q2 + p["norms"]) * 1e-3)
         keep = upper >= floor
         if len(best) == k:
@@ -99,9 +112,12 @@ def search(pages: dict[int, dict], query: np.ndarray, own_id: int, k: int, found
         if not len(at):
             continue
         if p["leaf"]:
-            scores = p["vectors"][at] @ query
+            if exact is not None:
+                scores = p["exact"][at].astype(object) @ exact.astype(object)
+            else:
+                scores = p["vectors"][at] @ query
             if len(best) == k:
-                fine = scores >= floor
+                fine = np.array([v >= best[0][0] for v in scores], bool) if exact is not None else scores >= floor
                 at, scores = at[fine], scores[fine]
             for s, i, row in zip(scores.tolist(), p["ids"][at].tolist(), p["rows"][at].tolist(), strict=True):
                 if i != own_id:
@@ -112,7 +128,7 @@ def search(pages: dict[int, dict], query: np.ndarray, own_id: int, k: int, found
                         heapq.heapreplace(best, entry)
         else:
             d = _distances(p["vectors"][at], query)
-            nearest = np.maximum(0.0, d - p["radii"][at] - _SLACK)
+            nearest = np.maximum(0.0, d - p["radii"][at] - (slack[at] if wide else slack))
             upper = np.floor((q2 + p["norms"][at] - nearest**2) / 2 + _SLACK * (1 + q2 + p["norms"][at]) * 1e-3)
             for n, u, dist in zip(at.tolist(), upper.tolist(), d.tolist(), strict=True):
                 if u >= floor:
@@ -120,11 +136,12 @@ def search(pages: dict[int, dict], query: np.ndarray, own_id: int, k: int, found
     return best
 
 
-def _pages_of(rows: pa.Table, width: int) -> dict[int, dict]:
+def _pages_of(rows: pa.Table, width: int, wide: bool) -> dict[int, dict]:
     out = {}
     for r in rows.to_pylist():
-        v = np.frombuffer(r["vectors"], np.float64).reshape(-1, width)
-        out[r["page"]] = {"leaf": r["leaf"], "ids": np.array(r["ids"], np.int64), "rows": np.array(r["rows"], np.int64), "vectors": v, "pd": np.array(r["parent_distances"]), "radii": np.array(r["radii"]), "children": np.array(r["children"], int), "norms": np.array(r["norms"]), "least": np.array(r["least"], np.int64)}
+        exact = np.frombuffer(r["vectors"], np.int64).reshape(-1, width) if wide and r["leaf"] else None
+        v = np.frombuffer(r["vectors"], np.float64).reshape(-1, width) if exact is None else exact.astype(np.float64)
+        out[r["page"]] = {"leaf": r["leaf"], "ids": np.array(r["ids"], np.int64), "rows": np.array(r["rows"], np.int64), "vectors": v, "pd": np.array(r["parent_distances"]), "radii": np.array(r["radii"]), "children": np.array(r["children"], int), "norms": np.array(r["norms"]), "least": np.array(r["least"], np.int64), "exact": exact}
     return out
 
 
@@ -132,8 +149,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """For each query row its k best other rows by inner product: query_id, rank, vec_id, score; ties to the smaller vec_id.
 
     vectors and queries are tables of quantised(): (vec_id, v); a row doesn't find its own id. The width is that of most
-    vectors (of equally many, the larger): vectors and queries of another width, empty ones too, take no part. A component
-    above LARGEST in size is an error, as double arithmetic would not be exact.
+    vectors (of equally many, the larger): vectors and queries of another width, empty ones too, take no part. Components of any
+    size are ranked by their exact score; a score that a long can't hold is null.
 
     An empty table on either side: empty result. Repeated rows: candidates that repeat a vec_id take part each, by a row number
     of their own, and a repeated query has its result as often. Fewer than k others: all of them. Equal vectors are split by id
@@ -141,7 +158,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
-    largest = lambda: F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))
+    largest = lambda: F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))
     vectors = materialise(vectors.select("vec_id", "v", F.monotonically_increasing_id().alias("row")), "vectors")
     queries = materialise(queries.select("vec_id", "v", F.monotonically_increasing_id().alias("query_row")), "queries")
     common = vectors.where(F.size("v") > 0).groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), largest().alias("top")).orderBy(F.desc("n"), F.desc("width")).first()
@@ -149,8 +166,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         return spark.createDataFrame([], schema)
     width, n, top = common
     vectors, queries = vectors.where(F.size("v") == width), queries.where(F.size("v") == width)
-    if max(top, queries.agg(largest()).first()[0] or 0) > LARGEST:
-        raise ValueError(f"a component is larger than {LARGEST}")
+    most = max(top, queries.agg(largest()).first()[0] or 0)
+    wide = width * most * most >= EXACT / 4  # distances square differences and sums
+    number, encode, decode = ("string", _key, _score) if wide else ("long", int, int)
     wanted = int(min(PIVOTS, max(1, n // CELL_ROWS)))
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * wanted).select("v").distinct().limit(wanted).collect()  # at most PIVOTS vectors
     pivots = np.array([r[0] for r in sample], float)
@@ -183,15 +201,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     reaches = spark.sparkContext.broadcast((cell_reach, cell_norm))
 
     def tree(key, rows):
-        pages = build(rows.column("vec_id").to_numpy(), rows.column("row").to_numpy(), _matrix(rows.column("v").combine_chunks(), width))
-        cols = list(zip(*((key[0].as_py(), key[1].as_py(), n, p["leaf"], p["ids"].tolist(), p["rows"].tolist(), p["vectors"].astype(np.float64).tobytes(), p["pd"].tolist(), p["radii"].tolist(), p["children"].tolist(), p["norms"].tolist(), p["least"].tolist()) for n, p in enumerate(pages)), strict=True))
+        v = rows.column("v").combine_chunks()
+        exact = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), width) if wide else None
+        pages = build(rows.column("vec_id").to_numpy(), rows.column("row").to_numpy(), _matrix(v, width), exact)
+        cols = list(zip(*((key[0].as_py(), key[1].as_py(), n, p["leaf"], p["ids"].tolist(), p["rows"].tolist(), p["vectors"].astype(np.int64 if wide and p["leaf"] else np.float64).tobytes(), p["pd"].tolist(), p["radii"].tolist(), p["children"].tolist(), p["norms"].tolist(), p["least"].tolist()) for n, p in enumerate(pages)), strict=True))
         long, double = pa.list_(pa.int64()), pa.list_(pa.float64())
         types = [pa.int32(), pa.int64(), pa.int32(), pa.bool_(), long, long, pa.binary(), double, double, pa.list_(pa.int32()), double, long]
         names = ["cell", "part", "page", "leaf", "ids", "rows", "vectors", "parent_distances", "radii", "children", "norms", "least"]
         return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     index = materialise(parted.select("cell", "part", "vec_id", "row", "v").groupBy("cell", "part").applyInArrow(tree, PAGES), "mtree-pages")
-    state = "query_row long, query_id long, query array<long>, scores array<long>, found array<long>, rows array<long>"
+    state = f"query_row long, query_id long, query array<long>, scores array<{number}>, found array<long>, rows array<long>"
     carried = ["query_row", "query_id", "query", "scores", "found", "rows"]
 
     def route(first: bool):
@@ -206,32 +226,35 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                     q2 = (x**2).sum(1)
                     d = np.sqrt(np.maximum(0.0, q2[:, None] - 2 * x @ centres.T + norms))
                     home = np.argmin(np.where(np.isfinite(reach), d, np.inf), axis=1)
-                    floor = np.array([min(s) if len(s) == k else -np.inf for s in c.column("scores").to_pylist()], float)
-                    upper = np.floor((q2[:, None] + top - np.maximum(0.0, d - reach - _SLACK) ** 2) / 2 + _SLACK * (1 + q2[:, None] + top))
+                    floor = np.array([float(min(map(decode, s))) if len(s) == k else -np.inf for s in c.column("scores").to_pylist()], float)
+                    slack = _SLACK + (_WIDE_PRODUCTS if wide else 0.0) * (np.sqrt(q2)[:, None] + np.sqrt(norms))
+                    upper = np.floor((q2[:, None] + top - np.maximum(0.0, d - reach - slack) ** 2) / 2 + _SLACK * (1 + q2[:, None] + top))
                     rows, cells = (np.arange(len(x)), home) if first else np.nonzero((upper >= floor[:, None]) & np.isfinite(reach))
-                    yield pa.RecordBatch.from_arrays([*(c.column(n).take(pa.array(rows)) for n in carried), pa.array(cells, pa.int32()), pa.array(q2[rows]), pa.array(floor[rows]), pa.array(d[rows, cells]), pa.array(home[rows] == cells)], names=[*carried, "cell", "q2", "floor", "d", "home"])
+                    yield pa.RecordBatch.from_arrays([*(c.column(n).take(pa.array(rows)) for n in carried), pa.array(cells, pa.int32()), pa.array(q2[rows]), pa.array(floor[rows]), pa.array(d[rows, cells]), pa.array(slack[rows, cells]), pa.array(home[rows] == cells)], names=[*carried, "cell", "q2", "floor", "d", "slack", "home"])
 
         return run
 
     def seek(key, left, right):
         cols = [[] for _ in range(6)]
         if left.num_rows and right.num_rows:
-            pages = _pages_of(right, width)
+            pages = _pages_of(right, width, wide)
             for r in left.to_pylist():
-                best = search(pages, np.array(r["query"], float), r["query_id"], k, list(zip(r["scores"], (-i for i in r["found"]), (-i for i in r["rows"]), strict=True)))
-                for c, v in zip(cols, (r["query_row"], r["query_id"], r["query"], [b[0] for b in best], [-b[1] for b in best], [-b[2] for b in best]), strict=True):
+                exact = np.array(r["query"], np.int64) if wide else None
+                best = search(pages, np.array(r["query"], float), r["query_id"], k, list(zip(map(decode, r["scores"]), (-i for i in r["found"]), (-i for i in r["rows"]), strict=True)), exact)
+                for c, v in zip(cols, (r["query_row"], r["query_id"], r["query"], [encode(b[0]) for b in best], [-b[1] for b in best], [-b[2] for b in best]), strict=True):
                     c.append(v)
         long = pa.list_(pa.int64())
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), long, long, long, long), strict=True)], names=carried)
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), long, pa.list_(pa.string()) if wide else long, long, long), strict=True)], names=carried)
 
     def searched(asked: DataFrame, first: bool, name: str) -> DataFrame:
         """asked against the trees of its rings, a block of queries with a copy of a ring's pages at a time."""
-        sent = asked.select(*carried).mapInArrow(route(first), state + ", cell int, q2 double, floor double, d double, home boolean").join(rings, "cell")
+        sent = asked.select(*carried).mapInArrow(route(first), state + ", cell int, q2 double, floor double, d double, slack double, home boolean").join(rings, "cell")
         gap = F.greatest(F.lit(0.0), F.col("inner") - F.col("d"), F.col("d") - F.col("outer"))
-        near = F.greatest(F.lit(0.0), gap - _SLACK)
+        near = F.greatest(F.lit(0.0), gap - F.col("slack"))
         upper = F.floor((F.col("q2") + F.col("norm") - near * near) / 2 + _SLACK * (1 + F.col("q2") + F.col("norm")))
         here = F.col("home") & ((gap <= 0) | ((F.col("d") > F.col("reach")) & (F.col("outer") >= F.col("reach"))))
-        sent = sent.where(here if first else (upper >= F.col("floor")) & ~here)
+        # distances that are rounded may fall on either side in the two passes: then a ring is searched in both
+        sent = sent.where(here if first else (upper >= F.col("floor")) & (F.lit(True) if wide else ~here))
         sent = materialise(sent.select(*carried, "cell", "part"), name)
         blocks = sent.groupBy("cell", "part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         sent = sent.join(blocks, ["cell", "part"]).withColumn("block", F.pmod(F.xxhash64("query_row"), F.col("blocks")).cast("int"))
@@ -240,22 +263,32 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         return a.cogroup(pages.drop("blocks").groupBy("cell", "part", "block")).applyInArrow(seek, state)
 
     none = F.array().cast("array<long>")
-    asked = queries.select("query_row", F.col("vec_id").alias("query_id"), F.col("v").alias("query"), none.alias("scores"), none.alias("found"), none.alias("rows"))
+    asked = queries.select("query_row", F.col("vec_id").alias("query_id"), F.col("v").alias("query"), F.array().cast(f"array<{number}>").alias("scores"), none.alias("found"), none.alias("rows"))
+    ordered = (lambda c: c) if wide else (lambda c: -c)
 
     def best(x: DataFrame) -> DataFrame:
         """The k best of each query's lists: sorted short lists are merged, never more than k of one source each."""
         y = x.select("query_row", "query_id", F.explode(F.arrays_zip("scores", "found", "rows")).alias("p"))
-        y = y.select("query_row", "query_id", F.struct((-F.col("p.scores")).alias("s"), F.col("p.found").alias("i"), F.col("p.rows").alias("r")).alias("e")).distinct()
+        y = y.select("query_row", "query_id", F.struct(ordered(F.col("p.scores")).alias("s"), F.col("p.found").alias("i"), F.col("p.rows").alias("r")).alias("e")).distinct()
         return y.groupBy("query_row", "query_id").agg(F.slice(F.sort_array(F.collect_list("e")), 1, k).alias("e"))
 
     home = materialise(searched(asked, True, "home-queries"), "home-answers")
     some = best(home).join(asked.select("query_row", "query"), "query_row")
-    some = materialise(some.select("query_row", "query_id", "query", F.transform("e", lambda e: -e["s"]).alias("scores"), F.transform("e", lambda e: e["i"]).alias("found"), F.transform("e", lambda e: e["r"]).alias("rows")), "first-answers")
+    some = materialise(some.select("query_row", "query_id", "query", F.transform("e", lambda e: ordered(e["s"])).alias("scores"), F.transform("e", lambda e: e["i"]).alias("found"), F.transform("e", lambda e: e["r"]).alias("rows")), "first-answers")
     rest = asked.join(some.select("query_row"), "query_row", "left_anti")  # whose own rings held nothing but themselves
     known = some.unionByName(rest)
     everywhere = best(known.unionByName(searched(known, False, "other-queries")))
     ranked = everywhere.select("query_id", F.posexplode("e").alias("pos", "e"))
-    return ranked.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("e.i").alias("vec_id"), (-F.col("e.s")).alias("score"))
+    ranked = ranked.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("e.i").alias("vec_id"), ordered(F.col("e.s")).alias("score"))
+    if not wide:
+        return ranked
+
+    def numbers(batches):
+        for b in batches:
+            scores = [v if -(1 << 63) <= (v := _score(key)) < 1 << 63 else None for key in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(scores, pa.int64())], names=["query_id", "rank", "vec_id", "score"])
+
+    return ranked.mapInArrow(numbers, schema)
 
 
 #: DuckDB: every query row against every row.

@@ -67,8 +67,20 @@ def test_mtree_of_repeated_and_ragged_rows(spark, monkeypatch):
         scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q)
         want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:10])]
     assert got == sorted(want)
-    with pytest.raises(ValueError, match="larger"):
-        mtree.top_k(mtree.quantised(spark.createDataFrame([(1, [5000.0]), (2, [1.0])], "vec_id long, embedding array<double>")), x)
+
+
+@pytest.mark.parametrize("scale", [1025.0, 3e6, 1e12, 1e300])
+def test_mtree_of_large_components(spark, monkeypatch, scale):
+    monkeypatch.setattr(mtree, "CELL_ROWS", 16)
+    rng = np.random.default_rng(5)
+    vectors = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 0.3, (120, 4)))] + [(200 + i, [float(x) * scale for x in v]) for i, v in enumerate(rng.normal(0, 1, (12, 4)))] + [(300, [scale, 0.0, 0.0, -scale]), (301, [scale] * 4), (302, [scale] * 4)]
+    x = mtree.quantised(spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3))
+    rows = [(r["vec_id"], r["v"]) for r in x.collect()]
+    whole = lambda c: max(-(1 << 63), min((1 << 63) - 1, int(np.floor(1024 * c)) if abs(c) < 1e15 else (1 << 63 if c > 0 else -(1 << 63))))
+    assert sorted(rows) == [(i, [whole(c) for c in v]) for i, v in vectors]
+    got = sorted(tuple(r) for r in mtree.top_k(x, x.where("vec_id % 25 = 0 or vec_id > 298"), k=10).collect())
+    want = brute_top(rows, {i for i, _ in rows if i % 25 == 0 or i > 298}, 10)
+    assert got == [(*r[:3], r[3] if -(1 << 63) <= r[3] < 1 << 63 else None) for r in want]
 
 
 def test_mtree_small_and_empty(spark):
