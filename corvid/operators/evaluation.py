@@ -28,8 +28,9 @@ def signals(cases: DataFrame, results: DataFrame) -> DataFrame:
 def summary(rows: DataFrame) -> DataFrame:
     """The twelve figures over rows of both modes ('ai' and 'baseline'); means skip nulls and are null without any value."""
     mean = lambda c: F.avg(c.cast("double"))
-    ai, base = (rows.where(F.col("mode") == m) for m in ("ai", "baseline"))
-    x = ai.alias("a").join(base.alias("b"), "case_id", "left")
+    held = F.struct(*(c for c in rows.columns if c not in ("case_id", "mode")))
+    # both modes of a case in one row, by one aggregate
+    x = rows.groupBy("case_id").agg(*(F.max(F.when(F.col("mode") == m, held)).alias(n) for m, n in (("ai", "a"), ("baseline", "b")))).where("a is not null")
     a = lambda c: F.col(f"a.{c}")
     return x.agg(
         F.count("*").alias("cases"), mean(a("outcome_correct")).alias("outcome_accuracy"), mean(F.col("b.outcome_correct")).alias("baseline_outcome_accuracy"),

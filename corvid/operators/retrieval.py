@@ -34,7 +34,7 @@ def document_frequency(chunks: DataFrame, text: str = "text", keywords: str | No
     sets = [tokens(F.coalesce(F.col(text), F.lit("")))]
     if keywords:
         sets.append(F.flatten(F.transform(F.coalesce(keywords, F.array().cast("array<string>")), tokens)))
-    all_forms = F.array_distinct(F.flatten(F.transform(F.concat(*sets), variants)))
+    all_forms = F.array_distinct(F.flatten(F.transform(F.array_distinct(F.concat(*sets)), variants)))  # a token is stemmed once a row
     return chunks.select(*(key or []), F.explode(all_forms).alias("form")).groupBy(*(key or []), "form").agg(F.count("*").alias("df"))
 
 
@@ -139,7 +139,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, sources: DataFrame, excluded
     # the corpus is tokenised once, for the forms that are asked for and their stems; a scope's frequencies are sums of what its sources have
     sought = t.select(F.explode(F.array(F.col("form"), canonical(F.col("form")))).alias("form")).where("form <> ''").distinct()
     keyword_forms = F.array_distinct(F.flatten(F.transform(F.flatten(F.transform("keywords", tokens)), variants)))
-    index = corpus.withColumn("kf", keyword_forms).select("ord", "kf", "verse", "sourceId", F.explode(F.array_distinct(F.concat("kf", F.flatten(F.transform(tokens("text"), variants))))).alias("form"))
+    index = corpus.withColumn("kf", keyword_forms).select("ord", "kf", "verse", "sourceId", F.explode(F.array_distinct(F.concat("kf", F.flatten(F.transform(F.array_distinct(tokens("text")), variants))))).alias("form"))
     index = kept(index.withColumn("keyword", F.array_contains("kf", F.col("form"))).drop("kf").join(small(sought), "form", "left_semi"), "index")
     by_source, sizes = scope_statistics(index, corpus)
     scope = q.select("query_id", "verse_only", F.explode(F.when(F.size("allowed") > 0, F.col("allowed")).otherwise(F.array(F.lit(None).cast("string")))).alias("source"))
@@ -206,13 +206,19 @@ def keywords_of(queries: DataFrame, matched: DataFrame, topics: DataFrame, found
     return x.groupBy("query_id").agg(F.slice(F.transform(F.sort_array(F.collect_list("v")), lambda v: v["kw"]), 1, most).alias("keywords"))
 
 
-def lexical_topk(queries: DataFrame, docs: DataFrame, query_id: str, query: str, doc_id: str, text: str, source: str, most: int = MOST) -> DataFrame:
-    """The core of retrieval over any table: rarity-weighted token hits, capped, diversified by source."""
+def lexical_topk(queries: DataFrame, docs: DataFrame, query_id: str, query: str, doc_id: str, text: str, source: str, most: int = MOST, kept: Kept | None = None) -> DataFrame:
+    """The core of retrieval over any table: rarity-weighted token hits, capped, diversified by source.
+
+    Texts are tokenised once, and only tokens that some query has are written; kept holds that table, for the caller to delete.
+    """
+    kept = kept or Kept(docs.sparkSession)
     n = docs.count()
-    index = docs.select(doc_id, source, F.explode(F.array_distinct(tokens(F.coalesce(F.col(text), F.lit(""))))).alias("token"))
-    asked = small(queries.select(query_id, F.explode(F.array_distinct(tokens(F.coalesce(F.col(query), F.lit(""))))).alias("token")))
-    df = index.join(small(asked.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    hit = index.join(asked, "token").join(small(df), "token").groupBy(query_id, doc_id, source).agg(F.least(F.round(F.sum(rarity(F.lit(n), F.col("df"))), 6), F.lit(CAP)).alias("score"))
+    asked = queries.select(query_id, F.explode(F.array_distinct(tokens(F.coalesce(F.col(query), F.lit(""))))).alias("token"))
+    held = docs.select(doc_id, source, F.explode(F.array_distinct(tokens(F.coalesce(F.col(text), F.lit(""))))).alias("token"))
+    index = kept(held.join(small(asked.select("token").distinct()), "token", "left_semi"), "lexical-index")
+    df = index.groupBy("token").agg(F.count("*").alias("df"))
+    weighted = small(asked.join(small(df), "token"))
+    hit = index.join(weighted, "token").groupBy(query_id, doc_id, source).agg(F.least(F.round(F.sum(rarity(F.lit(n), F.col("df"))), 6), F.lit(CAP)).alias("score"))
     return diversified(hit, query_id, source, "score", doc_id, most)
 
 
