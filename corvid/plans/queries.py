@@ -358,11 +358,8 @@ def claim_status(spark, d):
 c AS (SELECT q.vec_id AS query_id, e.vec_id, round(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, list_sum(list_transform(range(1, len(e.v) + 1), lambda i: q.v[i] * e.v[i])) / (sqrt(list_sum(list_transform(q.v, lambda x: x * x))) * sqrt(list_sum(list_transform(e.v, lambda x: x * x)))))), 6) AS score FROM q JOIN e ON q.vec_id <> e.vec_id)
 SELECT query_id, vec_id, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM c) WHERE r <= 4""")
 def cosine_topk(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    q = registry.small(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-    x = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(browse.cosine("q", "embedding"), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return x.withColumn("rank", F.row_number().over(w)).where("rank <= 4").select("query_id", "vec_id", "rank")
+    e = table(spark, d, "embeddings")
+    return browse.cosine_topk(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding").select("query_id", "vec_id", "rank")
 
 
 @query("SELECT n_nationkey AS id, CAST(pos AS INT) AS pos, related FROM (SELECT n_nationkey, unnest([n_regionkey, n_nationkey + 20]) AS related, unnest([0, 1]) AS pos FROM nation) WHERE related IN (SELECT n_nationkey FROM nation)")

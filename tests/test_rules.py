@@ -105,6 +105,21 @@ def test_keys_and_first_rows(spark):
     assert [r[0] for r in page.select(ingest.useful_page("p")).collect()] == [True, False, False, False]
 
 
+def test_most_similar_vectors(spark, monkeypatch):
+    monkeypatch.setattr(browse, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(browse, "VECTOR_BLOCK", 11)
+    rng = random.Random(6)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(3)]) for i in range(50)] + [(60, [0.0] * 3), (61, []), (62, [1.0, 2.0]), (63, None), (None, [1.0] * 3), (64, [1.0] * 3), (65, [2.0] * 3), (66, [2.0] * 3)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    got = sorted(map(tuple, browse.cosine_topk(df, df.where("id % 5 = 0 or id > 59"), "id", "v", 3).select("query_id", "rank", "vec_id").collect()))
+    x = df.alias("a").join(df.alias("b"), F.expr("a.id <> b.id and a.v is not null and b.v is not null")).where("a.id % 5 = 0 or a.id > 59")
+    pairs = x.select(F.col("a.id").alias("q"), F.col("b.id").alias("i"), F.round(browse.cosine("a.v", "b.v"), 6).alias("s")).collect()
+    want = []
+    for q in {r["q"] for r in pairs}:
+        want += [(q, n + 1, i) for n, (_, i) in enumerate(sorted((-r["s"], r["i"]) for r in pairs if r["q"] == q)[:3])]
+    assert got == sorted(want)
+
+
 def test_entries_that_never_fire(spark):
     said = spark.createDataFrame([("والموت يا فلان",), ("ما نموتش",), (None,), ("",)], "t string")
     dead = {(r["group"], r["word"]) for r in crisis.dead_entries(said, "t").collect()}
