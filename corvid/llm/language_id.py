@@ -14,6 +14,8 @@ from .common import claim
 
 #: Hash slots of n-grams; centroids a language; rows a language and characters a row of the sample that is fitted.
 SLOTS, CENTROIDS, SAMPLE, SAMPLE_CHARS = 1 << 14, 4, 600, 20_000
+#: Labels with the most rows that are learned, and rows of all of them together in the sample, which the driver holds.
+LANGUAGES, SAMPLE_ROWS = 400, 24_000
 #: A vector is rejected below this share of the least similarity seen for texts of about its length in its language.
 MARGIN = 0.8
 UNKNOWN = "und"
@@ -109,19 +111,21 @@ def held_out(id_column: Column) -> Column:
 def train(docs: DataFrame, where: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on up to SAMPLE texts a language, of at most SAMPLE_CHARS characters, in order of a hash of their id.
 
-    The driver gets these and the languages' names; languages count in the hundreds at most.
+    Longer texts don't train. Of more than LANGUAGES labels, those with the fewest rows aren't learned, and with many labels each has fewer
+    rows in the sample: the driver gets at most about SAMPLE_ROWS texts, however dirty the labels are.
     """
     rows = docs.where(where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS))
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGUAGES).collect()}
+    most = max(1, min(SAMPLE, SAMPLE_ROWS // max(1, len(sizes))))
     texts, labels = [], []
     chance = F.pmod(F.xxhash64(id_col), F.lit(1_000_000))
     share = F.lit(0)
     for language, n in sorted(sizes.items()):
-        share = F.when(F.col(lang_col) == language, min(1_000_000, 1 + 1_300_000 * SAMPLE // n)).otherwise(share)
+        share = F.when(F.col(lang_col) == language, min(1_000_000, 1 + 1_300_000 * most // n)).otherwise(share)
     seen: dict[str, int] = {}
-    drawn = rows.where(chance < share).select(text_col, lang_col, chance.alias("_c"), id_col).orderBy("_c", id_col, text_col).limit(2 * SAMPLE * max(1, len(sizes)))
+    drawn = rows.where(chance < share).select(text_col, lang_col, chance.alias("_c"), id_col).orderBy("_c", id_col, text_col).limit(2 * most * max(1, len(sizes)))
     for text, language, *_ in drawn.collect():
-        if seen.setdefault(language, 0) < SAMPLE:
+        if seen.setdefault(language, 0) < most:
             seen[language] += 1
             texts.append(text)
             labels.append(language)

@@ -312,6 +312,58 @@ def test_language_on_held_out_rows(spark):
     assert out.agg(F.avg(F.col("rejected").cast("int"))).first()[0] < 0.03
 
 
+def plain_vector(text):
+    """Letter 1- to 3-grams counted one by one, in the slots of their hashes."""
+    words, last = [""], False
+    for c in text.lower():
+        if c.isalpha():
+            words[-1] += c
+        elif words[-1]:
+            words.append("")
+        last = c.isalpha()
+    words = [w for w in words if w]
+    if not words:
+        return {}
+    s = " " + " ".join(words) + ("" if last else " ") + " "
+    out = defaultdict(float)
+    for n, salt in ((1, 1), (2, 2), (3, 3)):
+        for k in range(len(s) - n + 1):
+            part = s[k : k + n]
+            if n > 1 or part != " ":
+                h = ord(part[0])
+                for c, factor in zip(part[1:], (0x9E3779B1, 0x85EBCA6B), strict=False):
+                    h = (h * factor + ord(c)) % 2**32
+                out[((h ^ salt) * 2654435761 % 2**32) >> 18] += 1
+    return out
+
+
+def test_op6_query_is_the_nearest_centroid(spark):
+    from corvid.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    df = spark.read.parquet(f"{folder}/documents.parquet")
+    model = language_id.train(df, ~language_id.held_out(F.col("doc_id")))
+    got = {r["doc_id"]: r for r in queries.op6_centroid_language(spark, folder).collect()}
+    rows = df.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        v = {k: c * model.idf[k] for k, c in plain_vector(r["text"] or "").items()}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        cosines = [sum(x * model.centroids[k, j] for k, x in v.items()) / norm for j in range(model.centroids.shape[1])] if norm else []
+        best = max(range(len(cosines)), key=lambda j: cosines[j], default=None)
+        want = ("und", 0.0) if best is None else (model.languages[model.owner[best]], cosines[best])
+        assert got[r["doc_id"]]["lang_pred"] == want[0] and abs(got[r["doc_id"]]["score"] - want[1]) < 1e-5
+        assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_dirty_labels_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 5)
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 50)
+    rows = [(i, f"{'the dog' if i % 2 else 'le chien'} {i}", "en" if i % 2 else "fr", "s", 1) for i in range(400)] + [(1000 + i, "odd text", f"label {i}", "s", 1) for i in range(300)]
+    model = language_id.train(spark.createDataFrame(rows, DOCS), F.lit(True))
+    assert {"en", "fr"} <= {*model.languages} and len(model.languages) <= 5
+
+
 def test_language_of_odd_texts(spark):
     model = language_id.fit(["the cat and the dog"] * 5 + ["le chat et le chien"] * 5, ["en"] * 5 + ["fr"] * 5)
     df = clashing(docs(spark, [(1, "12 34 !!", None, None, 1), (2, "the dog", None, None, 1)]))
