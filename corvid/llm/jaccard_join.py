@@ -35,8 +35,9 @@ HOT_LIST = 50_000
 SHORT_PREFIX = 128
 #: Bits of a set's parity map.
 PARITY = 512
-#: Random orders of open lists, sets met before one in each, and partners it has of them, before what is left is compared exactly.
-ROUNDS, NEIGHBOURS, PARTNERS = 4, 3, 4
+#: Rounds in which members of open lists meet neighbours of a random order and components merge, sets met before one in each, and partners it has of
+#: them, before what is left is compared exactly.
+ROUNDS, NEIGHBOURS, PARTNERS = 3, 2, 4
 #: Shingles that a task looks at together.
 SCANNED = 1_000_000
 #: Bits a needed row has in the filter that says which rows are read again, and 64-bit words of the filter at most (16 MB).
@@ -371,34 +372,38 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
         return materialise(found.select(F.col("c").alias("a"), F.col("d").alias("b")).distinct(), "new-links")
 
     met_in_medium = paired(*joined(with_inter(opened.where(medium)), carry), fine)
-    member = opened.where(~medium)
-    bits = fetch(member.select("node").distinct(), "parity-maps", whole=False)
+    bits = fetch(opened.where(~medium).select("node").distinct(), "parity-maps", whole=False)
 
-    # neighbours of a list in a few random orders: a few partners a set, so that large groups of borderline copies grow together
-    turns = member.select("token", "node", "n", "pos", "component", "block", F.explode(F.array(*map(F.lit, range(ROUNDS)))).alias("turn")).join(bits, "node")
-    order = Window.partitionBy("token", "turn").orderBy("block", F.xxhash64("node", "turn"))
+    # neighbours of a list in a random order: a few partners a set, so that large groups of borderline copies grow together; each round has only the
+    # lists, and the sizes in them, that still hold several components
     met_by = ("node", "n", "pos", "component", "bits")
-    x = turns.withColumn("b", F.array(*(F.lag(F.struct(*met_by), k).over(order) for k in range(1, NEIGHBOURS + 1))))
-    x = x.select("*", F.explode("b").alias("_b")).select(*x.columns, *(F.col(f"_b.{c}").alias(f"{c}_b") for c in met_by)).where("node_b is not null")
     n, m = F.col("n"), F.col("n_b")
-    x = x.where((F.col("component") != F.col("component_b")) & may_link(n, F.col("pos"), m, F.col("pos_b")) & (_differ("bits", "bits_b") <= n + m - 2 * need(n, m)))
-    few = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("node_b", "turn").alias("h"), F.col("node_b").alias("y"), F.col("n_b").alias("m"), F.col("component_b").alias("d")))), 1, PARTNERS)
-    x = x.groupBy("node", "n", "component", "turn").agg(few.alias("p"))
-    x = x.select(F.col("node").alias("x"), "n", F.col("component").alias("c"), F.explode("p").alias("p")).select("x", "n", "c", "p.y", "p.m", "p.d")
-    partners = promising(x.distinct()).withColumn("sure", F.lit(False))
-    pairs = materialise(met_in_medium.unionByName(partners), "next-pairs")
-    sets = with_sets(pairs.where("not sure"), sets)
-    release(spark)
-    found = new_links(pairs, sets)
-    discard(pairs)
-    if not found.isEmpty():
-        grown = materialise(_relabelled(comp, connected_components(found)), "merged-components")
-        discard(comp)
-        discard(opened)
-        comp = grown
-        opened = materialise(open_lists(comp), "open-lists")
-    discard(found)
-    release(spark)
+    for turn in range(ROUNDS):
+        order = Window.partitionBy("token").orderBy("block", F.xxhash64("node", F.lit(turn)))
+        x = opened.where(~medium).select("token", "node", "n", "pos", "component", "block").join(bits, "node")
+        x = x.withColumn("b", F.array(*(F.lag(F.struct(*met_by), k).over(order) for k in range(1, NEIGHBOURS + 1))))
+        x = x.select("*", F.explode("b").alias("_b")).select(*x.columns, *(F.col(f"_b.{c}").alias(f"{c}_b") for c in met_by)).where("node_b is not null")
+        x = x.where((F.col("component") != F.col("component_b")) & may_link(n, F.col("pos"), m, F.col("pos_b")) & (_differ("bits", "bits_b") <= n + m - 2 * need(n, m)))
+        few = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("node_b", F.lit(turn)).alias("h"), F.col("node_b").alias("y"), F.col("n_b").alias("m"), F.col("component_b").alias("d")))), 1, PARTNERS)
+        x = x.groupBy("node", "n", "component").agg(few.alias("p"))
+        x = x.select(F.col("node").alias("x"), "n", F.col("component").alias("c"), F.explode("p").alias("p")).select("x", "n", "c", "p.y", "p.m", "p.d")
+        partners = promising(x.distinct()).withColumn("sure", F.lit(False))
+        pairs = materialise(partners if turn else met_in_medium.unionByName(partners), "next-pairs")
+        sets = with_sets(pairs.where("not sure"), sets)
+        release(spark)
+        found = new_links(pairs, sets)
+        discard(pairs)
+        none = found.isEmpty()
+        if not none:
+            grown = materialise(_relabelled(comp, connected_components(found)), "merged-components")
+            discard(comp)
+            discard(opened)
+            comp = grown
+            opened = materialise(open_lists(comp), "open-lists")
+        discard(found)
+        release(spark)
+        if none:
+            break
 
     # what is left: members of different components of long lists, exactly
     carried = F.when(F.size("prefix") <= SHORT_PREFIX, F.col("prefix"))
