@@ -18,7 +18,7 @@ def test_an_empty_table_is_not_published(spark, tmp_path):
     sources.publish(spark.range(3), path)
     with pytest.raises(ValueError, match="empty"):
         sources.publish(spark.range(0), path)
-    assert spark.read.parquet(path).count() == 3 and len([p for p in tmp_path.iterdir() if not p.name.startswith(".")]) == 1
+    assert sources.Snapshots(spark, path).read().count() == 3 and len([p for p in (tmp_path / "corpus").iterdir() if p.name.startswith("v-")]) == 1
 
 
 def test_bodies_must_be_json_objects(spark):
