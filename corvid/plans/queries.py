@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvid.functions import html as H
+from corvid.functions import matn
 from corvid.functions import text as X
 from corvid.lexicon import words
 from corvid.operators import browse, crisis, evaluation, gates, ingest, registry, retrieval, shapes
@@ -692,6 +693,42 @@ def stored_decisions(spark, d):
     return first.unionByName(second).select("event_id", "allowed", "remaining")
 
 
+#: Latin letters as Arabic ones, so that the tables' prose makes Arabic pages.
+LATIN, AS_ARABIC = "abcdefghijklmnopqrstuvwxyz", "ابتثجحخدذرزسشصضطظعغفقكلمنهو"[:26]
+KEY = "trim(regexp_replace(translate({}, 'آأإىة', 'ااايه'), '[^؀-ۿݐ-ݿ]+', ' ', 'g'))"
+
+
+def _ratio(needle: str, hay: str) -> str:
+    n = f"list_filter(string_split({KEY.format(needle)}, ' '), lambda t: length(t) >= 3)"
+    return f"CASE WHEN len({n}) = 0 THEN 1.0::DOUBLE ELSE len(list_filter({n}, lambda t: list_contains(string_split({KEY.format(hay)}, ' '), t)))::DOUBLE / len({n}) END"
+
+
+@query(f"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(translate(lower(regexp_replace(text, '[^A-Za-z. ]', '', 'g')), '{LATIN}', '{AS_ARABIC}'), '.'), lambda v: trim(regexp_replace(v, ' +', ' ', 'g'))), lambda v: v <> '') AS s FROM documents),
+l AS (SELECT doc_id, coalesce(s[4], '') AS hint, unnest(s) AS v, unnest(range(len(s))) AS k FROM s), m AS (SELECT doc_id, hint, k, CASE WHEN k % 7 = 6 THEN '* * *' WHEN k % 3 = 0 THEN (k + 1) || ' - ' || v ELSE v END AS line FROM l),
+n AS (SELECT *, CASE WHEN k % 7 <> 6 AND k % 3 = 0 THEN regexp_extract(line, '^[0-9]+ - (.*)$', 1) END AS body FROM m),
+c AS (SELECT *, CASE WHEN {KEY.format('hint')} <> '' THEN {_ratio('hint', 'body')} ELSE 0.0::DOUBLE END AS alike FROM n WHERE length(body) >= 40),
+b AS (SELECT doc_id, k, hint, body FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY alike >= 0.6 DESC, CASE WHEN alike >= 0.6 THEN -alike END, k) = 1),
+e AS (SELECT b.doc_id, coalesce(min(n.k), 1000000) AS stop FROM b LEFT JOIN n ON n.doc_id = b.doc_id AND n.k > b.k AND (n.body IS NOT NULL OR n.line = '* * *') GROUP BY b.doc_id),
+t AS (SELECT doc_id, b.k AS since, b.k AS k, body AS line FROM b UNION ALL SELECT doc_id, b.k, n.k, n.line FROM b JOIN e USING (doc_id) JOIN n USING (doc_id) WHERE n.k > b.k AND n.k < stop),
+o AS (SELECT doc_id, since, k, line, {KEY.format('line')} AS key FROM t QUALIFY key <> '' AND (length(key) < 60 OR row_number() OVER (PARTITION BY doc_id, key ORDER BY k) = 1)),
+x AS (SELECT doc_id, CAST(any_value(since) + 1 AS VARCHAR) AS number, string_agg(line, chr(10) ORDER BY k) AS matn FROM o GROUP BY doc_id),
+y AS (SELECT s.doc_id, len(s.s) > 0 AS filled, coalesce(number, '') AS number, coalesce(matn, '') AS matn, coalesce(s.s[4], '') AS hint FROM s LEFT JOIN x USING (doc_id))
+SELECT doc_id, CASE WHEN NOT filled THEN 'no-arabic-content' WHEN number = '' THEN 'no-numbered-line' WHEN length(matn) < 60 THEN 'matn-too-short' WHEN hint <> '' AND {_ratio('hint', 'matn')} < 0.6 THEN 'matn-does-not-match-result-excerpt' END AS reason, number, CASE WHEN number <> '' THEN md5(matn) ELSE '' END AS matn FROM y""")
+def matn_pages(spark, d):
+    """Pages of the documents' sentences in Arabic letters, some of them numbered, and separators between; the title is the fourth sentence.
+
+    Pages without a numbered line are told apart only as such: what a window round the hint gives is tested on fixtures.
+    """
+    letters = F.translate(F.lower(F.regexp_replace("text", "[^A-Za-z. ]", "")), LATIN, AS_ARABIC)
+    sentences = F.filter(F.transform(F.split(letters, "[.]", -1), lambda v: F.btrim(F.regexp_replace(v, " +", " "))), lambda v: v != "")
+    line = lambda v, k: F.when(k % 7 == 6, "* * *").when(k % 3 == 0, F.concat((k + 1).cast("string"), F.lit(" - "), v)).otherwise(v)
+    page = F.concat(F.lit("<body><p>"), F.array_join(F.transform("s", line), "</p><p>"), F.lit("</p></body>"))
+    x = _docs(spark, d).select("doc_id", sentences.alias("s")).select("doc_id", page.alias("p"), F.coalesce(F.get("s", F.lit(3)), F.lit("")).alias("t"))
+    x = x.select("doc_id", matn.detail_page("p", F.lit(""), "t").alias("d")).select("doc_id", "d.*")
+    windowed = (F.col("number") == "") & ~F.col("reason").eqNullSafe("no-arabic-content")
+    return x.select("doc_id", F.when(windowed, "no-numbered-line").otherwise(F.col("reason")).alias("reason"), "number", F.when(F.col("number") != "", F.md5("matn")).otherwise("").alias("matn"))
+
+
 @cache
 def names() -> tuple[str, ...]:
     return tuple(QUERIES)
