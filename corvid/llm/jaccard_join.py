@@ -331,7 +331,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
         x = rest.join(known.join(comp, "node", "left"), "node").withColumn("component", F.coalesce("component", "node"))
         beside = Window.partitionBy("token").orderBy("block").rangeBetween(-1, 1)
         mixed = x.groupBy("token", "block").agg(F.min("component").alias("c"), F.max("component").alias("d"))
-        mixed = mixed.select("token", "block", F.min("c").over(beside).alias("c"), F.max("d").over(beside).alias("d")).where("c <> d").select("token", "block")
+        below = Window.partitionBy("token").orderBy("block").rangeBetween(-1, -1)
+        near = {"c_near": F.min("c").over(beside), "d_near": F.max("d").over(beside), "c_below": F.min("c").over(below), "d_below": F.max("d").over(below)}
+        mixed = mixed.withColumns(near).where("c_near <> d_near").select("token", "block", "c", "d", "c_below", "d_below")
         return x.join(mixed, ["token", "block"])
 
     def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -348,9 +350,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
         return x.join(met, ["node", "leader"], "left").withColumn("inter", F.when(F.col("node") == F.col("leader"), F.col("n")).otherwise(F.col("inter")))
 
     def joined(members: DataFrame, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-        """Two sides of a join on token and block, in which sets meet those of about their size."""
+        """Two sides of a join on token and block, in which sets meet smaller ones of their block and of the one below, where another component is there."""
         a = members.select("token", "leader_n", "block", *(F.col(c).alias(f"{c}_a") for c in carry))
-        return a, members.select("token", F.explode(F.array(F.col("block") - 1, F.col("block"))).alias("block"), *(F.col(c).alias(f"{c}_b") for c in carry))
+        other = lambda c, d: (F.col(c) != F.col("component")) | (F.col(d) != F.col("component"))
+        places = F.array_compact(F.array(F.when(other("c_below", "d_below"), F.col("block") - 1), F.when(other("c", "d"), F.col("block"))))
+        return a, members.select("token", F.explode(places).alias("block"), *(F.col(c).alias(f"{c}_b") for c in carry))
 
     na, nb = F.col("n_a"), F.col("n_b")
     of_leader = (F.col("leader_a") == F.col("leader_b")) & F.lit(derive)
