@@ -33,7 +33,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     # an executor still holds what the stages before it took: less room for units than packing alone has
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), max_len=1024, end_id=2, room=40 << 20)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), max_len=1024, end_id=2, room=24 << 20)
 
 
 STAGES = [
