@@ -164,57 +164,76 @@ def contains_all(held: DataFrame, group: str, member: str, wanted: DataFrame, ke
     return met.join(small(sizes), key).where("_met = _wanted").select(group, key)
 
 
-#: Queries and vectors that meet in one task.
-QUERY_BLOCK, VECTOR_BLOCK = 2048, 32_768
+#: Queries and vectors that meet in one task, the bytes of either side, and the scores that a task holds at once.
+QUERY_BLOCK, VECTOR_BLOCK, BLOCK_BYTES, SCORES = 8192, 8192, 16 << 20, 1 << 21
+
+
+def nearest_rows(left, right, k: int):
+    """(query_id, vec_id, score) of two Arrow tables (id, v): for each row of left its k most similar rows of right, ties to the smaller id.
+
+    Scores are made for as many rows of left at once as SCORES has room for.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def unit(rows: pa.Table, width: int):
+        """(places, unit vectors) of this width."""
+        column = rows.column("v").combine_chunks()
+        fits = np.flatnonzero(pc.list_value_length(column).to_numpy(zero_copy_only=False) == width)
+        m = column.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(len(fits), width).astype(float)
+        norm = np.sqrt((m**2).sum(1, keepdims=True))
+        return fits, np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+    parts = [[], [], []]
+    if left.num_rows and right.num_rows:
+        ids, theirs = left.column("id").to_numpy(), right.column("id").to_numpy()
+        step = max(1, SCORES // len(theirs))
+        for width in pc.unique(pc.list_value_length(left.column("v"))).to_pylist():
+            at, a = unit(left, width)
+            fits, b = unit(right, width)
+            for since in range(0, len(at), step):
+                asked = ids[at[since : since + step]]
+                s = np.zeros((len(asked), len(theirs)))
+                if width:
+                    some = a[since : since + step] @ b.T
+                    s[:, fits] = np.round(np.clip(some, -1, 1, out=some), 6, out=some)
+                s[asked[:, None] == theirs[None, :]] = -np.inf
+                least = np.partition(s, -k, axis=1)[:, -k] if k < len(theirs) else np.full(len(asked), -np.inf)
+                for query, row, bound in zip(asked.tolist(), s, least, strict=True):
+                    p = np.flatnonzero(row >= bound)
+                    best = p[np.lexsort((theirs[p], -row[p]))[:k]]
+                    best = best[np.isfinite(row[best])]
+                    for part, values in zip(parts, (np.full(len(best), query, ids.dtype), theirs[best], row[best]), strict=True):
+                        part.append(values)
+    types = (left.schema.field("id").type, right.schema.field("id").type, pa.float64())
+    cols = [pa.array(np.concatenate(part) if part else [], t) for part, t in zip(parts, types, strict=True)]
+    return pa.table(cols, names=["query_id", "vec_id", "score"])
 
 
 def cosine_topk(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int = 4) -> DataFrame:
     """(query_id, vec_id, rank, score): for each query row its k most similar other rows by cosine to six decimals, ties to the smaller id.
 
-    Blocks of queries meet blocks of vectors, whose scores are one matrix product, and only the k best of each query leave a task; nothing is broadcast.
+    Blocks of queries meet blocks of vectors, whose scores are matrix products of bounded size, and only the k best of each query leave a task; nothing is broadcast.
     Cosines are as in cosine(): 0 for a vector of norm zero. Null vectors and ids take no part, and vectors of another width than the
     query's have score 0. Repeated rows of an id take part each.
     """
-    import numpy as np
-    import pyarrow as pa
 
     def sides(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-        x = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
-        blocks = max(1, -(-x.count() // size))
+        v = F.col(vector_col)
+        if df.schema[vector_col].dataType.elementType.typeName() not in ("float", "double"):
+            v = v.cast("array<double>")
+        x = df.select(F.col(id_col).alias("id"), v.alias("v")).where("id is not null and v is not null")
+        rows, held = x.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0)) * 8).first()
+        blocks = max(1, -(-rows // size), -(-held // BLOCK_BYTES))
         return x.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), blocks
 
     q, n_q = sides(queries, QUERY_BLOCK, "qb")
     v, n_v = sides(vectors, VECTOR_BLOCK, "vb")
     q = q.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
     v = v.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-
-    def unit(rows: pa.Table, width: int):
-        """(ids, unit vectors) of this width."""
-        column = rows.column("v").combine_chunks()
-        fits = np.flatnonzero(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False) == width)
-        m = column.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(len(fits), width).astype(float)
-        norm = np.sqrt((m**2).sum(1, keepdims=True))
-        return fits, np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
-    def meet(key, left, right):
-        names, cols = ["query_id", "vec_id", "score"], [[], [], []]
-        if left.num_rows and right.num_rows:
-            ids, theirs = left.column("id").to_numpy(), right.column("id").to_numpy()
-            for width in sorted(set(pa.compute.list_value_length(left.column("v")).to_pylist())):
-                at, a = unit(left, width)
-                fits, b = unit(right, width)
-                scores = np.zeros((len(at), len(theirs)))
-                if width:
-                    scores[:, fits] = np.round(np.clip(a @ b.T, -1, 1), 6)
-                for row, query in enumerate(ids[at]):
-                    s = np.where(theirs == query, -np.inf, scores[row])
-                    best = np.lexsort((theirs, -s))[:k] if len(s) <= 4 * k else (p := np.flatnonzero(s >= np.partition(s, -k)[-k]))[np.lexsort((theirs[p], -s[p]))[:k]]
-                    best = best[np.isfinite(s[best])]
-                    for c, values in zip(cols, ([query] * len(best), theirs[best].tolist(), s[best].tolist()), strict=True):
-                        c.extend(values)
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (left.schema.field("id").type, right.schema.field("id").type, pa.float64()), strict=True)], names=names)
-
     kind = vectors.schema[id_col].dataType.simpleString()
+    meet = lambda left, right: nearest_rows(left, right, k)
     x = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInArrow(meet, f"query_id {kind}, vec_id {kind}, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -120,6 +120,22 @@ def test_most_similar_vectors(spark, monkeypatch):
     assert got == sorted(want)
 
 
+def test_scores_of_a_block_are_not_held_at_once():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    side = lambda ids: pa.table({"id": pa.array(ids), "v": pa.array(list(rng.normal(size=(len(ids), 8)).astype("f4")))})
+    left, right = side(np.arange(3000)), side(np.arange(8000))
+    tracemalloc.start()
+    got = browse.nearest_rows(left, right, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == 6000 and peak < 100 << 20, peak  # all scores at once: 192 MB and their copies
+
+
 def test_entries_that_never_fire(spark):
     said = spark.createDataFrame([("والموت يا فلان",), ("ما نموتش",), (None,), ("",)], "t string")
     dead = {(r["group"], r["word"]) for r in crisis.dead_entries(said, "t").collect()}
