@@ -1,4 +1,4 @@
-"""HTML and URL functions as columns; only entity numbers and URL resolution leave the JVM, in Arrow batches."""
+"""HTML and URL functions as columns; only URL resolution leaves the JVM, in Arrow batches."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvid.lexicon import framing
 
-from .text import _col
+from .text import _col, let
 
 HIDDEN = "(?is)<(script|style|noscript|svg)\\b.*?</\\1>|<img[^>]*>"
 _NUMBER = re.compile(r"&#(?:([0-9]{1,7})|[xX]([0-9a-fA-F]{1,6}));?")
@@ -37,21 +37,37 @@ def py_decode(value: str) -> str:
 
 
 def decode_entities(c: Column | str) -> Column:
-    """Texts without an ampersand never leave the JVM."""
+    """py_decode() as a column: texts without an ampersand are not looked at again, others are cut at their entities."""
+    names = F.create_map(*(F.lit(v) for pair in sorted(framing.ENTITIES.items()) for v in pair))
 
-    @F.arrow_udf("string")
-    def run(x: pa.Array) -> pa.Array:
-        return pa.array([None if v is None or "&" not in v else py_decode(v) for v in x.to_pylist()], pa.string())
+    def number(v: Column) -> Column:
+        digits = F.regexp_extract(v, "^&#([0-9]{1,7})", 1)
+        n = F.when(digits != "", digits).otherwise(F.conv(F.regexp_extract(v, "^&#[xX]([0-9a-fA-F]{1,6})", 1), 16, 10)).cast("int")
+        # U+FEFF would be read as a byte order mark
+        char = lambda n: F.when(n > 0x10FFFF, v).when(n.between(0xD800, 0xDFFF), "\ufffd").when(n == 0xFEFF, "\ufeff").otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
+        return let(n, char)
 
-    x = _col(c)
-    return F.coalesce(F.when(F.contains(x, F.lit("&")), run(x)), x)
+    def name(v: Column) -> Column:
+        return F.coalesce(F.element_at(names, F.lower(F.regexp_replace(v, "[&;]", ""))), v)
+
+    def each(x: Column, entity: str, decoded) -> Column:
+        parts = F.regexp_extract_all(x, F.lit(f"{entity}|[^&]+|&"), F.lit(0))
+        return F.array_join(F.transform(parts, lambda v: F.when(F.rlike(v, F.lit(f"^(?:{entity})")), decoded(v)).otherwise(v)), "")
+
+    def once(x: Column) -> Column:
+        x = each(x, "&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?", number)
+        x = each(x, "&[a-zA-Z][a-zA-Z0-9]{1,31};", name)
+        return each(x, "&(?i:amp|lt|gt|quot|apos|nbsp)(?![a-zA-Z0-9;=])", name)
+
+    rounds = F.array(*map(F.lit, range(4)))
+    return F.aggregate(rounds, _col(c), lambda v, _: F.when(F.contains(v, F.lit("&")), once(v)).otherwise(v))
 
 
 def strip_tags(c: Column | str) -> Column:
     """Hidden elements and images go; breaks and the ends of blocks are line ends, other tags spaces; entities are decoded."""
     x = F.regexp_replace(_col(c), HIDDEN, " ")
     x = F.regexp_replace(x, "(?i)<br\\s*/?\\s*>|</(?:p|div|section|article|main|header|footer|li|h[1-6]|tr|td|th)>", "\n")
-    return decode_entities(F.translate(F.regexp_replace(x, "<[^>]+>", " "), "\u00a0", " "))
+    return decode_entities(F.replace(F.regexp_replace(x, "<[^>]+>", " "), F.lit("\u00a0"), F.lit(" ")))
 
 
 def strip_markup(c: Column | str) -> Column:
@@ -63,15 +79,15 @@ def strip_markup(c: Column | str) -> Column:
 def clean(c: Column | str, tags: bool = True) -> Column:
     """Readable text: no markup, single blanks, at most one empty line in a row, trimmed."""
     x = strip_markup(strip_tags(c) if tags else c)
-    x = F.regexp_replace(F.regexp_replace(x, "[\u200b-\u200d\ufeff]", ""), "[ \t\u00a0]+", " ")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, " ?\n ?", "\n"), "\n{3,}", "\n\n"), "^\\s+|\\s+$", "")
+    x = F.regexp_replace(F.regexp_replace(x, "[\u200b-\u200d\ufeff]", ""), "[ \t\u00a0]{2,}|[\t\u00a0]", " ")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, " \n ?|\n ", "\n"), "\n{3,}", "\n\n"), "^\\s+|\\s+$", "")
 
 
 def main_html(c: Column | str) -> Column:
     """The inside of the first main, else article, else body element that isn't empty; else everything."""
     x = _col(c)
-    inside = [F.nullif(F.regexp_extract(x, f"(?is)<{t}\\b[^>]*>(.*?)</{t}>", 1), F.lit("")) for t in ("main", "article", "body")]
-    return F.coalesce(*inside, x)
+    inside = F.array(*(F.regexp_extract(x, f"(?is)<{t}\\b[^>]*>(.*?)</{t}>", 1) for t in ("main", "article", "body")))
+    return F.coalesce(F.get(F.filter(inside, lambda v: v != ""), F.lit(0)), x)
 
 
 def page_title(c: Column | str, site: str = "") -> Column:
@@ -132,7 +148,7 @@ def is_noise(line: Column) -> Column:
 
 def split_commentary(c: Column | str, least: int = 60) -> Column:
     """struct<matn, commentary, cut> of readable text: cut before the first line that opens a commentary, else before a mark late enough."""
-    from .text import COMMENTARY_LINE, let
+    from .text import COMMENTARY_LINE
 
     tidy = lambda x: clean(x, tags=False)
 

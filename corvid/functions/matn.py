@@ -121,7 +121,7 @@ def detail_page(page: Column | str, url: Column | str, title: Column | str, para
     A null page is empty; a null url names no page, a null title no excerpt.
     """
     p, hint = F.coalesce(_col(page), F.lit("")), snippet(F.coalesce(_col(title), F.lit("")))
-    text, wanted = H.clean(H.main_html(p)), H.query_parameter(F.coalesce(_col(url), F.lit("")), parameter)
+    wanted = H.query_parameter(F.coalesce(_col(url), F.lit("")), parameter)
 
     def early(v: Column) -> Column:
         out = F.when(F.regexp_replace(v["page"], r"(?U)\s+", "") == "", "empty-response").when(F.rlike(v["page"], F.lit(H.BLOCKED)), "block-page")
@@ -136,11 +136,15 @@ def detail_page(page: Column | str, url: Column | str, title: Column | str, para
             late = F.when(found["matn"] == "", "no-matn-extracted").when(F.length(found["matn"]) < LEAST, "matn-too-short").when((v["hint"] != "") & ~found["matched"], "matn-does-not-match-result-excerpt")
             return F.struct(late.alias("reason"), found["number"].alias("number"), found["matn"].alias("matn"), F.coalesce(F.nullif(own, F.lit("")), rest).alias("explanation"))
 
-        nothing = F.struct(early(v).alias("reason"), *(F.lit("").alias(c) for c in ("number", "matn", "explanation")))
-        return F.when(early(v).isNotNull(), nothing).otherwise(let(extract(v["whole"], v["hint"]), said))
+        nothing = lambda why: F.struct(why.alias("reason"), *(F.lit("").alias(c) for c in ("number", "matn", "explanation")))
+        return let(early(v), lambda why: F.when(why.isNotNull(), nothing(why)).otherwise(let(extract(v["whole"], v["hint"]), said)))
+
+    def cleaned(v: Column) -> Column:
+        # markup that entities stood for goes from what is extracted; a clean text without any stays as it is
+        whole = F.when(F.rlike(v["text"], F.lit(r"[<&\[]|http")), H.clean(v["text"])).otherwise(v["text"])
+        return let(F.struct(v["page"].alias("page"), v["text"].alias("text"), whole.alias("whole"), v["wanted"].alias("wanted"), v["hint"].alias("hint")), read)
 
-    # markup that entities stood for goes from what is extracted
-    return let(F.struct(p.alias("page"), text.alias("text"), H.clean(text).alias("whole"), wanted.alias("wanted"), hint.alias("hint")), read)
+    return let(let(p, lambda p: F.struct(p.alias("page"), H.clean(H.main_html(p)).alias("text"), wanted.alias("wanted"), hint.alias("hint"))), cleaned)
 
 
 def commentary_page(page: Column | str, url: Column | str, parameter: str = "mainId", most: int = 6000) -> Column:

@@ -32,23 +32,28 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _blank(x: Column, kept: str) -> Column:
+    """Each run of characters other than these is one blank. A run that is one blank already is no match, since a replacement costs more than the search."""
+    return F.regexp_replace(x, f" *[^ {kept}][^{kept}]*|  +", " ")
+
+
 def search_form(c: Column | str) -> Column:
     """Without marks, letter variants unified, lower case; anything but Arabic-block characters, a-z and 0-9 is a space."""
     x = F.regexp_replace(_col(c), f"[{MARKS}]", "")
     x = F.lower(F.translate(x, STOPS + LETTERS_FROM, " " * len(STOPS) + LETTERS_TO))
-    return F.btrim(F.regexp_replace(x, "[^\u0600-\u06ffa-z0-9]+", " "))
+    return F.btrim(_blank(x, "\u0600-\u06ffa-z0-9"))
 
 
 def match_form(c: Column | str) -> Column:
     """Only Arabic-block characters, without marks; punctuation apart."""
     x = F.translate(F.regexp_replace(_col(c), f"[{WIDE_MARKS}]", ""), STOPS + MATCH_FROM, " " * len(STOPS) + MATCH_TO)
-    return F.btrim(F.regexp_replace(x, "[^\u0600-\u06ff]+", " "))
+    return F.btrim(_blank(x, "\u0600-\u06ff"))
 
 
 def dedupe_form(c: Column | str) -> Column:
     """As match_form, but punctuation of the Arabic block stays and the supplement is kept."""
     x = F.translate(F.regexp_replace(_col(c), f"[{WIDE_MARKS}]", ""), MATCH_FROM, MATCH_TO)
-    return F.btrim(F.regexp_replace(x, "[^\u0600-\u06ff\u0750-\u077f]+", " "))
+    return F.btrim(_blank(x, "\u0600-\u06ff\u0750-\u077f"))
 
 
 def py_search_form(text: str) -> str:

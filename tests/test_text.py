@@ -88,3 +88,31 @@ def test_error_categories(spark):
     got = [one(spark, m, H.error_category) for m in ("HTTP 503 x", "Timeout", "fetch failed", "other")]
     assert got == ["http-503", "timeout", "network", "error"]
     assert [one(spark, c, H.retryable) for c in ("http-503", "http-429", "http-404", "timeout", "error")] == [True, True, False, True, False]
+
+
+def test_runs_of_other_characters_are_one_blank(spark):
+    import random
+    import re
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aZ7  ,\t\n\u00a0\u200b\u0628\u064b\u060c\u0750") for _ in range(rng.randint(0, 25))) for _ in range(600)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", X.search_form("t"), X.dedupe_form("t"), H.clean("t", tags=False)).collect()
+    marks = lambda t: re.sub(f"[{X.WIDE_MARKS}]", "", t)
+    for t, search, dedupe, clean in got:
+        assert search == X.py_search_form(t)
+        assert dedupe == re.sub("[^\u0600-\u06ff\u0750-\u077f]+", " ", marks(t)).strip(" ")
+        x = re.sub(" ?\n ?", "\n", re.sub("[ \t\u00a0]+", " ", t.replace("\u200b", "")))
+        assert clean == re.sub(r"(?a)^\s+|\s+\Z", "", re.sub("\n{3,}", "\n\n", x))
+    assert "regexp_replace" in df.select(X.search_form("t"))._jdf.queryExecution().toString()
+
+
+def test_entities_are_decoded_in_the_jvm_as_by_the_plain_reading(spark):
+    import random
+
+    rng = random.Random(6)
+    bits = ("&", "amp", "&amp;", "#", "&#65;", "&#x41", "&#xFEFF;", "&#55296;", "&#1114112;", "&#128512;", "&#0;", "&lt", "&LT;", "&nbsp", "&nosuch;", "&eacute;", "38;", "x26;", "\n", "a", "=", ";", "é")
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", H.decode_entities("t").alias("d"))
+    assert [r["t"] for r in df.collect() if r["d"] != (None if r["t"] is None else H.py_decode(r["t"]))] == []
+    assert "Python" not in df._jdf.queryExecution().toString()
