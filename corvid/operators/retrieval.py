@@ -114,7 +114,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, sources: DataFrame, excluded
     kept = kept or Kept(queries.sparkSession)
     none = F.array().cast("array<string>")
     active = retrievable(sources, excluded)
-    corpus = approved(chunks, sources, excluded).select("ord", "sourceId", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("keywords", none).alias("keywords"), F.coalesce("topics", none).alias("topics"), "role", (F.length(F.coalesce("quranText", F.lit(""))) * F.length(F.coalesce("quranReference", F.lit(""))) > 0).alias("verse"))
+    corpus = approved(chunks, sources, excluded).select("ord", "sourceId", F.coalesce("text", F.lit("")).alias("text"), F.filter(F.coalesce("keywords", none), lambda k: k.isNotNull()).alias("keywords"), F.coalesce("topics", none).alias("topics"), "role", (F.length(F.coalesce("quranText", F.lit(""))) * F.length(F.coalesce("quranReference", F.lit(""))) > 0).alias("verse"))
     library = active.where(F.coalesce("showInLibrary", F.lit(True)))
     q = queries.select("query_id", F.coalesce("query", F.lit("")).alias("query")).withColumn("norm", search_form("query")).where("norm <> ''")
     named = named_sources(q, library).groupBy("query_id").agg(F.sort_array(F.collect_set("source_id")).alias("ids"), F.sort_array(F.collect_set(F.when(F.col("by_author"), F.col("source_id")))).alias("author_ids"), F.array_distinct(F.flatten(F.collect_list("author_tokens"))).alias("author_tokens"))
@@ -138,10 +138,15 @@ def retrieve(queries: DataFrame, chunks: DataFrame, sources: DataFrame, excluded
 
     # the corpus is tokenised once, for the forms that are asked for and their stems; a scope's frequencies are sums of what its sources have
     sought = t.select(F.explode(F.array(F.col("form"), canonical(F.col("form")))).alias("form")).where("form <> ''").distinct()
+    # a chunk stays one row: its forms, and its keywords in search form
     keyword_forms = F.array_distinct(F.flatten(F.transform(F.flatten(F.transform("keywords", tokens)), variants)))
-    index = corpus.withColumn("kf", keyword_forms).select("ord", "kf", "verse", "sourceId", F.explode(F.array_distinct(F.concat("kf", F.flatten(F.transform(F.array_distinct(tokens("text")), variants))))).alias("form"))
-    index = kept(index.withColumn("keyword", F.array_contains("kf", F.col("form"))).drop("kf").join(small(sought), "form", "left_semi"), "index")
-    by_source, sizes = scope_statistics(index, corpus)
+    signal = lambda kw: F.exists(tokens(kw), lambda x: (F.length(x) >= 3) & ~generic(x))
+    keys = F.transform("keywords", lambda kw: F.struct(search_form(kw).alias("key"), signal(kw).alias("flag")))
+    traits = (F.col("role").eqNullSafe("index").alias("entry"), (F.length(F.btrim("text")) >= LEAST_TEXT).alias("long"))
+    index = corpus.select("ord", "verse", "sourceId", "topics", *traits, keyword_forms.alias("kf"), keys.alias("keys"), F.array_distinct(F.flatten(F.transform(F.array_distinct(tokens("text")), variants))).alias("tf"))
+    index = kept(index.select("ord", "verse", "sourceId", "topics", "entry", "long", "keys", "kf", F.array_except("tf", "kf").alias("tf")), "index")
+    held = index.select("sourceId", "verse", F.explode(F.concat("kf", "tf")).alias("form")).join(small(sought), "form", "left_semi")
+    by_source, sizes = scope_statistics(held, index)
     scope = q.select("query_id", "verse_only", F.explode(F.when(F.size("allowed") > 0, F.col("allowed")).otherwise(F.array(F.lit(None).cast("string")))).alias("source"))
     within = (F.col("source").eqNullSafe(F.col("sourceId"))) & (~F.col("verse_only") | F.col("verse"))
     n = scope.join(small(sizes), within).groupBy("query_id").agg(F.sum("n").alias("n"))
@@ -152,45 +157,55 @@ def retrieve(queries: DataFrame, chunks: DataFrame, sources: DataFrame, excluded
     totals = kinds.groupBy("query_id").agg(F.count_if("meaningful").alias("n_meaningful"), F.count_if("distinctive").alias("n_distinctive"))
     within = (~F.col("verse_only") | F.col("verse")) & ((F.size("allowed") == 0) | F.array_contains("allowed", F.col("sourceId")))
 
-    # token evidence: the best weight of each query token in each chunk
-    own = t.select("query_id", "token", "form", rarity(F.col("n"), F.col("df")).alias("weight"), F.lit(True).alias("itself"))
-    stem = t.select("query_id", "token", canonical(F.col("form")).alias("form"), F.lit(STEM).alias("weight"), F.lit(False).alias("itself")).where("form <> ''")
-    hit = own.unionByName(stem).join(q.select("query_id", "verse_only", "allowed"), "query_id").join(index, "form").where(within)
-    hit = hit.withColumn("weight", F.when(F.col("itself") & F.col("keyword"), F.greatest("weight", F.lit(KEYWORD))).otherwise(F.col("weight")))
-    hit = hit.groupBy("query_id", "ord", "token").agg(F.max("weight").alias("weight")).join(kinds, ["query_id", "token"])
-    telling = ~generic(F.col("token"))
-    hit = hit.groupBy("query_id", "ord").agg(F.sum("weight").alias("sum"), F.count_if(telling).alias("telling"), F.count_if(telling & F.col("distinctive")).alias("distinctive"), F.max(telling & (F.col("weight") >= KEYWORD)).alias("strong_token"), F.lit(0).alias("phrases"), F.lit(0).alias("keyword_hits"), F.lit(False).alias("strong_keyword"))
-
-    # phrase and keyword evidence: texts that hold the whole query, queries that hold a keyword
+    # what a query looks for in a chunk: forms of its tokens, by weight (in the text, among the keywords); keywords that it contains; itself as a phrase
     asked = q.select("query_id", "norm", "verse_only", "allowed")
-    bodies = corpus.select("ord", "verse", "sourceId", search_form("text").alias("body"))
-    phrase = containing(bodies, asked, "body", "norm", least=6).where(within).select("query_id", "ord", F.lit(1).alias("phrases"))
-    kw = corpus.select("ord", "verse", "sourceId", F.explode("keywords").alias("kw")).withColumn("k", search_form("kw"))
-    signal = F.exists(tokens("kw"), lambda x: (F.length(x) >= 3) & ~generic(x))
-    kw = containing(asked, kw, "norm", "k").where(within).groupBy("query_id", "ord").agg(F.count("*").alias("keyword_hits"), F.max(signal).alias("strong_keyword"))
-    blank = {"sum": F.lit(0.0), "telling": F.lit(0), "distinctive": F.lit(0), "strong_token": F.lit(False), "phrases": F.lit(0), "keyword_hits": F.lit(0), "strong_keyword": F.lit(False)}
-    fill = lambda x: x.select("query_id", "ord", *((F.col(k) if k in x.columns else v).alias(k) for k, v in blank.items()))
-    e = fill(hit).unionByName(fill(phrase)).unionByName(fill(kw)).groupBy("query_id", "ord").agg(*(F.max(k).alias(k) for k in blank))
-
-    e = e.join(corpus.select("ord", "sourceId", "topics", "role", "text"), "ord").join(q.select("query_id", "matched", "allowed"), "query_id").join(totals, "query_id", "left")
+    own = t.select("query_id", "token", "form", rarity(F.col("n"), F.col("df")).alias("plain"), F.greatest(rarity(F.col("n"), F.col("df")), F.lit(KEYWORD)).alias("listed"))
+    stem = t.select("query_id", "token", canonical(F.col("form")).alias("form"), F.lit(STEM).alias("plain"), F.lit(STEM).alias("listed")).where("form <> ''")
+    wanted = own.unionByName(stem).groupBy("query_id", "token", "form").agg(F.max("plain").alias("plain"), F.max("listed").alias("listed")).join(kinds, ["query_id", "token"])
+    telling = ~generic(F.col("token"))
+    wanted = wanted.join(asked.drop("norm"), "query_id").select(F.lit("t").alias("kind"), F.col("form").alias("key"), "query_id", "verse_only", "allowed", "token", "plain", "listed", telling.alias("telling"), (telling & F.col("distinctive")).alias("distinctive"))
+    bare = (F.lit("").alias("token"), F.lit(0.0).alias("plain"), F.lit(0.0).alias("listed"), F.lit(False).alias("telling"), F.lit(False).alias("distinctive"))
+    met = containing(asked, kept(index.select(F.explode("keys.key").alias("key")).distinct(), "keywords"), "norm", "key")
+    wanted = wanted.unionByName(met.select(F.lit("k").alias("kind"), "key", "query_id", "verse_only", "allowed", *bare))
+    wanted = wanted.unionByName(asked.select(F.lit("p").alias("kind"), F.col("query_id").cast("string").alias("key"), "query_id", "verse_only", "allowed", *bare))
+    phrase = containing(corpus.select(F.col("ord").alias("at"), search_form("text").alias("body")), asked, "body", "norm", least=6)
+    phrase = phrase.groupBy(F.col("at").alias("ord")).agg(F.collect_set(F.col("query_id").cast("string")).alias("whole"))
+
+    # evidence: chunks are dealt by their place once, and what is found in one is counted where it lies; only the best of a query and source leave a task
+    marked = lambda kind, x, flag: F.transform(x, lambda v: F.struct(F.lit(kind).alias("kind"), (v if flag is not None else v["key"]).alias("key"), (F.lit(flag) if flag is not None else v["flag"]).alias("flag")))
+    x = index.repartition("ord").join(small(kept(phrase, "phrases")), "ord", "left")
+    parts = F.concat(marked("t", "kf", True), marked("t", "tf", False), marked("k", "keys", None), marked("p", F.coalesce("whole", none), False))
+    chunk = ("ord", "sourceId", "topics", "entry", "long")
+    x = x.select(*chunk, "verse", F.explode(parts).alias("part")).select(*chunk, "verse", "part.*").join(small(kept(wanted, "wanted"), 1_000_000, 128 << 20), ["kind", "key"]).where(within)
+    x = x.groupBy("query_id", *chunk, "kind", "token").agg(F.max(F.when(F.col("flag"), F.col("listed")).otherwise(F.col("plain"))).alias("weight"), F.count("*").alias("n"), F.max("flag").alias("flag"), F.max("telling").alias("telling"), F.max("distinctive").alias("distinctive"))
+    is_ = lambda kind: F.col("kind") == kind
+    counts = (F.sum("weight").alias("sum"), F.count_if("telling").alias("n_telling"), F.count_if("distinctive").alias("distinctive"), F.max(F.col("telling") & (F.col("weight") >= KEYWORD)).alias("strong_token"))
+    found = (F.count_if(is_("p")).alias("phrases"), F.sum(F.when(is_("k"), F.col("n")).otherwise(0)).alias("keyword_hits"), F.max(is_("k") & F.col("flag")).alias("strong_keyword"))
+    e = x.groupBy("query_id", *chunk).agg(*counts, *found).withColumnRenamed("n_telling", "telling")
+
+    e = e.join(small(q.select("query_id", "matched", "allowed").join(totals, "query_id", "left")), "query_id")
     shared = F.size(F.filter("topics", lambda x: F.array_contains("matched", x)))
-    score = TOPIC * shared + PHRASE * F.col("phrases") + KEYWORD * F.col("keyword_hits") + F.least(F.col("sum"), F.lit(CAP)) - F.when(F.col("role").eqNullSafe("index"), 1.0).otherwise(0.0)
+    score = TOPIC * shared + PHRASE * F.col("phrases") + KEYWORD * F.col("keyword_hits") + F.least(F.col("sum"), F.lit(CAP)) - F.when(F.col("entry"), 1.0).otherwise(0.0)
     covered = F.when(F.col("n_meaningful") > 0, F.col("telling") / F.nullif(F.col("n_meaningful"), F.lit(0))).otherwise(0.0)
     strong = F.col("strong_token") | F.col("strong_keyword") | (F.col("phrases") > 0)
     wide = (F.col("telling") >= 2) & (covered >= 0.5) & (strong | (covered >= 0.99)) & ((F.coalesce("n_distinctive", F.lit(0)) == 0) | (F.col("distinctive") > 0))
     relevant = (shared > 0) | ((F.size("allowed") > 0) & (F.size("matched") > 0)) | F.coalesce(wide, F.lit(False))
-    e = e.withColumn("score", score).where(relevant & (F.col("score") >= LEAST_SCORE) & (F.length(F.btrim("text")) >= LEAST_TEXT)).select("query_id", "ord", "sourceId", "score")
+    e = e.where("long").withColumn("score", F.round(score, 9)).where(relevant & (F.col("score") >= LEAST_SCORE)).select("query_id", "ord", "sourceId", "score")
     picked = diversified(e, "query_id", "sourceId", "score", "ord", most)
-    found = chunks.alias("c").join(picked.alias("p"), F.col("c.ord") == F.col("p.ord")).join(small(active).alias("s"), F.col("c.sourceId") == F.col("s.id"))
+    found = chunks.alias("c").join(small(kept(picked, "picked")).alias("p"), F.col("c.ord") == F.col("p.ord")).join(small(active).alias("s"), F.col("c.sourceId") == F.col("s.id"))
     return found.select("p.query_id", "p.rank", "c.ord", *passage(F.col("p.score")))
 
 
 def diversified(scored: DataFrame, query: str, source: str, score: str, tie: str, most: int = MOST) -> DataFrame:
-    """Best row of each source first, then the rest, each by score and then tie: the first max(1, min(most, MOST)) a query, with rank."""
+    """Best row of each source first, then the rest, each by score and then tie: the first max(1, min(most, MOST)) a query, with rank.
+
+    No later row of a source than that is ever among them, so the others go before anything is shuffled.
+    """
+    most = max(1, min(most, MOST))
     best = Window.partitionBy(query, source).orderBy(F.desc(score), tie)
-    x = scored.withColumn("_r", F.row_number().over(best))
+    x = scored.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= most)
     order = Window.partitionBy(query).orderBy((F.col("_r") > 1).cast("int"), F.desc(score), tie)
-    return x.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, min(most, MOST))).drop("_r")
+    return x.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("_r")
 
 
 def keywords_of(queries: DataFrame, matched: DataFrame, topics: DataFrame, found: DataFrame, most: int = 8) -> DataFrame:
@@ -209,16 +224,18 @@ def keywords_of(queries: DataFrame, matched: DataFrame, topics: DataFrame, found
 def lexical_topk(queries: DataFrame, docs: DataFrame, query_id: str, query: str, doc_id: str, text: str, source: str, most: int = MOST, kept: Kept | None = None) -> DataFrame:
     """The core of retrieval over any table: rarity-weighted token hits, capped, diversified by source.
 
-    Texts are tokenised once, and only tokens that some query has are written; kept holds that table, for the caller to delete.
+    Texts are tokenised once; kept holds the table of their tokens, for the caller to delete.
     """
     kept = kept or Kept(docs.sparkSession)
     n = docs.count()
     asked = queries.select(query_id, F.explode(F.array_distinct(tokens(F.coalesce(F.col(query), F.lit(""))))).alias("token"))
-    held = docs.select(doc_id, source, F.explode(F.array_distinct(tokens(F.coalesce(F.col(text), F.lit(""))))).alias("token"))
-    index = kept(held.join(small(asked.select("token").distinct()), "token", "left_semi"), "lexical-index")
-    df = index.groupBy("token").agg(F.count("*").alias("df"))
-    weighted = small(asked.join(small(df), "token"))
-    hit = index.join(weighted, "token").groupBy(query_id, doc_id, source).agg(F.least(F.round(F.sum(rarity(F.lit(n), F.col("df"))), 6), F.lit(CAP)).alias("score"))
+    index = kept(docs.select(doc_id, source, F.array_distinct(tokens(F.coalesce(F.col(text), F.lit("")))).alias("tokens")), "lexical-index")
+    df = index.select(F.explode("tokens").alias("token")).join(small(asked.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    df = kept(df, "lexical-frequencies")
+    weighted = small(asked.join(small(df), "token").select(query_id, "token", rarity(F.lit(n), F.col("df")).alias("weight")), 1_000_000, 128 << 20)
+    # rows are dealt by their id once, and summed up where they lie
+    held = index.repartition(doc_id).select(doc_id, source, F.explode("tokens").alias("token"))
+    hit = held.join(weighted, "token").groupBy(query_id, doc_id, source).agg(F.least(F.round(F.sum("weight"), 6), F.lit(CAP)).alias("score"))
     return diversified(hit, query_id, source, "score", doc_id, most)
 
 

@@ -168,3 +168,21 @@ def test_manifest_provenance_and_routing_rules(spark):
     chunks = lambda n, role, url: spark.createDataFrame([(["t1"], role, url)] * n, "topics array<string>, role string, sourceUrl string")
     assert rules_of(ingest.routing_violations(chunks(2, "evidence", "http://other/"), topics, site)) == ["missing topic", "no index role", "too few entries", "url not official", "url not official"]
     assert rules_of(ingest.routing_violations(chunks(100, "index", site), topics.where("id = 't1'"), site)) == []
+
+
+def test_later_rows_of_a_source_go_before_the_shuffle(spark):
+    import re
+
+    from corvid.operators import retrieval
+
+    x = retrieval.diversified(spark.range(600).selectExpr("id % 3 AS q", "id * id % 5 AS s", "CAST(id * 7 % 11 AS DOUBLE) AS v", "id AS d"), "q", "s", "v", "d", 3)
+    assert re.search(r"WindowGroupLimit \[q#\d+L?, s#\d+L?\]", x._jdf.queryExecution().executedPlan().toString())
+    rows = [(i % 3, i * i % 5, i * 7 % 11, i) for i in range(600)]
+    want = []
+    for q in range(3):
+        seen, ranked = set(), []
+        for _, s, v, d in sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[3])):
+            ranked.append((s in seen, -v, d))
+            seen.add(s)
+        want += [(q, n + 1, d) for n, (_, _, d) in enumerate(sorted(ranked)[:3])]
+    assert sorted((r["q"], r["rank"], r["d"]) for r in x.collect()) == want
