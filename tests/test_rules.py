@@ -152,3 +152,15 @@ def test_containment_equals_comparing_all_pairs(spark):
         assert got == sorted((i, j) for i, t in texts for j, p in patterns if t and p and len(p) >= least and p in t)
     with pytest.raises(ValueError, match="column"):
         substrings.containing(spark.createDataFrame(texts, "i int, t string"), spark.createDataFrame(texts, "i int, t string"), "t", "t")
+
+
+def test_patterns_of_several_words_meet_whole_words(spark):
+    rng = random.Random(8)
+    words = ["abc", "bcd", "a", "", "cdef", "ab"]
+    line = lambda most: " ".join(rng.choice(words) for _ in range(rng.randint(0, most)))
+    texts, patterns = [(i, line(12)) for i in range(80)], [(i, line(5)[rng.randint(0, 2) :]) for i in range(80)]
+    t, p = spark.createDataFrame(texts, "i int, t string"), spark.createDataFrame(patterns, "j int, p string")
+    got = sorted((r["i"], r["j"]) for r in substrings.containing(t, p, "t", "p").collect())
+    assert got == sorted((i, j) for i, a in texts for j, b in patterns if b and b in a)
+    plan = substrings.containing(t, spark.createDataFrame([(1, "ab cdef ab")], "j int, p string"), "t", "p")._jdf.queryExecution().toString()
+    assert "regexp_extract_all" not in plan and "transform" not in plan.split("Physical Plan")[1].split("Generate")[0]
