@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvid.functions import html as H
-from corvid.functions.text import ARABIC, CJK, carries_commentary, dedupe_form, grounded, match_form
+from corvid.functions.text import ARABIC, CJK, carries_commentary, dedupe_form, grounded, let, match_form
 
 # The smallest matn, and the share of the present corpus that a run must reach.
 LEAST_MATN, SHRINK_FLOOR = 60, 0.5
@@ -21,11 +21,21 @@ def has_arabic(c: Column | str) -> Column:
 
 
 def collapse_repeats(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST_MATN, form=dedupe_form) -> DataFrame:
-    """(id, text): lines whose dedupe form is empty go, and later copies of forms of `least` characters or more."""
-    x = docs.select(F.col(id_col), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("pos", "line")).withColumn("k", form("line")).where("k <> ''")
-    again = F.row_number().over(Window.partitionBy(id_col, F.xxhash64("k"), "k").orderBy("pos"))
-    x = x.withColumn("again", again).where((F.col("again") == 1) | (F.length("k") < least))
-    return x.groupBy(id_col).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda v: v["line"]), "\n").alias("text"))
+    """(id, text): lines whose dedupe form is empty go, and later copies of forms of `least` characters or more. Each row stands alone; one without lines goes.
+
+    A row's lines stay in its row: their forms are sorted there, so that copies are neighbours.
+    """
+    entries = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda v, n: F.struct(form(v).alias("k"), n.alias("pos"), v.alias("line")))
+    place = lambda x: F.transform(x, lambda v: F.struct(v["pos"], v["line"]))
+    firsts = lambda x: F.filter(x, lambda v, n: (n == 0) | (F.get(x, n - 1)["k"] != v["k"]))
+
+    def kept(x: Column) -> Column:
+        long = let(F.sort_array(F.filter(x, lambda v: (v["k"] != "") & (F.length(v["k"]) >= least))), firsts)
+        short = F.filter(x, lambda v: (v["k"] != "") & (F.length(v["k"]) < least))
+        return F.array_join(F.transform(F.sort_array(F.concat(place(long), place(short))), lambda v: v["line"]), "\n")
+
+    # a filter on what explode gives isn't moved before it, where the text would be made twice
+    return docs.select(id_col, F.explode_outer(F.array(let(entries, kept))).alias("text")).where("text <> ''")
 
 
 def page_reason(page: Column | str, url: Column | str, least: int = 80, references: int = 2, key: str = "mainId", arabic: bool = True) -> Column:

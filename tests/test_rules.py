@@ -164,3 +164,24 @@ def test_patterns_of_several_words_meet_whole_words(spark):
     assert got == sorted((i, j) for i, a in texts for j, b in patterns if b and b in a)
     plan = substrings.containing(t, spark.createDataFrame([(1, "ab cdef ab")], "j int, p string"), "t", "p")._jdf.queryExecution().toString()
     assert "regexp_extract_all" not in plan and "transform" not in plan.split("Physical Plan")[1].split("Generate")[0]
+
+
+def test_lines_collapse_where_they_lie(spark):
+    rng = random.Random(9)
+    line = lambda: rng.choice(("", "!!", "Short", "short,", "one  longer line", "One longer, line!", "another line here"))
+    rows = [(i, "\n".join(line() for _ in range(rng.randint(0, 15)))) for i in range(60)] + [(90, None)]
+    from corvid.functions.text import py_search_form, search_form
+
+    df = ingest.collapse_repeats(spark.createDataFrame(rows, "i int, t string"), "i", "t", 10, search_form)
+    want = {}
+    for i, t in rows:
+        seen, kept = set(), []
+        for v in (t or "").split("\n"):
+            k = py_search_form(v)
+            if k and (len(k) < 10 or k not in seen):
+                kept.append(v)
+            seen.add(k)
+        if kept:
+            want[i] = "\n".join(kept)
+    assert {r["i"]: r["text"] for r in df.collect()} == want
+    assert "Exchange" not in df._jdf.queryExecution().toString()
