@@ -71,9 +71,17 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _give_back() -> None:
+    """Return this process's garbage to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc keeps freed memory of small objects otherwise
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any more; it does so when the driver collects garbage."""
-    gc.collect()
+    _give_back()
     spark._jvm.System.gc()
 
 
@@ -91,10 +99,7 @@ def claim(owner: str, forget=None) -> None:
             if (f := _held.pop(k)) is not None:
                 f()
         _held[owner] = forget
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # glibc keeps freed memory of small objects otherwise
-            ctypes.CDLL(None).malloc_trim(0)
+        _give_back()
 
 
 def text_or_empty(column: str = "text"):

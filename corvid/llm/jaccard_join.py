@@ -36,8 +36,8 @@ SHORT_PREFIX = 128
 #: Bits of a set's parity map.
 PARITY = 512
 #: Rounds in which members of open lists meet neighbours of a random order and components merge, sets met before one in each, and partners it has of
-#: them, before what is left is compared exactly.
-ROUNDS, NEIGHBOURS, PARTNERS = 3, 2, 4
+#: them, before what is left is compared exactly. No more rounds follow one that leaves more than this share of the components in open lists.
+ROUNDS, NEIGHBOURS, PARTNERS, MERGING = 3, 2, 4, 0.9
 #: Shingles that a task looks at together.
 SCANNED = 1_000_000
 #: Bits a needed row has in the filter that says which rows are read again, and 64-bit words of the filter at most (16 MB).
@@ -220,6 +220,18 @@ def _relabelled(comp: DataFrame, merged: DataFrame) -> DataFrame:
     return old.unionByName(merged.join(comp.select("node"), "node", "left_anti"))
 
 
+def _beside(members: DataFrame, turn: int, fits) -> DataFrame:
+    """(node, n, component, node_b, n_b, component_b): members of a list with those of the NEIGHBOURS before them, in a random order, that fits(neighbour) lets through.
+
+    Only these become rows: what is tested is NEIGHBOURS a posting, whatever a list's length.
+    """
+    order = Window.partitionBy("token").orderBy("block", F.xxhash64("node", F.lit(turn)))
+    before = [f"before_{k}" for k in range(1, NEIGHBOURS + 1)]
+    x = members.withColumns({b: F.lag(F.struct("node", "n", "pos", "component", "bits"), k).over(order) for k, b in enumerate(before, 1)})
+    fit = F.array_compact(F.array(*(F.when(fits(b), F.struct(*(F.col(f"{b}.{c}").alias(f"{c}_b") for c in ("node", "n", "component")))) for b in before)))
+    return x.select("node", "n", "component", F.explode(fit).alias("_b")).select("node", "n", "component", "_b.*")
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
 
@@ -321,27 +333,32 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     long_ = long_.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int"))
     # a leader has met all of its list, unless the list is in parts
     rest = long_.where("node <> leader or part >= 0")
+    rest = rest.select("token", "part", "node", "n", "pos", "leader", "leader_n", "held", "block")
+    members = ("token", "part", "node", "n", "pos", "leader", "leader_n", "held", "block", "kin")
     known = prefixes.select("node", F.size("prefix").alias("kin"))
 
-    def open_lists(comp: DataFrame) -> DataFrame:
-        """The postings, with components, of lists and sizes that more than one component shares; others are skipped whole.
+    def open_lists(x: DataFrame, comp: DataFrame) -> DataFrame:
+        """The postings x, with components, of lists and sizes that more than one component shares; others are skipped whole.
 
         A set links only with sets of its own block of sizes or one next to it, so where these three hold one component there is nothing to find.
+        Components only merge, so there never will be, and a block that is skipped has the component of those beside it: later rounds look
+        only at what an earlier one left open.
         """
-        x = rest.join(known.join(comp, "node", "left"), "node").withColumn("component", F.coalesce("component", "node"))
+        x = x.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
         beside = Window.partitionBy("token").orderBy("block").rangeBetween(-1, 1)
         mixed = x.groupBy("token", "block").agg(F.min("component").alias("c"), F.max("component").alias("d"))
         below = Window.partitionBy("token").orderBy("block").rangeBetween(-1, -1)
         near = {"c_near": F.min("c").over(beside), "d_near": F.max("d").over(beside), "c_below": F.min("c").over(below), "d_below": F.max("d").over(below)}
-        mixed = mixed.withColumns(near).where("c_near <> d_near").select("token", "block", "c", "d", "c_below", "d_below")
-        return x.join(mixed, ["token", "block"])
+        mixed = materialise(mixed.withColumns(near).where("c_near <> d_near").select("token", "block", "c", "d", "c_below", "d_below"), "mixed-blocks")
+        return x.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_PAIRS else mixed, ["token", "block"])
 
     def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The sets fetched so far and those that the pairs need besides."""
         more = materialise(_ends(pairs).join(sets.select("node"), "node", "left_anti"), "more-needed")
         return sets if more.isEmpty() else sets.unionByName(fetch(more, "needed-sets"))
 
-    opened = materialise(open_lists(comp), "open-lists")
+    opened = materialise(open_lists(rest.join(known, "node"), comp), "open-lists")
+    release(spark)
     medium = (F.col("held") <= MEDIUM_LIST) & (F.col("part") < 0)
     met = first.select(F.col("x").alias("node"), F.col("y").alias("leader"), "inter").distinct()
 
@@ -377,17 +394,20 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
 
     met_in_medium = paired(*joined(with_inter(opened.where(medium)), carry), fine)
     bits = fetch(opened.where(~medium).select("node").distinct(), "parity-maps", whole=False)
+    release(spark)
 
     # neighbours of a list in a random order: a few partners a set, so that large groups of borderline copies grow together; each round has only the
     # lists, and the sizes in them, that still hold several components
-    met_by = ("node", "n", "pos", "component", "bits")
-    n, m = F.col("n"), F.col("n_b")
+    n = F.col("n")
+
+    def fits_beside(b: str) -> Column:
+        m = F.col(f"{b}.n")
+        return (F.col("component") != F.col(f"{b}.component")) & may_link(n, F.col("pos"), m, F.col(f"{b}.pos")) & (_differ("bits", f"{b}.bits") <= n + m - 2 * need(n, m))
+
+    apart_in = lambda x: x.agg(F.approx_count_distinct("component", 0.02)).first()[0]  # noqa: E731  for the rounds' number only
+    several = apart_in(opened)
     for turn in range(ROUNDS):
-        order = Window.partitionBy("token").orderBy("block", F.xxhash64("node", F.lit(turn)))
-        x = opened.where(~medium).select("token", "node", "n", "pos", "component", "block").join(bits, "node")
-        x = x.withColumn("b", F.array(*(F.lag(F.struct(*met_by), k).over(order) for k in range(1, NEIGHBOURS + 1))))
-        x = x.select("*", F.explode("b").alias("_b")).select(*x.columns, *(F.col(f"_b.{c}").alias(f"{c}_b") for c in met_by)).where("node_b is not null")
-        x = x.where((F.col("component") != F.col("component_b")) & may_link(n, F.col("pos"), m, F.col("pos_b")) & (_differ("bits", "bits_b") <= n + m - 2 * need(n, m)))
+        x = _beside(opened.where(~medium).select("token", "node", "n", "pos", "component", "block").join(bits, "node"), turn, fits_beside)
         few = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("node_b", F.lit(turn)).alias("h"), F.col("node_b").alias("y"), F.col("n_b").alias("m"), F.col("component_b").alias("d")))), 1, PARTNERS)
         x = x.groupBy("node", "n", "component").agg(few.alias("p"))
         x = x.select(F.col("node").alias("x"), "n", F.col("component").alias("c"), F.explode("p").alias("p")).select("x", "n", "c", "p.y", "p.m", "p.d")
@@ -401,24 +421,28 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
         if not none:
             grown = materialise(_relabelled(comp, connected_components(found)), "merged-components")
             discard(comp)
-            discard(opened)
             comp = grown
-            opened = materialise(open_lists(comp), "open-lists")
+            still = materialise(open_lists(opened.select(*members), comp), "open-lists")
+            discard(opened)
+            opened = still
         discard(found)
         release(spark)
-        if none:
+        were, several = several, apart_in(opened)
+        if none or several > MERGING * were:
             break
 
     # what is left: members of different components of long lists, exactly
     carried = F.when(F.size("prefix") <= SHORT_PREFIX, F.col("prefix"))
     left = with_inter(opened.where(~medium)).join(prefixes.select("node", carried.alias("prefix")), "node").join(bits, "node")
     left = materialise(left, "open-members")
+    release(spark)
     # short prefixes travel with the postings: a pair is made once, at its first common token, and only if enough tokens follow
     both = F.array_intersect("prefix_a", "prefix_b")
     fine &= (_differ("bits_a", "bits_b") <= na + nb - 2 * need(na, nb)) & F.coalesce((F.size(both) >= common(na, nb)) & (F.get(both, F.lit(0)) == F.col("token_a")), F.lit(True))
     a, b = joined(left, (*carry, "prefix", "bits"))
     pairs = materialise(paired(a.withColumn("token_a", F.col("token")), b, fine), "last-pairs")
     discard(left)
+    release(spark)
     sets = with_sets(pairs.where("not sure"), sets)
     found = new_links(pairs, sets)
     if not found.isEmpty():

@@ -436,6 +436,16 @@ def test_jaccard_with_long_and_dealt_out_lists(spark, monkeypatch, derive, mediu
     assert components_of(df, 3, 60, derive=derive) == plain_components([(r["doc_id"], r["text"]) for r in df.collect()], 3, 60)
 
 
+def test_only_neighbours_that_fit_become_rows(spark):
+    rows = [(t, n, 20, 0, n % 2, 0, [0] * 8) for t in range(3) for n in range(40)]
+    members = spark.createDataFrame(rows, "token long, node long, n int, pos int, component long, block int, bits array<long>")
+    found = jaccard_join._beside(members, 0, lambda b: (F.col("node") == 7) & (F.col(f"{b}.component") == 0))
+    got = found.collect()
+    assert 1 <= len(got) <= 3 * jaccard_join.NEIGHBOURS and {(r["node"], r["component_b"]) for r in got} == {(7, 0)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan[: plan.index("Generate")]
+
+
 def test_jaccard_with_clashing_numbers(spark):
     """Of the first half of a key only ten bits are left, so that different sets share it."""
     df = docs(spark, near_rows(5)).repartition(3)
