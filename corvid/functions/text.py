@@ -37,11 +37,21 @@ def _blank(x: Column, kept: str) -> Column:
     return F.regexp_replace(x, f" *[^ {kept}][^{kept}]*|  +", " ")
 
 
+# Characters of the search form; ones that usual texts hold besides and the form blanks; the marks that it drops, one by one.
+_KEPT = "".join(map(chr, range(0x600, 0x700))) + "abcdefghijklmnopqrstuvwxyz0123456789 "
+_USUAL = "".join(c for c in map(chr, [*range(1, 0x250), *range(0x2000, 0x2070)]) if c not in _KEPT)
+_MARK_LIST = "".join(c for c in map(chr, range(0x600, 0x700)) if re.match(f"[{MARKS}]", c))
+
+
 def search_form(c: Column | str) -> Column:
-    """Without marks, letter variants unified, lower case; anything but Arabic-block characters, a-z and 0-9 is a space."""
-    x = F.regexp_replace(_col(c), f"[{MARKS}]", "")
-    x = F.lower(F.translate(x, STOPS + LETTERS_FROM, " " * len(STOPS) + LETTERS_TO))
-    return F.btrim(_blank(x, "\u0600-\u06ffa-z0-9"))
+    """Without marks, letter variants unified, lower case; anything but Arabic-block characters, a-z and 0-9 is a space.
+
+    Characters are looked up, not searched for: a search for a class costs several times as much a character. Those that are neither kept nor usual
+    are what is left without the kept ones. In the first step the marks, for which no replacement is left, go.
+    """
+    x = F.translate(F.lower(_col(c)), STOPS + LETTERS_FROM + _USUAL + _MARK_LIST, " " * len(STOPS) + LETTERS_TO + " " * len(_USUAL))
+    other = F.translate(x, _KEPT, "")
+    return F.btrim(F.regexp_replace(F.call_function("translate", x, other, F.repeat(F.lit(" "), F.length(other))), "  +", " "))
 
 
 def match_form(c: Column | str) -> Column:
@@ -73,14 +83,24 @@ def let(x: Column, f) -> Column:
 
 
 def strip_article(token: Column) -> Column:
-    """The first fitting article prefix goes, if at least three characters stay."""
-    return F.regexp_replace(token, _first_prefix(ARTICLES), "")
+    """The first fitting article prefix goes, if at least three characters stay. Only tokens that begin as an article does cost a search."""
+    begins = F.left(token, F.lit(1)).isin(*sorted({a[0] for a in ARTICLES}))
+    return F.when(begins, F.regexp_replace(token, _first_prefix(ARTICLES), "")).otherwise(token)
+
+
+def _of_words(found: Column) -> Column:
+    fine = lambda t: (F.length(t) >= 2) & ~t.isin(*words.STOPWORDS)
+    return F.filter(F.transform(F.filter(found, fine), strip_article), fine)
 
 
 def tokens(c: Column | str) -> Column:
     """Search tokens in order, repeats kept: two characters at least, no stop word before or after the article goes."""
-    fine = lambda t: (F.length(t) >= 2) & ~t.isin(*words.STOPWORDS)
-    return F.filter(F.transform(F.filter(F.split(search_form(c), " "), fine), strip_article), fine)
+    return _of_words(F.split(search_form(c), " "))
+
+
+def token_set(c: Column | str) -> Column:
+    """The distinct tokens() in order of first occurrence; a repeated word is looked at once."""
+    return F.array_distinct(_of_words(F.array_distinct(F.split(search_form(c), " "))))
 
 
 def canonical(token: Column) -> Column:

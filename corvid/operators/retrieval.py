@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvid.functions.text import canonical, forms, py_search_form, search_form, tokens, variants
+from corvid.functions.text import canonical, forms, py_search_form, search_form, token_set, tokens, variants
 from corvid.lexicon import words
 from corvid.sources import Kept
 
@@ -31,7 +31,7 @@ def generic(token: Column) -> Column:
 
 def document_frequency(chunks: DataFrame, text: str = "text", keywords: str | None = "keywords", key: list[str] | None = None) -> DataFrame:
     """(key..., form, df): in how many rows a token form occurs, in the text or the keywords, once a row."""
-    sets = [tokens(F.coalesce(F.col(text), F.lit("")))]
+    sets = [token_set(F.coalesce(F.col(text), F.lit("")))]
     if keywords:
         sets.append(F.flatten(F.transform(F.coalesce(keywords, F.array().cast("array<string>")), tokens)))
     all_forms = F.array_distinct(F.flatten(F.transform(F.array_distinct(F.concat(*sets)), variants)))  # a token is stemmed once a row
@@ -128,7 +128,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, sources: DataFrame, excluded
     q = kept(q.withColumn("verse_only", scripture_request(F.col("norm")) & verses), "queries")
 
     # query tokens, whether they tell anything, and their forms
-    t = q.select("query_id", "author_tokens", F.explode(F.array_distinct(tokens("query"))).alias("token"))
+    t = q.select("query_id", "author_tokens", F.explode(token_set("query")).alias("token"))
     name_forms = library.select(F.explode(F.flatten(F.transform(tokens("author"), variants))).alias("name")).where(F.rlike("name", F.lit("[؀-ۿ]"))).distinct()
     names = t.select("token", F.explode(F.array(F.col("token"), canonical(F.col("token")))).alias("name")).join(small(name_forms), "name", "left_semi").select("token", F.lit(True).alias("is_name")).distinct()
     t = t.join(small(names), "token", "left")
@@ -143,7 +143,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, sources: DataFrame, excluded
     signal = lambda kw: F.exists(tokens(kw), lambda x: (F.length(x) >= 3) & ~generic(x))
     keys = F.transform("keywords", lambda kw: F.struct(search_form(kw).alias("key"), signal(kw).alias("flag")))
     traits = (F.col("role").eqNullSafe("index").alias("entry"), (F.length(F.btrim("text")) >= LEAST_TEXT).alias("long"))
-    index = corpus.select("ord", "verse", "sourceId", "topics", *traits, keyword_forms.alias("kf"), keys.alias("keys"), F.array_distinct(F.flatten(F.transform(F.array_distinct(tokens("text")), variants))).alias("tf"))
+    index = corpus.select("ord", "verse", "sourceId", "topics", *traits, keyword_forms.alias("kf"), keys.alias("keys"), F.array_distinct(F.flatten(F.transform(token_set("text"), variants))).alias("tf"))
     index = kept(index.select("ord", "verse", "sourceId", "topics", "entry", "long", "keys", "kf", F.array_except("tf", "kf").alias("tf")), "index")
     held = index.select("sourceId", "verse", F.explode(F.concat("kf", "tf")).alias("form")).join(small(sought), "form", "left_semi")
     by_source, sizes = scope_statistics(held, index)
@@ -228,8 +228,8 @@ def lexical_topk(queries: DataFrame, docs: DataFrame, query_id: str, query: str,
     """
     kept = kept or Kept(docs.sparkSession)
     n = docs.count()
-    asked = queries.select(query_id, F.explode(F.array_distinct(tokens(F.coalesce(F.col(query), F.lit(""))))).alias("token"))
-    index = kept(docs.select(doc_id, source, F.array_distinct(tokens(F.coalesce(F.col(text), F.lit("")))).alias("tokens")), "lexical-index")
+    asked = queries.select(query_id, F.explode(token_set(F.coalesce(F.col(query), F.lit("")))).alias("token"))
+    index = kept(docs.select(doc_id, source, token_set(F.coalesce(F.col(text), F.lit(""))).alias("tokens")), "lexical-index")
     df = index.select(F.explode("tokens").alias("token")).join(small(asked.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
     df = kept(df, "lexical-frequencies")
     weighted = small(asked.join(small(df), "token").select(query_id, "token", rarity(F.lit(n), F.col("df")).alias("weight")), 1_000_000, 128 << 20)

@@ -116,3 +116,13 @@ def test_entities_are_decoded_in_the_jvm_as_by_the_plain_reading(spark):
     df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", H.decode_entities("t").alias("d"))
     assert [r["t"] for r in df.collect() if r["d"] != (None if r["t"] is None else H.py_decode(r["t"]))] == []
     assert "Python" not in df._jdf.queryExecution().toString()
+
+
+def test_the_search_form_looks_characters_up(spark):
+    odd = ["", " ", "a\u0000b\u0001c", "Été—Straße, ÇA", "İx Σς", "x\U0001f600中  y\U00010400z", "أًلـة، 9 ۔܀", "┏ a⁰b c"]
+    x = spark.createDataFrame([(v,) for v in odd], "v string").select("v", X.search_form("v").alias("form"), X.tokens("v").alias("t"), X.token_set("v").alias("s"))
+    for r in x.collect():
+        assert r["form"] == X.py_search_form(r["v"]) and r["s"] == list(dict.fromkeys(r["t"]))
+    # a search for a class of characters took four fifths of the time
+    plan = x.select("form")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
