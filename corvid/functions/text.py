@@ -37,21 +37,21 @@ def _blank(x: Column, kept: str) -> Column:
     return F.regexp_replace(x, f" *[^ {kept}][^{kept}]*|  +", " ")
 
 
-# Characters of the search form; ones that usual texts hold besides and the form blanks; the marks that it drops, one by one.
-_KEPT = "".join(map(chr, range(0x600, 0x700))) + "abcdefghijklmnopqrstuvwxyz0123456789 "
-_USUAL = "".join(c for c in map(chr, [*range(1, 0x250), *range(0x2000, 0x2070)]) if c not in _KEPT)
+# Characters of the search form, one by one but for the Arabic block: a class of single characters is a table of bits, in which a character is looked up,
+# while ranges are tested one after the other; and the marks that it drops.
+_KEPT = "abcdefghijklmnopqrstuvwxyz0123456789\u0600-\u06ff"
 _MARK_LIST = "".join(c for c in map(chr, range(0x600, 0x700)) if re.match(f"[{MARKS}]", c))
 
 
 def search_form(c: Column | str) -> Column:
     """Without marks, letter variants unified, lower case; anything but Arabic-block characters, a-z and 0-9 is a space.
 
-    Characters are looked up, not searched for: a search for a class costs several times as much a character. Those that are neither kept nor usual
-    are what is left without the kept ones. In the first step the marks, for which no replacement is left, go.
+    Only texts with a character of the Arabic block have characters mapped one by one, which costs more than the rest.
     """
-    x = F.translate(F.lower(_col(c)), STOPS + LETTERS_FROM + _USUAL + _MARK_LIST, " " * len(STOPS) + LETTERS_TO + " " * len(_USUAL))
-    other = F.translate(x, _KEPT, "")
-    return F.btrim(F.regexp_replace(F.call_function("translate", x, other, F.repeat(F.lit(" "), F.length(other))), "  +", " "))
+    x = F.lower(_col(c))
+    mapped = F.translate(x, STOPS + LETTERS_FROM + _MARK_LIST, " " * len(STOPS) + LETTERS_TO)
+    x = F.when((F.octet_length(x) > F.length(x)) & F.rlike(x, F.lit(ARABIC)), mapped).otherwise(x)
+    return F.btrim(F.regexp_replace(x, f"[^{_KEPT}]+", " "))
 
 
 def match_form(c: Column | str) -> Column:

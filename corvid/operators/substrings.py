@@ -47,5 +47,6 @@ def containing(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, l
         rest = begins.where("_word is null").select("_pattern", F.left("_pattern", F.lit(GRAM)).alias("_key"))
         grams = x.withColumn("_k", F.explode_outer(_grams(F.col(text), range(min(max(1, least), GRAM), GRAM + 1))))
         met = met.unionByName(grams.join(small(rest), F.col("_k") == F.col("_key")))
-    met = met.where(F.contains(text, "_pattern"))
+    # coalesce: a plain condition says that the text isn't null, and a filter would make it a second time to see
+    met = met.where(F.coalesce(F.contains(text, "_pattern"), F.lit(False)))
     return met.join(small(p), F.col("_pattern") == F.col(pattern)).drop("_k", "_key", "_pattern")

@@ -185,3 +185,13 @@ def test_lines_collapse_where_they_lie(spark):
             want[i] = "\n".join(kept)
     assert {r["i"]: r["text"] for r in df.collect()} == want
     assert "Exchange" not in df._jdf.queryExecution().toString()
+
+
+def test_texts_are_made_once_to_be_searched(spark):
+    from corvid.functions.text import search_form
+
+    t = spark.createDataFrame([(1, "ab Cdef, ab"), (2, None), (3, "ab ab")], "i int, raw string").select("i", search_form("raw").alias("t"))
+    x = substrings.containing(t, spark.createDataFrame([(1, "ab cdef ab"), (2, None)], "j int, p string"), "t", "p")
+    assert [(r["i"], r["j"]) for r in x.collect()] == [(1, 1)]
+    # the texts' form stood in a filter of its own besides
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1

@@ -126,3 +126,12 @@ def test_the_search_form_looks_characters_up(spark):
     # a search for a class of characters took four fifths of the time
     plan = x.select("form")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == 1
+
+
+def test_the_search_form_searches_by_a_table_of_bits(spark):
+    odd = ["", None, ". ً .", "ـ", "aً\u0000 ٰb", "KK İx", "été أ،9 7", "plain, ASCII\t text.", "׿؀ۿ܀", "x\U0001f600y ﻿"]
+    x = spark.createDataFrame([(v,) for v in odd], "v string").select("v", X.search_form("v").alias("form"))
+    for r in x.collect():
+        assert r["form"] == (None if r["v"] is None else X.py_search_form(r["v"]))
+    # every character went through two maps, and three with odd ones
+    assert x._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
