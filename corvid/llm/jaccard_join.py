@@ -36,8 +36,9 @@ SHORT_PREFIX = 128
 #: Bits of a set's parity map.
 PARITY = 512
 #: Rounds in which members of open lists meet neighbours of a random order and components merge, sets met before one in each, and partners it has of
-#: them, before what is left is compared exactly. No more rounds follow one that leaves more than this share of the components in open lists.
-ROUNDS, NEIGHBOURS, PARTNERS, MERGING = 3, 2, 4, 0.9
+#: them, before what is left is compared exactly. No more rounds follow one that leaves more than this share of the components in open lists, unless
+#: more than that share of the pairs it met are links: then most of what is left would be links that merging saves.
+ROUNDS, NEIGHBOURS, PARTNERS, MERGING, LINKING = 3, 2, 4, 0.9, 0.5
 #: Shingles that a task looks at together.
 SCANNED = 1_000_000
 #: Bits a needed row has in the filter that says which rows are read again, and 64-bit words of the filter at most (16 MB).
@@ -207,9 +208,9 @@ def _with_ends(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     return pairs.join(x, "x").join(y, "y")
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame, apart: Column) -> DataFrame:
-    """pairs (x, y, ...) with inter, the number of common tokens; without those whose parity maps show that more than apart tokens differ."""
-    near = materialise(_with_ends(pairs, sets, "bits").where(_differ("x_", "y_") <= apart).drop("x_", "y_"), "near-pairs")
+def _overlaps(pairs: DataFrame, sets: DataFrame, apart: Column | None) -> DataFrame:
+    """pairs (x, y, ...) with inter, the number of common tokens; without those whose parity maps show that more than apart tokens differ (None: known of all)."""
+    near = pairs if apart is None else materialise(_with_ends(pairs, sets, "bits").where(_differ("x_", "y_") <= apart).drop("x_", "y_"), "near-pairs")
     return _with_ends(near, sets, "tokens").withColumn("inter", F.size(F.array_intersect("x_", "y_"))).drop("x_", "y_")
 
 
@@ -223,9 +224,10 @@ def _relabelled(comp: DataFrame, merged: DataFrame) -> DataFrame:
 def _beside(members: DataFrame, turn: int, fits) -> DataFrame:
     """(node, n, component, node_b, n_b, component_b): members of a list with those of the NEIGHBOURS before them, in a random order, that fits(neighbour) lets through.
 
-    Only these become rows: what is tested is NEIGHBOURS a posting, whatever a list's length.
+    Only these become rows: what is tested is NEIGHBOURS a posting, whatever a list's length. Each list has an order of its own, so that
+    a set that shares many lists with the same others meets more of them than NEIGHBOURS.
     """
-    order = Window.partitionBy("token").orderBy("block", F.xxhash64("node", F.lit(turn)))
+    order = Window.partitionBy("token").orderBy("block", F.xxhash64("node", "token", F.lit(turn)))
     before = [f"before_{k}" for k in range(1, NEIGHBOURS + 1)]
     x = members.withColumns({b: F.lag(F.struct("node", "n", "pos", "component", "bits"), k).over(order) for k, b in enumerate(before, 1)})
     fit = F.array_compact(F.array(*(F.when(fits(b), F.struct(*(F.col(f"{b}.{c}").alias(f"{c}_b") for c in ("node", "n", "component")))) for b in before)))
@@ -386,7 +388,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
         x = x.select(F.col("node_a").alias("x"), F.col("node_b").alias("y"), na.alias("n"), nb.alias("m"), F.col("component_a").alias("c"), F.col("component_b").alias("d"), (least >= need(na, nb)).alias("sure"))
         return promising(x.groupBy("x", "y", "n", "m", "c", "d").agg(F.max("sure").alias("sure")))
 
-    def new_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def new_links(pairs: DataFrame, sets: DataFrame, apart: Column | None) -> DataFrame:
         """Components (a, b) that sure pairs, or those whose sets overlap enough, connect."""
         tested = _overlaps(pairs.where("not sure"), sets, apart).where(links(F.col("n"), F.col("m"), F.col("inter")))
         found = tested.select("c", "d").unionByName(pairs.where("sure").select("c", "d"))
@@ -415,9 +417,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
         pairs = materialise(partners if turn else met_in_medium.unionByName(partners), "next-pairs")
         sets = with_sets(pairs.where("not sure"), sets)
         release(spark)
-        found = new_links(pairs, sets)
+        found = new_links(pairs, sets, None if turn else apart)
+        met_links, none = found.count() > LINKING * pairs.count(), found.isEmpty()
         discard(pairs)
-        none = found.isEmpty()
         if not none:
             grown = materialise(_relabelled(comp, connected_components(found)), "merged-components")
             discard(comp)
@@ -428,7 +430,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
         discard(found)
         release(spark)
         were, several = several, apart_in(opened)
-        if none or several > MERGING * were:
+        if none or (several > MERGING * were and not met_links):
             break
 
     # what is left: members of different components of long lists, exactly
@@ -444,7 +446,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     discard(left)
     release(spark)
     sets = with_sets(pairs.where("not sure"), sets)
-    found = new_links(pairs, sets)
+    found = new_links(pairs, sets, None)
     if not found.isEmpty():
         grown = materialise(_relabelled(comp, connected_components(found)), "components")
         discard(comp)
