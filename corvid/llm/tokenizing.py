@@ -20,7 +20,8 @@ from .common import claim
 #: time), and bytes that an entry takes besides its characters and results.
 MEMO_BYTES, MEMO_CHARS, ENTRY_BYTES = 150 << 20, 48, 200
 _GAP = re.compile(r"(?<=\S)(?= )")
-_UNEVEN = re.compile(r"\x00|\s\s|(?<![A-Za-zÀ-ÖØ-öø-ÿ0-9])[.,]")
+# Each begins with its class of characters, which the search then skips to; one expression for both, or one that looks behind first, is tried at every character.
+_TWO_BLANKS, _LONE_STOP = re.compile(r"\s\s"), re.compile(r"[.,](?<![A-Za-zÀ-ÖØ-öø-ÿ0-9][.,])")
 
 
 def version_digest(path: str) -> str:
@@ -35,7 +36,7 @@ def units(text: str) -> list[str]:
     That holds if no two white-space characters meet and each full stop or comma follows a letter or digit; else the
     text is cut only before a space that follows a character other than white space.
     """
-    if _UNEVEN.search(text):
+    if "\0" in text or _LONE_STOP.search(text) or _TWO_BLANKS.search(text):
         return _GAP.split(text)
     return text.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0").split("\0")
 
