@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import array
 import base64
+import contextlib
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -120,10 +121,11 @@ class Transducer:
         if not a or not b:
             return self.merged(before + token) == [before, token]
         i = j = 0
+        rank = self.ranks.get
         a_ends = b_ends = 1 << 61  # when the parts go up in larger ones
         while True:
             (x, x_made), (y, y_made) = a[i], b[j]
-            crossing = self.ranks.get(x + y, 1 << 62)
+            crossing = rank(x + y, 1 << 62)
             if crossing < a_ends and crossing <= b_ends:  # at a tie the left one is first
                 return False
             if x_made < 0 and y_made < 0:
@@ -230,9 +232,8 @@ class Decoder:
         """The characters that are whole after these ids."""
         ids = list(ids)
         if not self.begun:
-            whole = list(map(self.whole.get, ids))
-            if None not in whole:
-                return "".join(whole)
+            with contextlib.suppress(KeyError):
+                return "".join(map(self.whole.__getitem__, ids))
         return "".join(self.whole[i] if not self.begun and i in self.whole else self._step(i) for i in ids)
 
     def end(self) -> str:
@@ -248,11 +249,15 @@ def _coder(path: str, pattern: str):
     machine = Transducer(ranks)
     split = regex.compile(pattern).findall
 
+    usual = pattern == USUAL
+
     def coded(unit: str) -> bytes:
+        if usual and unit.isascii() and unit.removeprefix(" ").isalpha():  # one match
+            return array.array("I", machine.encode(unit.encode())).tobytes()
         return array.array("I", [i for word in split(unit) for i in machine.encode(word.encode())]).tobytes()
 
     memo = _Memo(coded, WORDS).__getitem__
-    cut = units if pattern == USUAL else split
+    cut = units if usual else split
 
     def encode(text: str) -> bytes:
         return b"".join(map(memo, cut(text)))

@@ -302,3 +302,27 @@ def test_even_texts_are_told_by_searches_that_skip_to_a_class():
     # the one search was tried at every character: over half of the time that cutting takes
     text = "a word after another, and so on. " * 40_000
     assert min(took(tokenizing.units, text) for _ in range(5)) < 1.2 * min(took(plain.search, text) for _ in range(5))
+
+
+def test_plain_words_are_one_match_of_the_usual_pattern(monkeypatch):
+    found = []
+    compiled = byte_bpe.regex.compile(byte_bpe.USUAL)
+
+    class Seen:
+        def findall(self, text):
+            found.append(text)
+            return compiled.findall(text)
+
+    monkeypatch.setattr(byte_bpe.regex, "compile", lambda pattern: Seen())
+    byte_bpe._coder.cache_clear()
+    encode, decoder = byte_bpe._coder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), byte_bpe.USUAL)
+    byte_bpe._coder.cache_clear()
+    text = "Plain words and  two, it's ÇA va 12ab."
+    ids = np.frombuffer(encode(text), "<u4").tolist()
+    assert decoder.feed(ids) + decoder.end() == text
+    # every unit went through the pattern
+    assert found and not [u for u in found if u.isascii() and u.strip(" ").isalpha() and not u.startswith("  ")]
+    import tiktoken
+
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    assert ids == tiktoken.Encoding("x", pat_str=byte_bpe.USUAL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text)
