@@ -20,6 +20,8 @@ from .common import materialise, text_or_empty
 PIECES = "doc_id {id}, piece int, start long, length long, ids binary, shard int, local_rank long"
 #: Rows of the rank offsets up to which they are broadcast (16 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_OFFSETS = 2_000_000
+#: Pieces of one result batch.
+BATCH_PIECES = 4096
 
 
 def patterns(lengths: np.ndarray, max_len: int) -> np.ndarray:
@@ -133,6 +135,24 @@ def slots(sequences: list[tuple[tuple[int, ...], int]], max_len: int) -> dict[in
     return {k: dict(zip(("rank", "each", "sequence", "offset"), np.array(v, np.int64).T, strict=True)) for k, v in out.items()}
 
 
+def cut(sizes: np.ndarray, max_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number, start and length of each piece of rows of these sizes (1 at least): max_len, but the first, which may be shorter."""
+    pieces = -(-sizes // max_len)
+    row = np.repeat(np.arange(len(sizes)), pieces)
+    piece = np.arange(len(row)) - (np.cumsum(pieces) - pieces)[row]
+    first = (sizes - (pieces - 1) * max_len)[row]
+    return row, piece, np.where(piece, first + (piece - 1) * max_len, 0), np.where(piece, max_len, first)
+
+
+def places_among_equals(values: np.ndarray) -> np.ndarray:
+    """How many equal values stand before each."""
+    order = np.argsort(values, kind="stable")
+    begins = np.flatnonzero(np.diff(values[order], prepend=-1))
+    out = np.empty(len(values), np.int64)
+    out[order] = np.arange(len(values)) - np.repeat(begins, np.diff(begins, append=len(values)))
+    return out
+
+
 def tokenised_pieces(docs: DataFrame, tokenizer_path: str, max_len: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", room: int = tokenizing.MEMO_BYTES) -> DataFrame:
     """Each document's ids, ended by end_id and cut into pieces of max_len, of which the first may be shorter.
 
@@ -140,23 +160,21 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, max_len: int, end_id:
     """
 
     def run(batches):
-        encode, shard, ranks = tokenizing.byte_level(tokenizer_path, room), TaskContext.get().partitionId(), Counter()
+        encode, shard, ranks = tokenizing.byte_level_batches(tokenizer_path, room), TaskContext.get().partitionId(), np.zeros(max_len + 1, np.int64)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                ids, texts = b.column(0).slice(at, 256), b.column(1).slice(at, 256).to_pylist()
-                cols = [[] for _ in range(6)]
-                for row, raw in enumerate(encode(texts)):
-                    raw += end_id.to_bytes(4, "little")
-                    n = len(raw) // 4
-                    start, piece = 0, 0
-                    while start < n:
-                        length = (n - start) % max_len or max_len
-                        for col, v in zip(cols, (row, piece, start, length, raw[4 * start : 4 * (start + length)], ranks[length]), strict=True):
-                            col.append(v)
-                        ranks[length] += 1
-                        start, piece = start + length, piece + 1
-                rows, piece, start, length, raw, rank = cols
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(raw, pa.binary()), pa.array([shard] * len(rows), pa.int32()), pa.array(rank, pa.int64())], names=["doc_id", "piece", "start", "length", "ids", "shard", "local_rank"])
+            at = 0
+            for flat, sizes in encode(b.column(1)):
+                flat = np.insert(flat, np.cumsum(sizes), end_id)
+                row, piece, start, length = cut(sizes + 1, max_len)
+                rank = ranks[length] + places_among_equals(length)
+                ranks += np.bincount(length, minlength=max_len + 1)
+                ends = np.concatenate([[0], np.cumsum(length)])
+                for k in range(0, len(row), BATCH_PIECES):
+                    some, stop = slice(k, k + BATCH_PIECES), min(k + BATCH_PIECES, len(row))
+                    raw = [None, pa.py_buffer((4 * (ends[k : stop + 1] - ends[k])).astype(np.int32)), pa.py_buffer(flat[ends[k] : ends[stop]])]
+                    cols = [b.column(0).take(pa.array(at + row[some])), pa.array(piece[some].astype(np.int32)), pa.array(start[some]), pa.array(length[some]), pa.Array.from_buffers(pa.binary(), stop - k, raw)]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(np.full(stop - k, shard, np.int32)), pa.array(rank[some])], names=["doc_id", "piece", "start", "length", "ids", "shard", "local_rank"])
+                at += len(sizes)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(run, PIECES.format(id=rows.schema["doc_id"].dataType.simpleString()))

@@ -2,10 +2,11 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,57 @@ def test_units_never_change_ids():
     assert tokenizing.piece_counts(path)(texts) == [len(model.encode(t)) for t in texts]
 
 
+def test_cuts_in_bytes_never_change_ids(monkeypatch):
+    """All white space of Unicode, what Python alone takes for it, and characters that end in the same bytes, beside every mark."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    white = [c for c in map(chr, range(0x3100)) if c.isspace()] + ["\u180e", "\u200b", "\ufeff"]
+    letters = [*"ab1 .,\n\r'<|", "é", "×", "÷", "Ā", "ß", "م", "٣", "—", "”", "語", "Å", "\u0300", "🙂", "😅", "\0", "'s", "<|endoftext|>"]
+    texts = [x + m + y for x in ["", *white, *letters] for m in " .,\n" for y in ["", *white, *letters]]
+    texts += ["".join(rng.choice(letters if rng.random() < 0.8 else white) for _ in range(rng.randint(0, 30))) for _ in range(6000)]
+    plain = Tokenizer.from_file(path := public_tokenizers.path("byte_bpe_50k.json"))
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for size in (tokenizing.CHUNK_BYTES, 40):
+        monkeypatch.setattr(tokenizing, "CHUNK_BYTES", size)
+        assert tokenizing.byte_level(path)(texts) == want
+        assert tokenizing.byte_level(path)([]) == [] and tokenizing.byte_level(path)(["", ""]) == [b"", b""]
+    sliced = pa.array(["no", "é a.b", "", None, "c\nd"])[1:]
+    assert [n for _, sizes in tokenizing.byte_level_batches(path)(sliced.fill_null("")) for n in sizes] == [len(plain.encode(t or "").ids) for t in sliced.to_pylist()]
+
+
+def test_a_unit_is_looked_up_once_a_batch(monkeypatch):
+    looked_up = Counter()
+
+    class Counted(tokenizing._Memo):
+        def __getitem__(self, unit):
+            looked_up[unit] += 1
+            return super().__getitem__(unit)
+
+    monkeypatch.setattr(tokenizing, "_Memo", Counted)
+    tokenizing.byte_level(public_tokenizers.path("byte_bpe_50k.json"), room=1 << 19)(["the sun, the moon and the sea.\nthe sky"] * 500)
+    assert looked_up and max(looked_up.values()) == 1
+
+
+def test_pieces_are_cut_and_ranked_as_one_by_one(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokenizing, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(packing, "BATCH_PIECES", 3)
+    tok = Tokenizer.from_file(path := public_tokenizers.path("byte_bpe_50k.json"))
+    df = spark.createDataFrame([(i, None if i % 9 == 0 else "a " * (i % 40)) for i in range(300)], "doc_id int, text string").coalesce(1)
+    want, ranks = [], Counter()
+    for i, text in df.collect():
+        ids = [*tok.encode(text or "", add_special_tokens=False).ids, 2]
+        first = len(ids) % 8 or 8
+        for k, start in enumerate([0, *range(first, len(ids), 8)]):
+            part = ids[start : start + 8] if k else ids[:first]
+            want.append((i, k, start, len(part), np.array(part, "<u4").tobytes(), 0, ranks[len(part)]))
+            ranks[len(part)] += 1
+    got = packing.tokenised_pieces(df, path, 8, 2).collect()
+    assert [(*r[:4], bytes(r[4]), *r[5:]) for r in got] == want
+
+
 def test_token_counts_use_the_cache(spark, tmp_path):
     import sentencepiece
 
