@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
@@ -14,6 +15,26 @@ from corvid.lexicon import framing
 from .text import _col, let
 
 HIDDEN = "(?is)<(script|style|noscript|svg)\\b.*?</\\1>|<img[^>]*>"
+# The elements of HIDDEN in the order in which they go, each kind from the whole page, since one may begin inside another.
+HIDDEN_ELEMENTS = ("script", "style", "noscript", "svg")
+
+
+@dataclass(frozen=True)
+class Rules:
+    """How markup is read: by default as given; entities: only these names, as they are written, in this order and two rounds.
+
+    space: what a class of white space holds. fold: letter case is Unicode's, in which the long s is an s and the Kelvin sign a k.
+    """
+
+    entities: tuple[str, ...] = ()
+    space: str = "\\s"
+    fold: bool = False
+
+    def letters(self, pattern: str) -> str:
+        return pattern.replace("s", "[s\u017f]").replace("k", "[k\u212a]") if self.fold else pattern
+
+
+GIVEN = Rules()
 _NUMBER = re.compile(r"&#(?:([0-9]{1,7})|[xX]([0-9a-fA-F]{1,6}));?")
 _NAME = re.compile(r"&([a-zA-Z][a-zA-Z0-9]{1,31});")
 _OPEN = re.compile(r"&(amp|lt|gt|quot|apos|nbsp)(?![a-zA-Z0-9;=])", re.I)
@@ -63,24 +84,41 @@ def decode_entities(c: Column | str) -> Column:
     return F.aggregate(rounds, _col(c), lambda v, _: F.when(F.contains(v, F.lit("&")), once(v)).otherwise(v))
 
 
-def strip_tags(c: Column | str) -> Column:
-    """Hidden elements and images go; breaks and the ends of blocks are line ends, other tags spaces; entities are decoded."""
-    x = F.regexp_replace(_col(c), HIDDEN, " ")
-    x = F.regexp_replace(x, "(?i)<br\\s*/?\\s*>|</(?:p|div|section|article|main|header|footer|li|h[1-6]|tr|td|th)>", "\n")
-    return decode_entities(F.replace(F.regexp_replace(x, "<[^>]+>", " "), F.lit("\u00a0"), F.lit(" ")))
+def decode_listed(c: Column | str, names: tuple[str, ...]) -> Column:
+    """These names, one after the other, then an ampersand without its semicolon; two rounds."""
+
+    def once(x: Column) -> Column:
+        for name in names:
+            x = F.replace(x, F.lit(f"&{name};"), F.lit(framing.ENTITIES[name]))
+        return F.regexp_replace(x, "&amp([^a-zA-Z0-9;=]|\\z)", "&$1")
+
+    return F.aggregate(F.array(F.lit(0), F.lit(1)), _col(c), lambda v, _: F.when(F.contains(v, F.lit("&")), once(v)).otherwise(v))
+
+
+def strip_tags(c: Column | str, rules: Rules = GIVEN) -> Column:
+    """Hidden elements, kind by kind, and images go; breaks and the ends of blocks are line ends, other tags spaces; entities are decoded."""
+    x = _col(c)
+    for tag in map(rules.letters, HIDDEN_ELEMENTS):
+        x = F.regexp_replace(x, f"(?is)<{tag}(?![0-9A-Za-z_]).*?</{tag}>", " ")
+    x = F.regexp_replace(x, "(?i)<img[^>]*>", " ")
+    blocks = f"</(?:p|div|{rules.letters('section')}|article|main|header|footer|li|h[1-6]|tr|td|th)>"
+    x = F.regexp_replace(x, f"(?i)<br[{rules.space}]*/?[{rules.space}]*>|{blocks}", "\n")
+    x = F.replace(F.regexp_replace(x, "<[^>]+>", " "), F.lit("\u00a0"), F.lit(" "))
+    return decode_listed(x, rules.entities) if rules.entities else decode_entities(x)
 
 
-def strip_markup(c: Column | str) -> Column:
+def strip_markup(c: Column | str, rules: Rules = GIVEN) -> Column:
     """Image links go, links keep their label, bare URLs go."""
     x = F.regexp_replace(_col(c), "!\\[[^\\]]*\\]\\([^)]*\\)", " ")
-    return F.regexp_replace(F.regexp_replace(x, "\\[([^\\]]*)\\]\\(\\s*(?:https?:)?//[^)]*\\)", "$1"), "https?://\\S+", " ")
+    x = F.regexp_replace(x, f"\\[([^\\]]*)\\]\\([{rules.space}]*(?:https?:)?//[^)]*\\)", "$1")
+    return F.regexp_replace(x, f"https?://[^{rules.space}]+", " ")
 
 
-def clean(c: Column | str, tags: bool = True) -> Column:
+def clean(c: Column | str, tags: bool = True, rules: Rules = GIVEN) -> Column:
     """Readable text: no markup, single blanks, at most one empty line in a row, trimmed."""
-    x = strip_markup(strip_tags(c) if tags else c)
+    x = strip_markup(strip_tags(c, rules) if tags else c, rules)
     x = F.regexp_replace(F.regexp_replace(x, "[\u200b-\u200d\ufeff]", ""), "[ \t\u00a0]{2,}|[\t\u00a0]", " ")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, " \n ?|\n ", "\n"), "\n{3,}", "\n\n"), "^\\s+|\\s+$", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, " \n ?|\n ", "\n"), "\n{3,}", "\n\n"), f"^[{rules.space}]+|[{rules.space}]+\\z", "")
 
 
 def main_html(c: Column | str) -> Column:

@@ -38,10 +38,10 @@ def collapse_repeats(docs: DataFrame, id_col: str, text_col: str, least: int = L
     return docs.select(id_col, F.explode_outer(F.array(let(entries, kept))).alias("text")).where("text <> ''")
 
 
-def page_reason(page: Column | str, url: Column | str, least: int = 80, references: int = 2, key: str = "mainId", arabic: bool = True) -> Column:
+def page_reason(page: Column | str, url: Column | str, least: int = 80, references: int = 2, key: str = "mainId", arabic: bool = True, rules: H.Rules = H.GIVEN) -> Column:
     """Why a page isn't usable, in order of the checks; null if it is."""
     p, u = (F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in (page, url))
-    text = H.clean(H.main_html(p))
+    text = H.clean(H.main_html(p), rules=rules)
     wanted = H.query_parameter(u, key)
     own = F.size(F.regexp_extract_all(p, F.concat(F.lit(f"(?i){key}="), wanted, F.lit("(?![0-9])")), F.lit(0)))
     out = F.when(F.btrim(p) == "", "empty-response").when(F.rlike(p, F.lit(H.BLOCKED)), "block-page")
@@ -115,9 +115,9 @@ def duplicate_keys(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return rows.select(each.alias("v")).select("v.*").where("key is not null").groupBy("column", "key").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def useful_page(page: Column | str, least: int = 80, arabic: bool = True) -> Column:
+def useful_page(page: Column | str, least: int = 80, arabic: bool = True, rules: H.Rules = H.GIVEN) -> Column:
     """The main text is long enough, Arabic, and no block page's."""
-    text = H.clean(H.main_html(F.coalesce(F.col(page) if isinstance(page, str) else page, F.lit(""))))
+    text = H.clean(H.main_html(F.coalesce(F.col(page) if isinstance(page, str) else page, F.lit(""))), rules=rules)
     out = (F.length(text) >= least) & ~F.rlike(text, F.lit(H.BLOCKED))
     return out & has_arabic(text) if arabic else out
 
