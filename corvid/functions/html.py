@@ -128,9 +128,9 @@ def main_html(c: Column | str) -> Column:
     return F.coalesce(F.get(F.filter(inside, lambda v: v != ""), F.lit(0)), x)
 
 
-def page_title(c: Column | str, site: str = "") -> Column:
+def page_title(c: Column | str, site: str = "", rules: Rules = GIVEN) -> Column:
     """The cleaned title element, without the site's name after a hyphen."""
-    x = clean(F.regexp_extract(_col(c), "(?is)<title[^>]*>(.*?)</title>", 1))
+    x = clean(F.regexp_extract(_col(c), "(?is)<title[^>]*>(.*?)</title>", 1), rules=rules)
     return F.regexp_replace(x, f"(?i)\\s*-\\s*{re.escape(site)}\\s*$", "") if site else x
 
 

@@ -37,7 +37,7 @@ def folder(tmp_path_factory):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
-@pytest.mark.parametrize("name", ["html_clean"])
+@pytest.mark.parametrize("name", ["html_clean", "html_title"])
 def test_odd_pages_equal_the_oracle(spark, folder, name):
     got = [tuple(r) for r in queries.QUERIES[name](spark, folder).collect()]
     want = oracle.expected(queries.ORACLES[name], folder)
