@@ -98,9 +98,15 @@ def tokens(c: Column | str) -> Column:
     return _of_words(F.split(search_form(c), " "))
 
 
-def token_set(c: Column | str) -> Column:
-    """The distinct tokens() in order of first occurrence; a repeated word is looked at once."""
-    return F.array_distinct(_of_words(F.array_distinct(F.split(search_form(c), " "))))
+def token_set(c: Column | str, of=None) -> Column:
+    """The distinct tokens() in order of first occurrence, of all words or those that pass; a repeated word is looked at once."""
+    found = F.split(search_form(c), " ")
+    return F.array_distinct(_of_words(F.array_distinct(F.filter(found, of) if of else found)))
+
+
+def stemmed(token: Column) -> Column:
+    """Whether a token's stem may be another word: all affixes are Arabic."""
+    return F.octet_length(token) > F.length(token)
 
 
 def canonical(token: Column) -> Column:
@@ -109,7 +115,8 @@ def canonical(token: Column) -> Column:
     No suffix ends another, so one alternation finds the only one that fits.
     """
     x = F.regexp_replace(token, _first_prefix(PREFIXES), "")
-    return F.regexp_replace(F.regexp_replace(x, f"^(.{{3,}}?)(?:{'|'.join(SUFFIXES)})$", "$1"), "^[يتن](?=.{3,}$)", "")
+    x = F.regexp_replace(F.regexp_replace(x, f"^(.{{3,}}?)(?:{'|'.join(SUFFIXES)})$", "$1"), "^[يتن](?=.{3,}$)", "")
+    return F.when(stemmed(token), x).otherwise(token)
 
 
 def variants(token: Column) -> Column:

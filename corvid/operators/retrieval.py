@@ -9,16 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvid.functions.text import canonical, forms, py_search_form, search_form, token_set, tokens, variants
+from corvid.functions.text import canonical, forms, py_search_form, search_form, stemmed, token_set, tokens, variants
 from corvid.lexicon import words
 from corvid.sources import Kept
 
+from .evidence import CAP, KEYWORD, best_of_sources
 from .registry import approved, passage, retrievable, small
 from .substrings import containing
 
 # Limits and weights of the scoring.
-MOST, LEAST_SCORE, LEAST_TEXT, RARE_SHARE, RARE_LEAST = 4, 3.0, 40, 0.02, 3.0
-KEYWORD, PHRASE, TOPIC, STEM, CAP, RARITY_CAP = 3.5, 7.0, 3.0, 2.5, 8.0, 6.0
+MOST, LEAST_TEXT, RARE_SHARE, RARE_LEAST, STEM, RARITY_CAP = 4, 40, 0.02, 3.0, 2.5, 6.0
+#: Up to so many forms that queries ask for, texts keep no others.
+MOST_FORMS = 20_000
 
 
 def _in(x: Column, values) -> Column:
@@ -104,6 +106,26 @@ def scope_statistics(index: DataFrame, corpus: DataFrame) -> tuple[DataFrame, Da
     return df, n.unionByName(n.groupBy("verse").agg(F.sum("n").alias("n")).select(everywhere, "verse", "n"))
 
 
+def _whole(corpus: DataFrame, index: DataFrame, asked: DataFrame, t: DataFrame, kept: Kept) -> DataFrame:
+    """(ord, whole: names of the queries of six characters or more that the chunk's text holds in search form).
+
+    A text that holds a query holds each word between two blanks of it, so only texts with the rarest of these are read. Queries without such a word
+    are looked up in all texts.
+    """
+    p = asked.where(F.length("norm") >= 6)
+    inner = F.expr("slice(split(norm, ' '), 2, greatest(size(split(norm, ' ')) - 2, 0))")
+    words_ = p.select("query_id", F.explode(token_set(F.array_join(inner, " "))).alias("token"))
+    rarest = words_.join(t.where("form = token").select("query_id", "token", "df"), ["query_id", "token"]).groupBy("query_id").agg(F.min(F.struct("df", "token"))["token"].alias("form"))
+    rarest = kept(rarest, "rarest-words")
+    met = index.select("ord", F.explode(F.concat("kf", "tf")).alias("form")).join(small(rarest), "form").groupBy("ord").agg(F.collect_list("query_id").alias("ids"))
+    read = corpus.select("ord", "text").join(small(kept(met, "phrase-texts"), 1_000_000, 128 << 20), "ord").select("ord", search_form("text").alias("body"), "ids")
+    held = read.select("ord", "body", F.explode("ids").alias("query_id")).join(small(p), "query_id").where(F.contains("body", "norm")).select("ord", "query_id")
+    rest = kept(p.join(rarest, "query_id", "left_anti"), "short-queries")
+    if not rest.isEmpty():
+        held = held.unionByName(containing(corpus.select("ord", search_form("text").alias("body")), rest, "body", "norm").select("ord", "query_id"))
+    return held.groupBy("ord").agg(F.collect_set(F.col("query_id").cast("string")).alias("whole"))
+
+
 def retrieve(queries: DataFrame, chunks: DataFrame, sources: DataFrame, excluded: DataFrame, topics: DataFrame, most: int = MOST, kept: Kept | None = None) -> DataFrame:
     """The selected passages: query_id, rank, and the passage columns with their score.
 
@@ -138,12 +160,15 @@ def retrieve(queries: DataFrame, chunks: DataFrame, sources: DataFrame, excluded
 
     # the corpus is tokenised once, for the forms that are asked for and their stems; a scope's frequencies are sums of what its sources have
     sought = t.select(F.explode(F.array(F.col("form"), canonical(F.col("form")))).alias("form")).where("form <> ''").distinct()
-    # a chunk stays one row: its forms, and its keywords in search form
+    # a chunk stays one row: those of its forms that are sought, and its keywords in search form
+    few = [r[0] for r in sought.limit(MOST_FORMS + 1).collect()]
+    among = (lambda v: v.isin(*few) if few else F.lit(False)) if len(few) <= MOST_FORMS else lambda v: F.lit(True)
+    text_forms = F.filter(F.array_distinct(F.flatten(F.transform(token_set("text", lambda v: among(v) | stemmed(v)), variants))), among)
     keyword_forms = F.array_distinct(F.flatten(F.transform(F.flatten(F.transform("keywords", tokens)), variants)))
     signal = lambda kw: F.exists(tokens(kw), lambda x: (F.length(x) >= 3) & ~generic(x))
     keys = F.transform("keywords", lambda kw: F.struct(search_form(kw).alias("key"), signal(kw).alias("flag")))
     traits = (F.col("role").eqNullSafe("index").alias("entry"), (F.length(F.btrim("text")) >= LEAST_TEXT).alias("long"))
-    index = corpus.select("ord", "verse", "sourceId", "topics", *traits, keyword_forms.alias("kf"), keys.alias("keys"), F.array_distinct(F.flatten(F.transform(token_set("text"), variants))).alias("tf"))
+    index = corpus.select("ord", "verse", "sourceId", "topics", *traits, keyword_forms.alias("kf"), keys.alias("keys"), text_forms.alias("tf"))
     index = kept(index.select("ord", "verse", "sourceId", "topics", "entry", "long", "keys", "kf", F.array_except("tf", "kf").alias("tf")), "index")
     held = index.select("sourceId", "verse", F.explode(F.concat("kf", "tf")).alias("form")).join(small(sought), "form", "left_semi")
     by_source, sizes = scope_statistics(held, index)
@@ -155,42 +180,25 @@ def retrieve(queries: DataFrame, chunks: DataFrame, sources: DataFrame, excluded
     # tokens of a query by how telling they are
     kinds = t.groupBy("query_id", "token").agg(F.first("meaningful").alias("meaningful"), (F.max("df") <= F.greatest(F.lit(RARE_LEAST), RARE_SHARE * F.first("n"))).alias("rare")).withColumn("distinctive", F.col("meaningful") & F.col("rare"))
     totals = kinds.groupBy("query_id").agg(F.count_if("meaningful").alias("n_meaningful"), F.count_if("distinctive").alias("n_distinctive"))
-    within = (~F.col("verse_only") | F.col("verse")) & ((F.size("allowed") == 0) | F.array_contains("allowed", F.col("sourceId")))
 
     # what a query looks for in a chunk: forms of its tokens, by weight (in the text, among the keywords); keywords that it contains; itself as a phrase
-    asked = q.select("query_id", "norm", "verse_only", "allowed")
+    asked = q.select("query_id", "norm")
     own = t.select("query_id", "token", "form", rarity(F.col("n"), F.col("df")).alias("plain"), F.greatest(rarity(F.col("n"), F.col("df")), F.lit(KEYWORD)).alias("listed"))
     stem = t.select("query_id", "token", canonical(F.col("form")).alias("form"), F.lit(STEM).alias("plain"), F.lit(STEM).alias("listed")).where("form <> ''")
     wanted = own.unionByName(stem).groupBy("query_id", "token", "form").agg(F.max("plain").alias("plain"), F.max("listed").alias("listed")).join(kinds, ["query_id", "token"])
     telling = ~generic(F.col("token"))
-    wanted = wanted.join(asked.drop("norm"), "query_id").select(F.lit("t").alias("kind"), F.col("form").alias("key"), "query_id", "verse_only", "allowed", "token", "plain", "listed", telling.alias("telling"), (telling & F.col("distinctive")).alias("distinctive"))
+    name = F.col("query_id").cast("string").alias("name")
+    wanted = wanted.select(F.lit("t").alias("kind"), F.col("form").alias("key"), name, "token", "plain", "listed", telling.alias("telling"), (telling & F.col("distinctive")).alias("distinctive"))
     bare = (F.lit("").alias("token"), F.lit(0.0).alias("plain"), F.lit(0.0).alias("listed"), F.lit(False).alias("telling"), F.lit(False).alias("distinctive"))
     met = containing(asked, kept(index.select(F.explode("keys.key").alias("key")).distinct(), "keywords"), "norm", "key")
-    wanted = wanted.unionByName(met.select(F.lit("k").alias("kind"), "key", "query_id", "verse_only", "allowed", *bare))
-    wanted = wanted.unionByName(asked.select(F.lit("p").alias("kind"), F.col("query_id").cast("string").alias("key"), "query_id", "verse_only", "allowed", *bare))
-    phrase = containing(corpus.select(F.col("ord").alias("at"), search_form("text").alias("body")), asked, "body", "norm", least=6)
-    phrase = phrase.groupBy(F.col("at").alias("ord")).agg(F.collect_set(F.col("query_id").cast("string")).alias("whole"))
-
-    # evidence: chunks are dealt by their place once, and what is found in one is counted where it lies; only the best of a query and source leave a task
-    marked = lambda kind, x, flag: F.transform(x, lambda v: F.struct(F.lit(kind).alias("kind"), (v if flag is not None else v["key"]).alias("key"), (F.lit(flag) if flag is not None else v["flag"]).alias("flag")))
-    x = index.repartition("ord").join(small(kept(phrase, "phrases")), "ord", "left")
-    parts = F.concat(marked("t", "kf", True), marked("t", "tf", False), marked("k", "keys", None), marked("p", F.coalesce("whole", none), False))
-    chunk = ("ord", "sourceId", "topics", "entry", "long")
-    x = x.select(*chunk, "verse", F.explode(parts).alias("part")).select(*chunk, "verse", "part.*").join(small(kept(wanted, "wanted"), 1_000_000, 128 << 20), ["kind", "key"]).where(within)
-    x = x.groupBy("query_id", *chunk, "kind", "token").agg(F.max(F.when(F.col("flag"), F.col("listed")).otherwise(F.col("plain"))).alias("weight"), F.count("*").alias("n"), F.max("flag").alias("flag"), F.max("telling").alias("telling"), F.max("distinctive").alias("distinctive"))
-    is_ = lambda kind: F.col("kind") == kind
-    counts = (F.sum("weight").alias("sum"), F.count_if("telling").alias("n_telling"), F.count_if("distinctive").alias("distinctive"), F.max(F.col("telling") & (F.col("weight") >= KEYWORD)).alias("strong_token"))
-    found = (F.count_if(is_("p")).alias("phrases"), F.sum(F.when(is_("k"), F.col("n")).otherwise(0)).alias("keyword_hits"), F.max(is_("k") & F.col("flag")).alias("strong_keyword"))
-    e = x.groupBy("query_id", *chunk).agg(*counts, *found).withColumnRenamed("n_telling", "telling")
-
-    e = e.join(small(q.select("query_id", "matched", "allowed").join(totals, "query_id", "left")), "query_id")
-    shared = F.size(F.filter("topics", lambda x: F.array_contains("matched", x)))
-    score = TOPIC * shared + PHRASE * F.col("phrases") + KEYWORD * F.col("keyword_hits") + F.least(F.col("sum"), F.lit(CAP)) - F.when(F.col("entry"), 1.0).otherwise(0.0)
-    covered = F.when(F.col("n_meaningful") > 0, F.col("telling") / F.nullif(F.col("n_meaningful"), F.lit(0))).otherwise(0.0)
-    strong = F.col("strong_token") | F.col("strong_keyword") | (F.col("phrases") > 0)
-    wide = (F.col("telling") >= 2) & (covered >= 0.5) & (strong | (covered >= 0.99)) & ((F.coalesce("n_distinctive", F.lit(0)) == 0) | (F.col("distinctive") > 0))
-    relevant = (shared > 0) | ((F.size("allowed") > 0) & (F.size("matched") > 0)) | F.coalesce(wide, F.lit(False))
-    e = e.where("long").withColumn("score", F.round(score, 9)).where(relevant & (F.col("score") >= LEAST_SCORE)).select("query_id", "ord", "sourceId", "score")
+    wanted = wanted.unionByName(met.select(F.lit("k").alias("kind"), "key", name, *bare))
+    phrase = _whole(corpus, index, asked, t, kept)
+
+    # evidence: chunks are dealt by their place once, and weighed where they lie
+    chunk = ("ord", "sourceId", "verse", "entry", "long", "topics", "kf", "tf", "keys")
+    x = index.repartition("ord").join(small(kept(phrase, "phrases")), "ord", "left").select(*chunk, F.coalesce("whole", none).alias("whole"))
+    asking = q.join(totals, "query_id", "left").select("query_id", F.col("query_id").cast("string").alias("name"), "verse_only", "allowed", "matched", "n_meaningful", "n_distinctive")
+    e = best_of_sources(x, kept(wanted, "wanted"), asking, max(1, min(most, MOST)))
     picked = diversified(e, "query_id", "sourceId", "score", "ord", most)
     found = chunks.alias("c").join(small(kept(picked, "picked")).alias("p"), F.col("c.ord") == F.col("p.ord")).join(small(active).alias("s"), F.col("c.sourceId") == F.col("s.id"))
     return found.select("p.query_id", "p.rank", "c.ord", *passage(F.col("p.score")))
