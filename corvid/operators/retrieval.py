@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvid.functions.text import canonical, forms, py_search_form, search_form, stemmed, token_set, tokens, variants
+from corvid.functions.text import canonical, forms, let, py_search_form, search_form, stemmed, token_set, tokens, variants
 from corvid.lexicon import words
 from corvid.sources import Kept
 
@@ -163,7 +163,9 @@ def retrieve(queries: DataFrame, chunks: DataFrame, sources: DataFrame, excluded
     # a chunk stays one row: those of its forms that are sought, and its keywords in search form
     few = [r[0] for r in sought.limit(MOST_FORMS + 1).collect()]
     among = (lambda v: v.isin(*few) if few else F.lit(False)) if len(few) <= MOST_FORMS else lambda v: F.lit(True)
-    text_forms = F.filter(F.array_distinct(F.flatten(F.transform(token_set("text", lambda v: among(v) | stemmed(v)), variants))), among)
+    # only words that may have another stem are stemmed
+    both = lambda w: F.concat(F.filter(w, lambda v: ~stemmed(v)), F.filter(F.flatten(F.transform(F.filter(w, stemmed), variants)), among))
+    text_forms = F.array_distinct(let(token_set("text", lambda v: among(v) | stemmed(v)), both))
     keyword_forms = F.array_distinct(F.flatten(F.transform(F.flatten(F.transform("keywords", tokens)), variants)))
     signal = lambda kw: F.exists(tokens(kw), lambda x: (F.length(x) >= 3) & ~generic(x))
     keys = F.transform("keywords", lambda kw: F.struct(search_form(kw).alias("key"), signal(kw).alias("flag")))
