@@ -38,15 +38,16 @@ def containing(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, l
         raise ValueError(f"both sides have a column {sorted(clash)[0]}")
     p = patterns.where(F.length(pattern) >= max(1, least))
     begins = p.select(F.col(pattern).alias("_pattern"), _inner_word(F.col(pattern)).alias("_word")).distinct()
-    # outer: explode would have its input made a second time, to filter by
+    # outer: explode would have its input made a second time, to filter by; merge: beside many patterns the exploded texts aren't broadcast, each with all of
+    # its text (few patterns are, as that hint comes first)
     x = texts
     worded = begins.where("_word is not null").select("_pattern", F.col("_word").alias("_key"))
-    met = x.withColumn("_k", F.explode_outer(F.array_distinct(F.split(F.col(text), " ")))).join(small(worded), F.col("_k") == F.col("_key"))
+    met = x.withColumn("_k", F.explode_outer(F.array_distinct(F.split(F.col(text), " ")))).hint("merge").join(small(worded), F.col("_k") == F.col("_key"))
     if not p.where(_inner_word(F.col(pattern)).isNull()).isEmpty():
         # the gram of an empty text is no pattern's
         rest = begins.where("_word is null").select("_pattern", F.left("_pattern", F.lit(GRAM)).alias("_key"))
         grams = x.withColumn("_k", F.explode_outer(_grams(F.col(text), range(min(max(1, least), GRAM), GRAM + 1))))
-        met = met.unionByName(grams.join(small(rest), F.col("_k") == F.col("_key")))
+        met = met.unionByName(grams.hint("merge").join(small(rest), F.col("_k") == F.col("_key")))
     # coalesce: a plain condition says that the text isn't null, and a filter would make it a second time to see
     met = met.where(F.coalesce(F.contains(text, "_pattern"), F.lit(False)))
     return met.join(small(p), F.col("_pattern") == F.col(pattern)).drop("_k", "_key", "_pattern")
